@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,29 +56,54 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+#: Edges that one task may hold; more are first contracted by star rounds.
+FINISH = 1_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _stars(batches):
+    """Union-find over all edges given: (node, smallest node of its component)."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "comp"])
+
+
+def _star_round(e: DataFrame) -> DataFrame:
+    """Large-star, then small-star; an aggregate and a join each, which Spark can combine or split at a node with very many neighbours."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the smallest node it reaches.
 
-    Alternating large-star and small-star steps: each is an aggregate and a join on the
-    node, both of which Spark can combine or split when a node has very many neighbours.
+    Up to ``finish`` edges are united in one task. More are contracted by alternating
+    large-star and small-star rounds until every node points at its component's smallest.
     """
-    e = settle(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
-    before = _print_of(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        after = _print_of(nxt)
-        e = nxt
+    e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
+    if e.count() <= finish:
+        return settle(e.coalesce(1).mapInArrow(_stars, "node long, comp long"), "stars")
+    before = None
+    while True:
+        e = settle(_star_round(e), "edges")
+        after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break
         before = after

@@ -208,8 +208,11 @@ def _sets(batches):
             )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row; links hold 100 * intersection >= percent * union (80 or more)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, band_block: int = 4096, set_block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; links hold 100 * intersection >= percent * union (80 or more).
+
+    One task compares at most about ``band_block`` sketches or ``set_block`` sets with as many.
+    """
     if not 80 <= percent <= 100:
         raise ValueError("similarities under 0.8 need other bands")
     docs = docs.select("doc_id", "text")
@@ -218,10 +221,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512) -> Dat
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
     reps = settle(full.join(classes, (full.set_hash == classes.set_hash) & (full.doc_id == classes.id), "left_semi").dropDuplicates(["set_hash"]), "reps")
     banded = reps.select(F.explode("bands").alias("group"), F.col("doc_id").alias("id"), "sketch")
-    coarse = components(link_groups(banded, ["sketch"], _by_sketch, block, "bands"))
+    coarse = components(link_groups(banded, ["sketch"], _by_sketch, band_block, "bands"))
     groups = coarse.join(reps.select(F.col("doc_id").alias("node"), "set_hash", "sketch"), "node").withColumnRenamed("node", "doc_id")
     sets = docs.join(groups, "doc_id").select("doc_id", "text", "set_hash", "comp", "sketch").mapInArrow(_sets, "group long, id long, shingles binary, sketch binary")
-    links = link_groups(settle(sets, "sets"), ["shingles", "sketch"], _exact(percent), block, "sets")
+    links = link_groups(settle(sets, "sets"), ["shingles", "sketch"], _exact(percent), set_block, "sets")
     copies = full.join(classes, "set_hash").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     label = components(links.unionByName(copies))
     out = feats.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
