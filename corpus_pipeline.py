@@ -1,10 +1,82 @@
-"""Corpus pipeline."""
+"""A corpus pipeline of five operators: each stage works on all that the one before it kept.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame with the columns of documents; the
+last returns pieces of sequences. ``run`` writes each stage's rows and reads them again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.llm import toxicity
+from factloom.llm.durable import settle
+from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import mix
+from factloom.llm.packing import pack
+from factloom.llm.queries import tokenizer_path
+from factloom.llm.substring import substring_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier doesn't call toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(COLUMNS), model).where("predicted = 0").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each near-duplicate group."""
+    gone = near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that repeat an earlier document; other texts stay as they are."""
+    _, cut = substring_dedup(docs, carry=("lang", "source", "n_chars"))
+    cut = settle(cut, "cut")
+    changed = F.col("n_removed") > 0
+    cut = cut.select(
+        "doc_id",
+        F.col("kept_text").alias("text"),
+        "lang",
+        "source",
+        F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+    rest = docs.select(COLUMNS).join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
+    return rest.select(COLUMNS).unionByName(cut)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    picks = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("p"))
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    order = Window.partitionBy("doc_id").orderBy(size, F.col("source").asc_nulls_first(), "text")
+    rows = docs.select(COLUMNS).withColumn("k", F.row_number().over(order)).join(picks, F.col("doc_id").eqNullSafe(F.col("id")))
+    copies = F.element_at("p", F.col("k"))["copies"].cast("int")
+    return rows.withColumn("copies", copies).where("copies > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: A learned classifier and tokenizer ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,14 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .chat import render
+from .egojoin import self_join
+from .license import license_scan
+from .media import media_columns
 from .minhash import near_duplicates
+from .mixing import mix
+from .packing import pack
 from .substring import substring_dedup
+from .viterbi import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take paths and know no names."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return self_join(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean, cut = substring_dedup(_table(spark, sf_dir, "documents"))
     clean = clean.withColumn("n_removed", F.lit(0).cast("long"))
@@ -22,13 +45,48 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select(cols).unionByName(cut.select(cols))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(_table(spark, sf_dir, "conversations"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mix(_table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_token_counts": op2_token_counts,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_chat_formatting": op4_chat_formatting,
+        "op5_toxicity": op5_toxicity,
+        "op6_packing": op6_packing,
+        "op7_license_scan": op7_license_scan,
+        "op8_media_columns": op8_media_columns,
+        "op9_source_mixing": op9_source_mixing,
         "op10_minhash": op10_minhash,
     }
 
@@ -84,5 +142,46 @@ FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = d.doc_id
 """
 
 
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')
+),
+u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach(node, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other
+),
+comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_OP4 = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+line AS (
+  SELECT conv_id, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER w AS chat,
+         string_agg(concat(md5(role), md5(text)), '') OVER w AS id
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT min(conv_id) AS conv_id, n AS n_turns, chat
+FROM line WHERE at = n AND id NOT IN (SELECT id FROM line WHERE at < n)
+GROUP BY id, n, chat
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op10_minhash": _OP10}
+    return {
+        "op1_embedding_near_dedup": _OP1,
+        "op3_substring_dedup": _OP3,
+        "op4_chat_formatting": _OP4,
+        "op10_minhash": _OP10,
+    }

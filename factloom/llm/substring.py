@@ -91,7 +91,8 @@ def _stretches(window: int, gram: int):
                     part = w[s : e + window - 1]
                     out.append({"start": s, "n": e - s, "hash": int(tk.sequence_hash(part).view(np.int64)), "more": int(tk.sequence_hash(tk.mix(part, 23)).view(np.int64))})
                 runs.append(out)
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), b.column("text"), pa.array(runs, _RUN)], names=["row_id", "doc_id", "text", "runs"])
+            keep = [c for c in b.schema.names if c != "shared"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(runs, _RUN)], names=[*keep, "runs"])
 
     return fn
 
@@ -144,28 +145,31 @@ def _cut(window: int):
                 removed.append(int((~keep).sum()))
                 kept = b" ".join(word[j] for j in np.flatnonzero(keep).tolist())
                 sha.append(hashlib.sha256(kept).hexdigest())
-                spans.append((kept.decode("utf-8", "replace"), [{"start": s, "words": m} for s, m in fac]))
+                spans.append((kept.decode("utf-8", "replace") if fac else text.as_py(), [{"start": s, "words": m} for s, m in fac]))
+            keep = [c for c in b.schema.names if c not in ("text", "parts")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array([x for x, _ in spans]), pa.array([x for _, x in spans], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())])))],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                [*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array([x for x, _ in spans]), pa.array([x for _, x in spans], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())])))],
+                names=[*keep, "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
             )
 
     return fn
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents without repeats, documents with them).
 
     The first holds doc_id, n_words, kept_sha256 of the rows that share no anchor; the second
-    doc_id, n_words, n_removed, kept_sha256, kept_text, spans of the rest.
+    doc_id, the columns named in ``carry``, n_words, n_removed, kept_sha256, kept_text (the text
+    as it was where nothing is removed), spans of the rest.
     """
-    docs = docs.select("doc_id", "text")
-    scan = settle(docs.mapInArrow(_scan(window, gram), "doc_id long, n_words long, sha string, anchors array<long>"), "scan")
+    docs = docs.select("doc_id", "text", *carry)
+    extra = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    scan = settle(docs.select("doc_id", "text").mapInArrow(_scan(window, gram), "doc_id long, n_words long, sha string, anchors array<long>"), "scan")
     anchor = scan.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchor.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     per_doc = settle(anchor.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
-    flagged = docs.join(per_doc, "doc_id").withColumn("row_id", F.monotonically_increasing_id())
-    flagged = settle(flagged.mapInArrow(_stretches(window, gram), "row_id long, doc_id long, text string, runs array<struct<start:int,n:int,hash:long,more:long>>"), "stretches")
+    flagged = docs.join(per_doc, "doc_id").withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", *carry, "text", "shared")
+    flagged = settle(flagged.mapInArrow(_stretches(window, gram), f"row_id long, doc_id long, {extra}text string, runs array<struct<start:int,n:int,hash:long,more:long>>"), "stretches")
     runs = flagged.select("row_id", "doc_id", F.inline("runs"))
     first = runs.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "row_id", "start", "n")).alias("one"))
     first = settle(first.select("hash", "more", "one.*").withColumn("run", F.monotonically_increasing_id()), "first")
@@ -178,7 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     part = runs.join(first, ["hash", "more"]).where("doc_id > lo or ats is not null")
     part = part.select("row_id", F.struct("start", "n", (F.col("doc_id") > F.col("lo")).alias("all"), F.when(F.col("doc_id") == F.col("lo"), F.col("ats")).alias("ats")).alias("p"))
     part = part.groupBy("row_id").agg(F.collect_list("p").alias("parts"))
-    cut = flagged.drop("runs").join(part, "row_id", "left").select("doc_id", "text", "parts")
-    cut = cut.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,words:long>>")
+    cut = flagged.drop("runs").join(part, "row_id", "left").select("doc_id", *carry, "text", "parts")
+    cut = cut.mapInArrow(_cut(window), f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,words:long>>")
     clean = scan.join(per_doc.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.col("sha").alias("kept_sha256"))
     return clean, cut
