@@ -7,8 +7,10 @@ at three times its source's size and the excess is shared again by weight.
 A source's budget is met by whole passes over its documents and one part of a pass. For
 the part, documents are counted by exact length. Most of it takes each length in
 proportion; a bounded-knapsack table over the lengths' remaining counts then fills the
-rest, to the word where their sums allow. Documents of a length are taken in the order of
-a seeded hash of doc_id, so reruns agree.
+rest, to the word where their sums allow. Where one more copy of each document can't reach
+the budget (the words left lie in too long ones), a further copy fills what is missing, up
+to three copies in all. Documents of a length are taken in the order of a seeded hash of
+doc_id, so reruns agree.
 
 Sources and lengths are held as tables; one task sees at most one source's distinct
 lengths. Rows that share doc_id, source and size are interchangeable. Null sources are one
@@ -97,10 +99,14 @@ def _fit(batches):
             target, words = part.column("target")[0].as_py(), int((n * c).sum())
             passes = min(MOST, int(target // words)) if words else 0
             budget = 0 if passes == MOST else int(round(target - passes * words))
-            take = fit_counts(n, c, budget)
+            takes = []
+            for _ in range(MOST):
+                take = fit_counts(n, c, budget) if len(takes) < MOST - passes else np.zeros(len(n), np.int64)
+                budget -= int((take * n).sum())
+                takes.append(take)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rank").combine_chunks(), pa.array(n), pa.array(c), pa.array(np.full(len(n), passes, np.int64)), pa.array(take)],
-                names=["rank", "size", "n", "passes", "take"],
+                [part.column("rank").combine_chunks(), pa.array(n), pa.array(c), pa.array(np.full(len(n), passes, np.int64)), pa.array(list(np.stack(takes, axis=1)), pa.list_(pa.int64()))],
+                names=["rank", "size", "n", "passes", "takes"],
             )
 
 
@@ -140,20 +146,24 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     ranked = sizes.join(targets.withColumnRenamed("source", "s"), sizes.source.eqNullSafe(F.col("s"))).drop("s")
     hist = ranked.where("size > 0").groupBy("rank", "size").agg(F.count("*").alias("n"), F.first("target").alias("target"))
     n = shuffle_width(docs.sparkSession)
-    plan = hist.repartition(n, "rank").sortWithinPartitions("rank", "size").mapInArrow(_fit, "rank long, size long, n long, passes long, take long")
+    plan = hist.repartition(n, "rank").sortWithinPartitions("rank", "size").mapInArrow(_fit, "rank long, size long, n long, passes long, takes array<long>")
     plan = settle(plan, "plan")
     unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     rows = ranked.join(plan, ["rank", "size"], "left").withColumn("order", unit).withColumn("bucket", F.floor(F.col("order") * F.ceil(F.col("n") / float(_RANKED))))
-    rows = settle(rows, "rows")
-    part = rows.where("take > 0 and take < n")
+    # Times a rank is taken beyond the whole passes; a bucket needs ranks only where a take ends inside it.
+    partly = F.exists("takes", lambda t: (t > 0) & (t < F.col("n")))
+    full = F.coalesce(F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + (t > 0).cast("long")), F.lit(0))
+    rows = settle(rows.withColumn("partly", F.coalesce(partly, F.lit(False))).withColumn("extra", full), "rows")
+    part = rows.where("partly").drop("extra")
     upto = Window.partitionBy("rank", "size").orderBy("bucket")
-    cut = part.groupBy("rank", "size", "bucket", "take").count().withColumn("end", F.sum("count").over(upto)).withColumn("quota", F.col("take") - F.col("end") + F.col("count"))
-    cut = cut.select("rank", "size", "bucket", F.greatest(F.least("quota", "count"), F.lit(0)).alias("quota"), "count")
+    cut = part.groupBy("rank", "size", "bucket").agg(F.count("*").alias("held"), F.first("takes").alias("t"))
+    cut = cut.withColumn("before", F.sum("held").over(upto) - F.col("held"))
+    inside = F.exists("t", lambda t: (t > F.col("before")) & (t < F.col("before") + F.col("held")))
+    cut = cut.select("rank", "size", "bucket", "before", inside.alias("inside"))
     part = part.join(cut, ["rank", "size", "bucket"])
-    whole = part.where("quota = count or quota = 0").withColumn("extra", (F.col("quota") > 0).cast("long"))
-    split = part.where("quota > 0 and quota < count")
+    times = lambda place: F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + (place <= t).cast("long"))
+    whole = part.where("not inside").withColumn("extra", times(F.col("before") + 1))
     place = F.row_number().over(Window.partitionBy("rank", "size", "bucket").orderBy("order", "doc_id"))
-    split = split.withColumn("extra", (place <= F.col("quota")).cast("long"))
-    rest = rows.where("take is null or take = 0 or take = n").withColumn("extra", (F.coalesce("take", F.lit(0)) > 0).cast("long"))
+    split = part.where("inside").withColumn("place", F.col("before") + place).withColumn("extra", times(F.col("place")))
     cols = ["doc_id", "source", "size", "source_size", "target", (F.coalesce("passes", F.lit(0)) + F.col("extra")).alias("copies")]
-    return rest.select(cols).unionByName(whole.select(cols)).unionByName(split.select(cols))
+    return rows.where("not partly").select(cols).unionByName(whole.select(cols)).unionByName(split.select(cols))

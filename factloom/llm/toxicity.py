@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained in numpy from texts confirmed
+A linear classifier over the presence of words and of their first 3, 4 and 5 bytes (stems
+of inflected words) is trained in numpy from texts confirmed
 toxic and from texts without regard to any label. The risk is corrected by the class prior
 p: p * E+[l(f)] + max(0, Eu[l(-f)] - p * E+[l(-f)]) with the logistic loss; where the
 second part falls below zero, the step goes the other way, so the classifier doesn't
@@ -33,6 +34,7 @@ _TOKEN = np.full(256, 32, np.uint8)
 for _r in (range(48, 58), range(97, 123), range(128, 256)):
     _TOKEN[list(_r)] = list(_r)
 _TOKEN[65:91] = range(97, 123)
+STEMS = (3, 4, 5)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -44,7 +46,10 @@ def _tokens(column):
     for lo, _, data, offs in tk.blocks(column):
         data = _TOKEN[data]
         starts, ends, first = tk.words(data, offs)
-        yield lo, tk.word_hashes(data, starts, ends), first
+        kinds = [tk.word_hashes(data, starts, ends)]
+        for n in STEMS:
+            kinds.append(tk.mix(tk.word_hashes(data, starts, np.minimum(starts + n, ends)), n))
+        yield lo, kinds, first
 
 
 @dataclass
@@ -55,28 +60,53 @@ class Model:
 
     def scores(self, column) -> np.ndarray:
         out = np.zeros(len(column))
-        for lo, w, first in _tokens(column):
-            if len(self.vocab):
-                at = np.minimum(np.searchsorted(self.vocab, w), len(self.vocab) - 1)
-                pos = np.flatnonzero(self.vocab[at] == w)
-            else:
-                pos = np.zeros(0, np.int64)
-            row = np.searchsorted(first, pos, "right") - 1
-            pair = np.unique(row * max(1, len(self.vocab)) + at[pos]) if len(pos) else pos
+        n_vocab = len(self.vocab)
+        # Most words fall through a bit table; only the others are looked up.
+        seen = np.zeros(1 << 20, bool)
+        low = np.uint64((1 << 20) - 1)
+        seen[(self.vocab & low).astype(np.int64)] = True
+        for lo, kinds, first in _tokens(column):
+            pairs = []
+            for w in kinds if n_vocab else ():
+                pos = np.flatnonzero(seen[(w & low).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.vocab, w[pos]), n_vocab - 1)
+                hit = self.vocab[at] == w[pos]
+                pairs.append((np.searchsorted(first, pos[hit], "right") - 1) * n_vocab + at[hit])
             n = len(first) - 1
-            f = np.bincount(pair // max(1, len(self.vocab)), weights=self.weights[pair % max(1, len(self.vocab))], minlength=n) if len(pair) else np.zeros(n)
-            out[lo : lo + n] = f
+            if pairs:
+                pair = np.unique(np.concatenate(pairs))
+                out[lo : lo + n] = np.bincount(pair // n_vocab, weights=self.weights[pair % n_vocab], minlength=n)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least_docs: int = 5, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Fit on sets of word hashes."""
+def telling(rows: list[np.ndarray], n_pos: int, least_docs: int, least_g: float, most: int) -> np.ndarray:
+    """Sorted words that tell positives from unlabelled texts: likelihood ratio G of ``least_g`` or more, the ``most`` clearest of them."""
+    vocab, df = np.unique(np.concatenate(rows), return_counts=True)
+    vocab, df = vocab[df >= least_docs], df[df >= least_docs]
+    if not len(vocab):
+        return vocab
+    in_pos = np.zeros(len(vocab))
+    for r in rows[:n_pos]:
+        at = np.minimum(np.searchsorted(vocab, r), len(vocab) - 1)
+        in_pos[at[vocab[at] == r]] += 1
+    n = len(rows)
+    g = np.zeros(len(vocab))
+    for size, have in ((n_pos, in_pos), (n - n_pos, df - in_pos)):
+        for seen, of in ((have, df), (size - have, n - df)):
+            g += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(of * size / n, 1e-12))
+    best = np.argsort(-g, kind="stable")[:most]
+    return np.sort(vocab[best[g[best] >= least_g]])
+
+
+def train(
+    pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least_docs: int = 5, least_g: float = 25.0, most: int = 4096, steps: int = 200, rate: float = 0.1, decay: float = 1e-5
+) -> Model:
+    """Fit on sets of word hashes; only words that tell the two kinds of text apart are inputs."""
     if not pos or not unl or not 0 < prior < 1:
         p = min(max(prior, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
     rows = pos + unl
-    vocab, df = np.unique(np.concatenate(rows), return_counts=True)
-    vocab = vocab[df >= least_docs]
+    vocab = telling(rows, len(pos), least_docs, least_g, most)
     if not len(vocab):
         return train([], [], prior)
     idx, length = [], []
@@ -103,14 +133,20 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least_docs
         var = 0.999 * var + 0.001 * full * full
         step = rate * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    # The intercept is set last: unlabelled texts score the prior on average.
+    f = np.bincount(row, weights=w[idx], minlength=len(rows))[~is_pos]
+    lo, hi = -60.0, 60.0
+    for _ in range(80):
+        b = (lo + hi) / 2
+        lo, hi = (b, hi) if (1 / (1 + np.exp(-np.clip(f + b, -60, 60)))).mean() < prior else (lo, b)
     return Model(vocab, w, float(b))
 
 
 def _word_sets(batches):
     for batch in batches:
-        for lo, w, first in _tokens(batch.column("text")):
+        for lo, kinds, first in _tokens(batch.column("text")):
             n = len(first) - 1
-            sets = [np.unique(w[first[i] : first[i + 1]]).tobytes() for i in range(n)]
+            sets = [np.unique(np.concatenate([w[first[i] : first[i + 1]] for w in kinds])).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("toxic").slice(lo, n), pa.array(sets, pa.binary())], names=["doc_id", "toxic", "words"])
 
 
