@@ -10,7 +10,8 @@ The index is kept small in three steps, none of which loses a block:
 1. Anchors. A block's anchor is the least hash of its ``gram``-word sequences. Equal blocks
    have equal anchors; blocks whose anchor is in one document only are left out.
 2. Stretches. Neighbouring blocks that are left form a stretch; equal stretches (copies)
-   are indexed once, under their smallest doc_id.
+   are indexed once, under their smallest doc_id. Then blocks whose anchor is in one of
+   these different stretches only are left out as well.
 3. Blocks of the stretches are joined to their smallest doc_id. A frequent block is
    combined before the shuffle, and the join's large side can be split.
 
@@ -73,7 +74,7 @@ def _scan(window: int, gram: int):
     return fn
 
 
-_RUN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("more", pa.int64())]))
+_RUN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("more", pa.int64()), ("anchors", pa.list_(pa.int64()))]))
 
 
 def _stretches(window: int, gram: int):
@@ -89,7 +90,7 @@ def _stretches(window: int, gram: int):
                 out = []
                 for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)):
                     part = w[s : e + window - 1]
-                    out.append({"start": s, "n": e - s, "hash": int(tk.sequence_hash(part).view(np.int64)), "more": int(tk.sequence_hash(tk.mix(part, 23)).view(np.int64))})
+                    out.append({"start": s, "n": e - s, "hash": int(tk.sequence_hash(part).view(np.int64)), "more": int(tk.sequence_hash(tk.mix(part, 23)).view(np.int64)), "anchors": np.unique(a[s:e]).view(np.int64)})
                 runs.append(out)
             keep = [c for c in b.schema.names if c != "shared"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(runs, _RUN)], names=[*keep, "runs"])
@@ -97,22 +98,40 @@ def _stretches(window: int, gram: int):
     return fn
 
 
-def _blocks(window: int):
+def _blocks(window: int, gram: int):
     def fn(batches):
         for b in batches:
-            doc = b.column("doc_id")
-            for i, w, _ in _rows(b.column("text")):
-                for r in b.column("runs")[i].as_py():
-                    part = w[r["start"] : r["start"] + r["n"] + window - 1]
-                    k, more, n = tk.window_hashes(part, window), tk.window_hashes(tk.mix(part, 29), window), r["n"]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.view(np.int64)), pa.array(more.view(np.int64)), pa.array(np.full(n, doc[i].as_py(), np.int64)), pa.array(np.full(n, r["run"], np.int64)), pa.array(np.arange(n, dtype=np.int32))],
-                        names=["k", "more", "doc_id", "run", "at"],
-                    )
+            doc = b.column("doc_id").to_numpy()
+            runs = b.column("runs")
+            for rows in _groups(_rows(b.column("text")), 64):
+                out: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for i, w, _ in rows:
+                    a = _anchors(w, window, gram)
+                    for r in runs[i]:
+                        s, n, run = r["start"].as_py(), r["n"].as_py(), r["run"].as_py()
+                        part = w[s : s + n + window - 1]
+                        at = np.flatnonzero(np.isin(a[s : s + n], r["anchors"].values.to_numpy().view(np.uint64)))
+                        k, more = tk.window_hashes(part, window)[at], tk.window_hashes(tk.mix(part, 29), window)[at]
+                        for c, v in zip(out, (k.view(np.int64), more.view(np.int64), np.full(len(at), doc[i]), np.full(len(at), run), at.astype(np.int32))):
+                            c.append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["k", "more", "doc_id", "run", "at"])
 
     return fn
 
 
+def _groups(rows, n: int):
+    """Lists of up to n rows."""
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == n:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def factors(found: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Greedy factors (first word, words) of a document, given which of its blocks the reference holds."""
     out: list[tuple[int, int]] = []
@@ -169,12 +188,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, car
     shared = anchor.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     per_doc = settle(anchor.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
     flagged = docs.join(per_doc, "doc_id").withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", *carry, "text", "shared")
-    flagged = settle(flagged.mapInArrow(_stretches(window, gram), f"row_id long, doc_id long, {extra}text string, runs array<struct<start:int,n:int,hash:long,more:long>>"), "stretches")
+    flagged = settle(flagged.mapInArrow(_stretches(window, gram), f"row_id long, doc_id long, {extra}text string, runs array<struct<start:int,n:int,hash:long,more:long,anchors:array<bigint>>>"), "stretches")
     runs = flagged.select("row_id", "doc_id", F.inline("runs"))
-    first = runs.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "row_id", "start", "n")).alias("one"))
+    first = runs.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "row_id", "start", "n", "anchors")).alias("one"))
     first = settle(first.select("hash", "more", "one.*").withColumn("run", F.monotonically_increasing_id()), "first")
-    mine = first.groupBy("row_id").agg(F.collect_list(F.struct("start", "n", "run")).alias("runs"))
-    block = flagged.drop("runs").join(mine, "row_id").select("doc_id", "text", "runs").mapInArrow(_blocks(window), "k long, more long, doc_id long, run long, at int")
+    anchor = first.select("run", F.explode("anchors").alias("anchor"))
+    shared = anchor.groupBy("anchor").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo < hi").select("anchor")
+    left = anchor.join(shared, "anchor").groupBy("run").agg(F.collect_list("anchor").alias("anchors"))
+    mine = first.drop("anchors").join(left, "run").groupBy("row_id").agg(F.collect_list(F.struct("start", "n", "run", "anchors")).alias("runs"))
+    block = flagged.drop("runs").join(mine, "row_id").select("doc_id", "text", "runs").mapInArrow(_blocks(window, gram), "k long, more long, doc_id long, run long, at int")
     block = settle(block, "blocks")
     least = block.groupBy("k", "more").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "more", "lo")
     known = block.join(least, ["k", "more"]).where("doc_id > lo").groupBy("run").agg(F.collect_list("at").alias("ats"))
