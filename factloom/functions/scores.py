@@ -19,7 +19,8 @@ BASE_MINUTES = {"minimal": 0.60, "evidence": 0.95, "full": 1.40}
 
 def recency(created, now, days: float = 30.0) -> Column:
     """1 for now and the future, 0 from ``days`` on and where no time is known."""
-    age = (F.unix_micros(now) - F.unix_micros(created)) / 86_400e6
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    age = (micros(now) - micros(created)) / 86_400e6
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / days)), F.lit(0.0))
 
 
