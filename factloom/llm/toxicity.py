@@ -150,7 +150,7 @@ def _word_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("toxic").slice(lo, n), pa.array(sets, pa.binary())], names=["doc_id", "toxic", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000) -> Model:
     label = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = label.agg(F.avg((F.col("toxic") == 1).cast("double")), F.sum((F.col("toxic") == 1).cast("long"))).first()
     prior, n_pos = share[0] or 0.0, share[1] or 0
