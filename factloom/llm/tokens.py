@@ -1,11 +1,22 @@
-"""Token ids by whole words: white space ends a word for these tokenizers, so a word's ids don't depend on its neighbours."""
+"""Token ids by words: white space ends a word for these tokenizers, so a word's ids don't depend on its neighbours.
+
+Case doesn't count for them, and a run of punctuation after a letter or digit is a token
+group of its own; so A-Z are lower-cased first and such a run at a word's end is looked up
+apart, which leaves fewer different words.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
-CACHED = 400_000
+import numpy as np
+
+CACHED = 800_000
+JOINED = 2000
+#: Punctuation (no apostrophe) that ends a word after an ASCII letter or digit or a Latin-1 letter.
+ENDING = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([%*&$#@!.,;:?()\[\]{}\"/+=_~^-]+)(?=[\x20\x09-\x0d]|\Z)")
 
 
 @lru_cache(maxsize=4)
@@ -30,19 +41,27 @@ class WordIds:
         self.path, self.seen = path, {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Look up the words not seen yet, many in one text; a token belongs to the word in which it starts."""
         if len(self.seen) > CACHED:
             self.seen.clear()
-        new = {w for t in texts for w in t if w not in self.seen}
-        if new:
-            import numpy as np
-
-            new_list = list(new)
-            enc = _tokenizer(self.path).encode_batch([w.decode("utf-8", "replace") for w in new_list], add_special_tokens=False)
-            for w, e in zip(new_list, enc):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        new = list({w for t in texts for w in t if w not in self.seen})
+        tok = _tokenizer(self.path)
+        for w in [w for w in new if b"<|" in w]:
+            # A special token may reach over the blanks around it, so these stand alone.
+            self.seen[w] = np.array(tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        new = [w for w in new if b"<|" not in w]
+        for i in range(0, len(new), JOINED):
+            part = [w.decode("utf-8", "replace") for w in new[i : i + JOINED]]
+            e = tok.encode(" ".join(part), add_special_tokens=False)
+            start = np.cumsum([0] + [len(w) + 1 for w in part])
+            at = 4 * np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], start)
+            ids = np.array(e.ids, "<u4").tobytes()
+            at = at.tolist()
+            self.seen.update((w, ids[a:b]) for w, a, b in zip(new[i : i + JOINED], at[:-1], at[1:]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        # Where a special token's mark occurs, the text is left as it is.
+        split = [(t if b"<|" in t else ENDING.sub(rb" \1", t.lower())).split() for t in texts]
         self.learn(split)
         get = self.seen.__getitem__
         return [b"".join(map(get, t)) for t in split]

@@ -68,6 +68,12 @@ class Code:
             self.length[codes[s] :: 1 << n] = n
         self._s = self._n = None
 
+    @classmethod
+    def of_one(cls, symbol: int) -> "Code":
+        c = cls.__new__(cls)
+        c.single, c.width = symbol, 0
+        return c
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
@@ -98,9 +104,11 @@ def read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if bits.read(1) else 1)
+        if not two:
+            return Code.of_one(first)
+        lengths[first] = 1
+        lengths[bits.read(8)] = 1
         return Code(lengths)
     outer = [0] * 19
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
@@ -409,6 +417,11 @@ class Writer:
         self.n += n
 
 
+def write_one(w: Writer, symbol: int) -> None:
+    """A code of one symbol, which takes no bits."""
+    w.write(0b101 | symbol << 3, 11)
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
@@ -503,9 +516,7 @@ def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
         write_code(w, lengths)
         body = canonical(lengths)
     for only in (0, 0, 255, 0):
-        one = np.zeros(256, np.int64)
-        one[only] = 1
-        write_code(w, one)
+        write_one(w, only)
     if body is None:
         return container(w.value.to_bytes(-(-w.n // 8), "little"))
     table = np.zeros(256, np.uint16)
