@@ -64,24 +64,34 @@ def cutting_patterns(count: np.ndarray, room: int, rounds: int = 3000) -> list[t
         m = len(used)
         cols = np.zeros((m, m))
         np.fill_diagonal(cols, room // (used + 1))
-        inverse = np.diag(1.0 / np.diag(cols))
+        inverse, cost = np.diag(1.0 / np.diag(cols)), np.ones(m)
         x = inverse @ left[used]
         for _ in range(rounds):
-            dual = inverse.sum(axis=0)
-            value = np.zeros(len(count))
-            value[used] = np.maximum(dual, 0)
-            worth, a = _best_pattern(value, room)
-            if worth <= 1 + 1e-9:
-                break
-            a = a[used].astype(float)
+            dual = cost @ inverse
+            low = int(np.argmin(dual))
+            if dual[low] < -1e-9:
+                # More of a class than there is costs nothing: its surplus enters.
+                a, price = np.zeros(m), 0.0
+                a[low] = -1
+            else:
+                value = np.zeros(len(count))
+                value[used] = np.maximum(dual, 0)
+                worth, a = _best_pattern(value, room)
+                if worth <= 1 + 1e-9:
+                    break
+                a, price = a[used].astype(float), 1.0
             d = inverse @ a
-            ratio = np.where(d > 1e-12, x / np.where(d > 1e-12, d, 1), np.inf)
+            up = d > 1e-10
+            if not up.any():
+                break
+            ratio = np.where(up, x / np.where(up, d, 1), np.inf)
             k = int(np.argmin(ratio))
-            cols[:, k] = a
+            cols[:, k], cost[k] = a, price
             inverse[k] /= d[k]
             rest = np.arange(m) != k
             inverse[rest] -= np.outer(d[rest], inverse[k])
             x = np.maximum(inverse @ left[used], 0)
+        x = x * cost
         for j in np.argsort(-x, kind="stable"):
             a = np.zeros(len(count), np.int64)
             a[used] = cols[:, j].astype(np.int64)
@@ -136,8 +146,7 @@ def _pieces(path: str, capacity: int, share: float):
         for b in batches:
             ids_col, text = b.column(0), b.column(1)
             for lo, hi, data, offs in tk.blocks(text):
-                raw = data.tobytes()
-                docs = code.encode([raw[offs[i] : offs[i + 1]] for i in range(hi - lo)])
+                docs = code.encode(data, offs)
                 out: list[list] = [[] for _ in range(7)]
                 for i, ids in enumerate(docs):
                     ids += end

@@ -8,15 +8,33 @@ apart, which leaves fewer different words.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
+from .textkit import LOWER, SPACE
+
 CACHED = 800_000
 JOINED = 2000
-#: Punctuation (no apostrophe) that ends a word after an ASCII letter or digit or a Latin-1 letter.
-ENDING = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([%*&$#@!.,;:?()\[\]{}\"/+=_~^-]+)(?=[\x20\x09-\x0d]|\Z)")
+#: A word's ending: punctuation other than an apostrophe, after an ASCII letter or digit.
+_ENDING = np.zeros(256, bool)
+_ENDING[list(b'%*&$#@!.,;:?()[]{}"/+=_~^-')] = True
+_BEFORE = np.zeros(256, bool)
+_BEFORE[[*range(48, 58), *range(97, 123)]] = True
+
+
+def endings(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where a blank goes before the ending of a word, in lower-cased bytes of whole rows."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    mark = np.zeros(len(data) + 2, np.int8)
+    mark[1:-1] = _ENDING[data]
+    step = np.diff(mark)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inside = (start > 0) & ~edge[start]
+    fine = inside & _BEFORE[data[np.maximum(start - 1, 0)]]
+    fine &= edge[end] | SPACE[data[np.minimum(end, len(data) - 1)]]
+    return start[fine]
 
 
 @lru_cache(maxsize=4)
@@ -40,11 +58,9 @@ class WordIds:
     def __setstate__(self, path):
         self.path, self.seen = path, {}
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Look up the words not seen yet, many in one text; a token belongs to the word in which it starts."""
-        if len(self.seen) > CACHED:
-            self.seen.clear()
-        new = list({w for t in texts for w in t if w not in self.seen})
+    def learn(self, words: set[bytes]) -> None:
+        """Look up words not seen yet, many in one text; a token belongs to the word in which it starts."""
+        new = list(words)
         tok = _tokenizer(self.path)
         for w in [w for w in new if b"<|" in w]:
             # A special token may reach over the blanks around it, so these stand alone.
@@ -59,9 +75,27 @@ class WordIds:
             at = at.tolist()
             self.seen.update((w, ids[a:b]) for w, a, b in zip(new[i : i + JOINED], at[:-1], at[1:]))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of each row of a block of bytes."""
+        plain = data.tobytes()
+        low = LOWER[data]
+        at = endings(low, offs) if len(data) else np.zeros(0, np.int64)
+        raw = np.insert(low, at, 32).tobytes()
+        to = (offs + np.searchsorted(at, offs)).tolist()
+        offs = offs.tolist()
         # Where a special token's mark occurs, the text is left as it is.
-        split = [(t if b"<|" in t else ENDING.sub(rb" \1", t.lower())).split() for t in texts]
-        self.learn(split)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, t)) for t in split]
+        special = b"<|" in plain
+        rows = []
+        for i in range(len(offs) - 1):
+            whole = plain[offs[i] : offs[i + 1]] if special else b""
+            rows.append((whole if b"<|" in whole else raw[to[i] : to[i + 1]]).split())
+        got = [list(map(self.seen.get, r)) for r in rows]
+        lost = [i for i, g in enumerate(got) if None in g]
+        if lost:
+            if len(self.seen) > CACHED:
+                self.seen.clear()
+                lost = list(range(len(rows)))
+            self.learn({w for i in lost for w in rows[i] if w not in self.seen})
+            for i in lost:
+                got[i] = map(self.seen.__getitem__, rows[i])
+        return [b"".join(g) for g in got]
