@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, governance
+from . import analytics, evaluation, governance
 
-_ALL = governance.PLANS | analytics.PLANS
+_ALL = governance.PLANS | analytics.PLANS | evaluation.PLANS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,4 +25,6 @@ def test_query(spark, con, name):
 
 
 def test_names_have_sql_or_a_test_of_their_own():
-    assert set(Q) - set(SQL) == {"c7_gate", "fit_policy", "mean_ci", "paired_t", "bootstrap_ci"}
+    assert set(Q) - set(SQL) == {
+        "c7_gate", "fit_policy", "mean_ci", "paired_t", "bootstrap_ci", "hash_embed", "mention_distance", "scenario_replay", "bounded_update", "aggregate_methods", "significance_table",
+    }
