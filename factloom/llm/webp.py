@@ -2,8 +2,12 @@
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the
 predictor, cross-colour, subtract-green and palette transforms. Runs of literals whose
-red, blue and alpha codes hold one symbol each are read through a table of the code length
-at every bit, so a sample costs one step of a loop and no call.
+red, blue and alpha codes hold one symbol each are read through a table of the literals that
+the next bits hold, so a step of a loop reads several samples and makes no call. Prefix
+codes met before are recognised by their bits and not built again.
+
+The encoder writes grey images with one of two codes given by a rule, or with a Huffman code
+of the image's own where that is clearly shorter.
 """
 
 from __future__ import annotations
@@ -60,6 +64,8 @@ class Code:
         codes = canonical(lengths)
         if int((1 << (self.width - lengths[used])).sum()) != 1 << self.width:
             raise ValueError("a prefix code is incomplete or over-full")
+        self.uses = 0
+        self._many = None
         self.symbol = np.zeros(1 << self.width, np.int32)
         self.length = np.zeros(1 << self.width, np.uint8)
         for s in used.tolist():
@@ -68,6 +74,28 @@ class Code:
             self.length[codes[s] :: 1 << n] = n
         self._s = self._n = None
 
+    def literals(self, large: bool):
+        """(window bits, bits of the whole literals in it, their number, themselves); no bits where it starts with another symbol.
+
+        One literal at a time at first; several once the code has been met often or has much to read.
+        """
+        self.uses += 1
+        if self._many is None or self._many[0] < 16 and (large or self.uses == 4):
+            w = 16 if large or self.uses >= 4 else self.width
+            index = np.arange(1 << w)
+            at, n = np.zeros(1 << w, np.int64), np.zeros(1 << w, np.uint8)
+            most = max(1, w // int(self.length.min()))
+            out = np.zeros((1 << w, most), np.uint8)
+            alive = np.ones(1 << w, bool)
+            for k in range(most):
+                v = index >> at & ((1 << self.width) - 1)
+                alive &= (self.symbol[v] < 256) & (self.length[v] + at <= w)
+                out[alive, k] = self.symbol[v[alive]]
+                at[alive] += self.length[v[alive]]
+                n += alive
+            self._many = w, at.astype(np.uint8), n, out
+        return self._many
+
     @classmethod
     def of_one(cls, symbol: int) -> "Code":
         c = cls.__new__(cls)
@@ -139,17 +167,38 @@ def _prefixed(bits: Bits, p: int) -> int:
     return ((2 + (p & 1)) << extra) + bits.read(extra) + 1
 
 
-def _literal_steps(bits: Bits, code: Code) -> tuple[bytes, np.ndarray]:
-    """For each bit from here on: the literal's code length there, 0 where a back-reference begins; and the symbol."""
+_met: dict[bytes, list[tuple[int, int, list]]] = {}
+
+
+def _codes(bits: Bits, sizes: tuple) -> list[Code]:
+    """Five prefix codes; equal bits give the codes built for them before."""
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 512], "little") >> (bits.at & 7)
+    near = (ahead & ((1 << 96) - 1)).to_bytes(12, "little") + repr(sizes).encode()
+    for n, value, codes in _met.get(near, ()):
+        if ahead & ((1 << n) - 1) == value and bits.at + n <= 8 * len(bits.data):
+            bits.at += n
+            return codes
+    start = bits.at
+    codes = [read_code(bits, n) for n in sizes]
+    n = bits.at - start
+    if n < 4000:
+        if len(_met) > 256:
+            _met.clear()
+        _met.setdefault(near, []).append((n, ahead & ((1 << n) - 1), codes))
+    return codes
+
+
+def _literal_steps(bits: Bits, code: Code, samples: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit from here on: the bits of the literals read there at once (0 where a back-reference begins), their number, and the window; then number and literals by window."""
     first = bits.at >> 3
     raw = np.frombuffer(bits.data[first:] + b"\0\0\0\0", np.uint8).astype(np.uint32)
     word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
-    step = np.where(code.symbol < 256, code.length, 0).astype(np.uint8)
+    width, step, number, many = code.literals(samples > 1 << 16)
     look = np.empty((len(word), 8), np.uint16)
     for s in range(8):
-        look[:, s] = (word >> np.uint32(s)) & np.uint32((1 << code.width) - 1)
+        look[:, s] = (word >> np.uint32(s)) & np.uint32((1 << width) - 1)
     look = look.ravel()
-    return step[look].tobytes(), look
+    return step[look].tobytes(), number[look].tobytes(), look, number, many
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -163,7 +212,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = ((_image(bits, w, h, False) >> 8) & 0xFFFF).reshape(h, w)
         groups = int(which.max()) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
+    codes = [_codes(bits, sizes) for _ in range(groups)]
     total = width * height
     out = np.zeros(total, np.uint32)
     green, red, blue, alpha, far = codes[0]
@@ -174,7 +223,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         return out
     if plain and green.single is None:
         base = bits.at & ~7
-        step, look = _literal_steps(bits, green)
+        step, number, look, held, many = _literal_steps(bits, green, total)
     cache = [0] * (1 << cache_bits) if cache_bits else None
     done = 0
     n = 0
@@ -182,17 +231,24 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if plain and green.single is None:
             p, seen = bits.at - base, []
             add, left = seen.append, total - n
-            while left:
+            while left > 0:
                 k = step[p]
                 if not k:
                     break
                 add(p)
+                left -= number[p]
                 p += k
-                left -= 1
             if seen:
-                out[n : n + len(seen)] = green.symbol[look[np.array(seen)]].astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
-                n += len(seen)
+                if left < 0:
+                    p = seen.pop()
+                at = look[np.array(seen, np.int64)]
+                got = many[at][np.arange(many.shape[1]) < held[at][:, None]]
                 bits.at = base + p
+                if left < 0:
+                    # The window runs over the last sample: the rest is read one by one.
+                    got = np.append(got, np.array([green.read(bits) for _ in range(total - n - len(got))], np.uint8))
+                out[n : n + len(got)] = got.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
+                n += len(got)
                 if bits.at > 8 * len(bits.data):
                     raise ValueError("the stream ends early")
             if n == total:
@@ -492,8 +548,57 @@ def shape_of(samples: int, row: int) -> tuple[int, int]:
     return wide * row, -(-rows // wide)
 
 
+# Bytes of padded prose in falling order of use; the others follow by value.
+_ORDER = b" e\xfftaonihsrldcumgfpwybvk,.\n\xc3TSAIEDOLRCNMPUHWBFGVKJzxjq\xa9\xa4\xb6\xbc\xb3\xa1\xad\xa8\xaa\x9f-'\"0123456789"
+
+
+def _given(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Lengths, codes, and the bits of the code's header (value and number)."""
+    lengths = code_lengths(weights)
+    w = Writer()
+    write_code(w, lengths)
+    table = np.zeros(256, np.uint16)
+    for s, c in canonical(lengths).items():
+        table[s] = c
+    return lengths[:256], table, w.value, w.n
+
+
+def _prose() -> np.ndarray:
+    w = np.zeros(280, np.int64)
+    w[:256] = 20
+    for k, b in enumerate(_ORDER):
+        w[b] = 400_000 // (k + 3)
+    return w
+
+
+def _even() -> np.ndarray:
+    w = np.zeros(280, np.int64)
+    w[:256] = 1
+    return w
+
+
+_rules: list = []
+
+
+def _chosen(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The shorter given code, or the image's own if that saves a fifth with its header."""
+    if not _rules:
+        _rules.extend(_given(f()) for f in (_prose, _even))
+    size = [int((count * r[0]).sum()) + r[3] for r in _rules]
+    best = _rules[int(np.argmin(size))]
+    p = count[count > 0] / count.sum()
+    entropy = float(-(p * np.log2(p)).sum() * count.sum())
+    if len(p) > 1 and entropy + 5 * len(p) < 0.8 * min(size):
+        full = np.zeros(280, np.int64)
+        full[:256] = count
+        own = _given(full)
+        if int((count * own[0]).sum()) + own[3] < 0.8 * min(size):
+            return own
+    return best
+
+
 def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
-    """A grey image: subtract-green leaves red and blue at one symbol, green is Huffman coded."""
+    """A grey image: subtract-green leaves red and blue at one symbol, green has a prefix code."""
     w = Writer()
     w.write(0x2F, 8)
     w.write(width - 1, 14)
@@ -505,29 +610,23 @@ def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
     w.write(0, 1)
     w.write(0, 1)
     w.write(0, 1)
-    count = np.bincount(samples, minlength=280)
-    if np.count_nonzero(count) == 1:
-        lengths = np.zeros(280, np.int64)
-        lengths[int(samples[0])] = 1
-        write_code(w, lengths)
-        body = None
+    count = np.bincount(samples, minlength=256)
+    single = np.count_nonzero(count) == 1
+    if single:
+        write_one(w, int(samples[0]))
     else:
-        lengths = code_lengths(count)
-        write_code(w, lengths)
-        body = canonical(lengths)
+        lengths, table, value, n = _chosen(count)
+        w.write(value, n)
     for only in (0, 0, 255, 0):
         write_one(w, only)
-    if body is None:
-        return container(w.value.to_bytes(-(-w.n // 8), "little"))
-    table = np.zeros(256, np.uint16)
-    for s, c in body.items():
-        table[s] = c
-    n = lengths[:256].astype(np.uint8)[samples]
+    head = w.value.to_bytes(-(-w.n // 8), "little")
+    if single:
+        return container(head)
+    n = lengths.astype(np.uint8)[samples]
     code = table[samples]
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes(-(-w.n // 8), "little"), np.uint8), bitorder="little")[: w.n]
     at = np.cumsum(n, dtype=np.int64)
     bits = np.zeros(w.n + int(at[-1]), np.uint8)
-    bits[: w.n] = head
+    bits[: w.n] = np.unpackbits(np.frombuffer(head, np.uint8), bitorder="little")[: w.n]
     at += w.n
     at -= n
     for k in range(int(n.max())):
