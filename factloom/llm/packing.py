@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .durable import settle
-from .tokens import WordIds
+from .tokens import shared_ids
 
 CAPACITY, GRAIN, END_ID = 4096, 32, 2
 _COLS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -138,11 +138,11 @@ class _Deal:
 
 
 def _pieces(path: str, capacity: int, share: float):
-    code = WordIds(path)
     end = np.array([END_ID], "<u4").tobytes()
     limit = int(share * (1 << 32))
 
     def fn(batches):
+        code = shared_ids(path)
         for b in batches:
             ids_col, text = b.column(0), b.column(1)
             for lo, hi, data, offs in tk.blocks(text):

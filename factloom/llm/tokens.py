@@ -52,12 +52,6 @@ class WordIds:
         self.path = path
         self.seen: dict[bytes, bytes] = {}
 
-    def __getstate__(self):
-        return self.path
-
-    def __setstate__(self, path):
-        self.path, self.seen = path, {}
-
     def learn(self, words: set[bytes]) -> None:
         """Look up words not seen yet, many in one text; a token belongs to the word in which it starts."""
         new = list(words)
@@ -99,3 +93,9 @@ class WordIds:
             for i in lost:
                 got[i] = map(self.seen.__getitem__, rows[i])
         return [b"".join(g) for g in got]
+
+
+@lru_cache(maxsize=2)
+def shared_ids(path: str) -> WordIds:
+    """One memory a worker process, which its later tasks find filled."""
+    return WordIds(path)
