@@ -167,13 +167,13 @@ FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON n.a = vec_id
 _OP4 = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 line AS (
-  SELECT conv_id, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
          string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER w AS chat,
          string_agg(concat(md5(role), md5(text)), '') OVER w AS id
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
 )
 SELECT min(conv_id) AS conv_id, n AS n_turns, chat
-FROM line WHERE at = n AND id NOT IN (SELECT id FROM line WHERE at < n)
+FROM line WHERE pos = n AND id NOT IN (SELECT id FROM line WHERE pos < n)
 GROUP BY id, n, chat
 """
 
