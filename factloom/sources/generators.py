@@ -1,0 +1,93 @@
+"""Seeded workloads as DataFrames: benchmark and stress examples, evasion cases, an escalation corpus.
+
+Rows come from ranges and hashes of (seed, index), so any size is generated in parallel and a
+row doesn't depend on the others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Kinds of examples, stress classes with their perturbation counts, evasion axes, write classes.
+CATEGORIES = ("direct_fact", "knowledge_update", "contradiction", "temporal_order", "provenance", "planning")
+STRESS = ("conflicting_updates", "alias_ambiguity", "temporal_overlap", "confidence_inflation")
+INTENSITY = {"low": 1, "medium": 3, "high": 5}
+AXES = ("novel_alias", "spelling_variant", "spacing_variant", "partial", "adaptive_alias", "role_description", "unrelated_alias")
+CLASSES = ("routine", "correction", "conflict")
+PEOPLE = ("Alice", "Bob", "Carol", "Dan", "Erin", "Frank", "Grace", "Heidi")
+THINGS = ("Orion", "Vega", "Lyra", "Cygnus", "Draco", "Hydra")
+
+
+def _pick(values: tuple[str, ...], *key: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(*key), F.lit(len(values))) + 1).cast("int"))
+
+
+def _at(values: tuple[str, ...], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def benchmark_examples(spark: SparkSession, seed: int = 1337, per_category: int = 25) -> DataFrame:
+    """id, category, sessions, questions: an owner is stated, changed in the update and contradiction kinds, and asked for."""
+    i, s = F.col("i"), F.lit(seed)
+    df = spark.range(len(CATEGORIES) * per_category).withColumnRenamed("id", "i").withColumn("category", _at(CATEGORIES, F.floor(i / per_category)))
+    df = df.withColumn("thing", F.concat(_pick(THINGS, s, i, F.lit("t")), i)).withColumn("old", _pick(PEOPLE[:4], s, i, F.lit("o"))).withColumn("new", _pick(PEOPLE[4:], s, i, F.lit("n")))
+    changed = F.col("category").isin("knowledge_update", "contradiction")
+    say = lambda who, cue="": F.concat(F.lit(cue), F.col(who), F.lit(" owns "), "thing", F.lit("."))
+    session = lambda n, text: F.struct(F.lit(f"s{n}").alias("session_id"), text.alias("input"))
+    second = F.when(F.col("category") == "knowledge_update", say("new", "Correction: ")).otherwise(say("new"))
+    sessions = F.when(changed, F.array(session(1, say("old")), session(2, second))).otherwise(F.array(session(1, say("old"))))
+    answer = F.when(F.col("category") == "knowledge_update", F.col("new")).otherwise(F.col("old"))
+    question = F.struct(F.concat(F.lit("Who owns "), "thing", F.lit("?")).alias("query"), F.array(answer).alias("expected_answer_contains"), (F.col("category") == "contradiction").alias("expected_conflict"))
+    return df.select(F.concat(F.lit("ex_"), i).alias("id"), "category", sessions.alias("sessions"), F.array(question).alias("questions"))
+
+
+def stress_examples(spark: SparkSession, seed: int = 1337, each: int = 30) -> DataFrame:
+    """id, stress_class, intensity, writes: one, three or five perturbing writes after a true one."""
+    i, s = F.col("i"), F.lit(seed)
+    per = len(INTENSITY) * each
+    df = spark.range(len(STRESS) * per).withColumnRenamed("id", "i").withColumn("stress_class", _at(STRESS, F.floor(i / per)))
+    df = df.withColumn("intensity", _at(tuple(INTENSITY), F.floor(i % per / each)))
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in INTENSITY.items() for x in kv]), F.col("intensity"))
+    thing = F.concat(_pick(THINGS, s, i), i)
+    name = lambda k: F.when(F.col("stress_class") == "alias_ambiguity", F.concat(thing, F.lit(" v"), k)).otherwise(thing)
+    pct = F.when(F.col("stress_class") == "confidence_inflation", 99).otherwise(85)
+    writes = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.alias("seq"), F.when(k == 0, thing).otherwise(name(k)).alias("subject"), _pick(PEOPLE, s, i, k).alias("object"), F.when(k == 0, 85).otherwise(pct).alias("pct")))
+    return df.select(F.concat(F.lit("st_"), i).alias("id"), "stress_class", "intensity", writes.alias("writes"))
+
+
+def evasion_cases(spark: SparkSession, seed: int = 7, each: int = 10) -> DataFrame:
+    """case_id, axis, canonical_task, surface, incumbent, injected: a task named so that a resolver may miss it."""
+    i, s = F.col("i"), F.lit(seed)
+    df = spark.range(len(AXES) * each).withColumnRenamed("id", "i").withColumn("axis", _at(AXES, F.floor(i / each)))
+    df = df.withColumn("task", F.concat(_pick(THINGS, s, i), F.lit(" Review "), i % 10))
+    t, ax = F.col("task"), F.col("axis")
+    surface = (
+        F.when(ax == "spelling_variant", F.replace(t, F.lit("Review"), F.lit("Reveiw")))
+        .when(ax == "spacing_variant", F.replace(t, F.lit(" "), F.lit("")))
+        .when(ax == "partial", F.substring_index(t, " ", 1))
+        .when(ax == "novel_alias", F.concat(F.lit("the "), F.lower(t), F.lit(" thing")))
+        .when(ax == "adaptive_alias", F.concat(F.left(t, F.lit(3)), F.lit("-"), i % 10))
+        .when(ax == "role_description", F.lit("the task under review"))
+        .otherwise(F.concat(F.lit("Item "), i))
+    )
+    return df.select(F.concat(F.lit("ev_"), i).alias("case_id"), "axis", t.alias("canonical_task"), surface.alias("surface"), _pick(PEOPLE[:4], s, i, F.lit("a")).alias("incumbent"), _pick(PEOPLE[4:], s, i, F.lit("b")).alias("injected"))
+
+
+def escalation_corpus(spark: SparkSession, seed: int = 11, scenarios: int = 50, writes: int = 30) -> DataFrame:
+    """Ordered writes of scenarios: partition, class (each a third), gold transition, consequence, poisoned (a fifth of scenarios)."""
+    i, s = F.col("i"), F.lit(seed)
+    df = spark.range(scenarios * writes).withColumnRenamed("id", "i").withColumn("scenario", F.floor(i / writes)).withColumn("index", i % writes)
+    share = F.col("scenario") / scenarios
+    part = F.when(share < 0.5, "train").when(share < 0.7, "dev").when(share < 0.8, "canary").otherwise("test")
+    df = df.withColumn("write_class", _at(CLASSES, F.col("index") % 3)).withColumn("poisoned", F.pmod(F.col("scenario"), F.lit(5)) == 4)
+    u = F.pmod(F.xxhash64(s, i), F.lit(100))
+    gold = (
+        F.when(F.col("write_class") == "routine", "accept")
+        .when((F.col("write_class") == "correction") & (u < 80), "supersede")
+        .when((F.col("write_class") == "conflict") & (u < 15), "reject")
+        .otherwise("review")
+    )
+    return df.select(
+        F.concat(F.lit("w"), i).alias("write_id"), F.concat(F.lit("sc"), "scenario").alias("scenario_id"), part.alias("partition"), "index", "write_class", gold.alias("gold"), (u % 3 == 0).alias("consequential"), "poisoned", (u % 50 + 50).cast("int").alias("pct"),
+    )
