@@ -29,10 +29,22 @@ def degrees(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst) of all paths of one edge or more, from ``sources(src)`` or everywhere.
 
-    Each round joins the newest pairs with the edges and keeps what is new; checkpoint() cuts
-    the lineage, so a lost executor costs a re-read.
+    Everywhere: known paths are joined with themselves, so lengths double each round. From
+    sources: each round joins the newest pairs with the edges and keeps what is new.
+    checkpoint() cuts the lineage, so a lost executor costs a re-read.
     """
-    frontier = edges if sources is None else edges.join(sources, "src", "left_semi")
+    if sources is None:
+        known = edges.distinct().checkpoint()
+        n = known.count()
+        while True:
+            far = known.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+            step = known.join(far, "dst").select("src", F.col("far").alias("dst"))
+            known = known.unionByName(step).distinct().checkpoint()
+            m = known.count()
+            if m == n:
+                return known
+            n = m
+    frontier = edges.join(sources, "src", "left_semi")
     known = frontier = frontier.distinct().checkpoint()
     while not frontier.isEmpty():
         step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
