@@ -44,20 +44,52 @@ def name_match_join(spark, d):
 @plan("alias_match_join", """ SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_type = b.p_type
  WHERE a.p_size = b.p_size AND list_has_any(string_split(a.p_name, ' '), string_split(b.p_name, ' ')) AND a.p_partkey % 10 = 0""")
 def alias_match_join(spark, d):
+    return _alias_match(spark, d, "p_partkey % 10 = 0")
+
+
+def _alias_match(spark, d, left="true"):
     p = _read(spark, d, "part").select("p_partkey", "p_type", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    a = p.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "l")
+    a = p.where(left).withColumnRenamed("p_partkey", "l")
     return a.join(p.withColumnRenamed("p_partkey", "r"), ["p_type", "p_size", "t"]).where("l < r").select("l", "r").distinct()
 
 
 @plan("near_match_join", """, n AS (SELECT c_custkey AS id, string_split(c_mktsegment || ' ' || (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN ' x' ELSE '' END, ' ') AS t, 'c' || (c_nationkey % 5) AS ty FROM customer WHERE c_custkey < 300)
 SELECT a.id AS l_id, b.id AS r_id FROM n a JOIN n b ON a.ty = b.ty AND a.id <> b.id WHERE len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 OR len(list_filter(b.t, lambda x: NOT list_contains(a.t, x))) = 0""".replace(", n AS", " WITH n AS", 1))
 def near_match_join(spark, d):
-    c = _read(spark, d, "customer").where("c_custkey < 300")
+    return _near_match(spark, d, "c_custkey < 300")
+
+
+def _near_match(spark, d, kept="true"):
+    c = _read(spark, d, "customer").where(kept)
     label = F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 50).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "x"))
     names = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), F.col("c_nationkey") % 5).alias("entity_type"), F.sort_array(text.name_tokens(label)).alias("tokens"))
     return retrieve.near_names(names, names)
 
 
+def whole(plans, name, *cuts):
+    """A query ``<name>_all`` beside ``name``: its SQL without the conditions that shrink the input."""
+    sql = plans[name][1]
+    for cut in cuts:
+        assert cut in sql, (name, cut)
+        sql = sql.replace(cut, "")
+
+    def keep(f):
+        plans[f"{name}_all"] = (f, sql)
+        return f
+
+    return keep
+
+
+@whole(PLANS, "alias_match_join", " AND a.p_partkey % 10 = 0")
+def alias_match_join_all(spark, d):
+    return _alias_match(spark, d)
+
+
+@whole(PLANS, "near_match_join", " WHERE c_custkey < 300")
+def near_match_join_all(spark, d):
+    return _near_match(spark, d)
+
+
 _WORDS = "['To  Do', 'In Progress', 'completed', 'On hold', 'Approved', 'departed', 'weird']"
 
 
@@ -301,12 +333,21 @@ def symbolic_precedes(spark, d):
 
 @plan("provenance_join", """ SELECT a.seq, count(DISTINCT b.source_ref) AS n_sources FROM alog a LEFT JOIN alog b ON a.subject_id = b.subject_id AND a.object_id = b.object_id AND b.source_ref <> '' WHERE a.k < 10 GROUP BY 1""", log=True)
 def provenance_join(spark, d):
+    return _provenance(spark, d, "k < 10")
+
+
+def _provenance(spark, d, kept="true"):
     log = assertion_log(spark, d)
     src = log.where("source_ref <> ''").groupBy("subject_id", "object_id").agg(F.countDistinct("source_ref").alias("n_sources"))
-    j = log.where("k < 10").join(src, ["subject_id", "object_id"], "left")
+    j = log.where(kept).join(src, ["subject_id", "object_id"], "left")
     return j.select("seq", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
+@whole(PLANS, "provenance_join", " WHERE a.k < 10")
+def provenance_join_all(spark, d):
+    return _provenance(spark, d)
+
+
 @plan("contradicted_ids", """, q AS (SELECT unnest([seq, seq + 1, seq + 5]) AS id FROM alog WHERE k % 19 = 0) SELECT DISTINCT id FROM q""", log=True)
 def contradicted_ids(spark, d):
     q = assertion_log(spark, d).where("k % 19 = 0").select(F.array(F.col("seq"), F.col("seq") + 1, F.col("seq") + 5).alias("ids"))
@@ -315,8 +356,17 @@ def contradicted_ids(spark, d):
 
 @plan("conflict_semi", """, q AS (SELECT DISTINCT unnest([seq, seq + 1, seq + 5]) AS id FROM alog WHERE k % 19 = 0) SELECT seq FROM alog WHERE seq IN (SELECT id FROM q) AND k < 50""", log=True)
 def conflict_semi(spark, d):
+    return _conflicting(spark, d, "k < 50")
+
+
+def _conflicting(spark, d, kept="true"):
     log = assertion_log(spark, d)
-    return log.where("k < 50").join(contradicted_ids(spark, d).withColumnRenamed("id", "seq"), "seq", "left_semi").select("seq")
+    return log.where(kept).join(contradicted_ids(spark, d).withColumnRenamed("id", "seq"), "seq", "left_semi").select("seq")
+
+
+@whole(PLANS, "conflict_semi", " AND k < 50")
+def conflict_semi_all(spark, d):
+    return _conflicting(spark, d)
 
 
 @plan("orphan_decisions", """ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, udfs
 from ..operators import extract, metrics, policies, replay, resolve, stats
 from ..sources.events import LOG_SQL, assertion_log
-from .analytics import _ARMS, _records, _routed
+from . import governance
+from .analytics import _ARMS, _records, _routed, whole
 
 PLANS: dict = {}
 
@@ -64,6 +65,10 @@ SELECT m.ref, CASE WHEN n_name = 1 THEN 'resolved_existing' WHEN n_name > 1 THEN
 
 @plan("w3_resolve", _ENT, log=False)
 def w3_resolve(spark, d):
+    return _resolved(spark, d, "o_orderkey < 2000")
+
+
+def _resolved(spark, d, kept="true"):
     c = _read(spark, d, "customer")
     kind = lambda x: F.concat(F.lit("T"), F.col(x) % 3)
     e = c.select(
@@ -72,18 +77,32 @@ def w3_resolve(spark, d):
     )
     o = F.col("o_orderkey")
     name = F.when(o % 4 == 0, F.concat(F.lit("Building "), o % 60)).when(o % 4 == 1, F.concat(F.lit("alias "), o % 120)).when(o % 4 == 2, "Build").otherwise(F.concat(F.lit("zzz "), o))
-    m = _read(spark, d, "orders").where("o_orderkey < 2000").select(o.alias("ref"), kind("o_orderkey").alias("entity_type"), name.alias("name"))
+    m = _read(spark, d, "orders").where(kept).select(o.alias("ref"), kind("o_orderkey").alias("entity_type"), name.alias("name"))
     return resolve.resolve(m, e)
 
 
+@whole(PLANS, "w3_resolve", " WHERE o_orderkey < 2000")
+def w3_resolve_all(spark, d):
+    return _resolved(spark, d)
+
+
 @plan("resolve_endpoints", """, n AS (SELECT DISTINCT subject_id AS id FROM alog WHERE k < 50) SELECT seq, a.id AS subject_id, b.id AS object_id FROM alog JOIN n a ON a.id = alog.subject_id JOIN n b ON b.id = 'u' || (k % 30)""")
 def resolve_endpoints(spark, d):
+    return _endpoints(spark, d, "k < 50")
+
+
+def _endpoints(spark, d, named="true"):
     log = assertion_log(spark, d)
-    names = log.where("k < 50").select(F.upper("subject_id").alias("name"), F.col("subject_id").alias("id")).distinct()
+    names = log.where(named).select(F.upper("subject_id").alias("name"), F.col("subject_id").alias("id")).distinct()
     r = log.select("seq", F.concat(F.lit(" "), "subject_id").alias("subject"), F.concat(F.lit("U"), F.col("k") % 30).alias("object"))
     return resolve.endpoints(r, names)[0].select("seq", "subject_id", "object_id")
 
 
+@whole(PLANS, "resolve_endpoints", " WHERE k < 50")
+def resolve_endpoints_all(spark, d):
+    return _endpoints(spark, d)
+
+
 @plan("lenient_json", """ SELECT seq, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS v FROM alog""")
 def lenient_json(spark, d):
     k = F.col("k")
@@ -166,10 +185,19 @@ def lost_gold_recoverability(spark, d):
 
 @plan("extraction_quality", """ SELECT count(*) FILTER (contains(l_comment, p_part) OR contains(p_part, l_comment)) AS matched, count(*) AS n FROM (SELECT split_part(p_name, ' ', 1) AS p_part, p_name || ' ' || p_brand AS l_comment, p_partkey FROM part) WHERE p_partkey % 2 = 0""", log=False)
 def extraction_quality(spark, d):
-    p = _read(spark, d, "part").where("p_partkey % 2 = 0").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("gold"), F.concat_ws(" ", "p_name", "p_brand").alias("got"))
+    return _extracted(spark, d, "p_partkey % 2 = 0")
+
+
+def _extracted(spark, d, kept="true"):
+    p = _read(spark, d, "part").where(kept).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("gold"), F.concat_ws(" ", "p_name", "p_brand").alias("got"))
     return p.agg(F.count_if(F.contains("got", F.col("gold")) | F.contains("gold", F.col("got"))).alias("matched"), F.count("*").alias("n"))
 
 
+@whole(PLANS, "extraction_quality", " WHERE p_partkey % 2 = 0")
+def extraction_quality_all(spark, d):
+    return _extracted(spark, d)
+
+
 @plan("failure_taxonomy", """ SELECT CASE WHEN trim(source_ref) = '' THEN 'extraction' WHEN k % 13 = 0 THEN 'link' WHEN pct <= 80 THEN 'governance' ELSE 'none' END AS cause, count(*) AS n FROM alog WHERE k % 3 <> 0 GROUP BY 1""")
 def failure_taxonomy(spark, d):
     cause = F.when(F.trim("source_ref") == "", "extraction").when(F.col("k") % 13 == 0, "link").when(F.col("pct") <= 80, "governance").otherwise("none")
@@ -256,3 +284,13 @@ def slot_value_lookup(spark, d):
 @plan("entity_assertions", """ SELECT DISTINCT seq FROM alog WHERE subject_id = 'u3' OR object_id = 'v3'""")
 def entity_assertions(spark, d):
     return assertion_log(spark, d).where("subject_id = 'u3' or object_id = 'v3'").select("seq").distinct()
+
+
+@whole(governance.PLANS, "durable_state_buckets", " AND seq % 9 = 0 AND k < 60")
+def durable_state_buckets_all(spark, d):
+    return governance.buckets(spark, d, "true").select("subject_id", "predicate", "bucket")
+
+
+@whole(governance.PLANS, "gold_join", " AND seq % 9 = 0 AND k < 60")
+def gold_join_all(spark, d):
+    return metrics.bucket_rates(governance.buckets(spark, d, "true"))

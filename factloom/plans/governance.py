@@ -296,23 +296,23 @@ b AS (SELECT g.*, CASE WHEN n > 1 THEN 'split' WHEN n = 1 AND v = gold_value THE
  FROM g LEFT JOIN a USING (subject_id, predicate) LEFT JOIN f USING (subject_id, predicate)) """
 
 
-def _buckets(spark, d):
+def buckets(spark, d, active="seq % 9 = 0 and k < 60"):
     log = assertion_log(spark, d)
     single = policies.single_valued_log(log)
     gold = policies.last_writer(single).select("subject_id", "predicate", F.col("object_id").alias("gold_value"))
-    return metrics.durable_buckets(gold, single.where("seq % 9 = 0 and k < 60"), log.where("seq % 11 = 0"))
+    return metrics.durable_buckets(gold, single.where(active), log.where("seq % 11 = 0"))
 
 
 @plan("durable_state_buckets", _BUCKETS + " SELECT subject_id, predicate, bucket FROM b")
-def durable_state_buckets(spark, d):
-    return _buckets(spark, d).select("subject_id", "predicate", "bucket")
+def durable_statebuckets(spark, d):
+    return buckets(spark, d).select("subject_id", "predicate", "bucket")
 
 
 @plan("gold_join", _BUCKETS + """ SELECT round(100.0 * count(*) FILTER (bucket = 'correct') / count(*), 6) AS dsc, round(100.0 * count(*) FILTER (bucket = 'stale') / count(*), 6) AS ssr,
  round(100.0 * count(*) FILTER (bucket = 'split') / count(*), 6) AS split, round(100.0 * count(*) FILTER (bucket = 'abstained') / count(*), 6) AS abstention, round(100.0 * count(*) FILTER (bucket = 'missing') / count(*), 6) AS missing,
  round(100.0 * count(*) FILTER (bucket = 'correct') / count(*) FILTER (bucket IN ('correct', 'stale', 'split')), 6) AS dsc_gov, round(100.0 * count(*) FILTER (bucket = 'stale') / count(*) FILTER (bucket IN ('correct', 'stale', 'split')), 6) AS ssr_gov FROM b""")
 def gold_join(spark, d):
-    return metrics.bucket_rates(_buckets(spark, d))
+    return metrics.bucket_rates(buckets(spark, d))
 
 
 @plan("upsert_assertions", """ SELECT subject_id || predicate AS id, arg_max(object_id, seq) AS object_id, max(seq) AS seq FROM alog GROUP BY 1""")

@@ -1,0 +1,31 @@
+"""Queries over whole tables: nothing is left out by an id or a remainder."""
+
+import os
+
+import pytest
+
+from factloom.plans import registry
+
+from .duck import DATA
+
+ROWS = {"provenance_join_all": "events", "w3_resolve_all": "orders"}
+CUT = ["alias_match_join", "near_match_join", "provenance_join", "conflict_semi", "w3_resolve", "resolve_endpoints", "durable_state_buckets", "gold_join", "extraction_quality"]
+
+
+def test_every_cut_query_has_a_whole_one():
+    assert {f"{n}_all" for n in CUT} <= set(registry.oracle_sql())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ROWS))
+def test_a_row_for_each_row(spark, name):
+    assert registry.queries()[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{ROWS[name]}.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_all_parts_are_on_the_left_and_counted(spark):
+    p = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    words = {r.p_partkey: (r.p_type, r.p_size, set(r.p_name.split(" "))) for r in p}
+    want = {(a, b) for a, x in words.items() for b, y in words.items() if a < b and x[:2] == y[:2] and x[2] & y[2]}
+    assert {tuple(r) for r in registry.queries()["alias_match_join_all"](spark, DATA).select("l", "r").collect()} == want
+    assert registry.queries()["extraction_quality_all"](spark, DATA).first().n == len(p)
