@@ -30,7 +30,7 @@ def alpha_number(x) -> Column:
     """(prefix, number) of labels such as T01, else null."""
     c = compact(x)
     at = r"^([a-z]+)0*([0-9]+)"
-    return F.when(c.rlike(at), F.concat_ws("#", F.regexp_extract(c, at, 1), F.regexp_extract(c, at, 2).cast("decimal(38,0)").cast("string")))
+    return F.when(c.rlike(at), F.concat_ws("#", F.regexp_extract(c, at, 1), F.regexp_extract(c, at, 2)))
 
 
 def canonical_name(x) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, normalize_name
+from ..functions.text import alpha_number, compact, name_tokens, normalize_name
 
 
 def keyed(entities: DataFrame) -> DataFrame:
@@ -14,12 +14,50 @@ def keyed(entities: DataFrame) -> DataFrame:
     return entities.select("id", "entity_type", F.inline(keys)).where("key <> ''").groupBy("id", "entity_type", "key").agg(F.bool_or("own").alias("own"))
 
 
-def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """status and entity_id of mentions(ref, entity_type, name).
+def near(a: str, b: str):
+    """Whether two names may be one: the words of one are all in the other, one's compact form starts with the other's, or letters and number are equal."""
+    ta, tb, ca, cb = name_tokens(a), name_tokens(b), compact(a), compact(b)
+    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
+    start = (ca != "") & (cb != "") & (F.startswith(ca, cb) | F.startswith(cb, ca))
+    return (F.size(ta) > 0) & (F.size(tb) > 0) & (inside(ta, tb) | inside(tb, ta) | start | F.coalesce(alpha_number(a) == alpha_number(b), F.lit(False)))
+
+
+def near_keys(names: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows (entity_type, name) of ``names`` that are near a row of ``other``, both distinct; found by equality joins.
+
+    Word sets of which one holds the other share the smaller one's first word. A compact prefix is
+    found by its first three letters, one of one or two letters by all of it.
+    """
+    by = lambda df, c: df.select("entity_type", F.col("name").alias(c), F.sort_array(name_tokens("name")).alias("t"), compact("name").alias("c"), alpha_number("name").alias("key"))
+    a, b = by(names, "x"), by(other, "y")
+    first, every = F.get("t", F.lit(0)), F.explode("t")
+    letters = lambda least: F.explode(F.array_distinct(F.filter(F.array(F.left("c", F.lit(1)), F.left("c", F.lit(2))), lambda p: F.length(p) >= least)))
+    short, long = F.length("c").between(1, 2), F.length("c") >= 3
+    three = F.when(long, F.left("c", F.lit(3)))
+    whole = F.when(short, F.col("c"))
+    sides = [(first, every), (every, first), (three, three), (whole, letters(1)), (letters(1), whole), (F.col("key"), F.col("key"))]
+    out = None
+    for l, r in sides:
+        pairs = a.select("entity_type", "x", l.alias("k")).join(b.select("entity_type", "y", r.alias("k")), ["entity_type", "k"]).where(near("x", "y")).select("entity_type", F.col("x").alias("name"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def contextual(mentions: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """ref, by_context: the only near entity that an edge, either way, joins to one of the mention's related_ids."""
+    r = mentions.select("ref", "entity_type", "name", F.explode("related_ids").alias("related"))
+    ends = edges.select(F.col("src").alias("related"), F.col("dst").alias("id")).unionByName(edges.select(F.col("dst").alias("related"), F.col("src").alias("id")))
+    e = entities.select("id", "entity_type", F.col("name").alias("other"))
+    c = r.join(ends, "related").join(e, ["entity_type", "id"]).where(near("name", "other"))
+    return c.groupBy("ref").agg(F.countDistinct("id").alias("n"), F.min("id").alias("by_context")).where("n = 1").drop("n")
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """status and entity_id of mentions(ref, entity_type, name, related_ids where edges(src, dst) are given).
 
     One entity of that name: resolved_existing; several: uncertain. Else the same by alias.
-    Else an entity whose compact name starts with the mention's or the other way round:
-    possible_match, which gets an id of its own; else created_new.
+    Else the only near entity (see ``near``) beside a related id: resolved_existing. Else any
+    near entity: possible_match, which gets an id of its own; else created_new.
     """
     m = mentions.withColumn("key", normalize_name("name"))
     k = keyed(entities)
@@ -27,21 +65,26 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         F.count_if("own").alias("n_name"), F.min(F.when(F.col("own"), F.col("id"))).alias("by_name"), F.count("*").alias("n_any"), F.min("id").alias("by_any")
     )
     j = m.join(hit, ["entity_type", "key"], "left")
-    # A prefix either way: the shorter name equals a prefix of the longer, so both are listed by their first three letters.
-    c = entities.select(F.col("id").alias("near_id"), "entity_type", compact("name").alias("other")).where("length(other) >= 3").withColumn("p", F.left("other", F.lit(3)))
-    open_ = j.where("n_any is null").withColumn("mine", compact("name")).withColumn("p", F.left("mine", F.lit(3)))
-    near = open_.join(c, ["entity_type", "p"]).where(F.startswith("other", F.col("mine")) | F.startswith("mine", F.col("other"))).groupBy("ref").agg(F.count("*").alias("n_near"))
-    j = j.join(near, "ref", "left")
+    open_ = j.where("n_any is null")
+    # Nearness rests on the normalised names alone, so each is compared once.
+    ours = open_.select("entity_type", F.col("key").alias("name")).distinct()
+    found_near = near_keys(ours, entities.select("entity_type", normalize_name("name").alias("name")).distinct())
+    j = j.join(found_near.withColumnRenamed("name", "key").withColumn("is_near", F.lit(True)), ["entity_type", "key"], "left")
+    if edges is None:
+        j = j.withColumn("by_context", F.lit(None).cast(dict(entities.dtypes)["id"]))
+    else:
+        j = j.join(contextual(open_, entities, edges), "ref", "left")
     status = (
         F.when(F.col("n_name") == 1, "resolved_existing")
         .when(F.col("n_name") > 1, "uncertain")
         .when(F.col("n_any") == 1, "resolved_existing")
         .when(F.col("n_any") > 1, "uncertain")
-        .when(F.col("n_near") > 0, "possible_match")
+        .when(F.col("by_context").isNotNull(), "resolved_existing")
+        .when(F.col("is_near") & F.col("n_any").isNull(), "possible_match")
         .otherwise("created_new")
     )
-    found = F.when(F.col("n_name") == 1, F.col("by_name")).when((F.coalesce("n_name", F.lit(0)) == 0) & (F.col("n_any") == 1), F.col("by_any"))
-    return j.select("ref", status.alias("status"), found.alias("entity_id"))
+    named = F.when(F.col("n_name") == 1, F.col("by_name")).when((F.coalesce("n_name", F.lit(0)) == 0) & (F.col("n_any") == 1), F.col("by_any"))
+    return j.select("ref", status.alias("status"), F.coalesce(named, F.when(F.col("n_any").isNull(), F.col("by_context"))).alias("entity_id"))
 
 
 def endpoints(relations: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
