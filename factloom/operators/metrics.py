@@ -144,13 +144,16 @@ def threshold_sweep(rows: DataFrame, taus: list[float]) -> DataFrame:
     )
 
 
-def select_thresholds(rows: DataFrame, step: int = 5, ceiling: float = 0.02) -> DataFrame:
+def select_thresholds(rows: DataFrame, step: int = 1, ceiling: float = 0.02) -> DataFrame:
     """Best (tau_l, tau_h) on a lattice of percents by F2 under a ceiling of missed consequential writes.
 
     Risks are first counted by percent: the lattice meets at most 101 rows per outcome, not all rows.
     """
-    hist = rows.groupBy(F.floor(F.col("risk") * 100).cast("int").alias("r"), "worthy", "consequential").agg(F.count("*").alias("n"))
-    grid = F.array(*[F.struct(F.lit(a).alias("tl"), F.lit(b).alias("th")) for a in range(0, 101, step) for b in range(a + step, 101, step)])
+    # The product can end just beside a percent (0.29 * 100 < 29), so the count is of percents that are at most the risk.
+    near = F.round(F.col("risk") * 100).cast("int")
+    percent = F.when(near / F.lit(100.0) > F.col("risk"), near - 1).otherwise(near)
+    hist = rows.groupBy(percent.alias("r"), "worthy", "consequential").agg(F.count("*").alias("n"))
+    grid = F.expr(f"flatten(transform(sequence(0, {100 - step}, {step}), a -> transform(sequence(a + {step}, 100, {step}), b -> struct(a AS tl, b AS th))))")
     g = hist.withColumn("t", F.explode(grid)).select("r", "worthy", "consequential", "n", "t.tl", "t.th")
     esc = F.col("r") >= F.col("tl")
     s = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))

@@ -585,8 +585,16 @@ c AS (SELECT tl, count(*) FILTER (r >= tl AND worthy) AS tp, count(*) FILTER (r
 g AS (SELECT a.tl::INTEGER AS tl, h.tl::INTEGER AS th, round(miss / cons, 6) AS mcr, round(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 6) AS f2 FROM c a JOIN t h ON h.tl > a.tl)
 SELECT tl, th, mcr, f2, mcr <= 0.02 AS fits FROM g ORDER BY fits DESC, CASE WHEN mcr <= 0.02 THEN -f2 ELSE mcr END, mcr, tl, th LIMIT 1""", log=True)
 def select_thresholds(spark, d):
-    r = _records(spark, d).where("condition = 'frozen'").withColumn("worthy", F.col("gold") == "review")
-    return metrics.select_thresholds(r, 5)
+    return metrics.select_thresholds(_cases(spark, d), 5)
+
+
+def _cases(spark, d):
+    return _records(spark, d).where("condition = 'frozen'").withColumn("worthy", F.col("gold") == "review")
+
+
+@plan("select_thresholds_percent", PLANS["select_thresholds"][1].replace("range(0, 101, 5)", "range(0, 101)").replace("floor(risk * 100)", "floor(round(risk * 1000000) / 10000)"))
+def select_thresholds_percent(spark, d):
+    return metrics.select_thresholds(_cases(spark, d))
 
 
 @plan("canary_gate", _ARMS + """, m AS (SELECT condition, count(*) FILTER (consequential AND final <> gold AND NOT escalated) / count(*) FILTER (consequential) AS mcr, count(*) FILTER (escalated) / count(*) AS rr FROM wr GROUP BY 1)
