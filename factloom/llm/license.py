@@ -3,10 +3,12 @@
 Words are runs of ASCII letters, digits and bytes from 128 on, A-Z lower-cased. Templates
 are cut into 3-word fingerprints; of each 2 neighbouring ones the least is kept, so a
 common run of 4 words always shares a kept fingerprint. An inverted index from fingerprint
-to template and position picks candidates; hits of one template within ``band`` words of
-one diagonal are a candidate place, aligned by a local alignment (match 1, mismatch and gap
--1) inside that band. A place is reported if the matched words cover ``least`` of the
-template; of places of one template that overlap the best is reported.
+to template and position picks candidates; hits of one template whose diagonals follow each
+other within ``band`` words are a candidate region, aligned by a local alignment (match 1,
+mismatch and gap -1) inside that band. A place is reported if the matched words cover
+``least`` of the template. The best place of a template is taken first; what its region
+holds left and right of taken places is aligned again, as long as it has hits, so a notice
+that stands several times in a row is reported each time and reported places never overlap.
 
 Null and empty texts match nothing. Repeated rows are scanned each; other columns are
 ignored; an empty table gives an empty result.
@@ -14,6 +16,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,6 +104,65 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
     return best[0], best[2], best[3]
 
 
+def _regions(diagonal: np.ndarray, size: int, band: int) -> list[tuple[int, int]]:
+    """(shift, half width) of bands that hold every alignment of a template of ``size`` words near the diagonals.
+
+    An alignment with a positive score has fewer gaps than words, so its diagonals are less than
+    ``size`` apart; longer chains are cut in windows that overlap by that much.
+    """
+    out = []
+    for g in np.split(diagonal, np.flatnonzero(np.diff(diagonal) > band) + 1):
+        start = int(g[0])
+        while True:
+            part = g[np.searchsorted(g, start) : np.searchsorted(g, start + 2 * size, "right")]
+            if len(part):
+                shift = int(part[len(part) // 2])
+                whole = g[-1] - g[0] <= 2 * size
+                out.append((shift, band + int(part[-1] - part[0] if whole else max(part[-1] - shift, shift - part[0]))))
+            if start + 2 * size >= g[-1]:
+                break
+            start += size
+    return out
+
+
+def _places(template: np.ndarray, w: np.ndarray, pos: np.ndarray, at: np.ndarray, least: float, band: int) -> list[tuple[int, int, int]]:
+    """(matched, first, last plus one) of a template's places, best first taken; pos and at are its hits, by position."""
+    size = len(template)
+    queue: list[tuple[int, int, int, int, int]] = []
+    seen: set[tuple[int, ...]] = set()
+
+    def look(lo: int, hi: int) -> None:
+        if hi - lo < max(GRAM, least * size) or (lo, hi) in seen:
+            return
+        seen.add((lo, hi))
+        a, b = np.searchsorted(pos, (lo, hi - GRAM + 1))
+        for shift, wide in _regions(np.unique(pos[a:b] - at[a:b]), size, band) if a < b else ():
+            left, right = max(lo, shift - wide), min(hi, shift + size + wide)
+            if (left, right, shift, wide) in seen:
+                continue
+            seen.add((left, right, shift, wide))
+            matched, x, y = align(template, w[left:right].tolist(), shift - left, wide)
+            if matched >= least * size:
+                heapq.heappush(queue, (-matched, x + left, y + left, left, right))
+
+    look(0, len(w))
+    taken: list[tuple[int, int, int]] = []
+    while queue:
+        n, x, y, left, right = heapq.heappop(queue)
+        k = bisect.bisect(taken, (x,))
+        if (k == 0 or taken[k - 1][1] <= x) and (k == len(taken) or taken[k][0] >= y):
+            taken.insert(k, (x, y, -n))
+        # What the region holds outside taken places.
+        i = max(bisect.bisect(taken, (left,)) - 1, 0)
+        while i < len(taken) and taken[i][0] < right:
+            if taken[i][1] > left:
+                look(left, taken[i][0])
+                left = taken[i][1]
+            i += 1
+        look(left, right)
+    return [(n, x, y) for x, y, n in taken]
+
+
 def scan_words(w: np.ndarray, index: Index, least: float, band: int = BAND) -> list[tuple[str, int, float, int, int]]:
     """(template, matched, coverage, first word, last word plus one) of all reported places of a text."""
     if len(w) < GRAM:
@@ -107,23 +171,8 @@ def scan_words(w: np.ndarray, index: Index, least: float, band: int = BAND) -> l
     found = []
     for t in np.unique(tem).tolist():
         m = tem == t
-        diagonal = np.unique(pos[m] - at[m])
-        groups = np.split(diagonal, np.flatnonzero(np.diff(diagonal) > band) + 1)
-        places = []
-        for g in groups:
-            shift = int(g[len(g) // 2])
-            wide = band + int(g[-1] - g[0])
-            lo = max(0, shift - wide)
-            hi = min(len(w), shift + len(index.words[t]) + wide)
-            matched, a, b = align(index.words[t], w[lo:hi].tolist(), shift - lo, wide)
-            if matched >= least * len(index.words[t]):
-                places.append((matched, a + lo, b + lo))
-        places.sort(key=lambda p: (-p[0], p[1]))
-        taken: list[tuple[int, int, int]] = []
-        for p in places:
-            if all(p[2] <= q[1] or p[1] >= q[2] for q in taken):
-                taken.append(p)
-        found += [(index.names[t], n, round(n / len(index.words[t]), 6), a, b) for n, a, b in sorted(taken, key=lambda p: p[1])]
+        size = len(index.words[t])
+        found += [(index.names[t], n, round(n / size, 6), a, b) for n, a, b in _places(index.words[t], w, pos[m], at[m], least, band)]
     return found
 
 
