@@ -104,7 +104,7 @@ def holm(tests: DataFrame, label: str, p: str, alpha: float = 0.05, inclusive: b
     return df.select(label, F.round(p, 6).alias("raw_p"), F.round("corrected_p", 6).alias("corrected_p"), hit.alias("reject"))
 
 
-def bootstrap_ci(rows: DataFrame, by: str, key: str, value: str, resamples: int = 100) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, by: str, key: str, value: str, resamples: int = 10_000) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling: a row's weight in each resample is drawn from a hash of its key.
 
     Every row is read once and no group is gathered; resamples are independent of partitioning.
@@ -141,16 +141,17 @@ def two_proportion(rows: DataFrame, by: str, hit: str, a: str, b: str) -> DataFr
     return g.select("na", "nb", F.round(z, 6).alias("z"))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.25, decay: float = 0.01, sign: dict[str, int] | None = None) -> dict[str, float]:
-    """Projected-gradient logistic fit. Rows are first counted by distinct feature values, so a step costs those only."""
+def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int = 4000, rate: float = 0.25, decay: float = 0.01, sign: dict[str, int] | None = None, initial: dict[str, float] | None = None) -> dict[str, float]:
+    """Projected-gradient logistic fit of the mean loss plus ``decay`` times the squared coefficients, from ``initial`` or zeros. Rows are first counted by distinct feature values, so a step costs those only."""
     g = rows.groupBy(*features).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("pos")).toPandas()
     x, n, pos = g[features].to_numpy(float), g["n"].to_numpy(float), g["pos"].to_numpy(float)
-    w, b, total = np.zeros(len(features)), 0.0, max(1.0, n.sum())
+    start = initial or {}
+    w, b, total = np.array([start.get(f, 0.0) for f in features]), start.get("beta_0", 0.0), max(1.0, n.sum())
     s = np.array([(sign or {}).get(f, 0) for f in features])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         err = n * p - pos
-        w = w - rate * (x.T @ err / total + decay * w)
+        w = w - rate * (x.T @ err / total + 2 * decay * w)
         b -= rate * err.sum() / total
         w = np.where((s > 0) & (w < 0) | (s < 0) & (w > 0), 0.0, w)
     return {"beta_0": float(b)} | dict(zip(features, w.tolist()))

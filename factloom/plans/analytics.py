@@ -609,7 +609,7 @@ def canary_gate(spark, d):
 def fit_policy(spark, d):
     f = routing.risk_features(routing.with_incumbents(assertion_log(spark, d))).withColumn("y", F.col("k_case") % 7 < 2)
     names = ["f_e", "f_s", "f_t", "f_v", "f_c", "k", "consequence", "reversibility", "authority"]
-    w = stats.fit_logistic(f, names, "y", sign={n: -1 if n in ("reversibility", "authority") else 1 for n in names})
+    w = stats.fit_logistic(f, names, "y", sign={n: -1 if n in ("reversibility", "authority") else 1 for n in names}, initial=scores.POLICY)
     return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in w.items()), "coefficient string, value double")
 
 
