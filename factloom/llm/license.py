@@ -10,6 +10,11 @@ mismatch and gap -1) inside that band. A place is reported if the matched words
 holds left and right of taken places is aligned again, as long as it has hits, so a notice
 that stands several times in a row is reported each time and reported places never overlap.
 
+``TEMPLATES`` cover MIT, ISC, BSD with two and three clauses in whole and in parts, the notices
+(file headers) of Apache 2.0, GPL 3, LGPL 2.1, AGPL 3, MPL 2.0 and EPL 2.0, the opening of the
+Unlicense, one-line notices and Creative Commons 4.0 BY, BY-SA, BY-NC and CC0. The bodies of the
+Apache, GPL, LGPL, AGPL, MPL, EPL and Creative Commons texts are not covered.
+
 Null and empty texts match nothing. Repeated rows are scanned each; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -30,6 +35,9 @@ GRAM, WINNOW, BAND = 3, 2, 8
 
 # Texts of public licence notices.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
+    "cc-by-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
     "mit-line": "Released under the MIT License.",
     "apache-line": "Licensed under the Apache License, Version 2.0.",
     "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -39,8 +47,32 @@ TEMPLATES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "apache-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc-by-nc-sa-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-clauses": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "lgpl2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Whole texts from their parts, so that coverage is also measured against the licence as a whole.
+for _name, _parts in {
+    "mit": ("mit-grant", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit-warranty"),
+    "isc": ("isc-grant", "isc-warranty"),
+    "bsd-2": ("bsd-grant", "bsd-clauses", "bsd-disclaimer"),
+    "bsd-3": ("bsd-grant", "bsd-clauses", "bsd-3-clause", "bsd-disclaimer"),
+}.items():
+    TEMPLATES[f"{_name}-text"] = " ".join(TEMPLATES.get(p, p) for p in _parts)
+
 
 def _hashes(data: np.ndarray, offs: np.ndarray):
     data = _TOKEN[data]
@@ -68,12 +100,14 @@ class Index:
             g = tk.window_hashes(w, GRAM)
             entries += [(int(g[p]), t, p) for p in _kept(g).tolist()]
         entries.sort()
+        # A template of one fingerprint has no run of 4 words; it is looked up in all of a text's.
+        self.alone = np.array([e[0] for e in entries if len(self.words[e[1]]) < GRAM + WINNOW - 1], np.uint64)
         self.prints = np.array([e[0] for e in entries], np.uint64)
         self.where = np.array([e[1:] for e in entries], np.int64).reshape(-1, 2)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, template, template position) of all kept fingerprints that are in the index."""
-        kept = _kept(grams)
+        kept = np.union1d(_kept(grams), np.flatnonzero(np.isin(grams, self.alone)))
         lo = np.searchsorted(self.prints, grams[kept], "left")
         n = np.searchsorted(self.prints, grams[kept], "right") - lo
         pos = np.repeat(kept, n)
