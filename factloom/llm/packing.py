@@ -19,15 +19,17 @@ empty result.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
-from .durable import settle
+from .durable import settle, shuffle_width
 from .tokens import shared_ids
 
 CAPACITY, GRAIN, END_ID = 4096, 32, 2
@@ -55,8 +57,12 @@ def _best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), a
 
 
-def cutting_patterns(count: np.ndarray, room: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (class counts, times used) that place every remainder once; count[c-1] is that of class c, c units wide."""
+def cutting_patterns(count: np.ndarray, room: int, stalled: int = 20_000) -> list[tuple[np.ndarray, int]]:
+    """Patterns (class counts, times used) that place every remainder once; count[c-1] is that of class c, c units wide.
+
+    Pricing goes on to the optimum. A warning tells where it was given up, after ``stalled``
+    rounds without a gain (a cycle); the patterns then still place everything.
+    """
     used = np.flatnonzero(count)
     left = count.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
@@ -66,7 +72,13 @@ def cutting_patterns(count: np.ndarray, room: int, rounds: int = 3000) -> list[t
         np.fill_diagonal(cols, room // (used + 1))
         inverse, cost = np.diag(1.0 / np.diag(cols)), np.ones(m)
         x = inverse @ left[used]
-        for _ in range(rounds):
+        best, since = np.inf, 0
+        while True:
+            value = float(cost @ x)
+            best, since = (value, 0) if value < best - 1e-9 else (best, since + 1)
+            if since > stalled:
+                warnings.warn(f"column generation stopped at {value:.3f} sequences short of its optimum", stacklevel=2)
+                break
             dual = cost @ inverse
             low = int(np.argmin(dual))
             if dual[low] < -1e-9:
@@ -145,7 +157,7 @@ def _pieces(path: str, capacity: int, share: float):
         code = shared_ids(path)
         for b in batches:
             ids_col, text = b.column(0), b.column(1)
-            for lo, hi, data, offs in tk.blocks(text):
+            for lo, hi, data, offs in tk.blocks(text, 2 * tk.BLOCK):
                 docs = code.encode(data, offs)
                 out: list[list] = [[] for _ in range(7)]
                 for i, ids in enumerate(docs):
@@ -169,12 +181,29 @@ def _pieces(path: str, capacity: int, share: float):
 
 
 def running_start(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
-    """``to``: the sum of ``value`` over all rows with a smaller unique ``key``, by groups of neighbouring keys and then within each."""
-    g = df.withColumn("g", F.shiftright(key, 12))
-    base = g.groupBy("g").agg(F.sum(value).alias("s"))
-    base = base.select("g", (F.sum("s").over(Window.orderBy("g")) - F.col("s")).alias("base"))
-    inner = F.sum(value).over(Window.partitionBy("g").orderBy(key)) - F.col(value)
-    return g.join(base, "g").withColumn(to, F.col("base") + inner).drop("g", "base")
+    """``to``: the sum of ``value`` over all rows with a smaller unique ``key``.
+
+    Ranges of keys are summed each in its own task; only the ranges' totals meet.
+    """
+    n = shuffle_width(df.sparkSession)
+
+    def within(batches):
+        before = 0
+        for b in batches:
+            v = b.column(value).to_numpy()
+            after = np.cumsum(v) + before
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(after - v, pa.int64())], names=[*b.schema.names, to])
+            before = int(after[-1]) if len(after) else before
+
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.LongType())])
+    part = df.repartitionByRange(n, key).sortWithinPartitions(key).mapInArrow(within, schema)
+    part = settle(part.withColumn("range", F.spark_partition_id()), to)
+    # As many rows as there are ranges, in the order of their keys.
+    total = sorted((r.range, r.s) for r in part.groupBy("range").agg(F.sum(value).alias("s")).collect())
+    base = np.cumsum([0] + [s for _, s in total]).tolist()
+    rows = [(r, x) for (r, _), x in zip(total, base)]
+    base = df.sparkSession.createDataFrame(rows, "range int, base long")
+    return part.join(F.broadcast(base), "range").withColumn(to, F.col(to) + F.col("base")).drop("range", "base")
 
 
 def _cuts(capacity: int, sequences: int, filled: int):
@@ -203,8 +232,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int =
         raise ValueError("capacity must be a multiple of grain")
     spark = docs.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, filler boolean, ids binary"
-    piece = settle(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, filler_share), schema), "pieces")
-    piece = piece.withColumn("rid", F.monotonically_increasing_id())
+    piece = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, filler_share), schema)
+    # The row id is written with the row, so that no later plan can number it otherwise.
+    piece = settle(piece.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     rest = piece.where(f"not filler and length < {capacity}").drop("ids", "filler").withColumn("cls", F.ceil(F.col("length") / grain).cast("int"))
     classes = capacity // grain
     count = np.zeros(classes, np.int64)
