@@ -56,6 +56,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with more than this part of all rows is joined by broadcast; there are fewer such keys than the reciprocal.
+HOT = 1 / 2000
+
+
+def join_by_share(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, share: float = HOT) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (unique keys; ``count``: how many rows have the key), without a task that gets all of a hot key.
+
+    At most ``1 / share`` keys can have more than ``share`` of the rows, however many rows there
+    are, so these are broadcast; all others meet in a shuffle.
+    """
+    keyed = settle(keyed, "keyed")
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(count) > total * share)).drop(count)
+    cold = keyed.where(F.col(count) <= total * share).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys))
+
+
 #: Edges that one task may hold; more are first contracted by star rounds.
 FINISH = 1_000_000
 

@@ -34,7 +34,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(256, dtype=np.uint64), 7)
+#: Two independent ways to hash a word: values of its bytes and the base of the polynomial.
+_WAYS = ((mix(np.arange(256, dtype=np.uint64), 7), _BASE), (mix(np.arange(256, dtype=np.uint64), 31), 0xC2B2AE3D27D4EB4F))
 
 
 def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +97,15 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, in runs of about four blocks of text."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, way: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes, in runs of about four blocks of text; ``way`` 1 is independent of 0."""
+    values, factor = _WAYS[way]
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + 4 * BLOCK, "right")))
         base = starts[i]
-        out[i:j] = _span_hash(_BYTES[data[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base, _BASE)
+        out[i:j] = _span_hash(values[data[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base, factor)
         i = j
     return out
 
