@@ -36,7 +36,7 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
