@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,59 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, similarity, rank of the k nearest vectors by cosine, ties by vec_id.
-
-    Queries are few and given by the caller, who checks their number; each is compared with all
-    vectors. Ranking keeps k rows a query and partition before the shuffle.
+def _blocks(key: str, size: int):
+    """Arrow batches to rows of (ids, vectors as one run of doubles, dim); null, zero and non-finite vectors are left out."""
+
+    def fn(batches):
+        for b in batches:
+            held: dict[int, tuple[list, list]] = {}
+            for i, v in zip(b.column(key).to_pylist(), b.column("embedding")):
+                if v.is_valid and v.values is not None and len(v.values) and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(float)
+                    n = np.sqrt((x * x).sum())
+                    if np.isfinite(n) and n > 0:
+                        ids, rows = held.setdefault(len(x), ([], []))
+                        ids.append(i)
+                        rows.append(x / n)
+            for dim, (ids, rows) in held.items():
+                for at in range(0, len(ids), size):
+                    part = np.array(rows[at : at + size], "<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + size]], pa.list_(pa.int64())), pa.array([part.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "x", "dim"])
+
+    return fn
+
+
+def _nearest(k: int):
+    def fn(batches):
+        for b in batches:
+            for vi, vx, qi, qx, dim in zip(*(b.column(c) for c in ("ids", "x", "q_ids", "q_x", "dim"))):
+                d = dim.as_py()
+                v, q = (np.frombuffer(c.as_buffer(), "<f8").reshape(-1, d) for c in (vx, qx))
+                ids, asked = vi.values.to_numpy(), qi.values.to_numpy()
+                s = np.round(q @ v.T, 6)
+                out: list[list] = [[], [], []]
+                for r in range(len(asked)):
+                    best = np.lexsort((ids, -s[r]))[:k]
+                    for c, x in zip(out, (np.full(len(best), asked[r]), ids[best], s[r, best])):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "similarity"])
+
+    return fn
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """Rows of ``vectors`` with query_id, similarity and rank: the k nearest by cosine, ties by vec_id.
+
+    Vectors and queries meet in blocks by one matrix product each, which leaves k rows a query
+    and block to be ranked. Neither side is broadcast by hand, nor held whole anywhere.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    hits = vectors.crossJoin(q).select("query_id", "vec_id", "status", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    shape = "ids array<long>, x binary, dim int"
+    v = vectors.select("vec_id", "embedding").mapInArrow(_blocks("vec_id", block), shape)
+    q = queries.select("query_id", "embedding").mapInArrow(_blocks("query_id", block), shape).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "dim")
+    near = v.join(q, "dim").select("ids", "x", "q_ids", "q_x", "dim").mapInArrow(_nearest(k), "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    hits = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.join(vectors.drop("embedding"), "vec_id")
 
 
 def merge_hits(symbolic: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -44,13 +89,15 @@ def rerank(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 
 def package(ranked: DataFrame, most: int = 3) -> DataFrame:
-    """Per query: supporting ids (accepted, not contradicted), confidence of the first, conflict ids."""
+    """Per query: the first ``most`` supporting ids (accepted, not contradicted), confidence of the first, conflict ids."""
     good = (F.col("status") == "accepted") & (F.col("contradiction_penalty") == 0)
-    rows = ranked.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.when(good, F.struct("position", "memory_id", "confidence")))).alias("s"),
-        F.sort_array(F.collect_set(F.when(~good, F.col("memory_id")))).alias("conflicts"),
+    place = F.row_number().over(Window.partitionBy("query_id", "good").orderBy("position"))
+    rows = ranked.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("place", place).where(~F.col("good") | (F.col("place") <= most))
+    rows = rows.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("good"), F.struct("position", "memory_id", "confidence")))).alias("s"),
+        F.sort_array(F.collect_set(F.when(~F.col("good"), F.col("memory_id")))).alias("conflicts"),
     )
-    ids = F.slice(F.transform("s", lambda x: x["memory_id"]), 1, most)
+    ids = F.transform("s", lambda x: x["memory_id"])
     return rows.select(
         "query_id", F.array_join(ids.cast("array<string>"), ",").alias("supporting"), F.get("s", F.lit(0))["confidence"].alias("confidence"), F.array_join(F.col("conflicts").cast("array<string>"), ",").alias("conflicts")
     )
