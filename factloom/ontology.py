@@ -34,57 +34,81 @@ TRANSITIONS = (
 )
 STATUSES = ("accepted", "quarantined", "superseded", "rejected", "unknown")
 
-# Words for a status, by canonical value, for each type.
+# Status words and their canonical value, for each type.
 STATUS_WORDS = {
     "Task": {
-        "todo": ("todo", "to do", "to-do", "not started", "backlog", "pending", "open", "new"),
-        "in_progress": ("in progress", "in-progress", "inprogress", "ongoing", "started", "active", "wip", "doing"),
-        "blocked": ("blocked", "stuck", "on hold", "waiting"),
-        "done": ("done", "complete", "completed", "finished", "closed", "resolved"),
-        "cancelled": ("cancelled", "canceled", "abandoned", "dropped"),
-        "unknown": ("unknown",),
+        "todo": "todo", "to do": "todo", "to-do": "todo", "not started": "todo", "backlog": "todo", "pending": "todo", "open": "todo", "new": "todo",
+        "in progress": "in_progress", "in-progress": "in_progress", "inprogress": "in_progress", "ongoing": "in_progress", "started": "in_progress",
+        "active": "in_progress", "wip": "in_progress", "doing": "in_progress", "blocked": "blocked", "stuck": "blocked", "on hold": "blocked",
+        "waiting": "blocked", "done": "done", "complete": "done", "completed": "done", "finished": "done", "closed": "done", "resolved": "done",
+        "cancelled": "cancelled", "canceled": "cancelled", "abandoned": "cancelled", "dropped": "cancelled", "unknown": "unknown",
     },
     "Project": {
-        "active": ("active", "in progress", "ongoing", "started"),
-        "inactive": ("inactive", "paused", "on hold"),
-        "completed": ("completed", "complete", "done", "finished"),
-        "cancelled": ("cancelled", "canceled", "abandoned"),
-        "unknown": ("unknown",),
+        "active": "active", "in progress": "active", "ongoing": "active", "started": "active", "inactive": "inactive", "paused": "inactive",
+        "on hold": "inactive", "completed": "completed", "complete": "completed", "done": "completed", "finished": "completed",
+        "cancelled": "cancelled", "canceled": "cancelled", "abandoned": "cancelled", "unknown": "unknown",
+    },
+    "Person": {
+        "active": "active", "current": "active", "employed": "active", "inactive": "inactive", "departed": "inactive", "left": "inactive",
+        "former": "inactive", "terminated": "inactive", "unknown": "unknown",
+    },
+    "Organization": {
+        "active": "active", "operating": "active", "inactive": "inactive", "defunct": "inactive", "dissolved": "inactive", "closed": "inactive",
+        "unknown": "unknown",
     },
-    "Person": {"active": ("active", "current", "employed"), "inactive": ("inactive", "departed", "left", "former", "terminated"), "unknown": ("unknown",)},
-    "Organization": {"active": ("active", "operating"), "inactive": ("inactive", "defunct", "dissolved", "closed"), "unknown": ("unknown",)},
     "Decision": {
-        "draft": ("draft", "proposed", "pending"),
-        "final": ("final", "finalized", "approved", "accepted", "confirmed"),
-        "superseded": ("superseded", "replaced"),
-        "rejected": ("rejected", "declined"),
-        "unknown": ("unknown",),
+        "draft": "draft", "proposed": "draft", "pending": "draft", "final": "final", "finalized": "final", "approved": "final", "accepted": "final",
+        "confirmed": "final", "superseded": "superseded", "replaced": "superseded", "rejected": "rejected", "declined": "rejected",
+        "unknown": "unknown",
     },
-}
-# Words for a priority.
+}
+# Priority words and their canonical value.
 PRIORITY_WORDS = {
-    "low": ("low", "low priority", "minor", "p3", "p4"),
-    "medium": ("medium", "med", "medium priority", "normal", "moderate", "default", "p2"),
-    "high": ("high", "high priority", "important", "major", "p1"),
-    "urgent": ("urgent", "urgent priority", "critical", "highest", "blocker", "p0"),
-    "unknown": ("unknown",),
-}
-# Phrases for a predicate.
+    "low": "low", "low priority": "low", "minor": "low", "p3": "low", "p4": "low", "medium": "medium", "med": "medium", "medium priority": "medium",
+    "normal": "medium", "moderate": "medium", "default": "medium", "p2": "medium", "high": "high", "high priority": "high", "important": "high",
+    "major": "high", "p1": "high", "urgent": "urgent", "urgent priority": "urgent", "critical": "urgent", "highest": "urgent", "blocker": "urgent",
+    "p0": "urgent", "unknown": "unknown",
+}
+# Phrases and the predicate they stand for.
 PREDICATE_WORDS = {
-    "OWNS": ("owns", "own", "owner of", "is owner of"),
-    "ASSIGNED_TO": ("assigned to", "assigned", "assignee", "is assigned to"),
-    "RESULTS_IN": ("results in", "result in", "leads to", "causes", "produces"),
-    "PRECEDES": ("precedes", "comes before", "before", "happens before"),
-    "CONTRADICTS": ("contradicts", "conflicts with", "contradict"),
-    "PARTICIPATES_IN": ("participates in", "participated in", "takes part in"),
-    "MEMBER_OF": ("member of", "belongs to", "is member of"),
-    "CONTAINS": ("contains", "has task", "includes"),
-    "SUPPORTS": ("supports", "support", "backs"),
-    "EVIDENCE_FOR": ("evidence for", "is evidence for", "evidences"),
-    "ABOUT": ("about", "regarding", "concerns", "relates to"),
-    "POSSIBLY_SAME_AS": ("possibly same as", "same as", "maybe same as"),
-    "SUPERSEDES": ("supersedes", "replaces", "overrides"),
-}
+    "owns": "OWNS", "own": "OWNS", "owner of": "OWNS", "is owner of": "OWNS", "assigned to": "ASSIGNED_TO", "assigned": "ASSIGNED_TO",
+    "assignee": "ASSIGNED_TO", "is assigned to": "ASSIGNED_TO", "results in": "RESULTS_IN", "result in": "RESULTS_IN", "leads to": "RESULTS_IN",
+    "causes": "RESULTS_IN", "produces": "RESULTS_IN", "precedes": "PRECEDES", "comes before": "PRECEDES", "before": "PRECEDES",
+    "happens before": "PRECEDES", "contradicts": "CONTRADICTS", "conflicts with": "CONTRADICTS", "contradict": "CONTRADICTS",
+    "participates in": "PARTICIPATES_IN", "participated in": "PARTICIPATES_IN", "takes part in": "PARTICIPATES_IN", "member of": "MEMBER_OF",
+    "belongs to": "MEMBER_OF", "is member of": "MEMBER_OF", "contains": "CONTAINS", "has task": "CONTAINS", "includes": "CONTAINS",
+    "supports": "SUPPORTS", "support": "SUPPORTS", "backs": "SUPPORTS", "evidence for": "EVIDENCE_FOR", "is evidence for": "EVIDENCE_FOR",
+    "evidences": "EVIDENCE_FOR", "about": "ABOUT", "regarding": "ABOUT", "concerns": "ABOUT", "relates to": "ABOUT",
+    "possibly same as": "POSSIBLY_SAME_AS", "same as": "POSSIBLY_SAME_AS", "maybe same as": "POSSIBLY_SAME_AS", "supersedes": "SUPERSEDES",
+    "replaces": "SUPERSEDES", "overrides": "SUPERSEDES",
+}
+# Patterns of a quarantine's reason, in order, and the cause each names.
+QUARANTINE_CAUSES = (
+    ("entity_alias_resolution", "alias|possibly_same_as|identity|same entity|unresolved entit"),
+    ("evidence_provenance", "is 'done' but has no completion event"),
+    ("evidence_provenance", "evidence|supporting|unsupported|provenance"),
+    ("genuine_ambiguity", "single-valued conflict"),
+    ("temporal_cardinality", "transition .* is not permitted"),
+    ("temporal_cardinality", "timestamp|temporal|valid_from|valid_to|interval|precedes|cycle"),
+    ("temporal_cardinality", "cardinality|domain|range"),
+    ("genuine_ambiguity", "cannot overwrite an accepted status|status contradiction|contradiction|conflict"),
+)
+# Attribute words and the slot they stand for.
+SLOT_WORDS = {
+    "company": "current_employer", "current_company": "current_employer", "current_employer": "current_employer", "employer": "current_employer",
+    "organization": "current_employer", "workplace": "current_employer", "job": "current_job", "occupation": "current_job",
+    "profession": "current_job", "role": "current_job", "title": "current_job", "city": "current_residence", "current_city": "current_residence",
+    "home": "current_residence", "home_city": "current_residence", "where_i_live": "current_residence", "where_the_user_lives": "current_residence",
+    "residence": "current_residence", "current_residence": "current_residence", "address": "current_residence", "hometown": "hometown",
+    "advisor": "advisor", "academic_advisor": "advisor", "phd_advisor": "advisor", "supervisor": "advisor", "school": "school",
+    "university": "school", "college": "school", "degree": "degree_program", "degree_program": "degree_program", "program": "degree_program",
+    "diet": "dietary_restriction", "dietary_restriction": "dietary_restriction", "food_restriction": "dietary_restriction",
+    "allergy": "dietary_restriction", "favorite_food": "favorite_food", "favourite_food": "favorite_food", "favorite_meal": "favorite_food",
+    "favorite_color": "favorite_color", "favourite_color": "favorite_color", "cat_name": "pet_name", "dog_name": "pet_name", "pet": "pet_name",
+    "pet_name": "pet_name", "partner": "partner_name", "partner_name": "partner_name", "spouse": "partner_name", "email": "email_address",
+    "email_address": "email_address", "phone": "phone_number", "phone_number": "phone_number", "frequent_flyer": "frequent_flyer_number",
+    "frequent_flyer_number": "frequent_flyer_number",
+}
 # Confidence words.
 CONFIDENCE_WORDS = {
     "certain": 1.0, "definite": 1.0, "very high": 0.95, "high": 0.9, "likely": 0.8, "probable": 0.75, "medium": 0.6, "moderate": 0.6,
@@ -117,7 +141,3 @@ def transitions(spark: SparkSession) -> DataFrame:
 
 def literal_map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
-def inverted(words: dict[str, tuple[str, ...]]) -> dict[str, str]:
-    return {w: k for k, ws in words.items() for w in ws}

@@ -17,17 +17,23 @@ def windows_overlap(a: str, b: str) -> tuple[Column, Column]:
     return ~both | meet, both
 
 
-def single_valued(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Per candidate in conflict: conflicting seqs, highest confidence met, whether all are dated."""
+def overlapping(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Each candidate with each earlier accepted value of its key that differs and overlaps, and whether both are dated."""
     c = candidates.where(F.col("predicate").isin(*o.SINGLE_VALUED))
     a = accepted.where(F.col("predicate").isin(*o.SINGLE_VALUED))
     keep = ["object_id", "pct", "valid_from", "valid_to", "seq"]
     a = a.select("subject_id", "predicate", *[F.col(x).alias(f"a_{x}") for x in keep])
     c = c.select("subject_id", "predicate", "write_intent", *[F.col(x).alias(f"c_{x}") for x in keep])
     overlap, both = windows_overlap("c_", "a_")
-    hit = c.join(a, ["subject_id", "predicate"]).where(F.col("a_object_id") != F.col("c_object_id")).where(overlap)
+    hit = c.join(a, ["subject_id", "predicate"]).where("a_seq < c_seq and a_object_id <> c_object_id").where(overlap)
+    return hit.withColumn("both_dated", both)
+
+
+def single_valued(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Per candidate in conflict with earlier rows: conflicting seqs, highest confidence met, whether all are dated."""
+    hit = overlapping(candidates, accepted)
     return hit.groupBy(F.col("c_seq").alias("seq"), F.col("c_pct").alias("pct"), "write_intent").agg(
-        F.count("*").alias("n_conflicts"), F.min("a_seq").alias("first_conflict"), F.max("a_pct").alias("met_pct"), F.bool_and(both).alias("all_dated")
+        F.count("*").alias("n_conflicts"), F.min("a_seq").alias("first_conflict"), F.max("a_pct").alias("met_pct"), F.bool_and("both_dated").alias("all_dated")
     )
 
 

@@ -29,18 +29,6 @@ def read_time_conflicts(accepted: DataFrame) -> DataFrame:
     return a.join(bad.select("subject_id", "predicate"), ["subject_id", "predicate"], "left_semi")
 
 
-def typed_violations(rows: DataFrame) -> DataFrame:
-    """kind of each accepted row: schema_invalid, temporally_invalid_interval, unsupported, illegal_status_state or none."""
-    kind = (
-        F.when(~F.col("predicate").isin(*o.PREDICATES), "schema_invalid")
-        .when(F.col("valid_to") < F.col("valid_from"), "temporally_invalid_interval")
-        .when(F.trim("source_ref") == "", "unsupported")
-        .when((F.col("predicate") == "HAS_STATUS") & ~F.col("object_id").startswith("v1"), "illegal_status_state")
-        .otherwise("none")
-    )
-    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 def durable_buckets(gold: DataFrame, active: DataFrame, flagged: DataFrame) -> DataFrame:
     """bucket of each gold(subject_id, predicate, gold_value): correct, stale, split, abstained or missing."""
     a = active.groupBy("subject_id", "predicate").agg(F.collect_set("object_id").alias("values"))
@@ -80,6 +68,17 @@ def calibration(rows: DataFrame, p: str, y: str, bins: int = 10, left_closed: bo
     return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n"), 6).alias("ece"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"))
 
 
+def extraction_quality(rows: DataFrame) -> DataFrame:
+    """precision, recall, F1, linked recall and stale rate of rows(gold, got, linked, stale); a value is right if one text holds the other."""
+    right = F.coalesce(F.contains("got", F.col("gold")) | F.contains("gold", F.col("got")), F.lit(False))
+    got = F.col("got").isNotNull()
+    n = {"tp": right, "got": got, "linked": got & F.col("linked"), "stale": got & F.col("stale")}
+    c = rows.agg(F.count("*").alias("gold"), *[F.count_if(x).alias(k) for k, x in n.items()])
+    rate = lambda a, b, name: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6).alias(name)
+    tp, g, p = F.col("tp"), F.col("gold"), F.col("got")
+    return c.select(rate(tp, p, "precision"), rate(tp, g, "recall"), rate(2 * tp, p + g, "f1"), rate(F.col("linked"), g, "linked_recall"), rate(F.col("stale"), g, "stale_rate"))
+
+
 def retrieval_metrics(records: DataFrame, k: int) -> DataFrame:
     """hit@k, precision and recall of retrieved and expected id lists; records without expectation are left out."""
     r = records.where(F.size("expected") > 0)
@@ -130,18 +129,23 @@ def delta_vs(rows: DataFrame, by: str, base: str, metrics: list[str]) -> DataFra
 
 
 def threshold_sweep(rows: DataFrame, taus: list[float]) -> DataFrame:
-    """Per threshold: share quarantined, share of good rows quarantined, objective; each row is read once."""
-    t = F.explode(F.array(*[F.lit(x) for x in taus]))
-    return (
-        rows.withColumn("tau", t)
-        .groupBy("tau")
-        .agg(
-            F.round(100 * share(F.col("p") <= F.col("tau")), 6).alias("quarantined"),
-            F.round(100 * share(F.col("p") <= F.col("tau"), F.col("y") == 1), 6).alias("false_quarantine"),
-            F.round(100 * share((F.col("y") == 0) & (F.col("p") > F.col("tau"))), 6).alias("contradiction_rate"),
-        )
-        .withColumn("objective", F.round(F.col("contradiction_rate") + 0.5 * F.col("false_quarantine"), 6))
+    """Per threshold: share quarantined, share of good rows quarantined, calibration error of what is kept, objective.
+
+    Rows are first counted by confidence; the thresholds meet that table only.
+    """
+    per = rows.groupBy("p", "y").agg(F.count("*").alias("n"))
+    t = per.withColumn("tau", F.explode(F.array(*[F.lit(x) for x in taus])))
+    kept = F.col("p") > F.col("tau")
+    s = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    rate = lambda a, b: F.round(100 * F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
+    good = F.col("y") == 1
+    out = t.groupBy("tau").agg(
+        rate(s(~kept), F.sum("n")).alias("quarantined"), rate(s(~kept & good), s(good)).alias("false_quarantine"), rate(s(kept & ~good), F.sum("n")).alias("contradiction_rate")
     )
+    b = t.where(kept).groupBy("tau", bin_right_closed(F.col("p")).alias("bin")).agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("n") * F.col("p")) - F.sum(F.col("n") * F.col("y"))).alias("gap"))
+    ece = b.groupBy("tau").agg(F.round(F.sum("gap") / F.sum("n"), 6).alias("ece"))
+    out = out.join(ece, "tau", "left").withColumn("ece", F.coalesce("ece", F.lit(0.0)))
+    return out.withColumn("objective", F.round(F.col("contradiction_rate") + 0.5 * F.col("false_quarantine") + 10 * F.col("ece"), 6))
 
 
 def select_thresholds(rows: DataFrame, step: int = 1, ceiling: float = 0.02) -> DataFrame:

@@ -120,6 +120,21 @@ def bootstrap_ci(rows: DataFrame, by: str, key: str, value: str, resamples: int
     return m.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
+def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, resamples: int = 2000) -> DataFrame:
+    """Percentile interval of the mean when whole clusters are resampled; each is first reduced to its count and sum."""
+    c = rows.groupBy(by, cluster).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    u = F.pmod(F.xxhash64(F.col(cluster), F.col("b")), F.lit(1 << 20)) / float(1 << 20)
+    limits, cum = [], 0.0
+    for k in range(7):
+        cum += math.exp(-1) / math.factorial(k)
+        limits.append(cum)
+    weight = sum((u >= x).cast("int") for x in limits)
+    df = c.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
+    m = df.groupBy(by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    point = c.groupBy(by).agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return point.join(m.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")), by)
+
+
 def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:
     """Nominal alpha from value counts per unit; units with one rating are left out."""
     c = ratings.groupBy(unit, value).agg(F.count("*").alias("c"))

@@ -41,6 +41,12 @@ def identity_conflicts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("id").agg(F.countDistinct("entity_type").alias("n_types")).where("n_types > 1")
 
 
+def out_of_bounds(rows: DataFrame, confidence: str) -> DataFrame:
+    """Rows whose confidence is no number or lies outside [0, 1]."""
+    value = F.col(confidence).try_cast("double")
+    return rows.where(value.isNull() | ~value.between(0, 1))
+
+
 def bad_intervals(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.where(F.col(end) < F.col(start))
 

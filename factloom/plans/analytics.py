@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, metrics, policies, retrieve, routing, stats
+from ..operators import graph, metrics, policies, retrieve, review, routing, stats
 from ..sources.events import LOG_SQL, assertion_log
 from .governance import SINGLE
 
@@ -41,55 +41,31 @@ def name_match_join(spark, d):
     return s.join(_read(spark, d, "customer").select("c_custkey", text.normalize_name("c_name").alias("n")), "n").select("s_suppkey", "c_custkey")
 
 
-@plan("alias_match_join", """ SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_type = b.p_type
- WHERE a.p_size = b.p_size AND list_has_any(string_split(a.p_name, ' '), string_split(b.p_name, ' ')) AND a.p_partkey % 10 = 0""")
+@plan("alias_match_join", """ WITH t AS (SELECT p_partkey, p_type, p_size, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part)
+SELECT DISTINCT a.p_partkey AS l, b.p_partkey AS r FROM t a JOIN t b USING (p_type, p_size, w) WHERE a.p_partkey < b.p_partkey""")
 def alias_match_join(spark, d):
-    return _alias_match(spark, d, "p_partkey % 10 = 0")
+    p = _read(spark, d, "part").select("p_partkey", "p_type", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
+    return p.withColumnRenamed("p_partkey", "l").join(p.withColumnRenamed("p_partkey", "r"), ["p_type", "p_size", "t"]).where("l < r").select("l", "r").distinct()
 
 
-def _alias_match(spark, d, left="true"):
-    p = _read(spark, d, "part").select("p_partkey", "p_type", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    a = p.where(left).withColumnRenamed("p_partkey", "l")
-    return a.join(p.withColumnRenamed("p_partkey", "r"), ["p_type", "p_size", "t"]).where("l < r").select("l", "r").distinct()
+def near_sql(select: str) -> str:
+    """``select`` from the pairs (l_id, r_id) of near names of customers."""
+    return f""" WITH n AS (SELECT c_custkey AS id, list_distinct(string_split(lower(c_mktsegment) || ' ' || (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN ' x' ELSE '' END, ' ')) AS t, 'c' || (c_nationkey % 5) AS ty FROM customer)
+{select} (SELECT a.id AS l_id, b.id AS r_id FROM n a JOIN n b ON a.ty = b.ty AND a.id <> b.id WHERE list_has_all(b.t, a.t) OR list_has_all(a.t, b.t))"""
 
 
-@plan("near_match_join", """, n AS (SELECT c_custkey AS id, string_split(c_mktsegment || ' ' || (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN ' x' ELSE '' END, ' ') AS t, 'c' || (c_nationkey % 5) AS ty FROM customer WHERE c_custkey < 300)
-SELECT a.id AS l_id, b.id AS r_id FROM n a JOIN n b ON a.ty = b.ty AND a.id <> b.id WHERE len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 OR len(list_filter(b.t, lambda x: NOT list_contains(a.t, x))) = 0""".replace(", n AS", " WITH n AS", 1))
+@plan("near_match_join", near_sql("SELECT l_id, r_id FROM"))
 def near_match_join(spark, d):
-    return _near_match(spark, d, "c_custkey < 300")
+    return _near_match(spark, d)
 
 
-def _near_match(spark, d, kept="true"):
-    c = _read(spark, d, "customer").where(kept)
+def _near_match(spark, d):
+    c = _read(spark, d, "customer")
     label = F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 50).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "x"))
     names = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), F.col("c_nationkey") % 5).alias("entity_type"), F.sort_array(text.name_tokens(label)).alias("tokens"))
     return retrieve.near_names(names, names)
 
 
-def whole(plans, name, *cuts):
-    """A query ``<name>_all`` beside ``name``: its SQL without the conditions that shrink the input."""
-    sql = plans[name][1]
-    for cut in cuts:
-        assert cut in sql, (name, cut)
-        sql = sql.replace(cut, "")
-
-    def keep(f):
-        plans[f"{name}_all"] = (f, sql)
-        return f
-
-    return keep
-
-
-@whole(PLANS, "alias_match_join", " AND a.p_partkey % 10 = 0")
-def alias_match_join_all(spark, d):
-    return _alias_match(spark, d)
-
-
-@whole(PLANS, "near_match_join", " WHERE c_custkey < 300")
-def near_match_join_all(spark, d):
-    return _near_match(spark, d)
-
-
 _WORDS = "['To  Do', 'In Progress', 'completed', 'On hold', 'Approved', 'departed', 'weird']"
 
 
@@ -251,14 +227,14 @@ def c3_acyclic(spark, d):
 
 
 # ---- retrieval ----
-_TOPK = """, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5),
+_TOPK = """, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),
 h AS (SELECT query_id, vec_id, CASE WHEN label % 3 = 0 THEN 'quarantined' ELSE 'accepted' END AS status, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS similarity FROM embeddings, q),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM h) """.replace(", q AS", " WITH q AS", 1)
 
 
 def _hits(spark, d, k):
     v = _read(spark, d, "embeddings").withColumn("status", F.when(F.col("label") % 3 == 0, "quarantined").otherwise("accepted"))
-    return retrieve.vector_topk(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    return retrieve.vector_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
 
 @plan("vector_topk", _TOPK + " SELECT query_id, vec_id, similarity, rank FROM t WHERE rank <= 10")
@@ -272,15 +248,16 @@ def semantic_retrieve(spark, d):
 
 
 _MERGED = _TOPK + """, m AS (SELECT coalesce(s.query_id, t.query_id) AS query_id, coalesce(s.memory_id, t.vec_id) AS memory_id, coalesce(t.similarity, 0.0) AS similarity, s.memory_id IS NOT NULL AS symbolic, coalesce(t.status, 'accepted') AS status
- FROM (SELECT query_id, vec_id AS memory_id FROM h WHERE vec_id % 50 = query_id) s FULL JOIN (SELECT * FROM t WHERE rank <= 10) t ON s.query_id = t.query_id AND s.memory_id = t.vec_id),
+ FROM (SELECT query_id, vec_id AS memory_id FROM h WHERE query_id = vec_id // 50 * 50) s FULL JOIN (SELECT * FROM t WHERE rank <= 10) t ON s.query_id = t.query_id AND s.memory_id = t.vec_id),
 sc AS (SELECT *, CASE WHEN memory_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS pen, round(0.40 * similarity + 0.25 * symbolic::INT + 0.15 * (memory_id % 10) / 10.0 - 0.30 * CASE WHEN memory_id % 7 = 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM m),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS position FROM sc) """
 
 
 def _ranked(spark, d):
     sem = _hits(spark, d, 10).select("query_id", F.col("vec_id").alias("memory_id"), "similarity", F.lit(None).cast("double").alias("confidence"), "status")
-    ids = _read(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id")).where("memory_id % 50 < 5")
-    sym = ids.select((F.col("memory_id") % 50).alias("query_id"), "memory_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("confidence"), F.lit("accepted").alias("status"))
+    ids = _read(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"))
+    # Symbolic hits of a query are the 50 ids from its own on.
+    sym = ids.select((F.col("memory_id") - F.col("memory_id") % 50).alias("query_id"), "memory_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("confidence"), F.lit("accepted").alias("status"))
     m = retrieve.merge_hits(sym, sem)
     m = (
         m.withColumn("semantic_similarity", F.coalesce("similarity", F.lit(0.0)))
@@ -331,21 +308,11 @@ def symbolic_precedes(spark, d):
     return log.where("entity is not null").select("answer", "entity")
 
 
-@plan("provenance_join", """ SELECT a.seq, count(DISTINCT b.source_ref) AS n_sources FROM alog a LEFT JOIN alog b ON a.subject_id = b.subject_id AND a.object_id = b.object_id AND b.source_ref <> '' WHERE a.k < 10 GROUP BY 1""", log=True)
+@plan("provenance_join", """ SELECT a.seq, count(DISTINCT b.source_ref) AS n_sources FROM alog a LEFT JOIN alog b ON a.subject_id = b.subject_id AND a.object_id = b.object_id AND b.source_ref <> '' GROUP BY 1""", log=True)
 def provenance_join(spark, d):
-    return _provenance(spark, d, "k < 10")
-
-
-def _provenance(spark, d, kept="true"):
     log = assertion_log(spark, d)
     src = log.where("source_ref <> ''").groupBy("subject_id", "object_id").agg(F.countDistinct("source_ref").alias("n_sources"))
-    j = log.where(kept).join(src, ["subject_id", "object_id"], "left")
-    return j.select("seq", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
-
-
-@whole(PLANS, "provenance_join", " WHERE a.k < 10")
-def provenance_join_all(spark, d):
-    return _provenance(spark, d)
+    return log.join(src, ["subject_id", "object_id"], "left").select("seq", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
 @plan("contradicted_ids", """, q AS (SELECT unnest([seq, seq + 1, seq + 5]) AS id FROM alog WHERE k % 19 = 0) SELECT DISTINCT id FROM q""", log=True)
@@ -354,19 +321,9 @@ def contradicted_ids(spark, d):
     return q.select(F.explode("ids").alias("id")).distinct()
 
 
-@plan("conflict_semi", """, q AS (SELECT DISTINCT unnest([seq, seq + 1, seq + 5]) AS id FROM alog WHERE k % 19 = 0) SELECT seq FROM alog WHERE seq IN (SELECT id FROM q) AND k < 50""", log=True)
+@plan("conflict_semi", """, q AS (SELECT DISTINCT unnest([seq, seq + 1, seq + 5]) AS id FROM alog WHERE k % 19 = 0) SELECT seq FROM alog WHERE seq IN (SELECT id FROM q)""", log=True)
 def conflict_semi(spark, d):
-    return _conflicting(spark, d, "k < 50")
-
-
-def _conflicting(spark, d, kept="true"):
-    log = assertion_log(spark, d)
-    return log.where(kept).join(contradicted_ids(spark, d).withColumnRenamed("id", "seq"), "seq", "left_semi").select("seq")
-
-
-@whole(PLANS, "conflict_semi", " AND k < 50")
-def conflict_semi_all(spark, d):
-    return _conflicting(spark, d)
+    return assertion_log(spark, d).join(contradicted_ids(spark, d).withColumnRenamed("id", "seq"), "seq", "left_semi").select("seq")
 
 
 @plan("orphan_decisions", """ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
@@ -426,9 +383,10 @@ def ece_left_closed(spark, d):
     return metrics.calibration(_scored(spark, d), "p", "y", left_closed=True)
 
 
-@plan("threshold_sweep", """, r AS (SELECT pct / 100.0 AS p, (k % 3 = 0)::INT AS y, unnest([60, 70, 80, 90, 95]) AS t FROM alog), g AS (SELECT t / 100.0 AS tau, round(100.0 * count(*) FILTER (p <= t / 100.0) / count(*), 6) AS quarantined,
- round(100.0 * count(*) FILTER (p <= t / 100.0 AND y = 1) / count(*) FILTER (y = 1), 6) AS false_quarantine, round(100.0 * count(*) FILTER (y = 0 AND p > t / 100.0) / count(*), 6) AS contradiction_rate FROM r GROUP BY 1)
-SELECT tau::DOUBLE AS tau, quarantined, false_quarantine, contradiction_rate, round(contradiction_rate + 0.5 * false_quarantine, 6) AS objective FROM g""", log=True)
+@plan("threshold_sweep", """, r AS (SELECT pct / 100.0 AS p, (k % 3 = 0)::INT AS y, unnest([60, 70, 80, 90, 95]) AS t FROM alog), g AS (SELECT t, t / 100.0 AS tau, round(100.0 * count(*) FILTER (p <= t / 100.0) / count(*), 6) AS quarantined,
+ round(100.0 * count(*) FILTER (p <= t / 100.0 AND y = 1) / count(*) FILTER (y = 1), 6) AS false_quarantine, round(100.0 * count(*) FILTER (y = 0 AND p > t / 100.0) / count(*), 6) AS contradiction_rate FROM r GROUP BY 1),
+b AS (SELECT t, ceil(p * 10) AS bin, count(*) AS n, abs(sum(p) - sum(y)) AS gap FROM r WHERE p > t / 100.0 GROUP BY 1, 2), e AS (SELECT t, round(CAST(sum(gap) / sum(n) AS DOUBLE), 6) AS ece FROM b GROUP BY 1)
+SELECT tau::DOUBLE AS tau, quarantined, false_quarantine, contradiction_rate, coalesce(ece, 0)::DOUBLE AS ece, round(contradiction_rate + 0.5 * false_quarantine + 10 * coalesce(ece, 0), 6) AS objective FROM g LEFT JOIN e USING (t)""", log=True)
 def threshold_sweep(spark, d):
     r = assertion_log(spark, d).select((F.col("pct") / 100).alias("p"), (F.col("k") % 3 == 0).cast("int").alias("y"))
     return metrics.threshold_sweep(r, [0.6, 0.7, 0.8, 0.9, 0.95])
@@ -499,20 +457,30 @@ f1 AS (SELECT *, CASE WHEN k % 13 = 0 THEN 0.5 ELSE 0 END AS f_e, CASE WHEN met
  CASE predicate WHEN 'OWNS' THEN 0.80 WHEN 'ASSIGNED_TO' THEN 0.60 WHEN 'HAS_STATUS' THEN 0.65 WHEN 'HAS_VALUE' THEN 0.45 ELSE 0.20 END AS q,
  CASE WHEN NOT met THEN 0.70 WHEN ni > 1 THEN 0.35 ELSE 0.90 END AS v, CASE WHEN source_ref = '' THEN 0.0 WHEN source_ref LIKE 'analyst%' THEN 0.95 WHEN source_ref LIKE 'tool%' THEN 0.75 ELSE 0.10 END AS a FROM f0),
 f2 AS (SELECT *, greatest((f_e > 0)::INT + (f_s > 0)::INT + (f_t > 0)::INT + (f_v > 0)::INT + (f_c > 0)::INT - 1, 0) AS kx FROM f1),
-f3 AS (SELECT *, round(1 / (1 + exp(-CAST(-2.2 + 1.6 * f_e + 1.4 * f_s + 1.2 * f_t + 1.5 * f_v + 2.0 * f_c + 0.9 * kx + 1.8 * q - 1.1 * v - 1.3 * a AS DOUBLE))), 6) AS risk, source_ref = '' AS g FROM f2),
+f3 AS (SELECT *, round(1 / (1 + exp(-CAST(-2.2 + 1.6 * f_e + 1.4 * f_s + 1.2 * f_t + 1.5 * f_v + 2.0 * f_c + 0.9 * kx + 1.8 * q - 1.1 * v - 1.3 * a AS DOUBLE))), 6) AS risk, round(1 / (1 + exp(-CAST(-2.15 + 1.6 * f_e + 1.4 * f_s + 1.2 * f_t + 1.5 * f_v + 2.0 * f_c + 0.9 * kx + 1.8 * q - 1.1 * v - 1.3 * a AS DOUBLE))), 6) AS risk_a, source_ref = '' AS g FROM f2),
 f4 AS (SELECT *, g OR f_t >= 1 AS m, ni > 0 AND predicate IN {SINGLE} AS rec FROM f3),
 f5 AS (SELECT *, CASE WHEN g THEN 'reject' WHEN risk < 0.30 AND NOT m THEN CASE WHEN rec THEN 'supersede' ELSE 'accept' END
- WHEN a >= 0.90 AND f_t = 0 AND rec AND write_intent IN ('update', 'correction') AND NOT m AND risk < 0.65 THEN 'supersede' ELSE 'review' END AS tier FROM f4),
+ WHEN a >= 0.90 AND f_t = 0 AND rec AND write_intent IN ('update', 'correction') AND NOT m AND risk < 0.65 THEN 'supersede' ELSE 'review' END AS tier,
+ CASE WHEN g THEN 'reject' WHEN risk_a < 0.28 AND NOT m THEN CASE WHEN rec THEN 'supersede' ELSE 'accept' END WHEN a >= 0.90 AND f_t = 0 AND rec AND write_intent IN ('update', 'correction') AND NOT m AND risk_a < 0.65 THEN 'supersede' ELSE 'review' END AS tier_a FROM f4),
 f6 AS (SELECT *, CASE WHEN tier = 'review' THEN round(0.95 + 0.35 * kx + CASE WHEN f_c >= 1 THEN 0.8 ELSE 0 END + CASE WHEN f_e > 0 THEN 0.5 ELSE 0 END + 0.4 * q + 0.45 * (1 - v), 4) ELSE 0 END AS minutes FROM f5) """
 
 
+#: The policy in force after some bounded updates.
+ADAPTED = scores.POLICY | {"beta_0": scores.POLICY["beta_0"] + 0.05}
+
+
+def _features(spark, d):
+    log = assertion_log(spark, d).withColumn("resolution", F.when(F.col("k") % 13 == 0, "possible_match").otherwise("resolved_existing"))
+    return routing.risk_features(routing.with_incumbents(log))
+
+
 def _routed(spark, d):
-    return routing.routed(routing.risk_features(routing.with_incumbents(assertion_log(spark, d))))
+    return routing.routed(_features(spark, d))
 
 
 @plan("risk_features", _FEAT + " SELECT seq, f_e::DOUBLE AS f_e, f_s::DOUBLE AS f_s, f_t::DOUBLE AS f_t, f_v::DOUBLE AS f_v, f_c::DOUBLE AS f_c, kx AS k, q::DOUBLE AS consequence, v::DOUBLE AS reversibility, a::DOUBLE AS authority FROM f2", log=True)
 def risk_features(spark, d):
-    return routing.risk_features(routing.with_incumbents(assertion_log(spark, d))).select("seq", "f_e", "f_s", "f_t", "f_v", "f_c", "k", "consequence", "reversibility", "authority")
+    return _features(spark, d).select("seq", "f_e", "f_s", "f_t", "f_v", "f_c", "k", "consequence", "reversibility", "authority")
 
 
 @plan("escalation_score", _FEAT + " SELECT seq, risk FROM f3", log=True)
@@ -530,15 +498,15 @@ def review_minutes(spark, d):
     return _routed(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 4).alias("minutes"))
 
 
-_ARMS = _FEAT + """, arm AS (SELECT *, CASE WHEN f_c >= 1 THEN CASE WHEN write_intent = 'correction' THEN 'supersede' ELSE 'review' END ELSE 'accept' END AS native, unnest(['universal', 'autonomous', 'fixed', 'frozen']) AS condition FROM f6),
-arms AS (SELECT *, CASE WHEN condition = 'autonomous' THEN native WHEN g THEN 'reject' WHEN condition = 'universal' THEN 'review' WHEN condition = 'fixed' THEN CASE WHEN pct < 80 OR q >= 0.70 THEN 'review' ELSE native END ELSE tier END AS arm_tier FROM arm),
+_ARMS = _FEAT + """, arm AS (SELECT *, CASE WHEN f_c >= 1 THEN CASE WHEN write_intent = 'correction' THEN 'supersede' ELSE 'review' END ELSE 'accept' END AS native, unnest(['universal', 'autonomous', 'fixed', 'frozen', 'adaptive']) AS condition FROM f6),
+arms AS (SELECT *, CASE WHEN condition = 'autonomous' THEN native WHEN g THEN 'reject' WHEN condition = 'universal' THEN 'review' WHEN condition = 'fixed' THEN CASE WHEN pct < 80 OR q >= 0.70 THEN 'review' ELSE native END WHEN condition = 'adaptive' THEN tier_a ELSE tier END AS arm_tier FROM arm),
 w AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'review' WHEN k % 7 = 1 THEN 'reject' WHEN k % 7 < 4 THEN 'supersede' ELSE 'accept' END AS gold, k % 3 = 0 AS consequential, k % 29 = 0 AS creates_violation FROM arms),
 wr AS (SELECT *, arm_tier AS routed, arm_tier = 'review' AND condition <> 'autonomous' AS escalated, CASE WHEN arm_tier = 'review' AND condition <> 'autonomous' THEN gold ELSE arm_tier END AS final FROM w) """
 
 
 def _records(spark, d):
     k = F.col("k_case")
-    df = routing.conditions(_routed(spark, d)).withColumn("routed", F.col("arm_tier"))
+    df = routing.conditions(_routed(spark, d), ADAPTED, 0.28).withColumn("routed", F.col("arm_tier"))
     df = df.withColumn("gold", F.when(k % 7 == 0, "review").when(k % 7 == 1, "reject").when(k % 7 < 4, "supersede").otherwise("accept"))
     df = df.withColumn("escalated", (F.col("routed") == "review") & (F.col("condition") != "autonomous"))
     df = df.withColumn("final", F.when(F.col("escalated"), F.col("gold")).otherwise(F.col("routed")))
@@ -547,10 +515,10 @@ def _records(spark, d):
 
 @plan("five_conditions", _ARMS + " SELECT condition, arm_tier, count(*) AS n FROM arms GROUP BY 1, 2", log=True)
 def five_conditions(spark, d):
-    return routing.conditions(_routed(spark, d)).groupBy("condition", "arm_tier").agg(F.count("*").alias("n"))
+    return routing.conditions(_routed(spark, d), ADAPTED, 0.28).groupBy("condition", "arm_tier").agg(F.count("*").alias("n"))
 
 
-_CM = """ count(*) AS n_writes, round(count(*) FILTER (consequential AND final <> gold AND NOT escalated) / count(*) FILTER (consequential), 6) AS mcr, round(count(*) FILTER (creates_violation) / count(*), 6) AS dvr,
+_CM = """ count(*) AS n_writes, round(100.0 * sum(CASE WHEN escalated THEN round(0.95 + 0.35 * kx + CASE WHEN f_c >= 1 THEN 0.8 ELSE 0 END + CASE WHEN f_e > 0 THEN 0.5 ELSE 0 END + 0.4 * q + 0.45 * (1 - v), 4) ELSE 0 END)::DOUBLE / count(*), 6) AS r100, round(count(*) FILTER (consequential AND final <> gold AND NOT escalated) / count(*) FILTER (consequential), 6) AS mcr, round(count(*) FILTER (creates_violation) / count(*), 6) AS dvr,
  round(count(*) FILTER (escalated) / count(*), 6) AS review_rate, round(count(*) FILTER (escalated AND gold IN ('accept', 'supersede')) / count(*), 6) AS false_escalation_rate,
  round(count(*) FILTER (gold IN ('accept', 'supersede') AND final IN ('review', 'reject')) / count(*), 6) AS false_quarantine_rate, round(count(*) FILTER (final = gold) / count(*), 6) AS accuracy, round(count(*) FILTER (routed = gold) / count(*), 6) AS routing_accuracy,
  round(coalesce(count(*) FILTER (escalated AND gold = 'review') / nullif(count(*) FILTER (escalated), 0), 0), 6) AS queue_precision, round(count(*) FILTER (escalated AND gold = 'review') / count(*) FILTER (gold = 'review'), 6) AS queue_recall,
@@ -559,12 +527,12 @@ _CM = """ count(*) AS n_writes, round(count(*) FILTER (consequential AND final <
 
 @plan("compute_metrics", _ARMS + " SELECT condition," + _CM + "GROUP BY 1", log=True)
 def compute_metrics(spark, d):
-    return metrics.replay_metrics(_records(spark, d), ["condition"]).drop("r100")
+    return metrics.replay_metrics(_records(spark, d), ["condition"])
 
 
 @plan("per_class", _ARMS + " SELECT write_intent," + _CM + "WHERE condition = 'frozen' GROUP BY 1", log=True)
 def per_class(spark, d):
-    return metrics.replay_metrics(_records(spark, d).where("condition = 'frozen'"), ["write_intent"]).drop("r100")
+    return metrics.replay_metrics(_records(spark, d).where("condition = 'frozen'"), ["write_intent"])
 
 
 @plan("risk_coverage_auc", _ARMS + """, e AS (SELECT condition, risk, seq, (routed <> gold)::INT AS err FROM wr), i AS (SELECT *, row_number() OVER w AS i, sum(err) OVER (PARTITION BY condition ORDER BY risk, err, seq ROWS UNBOUNDED PRECEDING) AS errors FROM e WINDOW w AS (PARTITION BY condition ORDER BY risk, err, seq)),
@@ -580,34 +548,24 @@ def f2_objective(spark, d):
     return _records(spark, d).groupBy("condition").agg(F.round(5.0 * tp / (5 * tp + 4 * fn + fp), 6).alias("f2"))
 
 
-@plan("select_thresholds", _ARMS + """, x AS (SELECT CAST(floor(risk * 100) AS INTEGER) AS r, gold = 'review' AS worthy, consequential FROM wr WHERE condition = 'frozen'), t AS (SELECT unnest(range(0, 101, 5)) AS tl),
+@plan("select_thresholds", _ARMS + """, x AS (SELECT CAST(floor(round(risk * 1000000) / 10000) AS INTEGER) AS r, gold = 'review' AS worthy, consequential FROM wr WHERE condition = 'frozen'), t AS (SELECT unnest(range(0, 101)) AS tl),
 c AS (SELECT tl, count(*) FILTER (r >= tl AND worthy) AS tp, count(*) FILTER (r >= tl AND NOT worthy) AS fp, count(*) FILTER (r < tl AND worthy) AS fn, count(*) FILTER (r < tl AND worthy AND consequential) AS miss, count(*) FILTER (consequential) AS cons FROM x, t GROUP BY 1),
 g AS (SELECT a.tl::INTEGER AS tl, h.tl::INTEGER AS th, round(miss / cons, 6) AS mcr, round(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 6) AS f2 FROM c a JOIN t h ON h.tl > a.tl)
 SELECT tl, th, mcr, f2, mcr <= 0.02 AS fits FROM g ORDER BY fits DESC, CASE WHEN mcr <= 0.02 THEN -f2 ELSE mcr END, mcr, tl, th LIMIT 1""", log=True)
 def select_thresholds(spark, d):
-    return metrics.select_thresholds(_cases(spark, d), 5)
-
-
-def _cases(spark, d):
-    return _records(spark, d).where("condition = 'frozen'").withColumn("worthy", F.col("gold") == "review")
-
-
-@plan("select_thresholds_percent", PLANS["select_thresholds"][1].replace("range(0, 101, 5)", "range(0, 101)").replace("floor(risk * 100)", "floor(round(risk * 1000000) / 10000)"))
-def select_thresholds_percent(spark, d):
-    return metrics.select_thresholds(_cases(spark, d))
+    return metrics.select_thresholds(_records(spark, d).where("condition = 'frozen'").withColumn("worthy", F.col("gold") == "review"))
 
 
-@plan("canary_gate", _ARMS + """, m AS (SELECT condition, count(*) FILTER (consequential AND final <> gold AND NOT escalated) / count(*) FILTER (consequential) AS mcr, count(*) FILTER (escalated) / count(*) AS rr FROM wr GROUP BY 1)
-SELECT a.condition, a.mcr - b.mcr <= 0.01 AND a.rr - b.rr <= 0.05 AS deploy FROM m a, m b WHERE b.condition = 'fixed'""", log=True)
+@plan("canary_gate", _ARMS + """, m AS (SELECT condition, count(*) FILTER (consequential AND final <> gold AND NOT escalated) / count(*) FILTER (consequential) AS mcr, count(*) FILTER (escalated) / count(*) AS rr, count(*) FILTER (creates_violation AND arm_tier IN ('accept', 'supersede')) / count(*) AS dvr FROM wr GROUP BY 1)
+SELECT a.condition, a.mcr - b.mcr <= 0.01 AND a.rr - b.rr <= 0.05 AND a.dvr - b.dvr <= 0 AS deploy FROM m a, m b WHERE b.condition = 'fixed'""", log=True)
 def canary_gate(spark, d):
-    m = metrics.replay_metrics(_records(spark, d), ["condition"])
-    delta = metrics.delta_vs(m, "condition", "fixed", ["mcr", "review_rate"])
-    return delta.select("condition", ((F.col("mcr") <= 0.01) & (F.col("review_rate") <= 0.05)).alias("deploy"))
+    r = _records(spark, d).withColumn("creates_violation", F.col("creates_violation") & F.col("routed").isin("accept", "supersede"))
+    return review.canary(metrics.replay_metrics(r, ["condition"]), "condition", "fixed")
 
 
 @plan("fit_policy")
 def fit_policy(spark, d):
-    f = routing.risk_features(routing.with_incumbents(assertion_log(spark, d))).withColumn("y", F.col("k_case") % 7 < 2)
+    f = _features(spark, d).withColumn("y", F.col("k_case") % 7 < 2)
     names = ["f_e", "f_s", "f_t", "f_v", "f_c", "k", "consequence", "reversibility", "authority"]
     w = stats.fit_logistic(f, names, "y", sign={n: -1 if n in ("reversibility", "authority") else 1 for n in names}, initial=scores.POLICY)
     return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in w.items()), "coefficient string, value double")

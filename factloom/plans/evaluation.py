@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, udfs
 from ..operators import extract, metrics, policies, replay, resolve, stats
 from ..sources.events import LOG_SQL, assertion_log
-from . import governance
-from .analytics import _ARMS, _records, _routed, whole
+from .analytics import _ARMS, _records, _routed
 
 PLANS: dict = {}
 
@@ -55,7 +54,7 @@ def w1_rule_extractor(spark, d):
 
 
 _ENT = """ WITH e AS (SELECT c_custkey AS id, 'T' || (c_nationkey % 3) AS ty, lower(c_mktsegment) || ' ' || (c_custkey % 40) AS name, CASE WHEN c_custkey % 7 = 0 THEN 'alias ' || (c_custkey % 90) END AS alias FROM customer),
-m AS (SELECT o_orderkey AS ref, 'T' || (o_orderkey % 3) AS ty, CASE o_orderkey % 4 WHEN 0 THEN 'building ' || (o_orderkey % 60) WHEN 1 THEN 'alias ' || (o_orderkey % 120) WHEN 2 THEN 'build' ELSE 'zzz ' || o_orderkey END AS name FROM orders WHERE o_orderkey < 2000),
+m AS (SELECT o_orderkey AS ref, 'T' || (o_orderkey % 3) AS ty, CASE o_orderkey % 4 WHEN 0 THEN 'building ' || (o_orderkey % 60) WHEN 1 THEN 'alias ' || (o_orderkey % 120) WHEN 2 THEN 'build' ELSE 'zzz ' || o_orderkey END AS name FROM orders),
 k AS (SELECT id, ty, name AS key, true AS own FROM e UNION ALL SELECT id, ty, alias, false FROM e WHERE alias IS NOT NULL),
 h AS (SELECT ty, key, count(*) FILTER (own) AS n_name, min(id) FILTER (own) AS by_name, count(*) AS n_any, min(id) AS by_any FROM k GROUP BY 1, 2),
 nr AS (SELECT DISTINCT ref FROM m JOIN e ON m.ty = e.ty AND (starts_with(replace(e.name, ' ', ''), replace(m.name, ' ', '')) OR starts_with(replace(m.name, ' ', ''), replace(e.name, ' ', ''))))
@@ -65,10 +64,6 @@ SELECT m.ref, CASE WHEN n_name = 1 THEN 'resolved_existing' WHEN n_name > 1 THEN
 
 @plan("w3_resolve", _ENT, log=False)
 def w3_resolve(spark, d):
-    return _resolved(spark, d, "o_orderkey < 2000")
-
-
-def _resolved(spark, d, kept="true"):
     c = _read(spark, d, "customer")
     kind = lambda x: F.concat(F.lit("T"), F.col(x) % 3)
     e = c.select(
@@ -77,32 +72,17 @@ def _resolved(spark, d, kept="true"):
     )
     o = F.col("o_orderkey")
     name = F.when(o % 4 == 0, F.concat(F.lit("Building "), o % 60)).when(o % 4 == 1, F.concat(F.lit("alias "), o % 120)).when(o % 4 == 2, "Build").otherwise(F.concat(F.lit("zzz "), o))
-    m = _read(spark, d, "orders").where(kept).select(o.alias("ref"), kind("o_orderkey").alias("entity_type"), name.alias("name"))
-    return resolve.resolve(m, e)
-
+    return resolve.resolve(_read(spark, d, "orders").select(o.alias("ref"), kind("o_orderkey").alias("entity_type"), name.alias("name")), e)
 
-@whole(PLANS, "w3_resolve", " WHERE o_orderkey < 2000")
-def w3_resolve_all(spark, d):
-    return _resolved(spark, d)
 
-
-@plan("resolve_endpoints", """, n AS (SELECT DISTINCT subject_id AS id FROM alog WHERE k < 50) SELECT seq, a.id AS subject_id, b.id AS object_id FROM alog JOIN n a ON a.id = alog.subject_id JOIN n b ON b.id = 'u' || (k % 30)""")
+@plan("resolve_endpoints", """, n AS (SELECT DISTINCT subject_id AS id FROM alog) SELECT seq, a.id AS subject_id, b.id AS object_id FROM alog JOIN n a ON a.id = alog.subject_id JOIN n b ON b.id = 'u' || (k % 30)""")
 def resolve_endpoints(spark, d):
-    return _endpoints(spark, d, "k < 50")
-
-
-def _endpoints(spark, d, named="true"):
     log = assertion_log(spark, d)
-    names = log.where(named).select(F.upper("subject_id").alias("name"), F.col("subject_id").alias("id")).distinct()
+    names = log.select(F.upper("subject_id").alias("name"), F.col("subject_id").alias("id")).distinct()
     r = log.select("seq", F.concat(F.lit(" "), "subject_id").alias("subject"), F.concat(F.lit("U"), F.col("k") % 30).alias("object"))
     return resolve.endpoints(r, names)[0].select("seq", "subject_id", "object_id")
 
 
-@whole(PLANS, "resolve_endpoints", " WHERE k < 50")
-def resolve_endpoints_all(spark, d):
-    return _endpoints(spark, d)
-
-
 @plan("lenient_json", """ SELECT seq, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS v FROM alog""")
 def lenient_json(spark, d):
     k = F.col("k")
@@ -183,19 +163,13 @@ def lost_gold_recoverability(spark, d):
     return g.agg(F.count("*").alias("n_lost"), F.count_if(F.col("a") > F.col("b")).alias("recoverable"))
 
 
-@plan("extraction_quality", """ SELECT count(*) FILTER (contains(l_comment, p_part) OR contains(p_part, l_comment)) AS matched, count(*) AS n FROM (SELECT split_part(p_name, ' ', 1) AS p_part, p_name || ' ' || p_brand AS l_comment, p_partkey FROM part) WHERE p_partkey % 2 = 0""", log=False)
+@plan("extraction_quality", """, x AS (SELECT split_part(p_name, ' ', 1) AS gold, p_name || ' ' || p_brand AS got, p_partkey % 5 <> 0 AS extracted, p_partkey % 7 = 0 AS linked, p_partkey % 11 = 0 AS stale FROM part),
+c AS (SELECT count(*) FILTER (extracted AND (contains(got, gold) OR contains(gold, got))) AS tp, count(*) FILTER (extracted) AS n_got, count(*) AS n_gold, count(*) FILTER (extracted AND linked) AS n_linked, count(*) FILTER (extracted AND stale) AS n_stale FROM x)
+SELECT round(tp / n_got, 6) AS precision, round(tp / n_gold, 6) AS recall, round(2 * tp / (n_got + n_gold), 6) AS f1, round(n_linked / n_gold, 6) AS linked_recall, round(n_stale / n_gold, 6) AS stale_rate FROM c""".replace(", x AS", " WITH x AS", 1), log=False)
 def extraction_quality(spark, d):
-    return _extracted(spark, d, "p_partkey % 2 = 0")
-
-
-def _extracted(spark, d, kept="true"):
-    p = _read(spark, d, "part").where(kept).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("gold"), F.concat_ws(" ", "p_name", "p_brand").alias("got"))
-    return p.agg(F.count_if(F.contains("got", F.col("gold")) | F.contains("gold", F.col("got"))).alias("matched"), F.count("*").alias("n"))
-
-
-@whole(PLANS, "extraction_quality", " WHERE p_partkey % 2 = 0")
-def extraction_quality_all(spark, d):
-    return _extracted(spark, d)
+    k = F.col("p_partkey")
+    p = _read(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("gold"), F.when(k % 5 != 0, F.concat_ws(" ", "p_name", "p_brand")).alias("got"), (k % 7 == 0).alias("linked"), (k % 11 == 0).alias("stale"))
+    return metrics.extraction_quality(p)
 
 
 @plan("failure_taxonomy", """ SELECT CASE WHEN trim(source_ref) = '' THEN 'extraction' WHEN k % 13 = 0 THEN 'link' WHEN pct <= 80 THEN 'governance' ELSE 'none' END AS cause, count(*) AS n FROM alog WHERE k % 3 <> 0 GROUP BY 1""")
@@ -222,30 +196,12 @@ def answer_token_match(spark, d):
     return assertion_log(spark, d).select("seq", F.round(F.size(F.filter(want, lambda t: F.contains(hay, t))) / F.size(want), 6).alias("score"))
 
 
-@plan("evasive_surface", """ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '') WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN 'the ' || p_name ELSE replace(p_name, 'e', '3') END AS surface FROM part""", log=False)
-def evasive_surface(spark, d):
-    n = F.col("p_partkey") % 4
-    s = F.when(n == 0, F.replace("p_name", F.lit(" "), F.lit(""))).when(n == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).when(n == 2, F.concat(F.lit("the "), "p_name")).otherwise(F.replace("p_name", F.lit("e"), F.lit("3")))
-    return _read(spark, d, "part").select("p_partkey", s.alias("surface"))
-
-
 @plan("label_drift", """ SELECT predicate, count(*) FILTER (gold = 'review') AS review FROM (SELECT predicate, CASE WHEN k % 7 = 0 AND seq % 4 = 0 THEN 'accept' WHEN k % 7 = 0 THEN 'review' ELSE 'accept' END AS gold FROM alog) GROUP BY 1""")
 def label_drift(spark, d):
     gold = F.when((F.col("k") % 7 == 0) & (F.col("seq") % 4 == 0), "accept").when(F.col("k") % 7 == 0, "review").otherwise("accept")
     return assertion_log(spark, d).groupBy("predicate").agg(F.count_if(gold == "review").alias("review"))
 
 
-@plan("threshold_generalisation", _ARMS + """, x AS (SELECT CAST(floor(risk * 100) AS INTEGER) AS r, gold = 'review' AS worthy, consequential, seq % 2 AS part FROM wr WHERE condition = 'frozen'), t AS (SELECT unnest(range(0, 101, 10)) AS tl)
-SELECT CAST(tl AS INTEGER) AS tl, CAST(part AS INTEGER) AS part, round(count(*) FILTER (r < tl AND worthy AND consequential) / count(*) FILTER (consequential), 6) AS mcr FROM x, t GROUP BY 1, 2""")
-def threshold_generalisation(spark, d):
-    r = _records(spark, d).where("condition = 'frozen'")
-    h = r.groupBy(F.floor(F.col("risk") * 100).cast("int").alias("r"), (F.col("gold") == "review").alias("worthy"), "consequential", (F.col("seq") % 2).cast("int").alias("part")).agg(F.count("*").alias("n"))
-    g = h.withColumn("tl", F.explode(F.array(*[F.lit(t) for t in range(0, 101, 10)])))
-    s = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    miss = s((F.col("r") < F.col("tl")) & F.col("worthy") & F.col("consequential"))
-    return g.groupBy("tl", "part").agg(F.round(miss / s(F.col("consequential")), 6).alias("mcr"))
-
-
 @plan("aggregate_methods")
 def aggregate_methods(spark, d):
     per = assertion_log(spark, d).groupBy("write_intent", "subject_id").agg(F.avg("pct").alias("score"))
@@ -284,13 +240,3 @@ def slot_value_lookup(spark, d):
 @plan("entity_assertions", """ SELECT DISTINCT seq FROM alog WHERE subject_id = 'u3' OR object_id = 'v3'""")
 def entity_assertions(spark, d):
     return assertion_log(spark, d).where("subject_id = 'u3' or object_id = 'v3'").select("seq").distinct()
-
-
-@whole(governance.PLANS, "durable_state_buckets", " AND seq % 9 = 0 AND k < 60")
-def durable_state_buckets_all(spark, d):
-    return governance.buckets(spark, d, "true").select("subject_id", "predicate", "bucket")
-
-
-@whole(governance.PLANS, "gold_join", " AND seq % 9 = 0 AND k < 60")
-def gold_join_all(spark, d):
-    return metrics.bucket_rates(governance.buckets(spark, d, "true"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import ontology as o
-from ..operators import contradict, metrics, policies, validate
+from ..operators import contradict, metrics, policies, review, validate
 from ..sources import store
 from ..sources.events import LOG_SQL, assertion_log
 
@@ -78,21 +78,11 @@ def c7_gate(spark, d):
     return policies.contradiction_gate(policies.single_valued_log(assertion_log(spark, d)))
 
 
-@plan("validate_only", f""", c AS (SELECT *, count(*) OVER (PARTITION BY subject_id, predicate) AS n FROM alog)
-SELECT seq, CASE WHEN trim(source_ref) = '' THEN 'required' WHEN n > 3 AND predicate IN {SINGLE} THEN 'crowded' END AS failed_check FROM c""")
-def validate_only(spark, d):
-    log = assertion_log(spark, d)
-    n = log.groupBy("subject_id", "predicate").agg(F.count("*").alias("n"))
-    j = log.join(n, ["subject_id", "predicate"])
-    checks = [("required", validate.blank("source_ref")), ("crowded", (F.col("n") > 3) & F.col("predicate").isin(*o.SINGLE_VALUED))]
-    return j.select("seq", validate.first_failure(checks).alias("failed_check"))
-
-
 _CONF = f""", a AS (SELECT * FROM alog WHERE predicate IN {SINGLE}),
 hit AS (
   SELECT c.seq, c.pct, c.write_intent, x.seq AS o_seq, x.pct AS o_pct,
     (c.valid_from IS NOT NULL OR c.valid_to IS NOT NULL) AND (x.valid_from IS NOT NULL OR x.valid_to IS NOT NULL) AS both_dated
-  FROM a c JOIN a x ON c.subject_id = x.subject_id AND c.predicate = x.predicate AND c.object_id <> x.object_id AND c.seq % 2 = 0 AND x.seq % 2 = 1
+  FROM a c JOIN a x ON c.subject_id = x.subject_id AND c.predicate = x.predicate AND c.object_id <> x.object_id AND x.seq < c.seq
   WHERE NOT ((c.valid_from IS NOT NULL OR c.valid_to IS NOT NULL) AND (x.valid_from IS NOT NULL OR x.valid_to IS NOT NULL))
      OR (coalesce(c.valid_from <= x.valid_to, true) AND coalesce(x.valid_from <= c.valid_to, true))
 ),
@@ -102,7 +92,7 @@ g AS (SELECT seq, pct, write_intent, count(*) AS n_conflicts, min(o_seq) AS firs
 
 def _conflicts(spark, d):
     log = assertion_log(spark, d)
-    return contradict.single_valued(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
+    return contradict.single_valued(log, log)
 
 
 @plan("contradiction_single_valued", _CONF + " SELECT seq, n_conflicts, first_conflict, met_pct FROM g")
@@ -119,11 +109,8 @@ def w7_contradiction_check(spark, d):
 
 @plan("interval_overlap", _CONF + " SELECT both_dated, count(*) AS n FROM hit GROUP BY 1")
 def interval_overlap(spark, d):
-    log = assertion_log(spark, d).where(F.col("predicate").isin(*o.SINGLE_VALUED))
-    side = lambda p, r: log.where(f"seq % 2 = {r}").select("subject_id", "predicate", *[F.col(c).alias(p + c) for c in ("object_id", "valid_from", "valid_to")])
-    overlap, both = contradict.windows_overlap("c_", "a_")
-    j = side("c_", 0).join(side("a_", 1), ["subject_id", "predicate"]).where("c_object_id <> a_object_id").where(overlap)
-    return j.groupBy(both.alias("both_dated")).agg(F.count("*").alias("n"))
+    log = assertion_log(spark, d)
+    return contradict.overlapping(log, log).groupBy("both_dated").agg(F.count("*").alias("n"))
 
 
 @plan("contradiction_explicit", """, e AS (SELECT seq AS edge, pct, unnest([subject_id, object_id]) AS node FROM alog WHERE k = 7),
@@ -236,9 +223,10 @@ def c5_inactive_assignee(spark, d):
     return validate.inactive_objects(log, people).select("seq")
 
 
-@plan("c6_confidence_bounds", """ SELECT seq FROM alog WHERE pct + 3 > 100 OR pct < 51""")
+@plan("c6_confidence_bounds", """ SELECT seq FROM (SELECT seq, TRY_CAST(CASE WHEN k % 11 = 0 THEN 'high' ELSE ((pct - 52) * 3) || 'e-2' END AS DOUBLE) AS c FROM alog) WHERE c IS NULL OR c NOT BETWEEN 0 AND 1""")
 def c6_confidence_bounds(spark, d):
-    return assertion_log(spark, d).where(~F.col("pct").between(51, 97)).select("seq")
+    c = F.when(F.col("k") % 11 == 0, "high").otherwise(F.concat((F.col("pct") - 52) * 3, F.lit("e-2")))
+    return validate.out_of_bounds(assertion_log(spark, d).withColumn("confidence", c), "confidence").select("seq")
 
 
 @plan("c8_evidence_floor", """ SELECT o_orderkey, coalesce(n, 0) AS n_support FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) < 2""", log=False)
@@ -261,58 +249,37 @@ def c10_transition(spark, d):
     return validate.transition_check(log, o.transitions(spark)).select("seq", "verdict")
 
 
-@plan("constraint_validate", f""", c AS (SELECT *, min(seq) OVER (PARTITION BY subject_id, predicate) AS first_seq FROM alog)
-SELECT coalesce(CASE WHEN valid_to < valid_from THEN 'C2' WHEN predicate = 'ASSIGNED_TO' AND object_id IN ('v1', 'v4') THEN 'C5' WHEN pct > 97 THEN 'C6'
- WHEN predicate IN {SINGLE} AND seq > first_seq AND pct > 80 THEN 'C7' WHEN trim(source_ref) = '' THEN 'C8' END, 'ok') AS verdict, count(*) AS n FROM c GROUP BY 1""")
-def constraint_validate(spark, d):
-    log = assertion_log(spark, d)
-    first = log.groupBy("subject_id", "predicate").agg(F.min("seq").alias("first_seq"))
-    checks = [
-        ("C2", F.col("valid_to") < F.col("valid_from")),
-        ("C5", (F.col("predicate") == "ASSIGNED_TO") & F.col("object_id").isin("v1", "v4")),
-        ("C6", F.col("pct") > 97),
-        ("C7", F.col("predicate").isin(*o.SINGLE_VALUED) & (F.col("seq") > F.col("first_seq")) & (F.col("pct") > 80)),
-        ("C8", validate.blank("source_ref")),
-    ]
-    j = log.join(first, ["subject_id", "predicate"])
-    return j.groupBy(F.coalesce(validate.first_failure(checks), F.lit("ok")).alias("verdict")).agg(F.count("*").alias("n"))
-
-
 @plan("fail_closed_linkage", f""" SELECT seq FROM alog a WHERE predicate IN {SINGLE} AND EXISTS (SELECT 1 FROM alog b WHERE b.predicate = a.predicate AND b.subject_id <> a.subject_id AND b.seq < a.seq)""")
 def fail_closed_linkage(spark, d):
     return validate.fail_closed(assertion_log(spark, d)).select("seq")
 
 
-@plan("typed_violations", """ SELECT CASE WHEN valid_to < valid_from THEN 'temporally_invalid_interval' WHEN trim(source_ref) = '' THEN 'unsupported'
- WHEN predicate = 'HAS_STATUS' AND object_id NOT LIKE 'v1%' THEN 'illegal_status_state' ELSE 'none' END AS kind, count(*) AS n FROM alog GROUP BY 1""")
-def typed_violations(spark, d):
-    return metrics.typed_violations(assertion_log(spark, d))
-
-
-_BUCKETS = f""", a AS (SELECT subject_id, predicate, count(DISTINCT object_id) AS n, min(object_id) AS v FROM alog WHERE predicate IN {SINGLE} AND seq % 9 = 0 AND k < 60 GROUP BY 1, 2),
+# Accepted are high-confidence updates with a source.
+_ACTIVE = "write_intent = 'update' and pct > 80 and source_ref <> ''"
+_BUCKETS = f""", a AS (SELECT subject_id, predicate, count(DISTINCT object_id) AS n, min(object_id) AS v FROM alog WHERE predicate IN {SINGLE} AND {_ACTIVE} GROUP BY 1, 2),
 g AS (SELECT subject_id, predicate, arg_max(object_id, seq) AS gold_value FROM alog WHERE predicate IN {SINGLE} GROUP BY 1, 2),
 f AS (SELECT DISTINCT subject_id, predicate FROM alog WHERE seq % 11 = 0),
 b AS (SELECT g.*, CASE WHEN n > 1 THEN 'split' WHEN n = 1 AND v = gold_value THEN 'correct' WHEN n = 1 THEN 'stale' WHEN f.subject_id IS NOT NULL THEN 'abstained' ELSE 'missing' END AS bucket
  FROM g LEFT JOIN a USING (subject_id, predicate) LEFT JOIN f USING (subject_id, predicate)) """
 
 
-def buckets(spark, d, active="seq % 9 = 0 and k < 60"):
+def _buckets(spark, d):
     log = assertion_log(spark, d)
     single = policies.single_valued_log(log)
     gold = policies.last_writer(single).select("subject_id", "predicate", F.col("object_id").alias("gold_value"))
-    return metrics.durable_buckets(gold, single.where(active), log.where("seq % 11 = 0"))
+    return metrics.durable_buckets(gold, single.where(_ACTIVE), log.where("seq % 11 = 0"))
 
 
 @plan("durable_state_buckets", _BUCKETS + " SELECT subject_id, predicate, bucket FROM b")
-def durable_statebuckets(spark, d):
-    return buckets(spark, d).select("subject_id", "predicate", "bucket")
+def durable_state_buckets(spark, d):
+    return _buckets(spark, d).select("subject_id", "predicate", "bucket")
 
 
 @plan("gold_join", _BUCKETS + """ SELECT round(100.0 * count(*) FILTER (bucket = 'correct') / count(*), 6) AS dsc, round(100.0 * count(*) FILTER (bucket = 'stale') / count(*), 6) AS ssr,
  round(100.0 * count(*) FILTER (bucket = 'split') / count(*), 6) AS split, round(100.0 * count(*) FILTER (bucket = 'abstained') / count(*), 6) AS abstention, round(100.0 * count(*) FILTER (bucket = 'missing') / count(*), 6) AS missing,
  round(100.0 * count(*) FILTER (bucket = 'correct') / count(*) FILTER (bucket IN ('correct', 'stale', 'split')), 6) AS dsc_gov, round(100.0 * count(*) FILTER (bucket = 'stale') / count(*) FILTER (bucket IN ('correct', 'stale', 'split')), 6) AS ssr_gov FROM b""")
 def gold_join(spark, d):
-    return metrics.bucket_rates(buckets(spark, d))
+    return metrics.bucket_rates(_buckets(spark, d))
 
 
 @plan("upsert_assertions", """ SELECT subject_id || predicate AS id, arg_max(object_id, seq) AS object_id, max(seq) AS seq FROM alog GROUP BY 1""")
@@ -375,21 +342,10 @@ def durable_row_count(spark, d):
 SELECT CASE k % 6 WHEN 0 THEN 'entity_alias_resolution' WHEN 1 THEN 'evidence_provenance' WHEN 2 THEN 'genuine_ambiguity' WHEN 3 THEN 'temporal_cardinality' WHEN 4 THEN 'temporal_cardinality' ELSE 'other' END AS cause,
  count(*) AS n, count(*) FILTER (write_intent = 'update') AS n_valid FROM r GROUP BY 1""")
 def quarantine_cause_table(spark, d):
-    # Reason patterns in order and the cause each names.
-    rules = [
-        ("entity_alias_resolution", "alias|possibly_same_as|identity|same entity|unresolved entit"),
-        ("evidence_provenance", "is 'done' but has no completion event"),
-        ("evidence_provenance", "evidence|supporting|unsupported|provenance"),
-        ("genuine_ambiguity", "single-valued conflict"),
-        ("temporal_cardinality", "transition .* is not permitted"),
-        ("temporal_cardinality", "timestamp|temporal|valid_from|valid_to|interval|precedes|cycle"),
-        ("temporal_cardinality", "cardinality|domain|range"),
-        ("genuine_ambiguity", "cannot overwrite an accepted status|status contradiction|contradiction|conflict"),
-    ]
     texts = ["possible alias of entity", "lacks supporting text", "single-valued conflict on x", "valid_from after valid_to", "domain mismatch", "other"]
     log = assertion_log(spark, d).withColumn("reason", F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("k") % 6 + 1))
     cause = F.lit("other")
-    for name, pattern in reversed(rules):
+    for name, pattern in reversed(o.QUARANTINE_CAUSES):
         cause = F.when(F.col("reason").rlike(f"(?i){pattern}"), name).otherwise(cause)
     return log.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"), F.count_if(F.col("write_intent") == "update").alias("n_valid"))
 
@@ -407,16 +363,6 @@ def stress_by_intensity(spark, d):
     return assertion_log(spark, d).groupBy("predicate", (F.col("k") % 3).alias("intensity")).agg(F.round(F.avg("pct"), 6).alias("score"), F.count("*").alias("n"))
 
 
-@plan("attack_summary", """ SELECT predicate, split_part(source_ref, ':', 1) AS scheme, CAST(grouping(predicate, split_part(source_ref, ':', 1)) AS BIGINT) AS level, count(*) AS n, round(avg(pct), 6) AS mean_pct
- FROM alog GROUP BY GROUPING SETS ((predicate, split_part(source_ref, ':', 1)), (predicate), ())""")
-def attack_summary(spark, d):
-    from ..functions.text import source_scheme
-
-    log = assertion_log(spark, d).withColumn("scheme", source_scheme("source_ref"))
-    g = log.groupingSets([[F.col("predicate"), F.col("scheme")], [F.col("predicate")], []], "predicate", "scheme")
-    return g.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.round(F.avg("pct"), 6).alias("mean_pct"))
-
-
 @plan("cascade_downstream", """, u AS (SELECT subject_id, predicate, min(seq) AS s FROM alog WHERE k % 17 = 0 GROUP BY 1, 2)
 SELECT a.seq, u.s AS upstream FROM alog a JOIN u USING (subject_id, predicate) WHERE a.seq > u.s""")
 def cascade_downstream(spark, d):
@@ -431,9 +377,12 @@ def corpus_counts(spark, d):
     return assertion_log(spark, d).select("write_intent", F.explode(p).alias("p")).groupBy("write_intent", "p").agg(F.count("*").alias("n"))
 
 
-@plan("feedback_streams", """ SELECT stream, count(*) FILTER (label) AS kept, count(*) FILTER (NOT label) AS flipped FROM (SELECT unnest(['clean', 'noisy', 'biased']) AS stream, * FROM alog) x,
- LATERAL (SELECT CASE stream WHEN 'clean' THEN true WHEN 'noisy' THEN k % 7 <> 0 ELSE k % 3 <> 0 OR predicate <> 'OWNS' END AS label) GROUP BY 1""")
+@plan("feedback_streams", """, t AS (SELECT *, k % 7 < 3 AS truth, k % 3 = 0 AS cons, unnest(['clean', 'noisy', 'biased', 'adversarial']) AS stream FROM alog),
+l AS (SELECT *, CASE stream WHEN 'noisy' THEN truth <> (k % 5 = 0) WHEN 'biased' THEN truth AND k % 20 >= 7 WHEN 'adversarial' THEN CASE WHEN cons OR truth THEN false ELSE truth END ELSE truth END AS label,
+ CASE WHEN stream = 'noisy' AND k % 5 = 0 THEN 55 WHEN stream = 'biased' AND truth AND k % 20 < 7 THEN 70 WHEN stream = 'adversarial' AND (cons OR truth) THEN 99 ELSE 85 END AS weight FROM t)
+SELECT stream, count(*) FILTER (label = truth) AS kept, count(*) FILTER (label <> truth) AS flipped, CAST(sum(weight) AS BIGINT) AS weight_pct FROM l GROUP BY 1""")
 def feedback_streams(spark, d):
-    log = assertion_log(spark, d).withColumn("stream", F.explode(F.array(*[F.lit(s) for s in ("clean", "noisy", "biased")])))
-    label = F.when(F.col("stream") == "clean", True).when(F.col("stream") == "noisy", F.col("k") % 7 != 0).otherwise((F.col("k") % 3 != 0) | (F.col("predicate") != "OWNS"))
-    return log.groupBy("stream").agg(F.count_if(label).alias("kept"), F.count_if(~label).alias("flipped"))
+    k = F.col("k")
+    rows = assertion_log(spark, d).withColumn("truth", k % 7 < 3).withColumn("consequential", k % 3 == 0)
+    f = review.feedback(rows, noisy=k % 5 == 0, biased=k % 20 < 7)
+    return f.groupBy("stream").agg(F.count_if(F.col("label") == F.col("truth")).alias("kept"), F.count_if(F.col("label") != F.col("truth")).alias("flipped"), F.sum("weight_pct").alias("weight_pct"))

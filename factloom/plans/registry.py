@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, evaluation, governance
+from . import analytics, answers, evaluation, governance, memory
 
-_ALL = governance.PLANS | analytics.PLANS | evaluation.PLANS
+_ALL = governance.PLANS | analytics.PLANS | evaluation.PLANS | memory.PLANS | answers.PLANS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

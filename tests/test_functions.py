@@ -27,7 +27,7 @@ def test_text(spark):
     )
     assert got["a"] == "ann marie o neil_2" and got["b"] == "The NASA iPhone Plan" and got["c"] == "t#7" and got["d"] == 0.85
     assert got["e"] == "inactive" and got["f"] == "HAS_STATUS" and got["g"] == "" and got["h"] == "analyst"
-    assert got["i"] == "Project Orion|T-12|Who|Bob Ray"
+    assert got["i"] == "Project Orion|T-12|Bob Ray"
 
 
 def test_metadata_filter(spark):

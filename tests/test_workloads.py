@@ -18,8 +18,8 @@ def test_generators_are_balanced_and_repeat(spark):
 
 
 def test_analyst_defers_more_on_long_streaks(spark):
-    items = spark.range(400).selectExpr("concat('p', id % 2) AS participant", "id AS trial", "'full' AS depth", "0.0 AS skill", "1.0 AS bias", "1 AS k", "0.5 AS consequence", "'accept' AS recommended", "if(id % 2 = 0 OR id % 4 = 1, 'accept', 'review') AS gold")
-    got = trials(items.withColumn("bias", F.col("bias").cast("double")).withColumn("skill", F.col("skill").cast("double")).withColumn("consequence", F.col("consequence").cast("double"))).collect()
+    items = spark.range(400).selectExpr("concat('p', id % 2) AS participant", "id AS trial", "'full' AS depth", "0.0 AS skill", "1.0 AS speed", "1.0 AS bias", "1 AS k", "0.5 AS consequence", "true AS evidence", "'accept' AS recommended", "if(id % 2 = 0 OR id % 4 = 1, 'accept', 'review') AS gold")
+    got = trials(items.withColumn("bias", F.col("bias").cast("double")).withColumn("speed", F.col("speed").cast("double")).withColumn("skill", F.col("skill").cast("double")).withColumn("consequence", F.col("consequence").cast("double"))).collect()
     share = {p: sum(r.deferred for r in got if r.participant == p) / 200 for p in ("p0", "p1")}
     assert len(got) == 400 and share["p0"] > share["p1"]
     assert all(r.seconds > 0 for r in got)
