@@ -73,12 +73,8 @@ def join_by_share(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str
     return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys))
 
 
-#: Edges that one task may hold; more are first contracted by star rounds.
-FINISH = 1_000_000
-
-
-def _stars(batches):
-    """Union-find over all edges given: (node, smallest node of its component)."""
+def _contract(batches):
+    """Union-find over the edges of one partition: each node with the smallest node it reaches there, itself left out."""
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -92,10 +88,10 @@ def _stars(batches):
             p, q = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
             if p != q:
                 parent[max(p, q)] = min(p, q)
-    nodes = list(parent)
+    nodes = [x for x in parent if parent[x] != x]
     for i in range(0, len(nodes), 100_000):
         part = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "comp"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
 
 
 def _star_round(e: DataFrame) -> DataFrame:
@@ -108,22 +104,22 @@ def _star_round(e: DataFrame) -> DataFrame:
     return small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the smallest node it reaches.
 
-    Up to ``finish`` edges are united in one task. More are contracted by alternating
-    large-star and small-star rounds until every node points at its component's smallest.
+    Each round unites the edges of every partition by themselves, which leaves one edge a node,
+    and then alternates large-star and small-star over all, until each node points at its
+    component's smallest. A task holds the edges of its own partition only.
     """
-    e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
-    if e.count() <= finish:
-        return settle(e.coalesce(1).mapInArrow(_stars, "node long, comp long"), "stars")
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     before = None
     while True:
-        e = settle(_star_round(e), "edges")
+        e = settle(e.mapInArrow(_contract, "u long, v long"), "edges")
         after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break
         before = after
+        e = _star_round(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     )

@@ -11,13 +11,16 @@ that share a doc_id are one document in the link graph; a null doc_id takes no p
 has component_id null and kept true. Columns beyond doc_id and text are ignored. An empty
 table gives an empty result.
 
-With 30 bands of 5 samples a pair at 0.85 shares no band with probability 2e-8, and
-exceeds the sketch bound with probability below 1e-6.
+With 30 bands of 5 samples a pair at 0.85 shares no band with probability 2e-8 (at 0.80 with
+7e-6), and exceeds the sketch bound with probability below 1e-6. Candidates must also differ
+in size by no more than the similarity allows, so that chains of loosely alike documents
+don't grow together before they are confirmed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import deque
 
 import numpy as np
@@ -26,19 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .durable import components, settle
+from .durable import components, join_by_share, settle
 from .grouping import fixed_binary, link_groups
 
 WIDTH = 5
 BANDS, ROWS = 30, 5
 BITS = 512
-#: Most bits by which the sketches of two sets at the least similarity of 0.8 or more may differ.
-MOST_BITS = 94
 _K = BANDS * ROWS
 _XOR = (tk.mix(np.arange(_K, dtype=np.uint64), 11) >> np.uint64(32)).astype(np.uint32)
 _MUL = (tk.mix(np.arange(_K, dtype=np.uint64), 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def most_bits(percent: int) -> int:
+    """Most bits by which sketches of sets at this similarity may differ: 5.5 deviations of differing samples above their mean."""
+    apart = 1 - percent / 100
+    samples_apart = _K * apart + 5.5 * math.sqrt(_K * apart * (1 - apart))
+    return round(BITS / 2 * (1 - math.exp(-4 * samples_apart / BITS))) + 2
+
+
 def shingle_rows(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row of a block."""
     data = tk.LOWER[data]
@@ -152,39 +160,49 @@ def _tree(near, n: int, sides: np.ndarray | None = None) -> list[tuple[int, int]
     return edges
 
 
-def _by_sketch(table: pa.Table, left: np.ndarray | None) -> list[tuple[int, int]]:
-    ids = table.column("id").to_numpy()
+def _alike(table: pa.Table, percent: int):
+    """near(i, rest): rows of ``rest`` that may be at the similarity by sketch and size."""
     sk = fixed_binary(table.column("sketch"), BITS // 8).view(np.uint64)
-    return [(int(ids[i]), int(ids[j])) for i, j in _tree(lambda i, rest: rest[differing(sk[i : i + 1], sk[rest])[0] <= MOST_BITS], len(ids), left)]
+    size, most = table.column("n_shingles").to_numpy(), most_bits(percent)
 
+    def near(i, rest):
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+        return rest[differing(sk[i : i + 1], sk[rest])[0] <= most]
+
+    return near
 
-def _by_sketch_bulk(table: pa.Table, at: np.ndarray) -> list[tuple[int, int]]:
-    ids = table.column("id").to_numpy()
-    sk = fixed_binary(table.column("sketch"), BITS // 8).view(np.uint64)
-    lo = at[:-1][np.diff(at) == 2]
-    near = np.bitwise_count(sk[lo] ^ sk[lo + 1]).sum(axis=1, dtype=np.int64) <= MOST_BITS
-    out = list(zip(ids[lo[near]].tolist(), ids[lo[near] + 1].tolist()))
-    for a, b in zip(at[:-1], at[1:]):
-        if b - a > 2:
-            out += _by_sketch(table.slice(a, b - a), None)
-    return out
 
+def _by_sketch(percent: int):
+    def find(table: pa.Table, left: np.ndarray | None) -> list[tuple[int, int]]:
+        ids = table.column("id").to_numpy()
+        return [(int(ids[i]), int(ids[j])) for i, j in _tree(_alike(table, percent), len(ids), left)]
 
-_by_sketch.bulk = _by_sketch_bulk
+    def bulk(table: pa.Table, at: np.ndarray) -> list[tuple[int, int]]:
+        ids, size = table.column("id").to_numpy(), table.column("n_shingles").to_numpy()
+        sk = fixed_binary(table.column("sketch"), BITS // 8).view(np.uint64)
+        lo = at[:-1][np.diff(at) == 2]
+        near = np.bitwise_count(sk[lo] ^ sk[lo + 1]).sum(axis=1, dtype=np.int64) <= most_bits(percent)
+        near &= 100 * np.minimum(size[lo], size[lo + 1]) >= percent * np.maximum(size[lo], size[lo + 1])
+        out = list(zip(ids[lo[near]].tolist(), ids[lo[near] + 1].tolist()))
+        for a, b in zip(at[:-1], at[1:]):
+            if b - a > 2:
+                out += find(table.slice(a, b - a), None)
+        return out
+
+    find.bulk = bulk
+    return find
 
 
 def _exact(percent: int):
     def find(table: pa.Table, left: np.ndarray | None) -> list[tuple[int, int]]:
         ids = table.column("id").to_numpy()
-        sk = fixed_binary(table.column("sketch"), BITS // 8).view(np.uint64)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
         size = np.array([len(s) for s in sets])
+        alike = _alike(table, percent)
 
         def near(i, rest):
-            rest = rest[differing(sk[i : i + 1], sk[rest])[0] <= MOST_BITS]
-            rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
             out = []
-            for j in rest:
+            for j in alike(i, rest):
                 small, large = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
                 if 100 * both >= percent * (size[i] + size[j] - both):
@@ -203,8 +221,8 @@ def _sets(batches):
             sets = shingle_rows(data, offs)
             same = [i for i, s in enumerate(sets) if set_hash(s) == want[lo + i].as_py()]
             yield pa.RecordBatch.from_arrays(
-                [grp.take(pa.array([lo + i for i in same], pa.int64())), doc.take(pa.array([lo + i for i in same], pa.int64())), pa.array([sets[i].tobytes() for i in same], pa.binary()), sketch.take(pa.array([lo + i for i in same], pa.int64()))],
-                names=["group", "id", "shingles", "sketch"],
+                [grp.take(pa.array([lo + i for i in same], pa.int64())), doc.take(pa.array([lo + i for i in same], pa.int64())), pa.array([sets[i].tobytes() for i in same], pa.binary()), pa.array([len(sets[i]) for i in same], pa.int64()), sketch.take(pa.array([lo + i for i in same], pa.int64()))],
+                names=["group", "id", "shingles", "n_shingles", "sketch"],
             )
 
 
@@ -218,14 +236,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, band_block: int = 4096,
     docs = docs.select("doc_id", "text")
     feats = settle(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"), "features")
     full = feats.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    reps = settle(full.join(classes, (full.set_hash == classes.set_hash) & (full.doc_id == classes.id), "left_semi").dropDuplicates(["set_hash"]), "reps")
-    banded = reps.select(F.explode("bands").alias("group"), F.col("doc_id").alias("id"), "sketch")
-    coarse = components(link_groups(banded, ["sketch"], _by_sketch, band_block, "bands"))
+    # One row a class, by an aggregate that combines before the shuffle, however many copies it has.
+    one = F.struct("doc_id", "n_shingles", "bands", "sketch")
+    reps = full.groupBy("set_hash").agg(F.min_by(one, "doc_id").alias("one"), F.count("*").alias("n"))
+    reps = settle(reps.select("set_hash", "n", "one.*"), "reps")
+    banded = reps.select(F.explode("bands").alias("group"), F.col("doc_id").alias("id"), "n_shingles", "sketch")
+    coarse = components(link_groups(banded, ["n_shingles", "sketch"], _by_sketch(percent), band_block, "bands"))
     groups = coarse.join(reps.select(F.col("doc_id").alias("node"), "set_hash", "sketch"), "node").withColumnRenamed("node", "doc_id")
-    sets = docs.join(groups, "doc_id").select("doc_id", "text", "set_hash", "comp", "sketch").mapInArrow(_sets, "group long, id long, shingles binary, sketch binary")
-    links = link_groups(settle(sets, "sets"), ["shingles", "sketch"], _exact(percent), set_block, "sets")
-    copies = full.join(classes, "set_hash").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    sets = docs.join(groups, "doc_id").select("doc_id", "text", "set_hash", "comp", "sketch").mapInArrow(_sets, "group long, id long, shingles binary, n_shingles long, sketch binary")
+    links = link_groups(settle(sets, "sets"), ["shingles", "n_shingles", "sketch"], _exact(percent), set_block, "sets")
+    classes = reps.where("n > 1").select("set_hash", F.col("doc_id").alias("id"), "n")
+    copies = join_by_share(full.select("set_hash", "doc_id"), classes, ["set_hash"], "n").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     label = components(links.unionByName(copies))
     out = feats.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select(
