@@ -6,8 +6,11 @@ The sorted sequence is cut into blocks. Two blocks are joined only if their boxe
 principal axes come within epsilon; inside, intervals are halved and skipped the same way
 until they are small, then compared by matrix product in double precision.
 
-Equal vectors of one label are one class with a count, so copies aren't expanded. A block
-pair returns each class's number of links and a spanning forest of its links, not pairs.
+Equal vectors of one label (by SHA-256 of their bytes) are one class with a count, so copies
+aren't expanded. Neighbouring blocks meet in tiles of ``TILE`` by ``TILE`` pairs, so that a
+block's vectors move once a tile. A tile returns each class's number of links and a spanning
+forest of its links, not pairs. A cosine within rounding of the threshold is computed again
+from the vectors themselves.
 
 A null label links with nothing, nor do vectors that are null, zero, or hold null or
 non-finite components, nor rows without vec_id (component_id null, kept true). Vectors of
@@ -17,15 +20,19 @@ node. Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import components, settle, shuffle_width
+from .durable import components, join_by_share, settle, shuffle_width
 from .grouping import key_runs
 
 AXES, BLOCK, LEAF = 4, 1024, 64
+#: Blocks a side of a tile, as a power of two.
+TILE = 3
 
 
 def _matrix(cells, dim: int) -> np.ndarray:
@@ -57,6 +64,12 @@ def principal_axes(sample: np.ndarray, axes: int = AXES) -> np.ndarray:
     return np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, : min(axes, sample.shape[1])]
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """By its definition, each sum rounded once."""
+    dot = lambda p, q: math.fsum((p * q).tolist())
+    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+
 def _apart(a_lo, a_hi, b_lo, b_hi, eps: float) -> bool:
     gap = np.maximum(0, np.maximum(a_lo - b_hi, b_lo - a_hi))
     return float((gap * gap).sum()) > eps * eps * (1 + 1e-9)
@@ -105,9 +118,10 @@ def self_join(vectors: DataFrame, least: float = 0.93, sample: int = 20_000) ->
     n = shuffle_width(spark)
     eps = float(np.sqrt(2 - 2 * least))
     label_type = vectors.schema["label"].dataType.simpleString()
-    rows = settle(vectors.select("vec_id", "label", "embedding").mapInArrow(_valid, f"vec_id long, label {label_type}, vec binary"), "vectors")
+    rows = vectors.select("vec_id", "label", "embedding").mapInArrow(_valid, f"vec_id long, label {label_type}, vec binary")
+    rows = settle(rows.withColumn("key", F.unhex(F.sha2("vec", 256))), "vectors")
     good = rows.where("vec is not null and vec_id is not null")
-    cls = good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    cls = good.groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min_by("vec", "vec_id").alias("vec"))
     cls = settle(cls.withColumn("dim", F.octet_length("vec") / 8).withColumn("dim", F.col("dim").cast("int")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     axes: dict[int, np.ndarray] = {}
     sizes = {r.dim: r["count"] for r in cls.groupBy("dim").count().collect()}
@@ -176,47 +190,61 @@ def self_join(vectors: DataFrame, least: float = 0.93, sample: int = 20_000) ->
         F.arrays_zip("alo", "ahi", "blo", "bhi"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["alo"] - z["bhi"], z["blo"] - z["ahi"]), F.lit(2.0))
     )
     pairs = a.join(b, ["label", "dim", "cell"]).where("a <= b").where(gap <= eps * eps * (1 + 1e-9)).select("a", "b").distinct()
-    pairs = pairs.join(blocks.select(F.col("bid").alias("a"), "dim", F.col("ids").alias("ia"), F.col("x").alias("xa")), "a")
-    pairs = pairs.join(blocks.select(F.col("bid").alias("b"), F.col("ids").alias("ib"), F.col("x").alias("xb")), "b")
+    tile = pairs.groupBy(F.shiftright("a", TILE).alias("ta"), F.shiftright("b", TILE).alias("tb")).agg(F.collect_list(F.struct("a", "b")).alias("todo"))
+    tile = settle(tile.select("todo").withColumn("tid", F.monotonically_increasing_id()), "tiles")
+    both = F.array_distinct(F.flatten(F.transform("todo", lambda p: F.array(p["a"], p["b"]))))
+    shipped = tile.select("tid", "todo", F.explode(both).alias("bid")).join(blocks.select("bid", "dim", "ids", "x"), "bid").select("tid", "bid", "todo", "dim", "ids", "x")
 
     def compare(batches):
-        for t in batches:
-            for k in range(t.num_rows):
-                same, d = t.column("a")[k].as_py() == t.column("b")[k].as_py(), t.column("dim")[k].as_py()
-                ids = [np.frombuffer(t.column(c)[k].as_buffer(), np.int64).reshape(-1, 3) for c in ("ia", "ib")]
-                x = [_unit(np.frombuffer(t.column(c)[k].as_buffer(), "<f8").reshape(-1, d)) for c in ("xa", "xb")]
-                y = [v @ axes[d] for v in x]
-                who = ids[0] if same else np.concatenate(ids)
-                links, parent, shift, edges = np.zeros(len(who), np.int64), list(range(len(who))), 0 if same else len(ids[0]), []
-
-                def root(i):
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
-                def hit(r, c):
-                    c = c + shift
-                    np.add.at(links, r, who[c, 2])
-                    np.add.at(links, c, who[r, 2])
-                    for i, j in zip(r.tolist(), c.tolist()):
-                        p, q = root(i), root(j)
-                        if p != q:
-                            parent[q] = p
-                            edges.append((i, j))
-
-                _join(x[0], y[0], x[1], y[1], same, least, eps, hit)
-                some = np.flatnonzero(links)
-                e = np.array(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(who[some, 0], who[e[:, 0], 0])), pa.array(np.append(links[some], np.zeros(len(e), np.int64))), pa.array([None] * len(some) + who[e[:, 0], 1].tolist(), pa.int64()), pa.array([None] * len(some) + who[e[:, 1], 1].tolist(), pa.int64())],
-                    names=["cid", "links", "u", "v"],
-                )
-
-    found = pairs.select("a", "b", "dim", "ia", "xa", "ib", "xb").repartition(n, "a", "b").mapInArrow(compare, "cid long, links long, u long, v long")
+        for t, at in key_runs(batches, ["tid"]):
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                part = t.slice(lo, hi - lo)
+                bid, dim = part.column("bid").to_pylist(), part.column("dim").to_pylist()
+                ids = {b: np.frombuffer(v.as_buffer(), np.int64).reshape(-1, 3) for b, v in zip(bid, part.column("ids"))}
+                raw = {b: np.frombuffer(v.as_buffer(), "<f8").reshape(-1, d) for b, d, v in zip(bid, dim, part.column("x"))}
+                x = {b: _unit(v) for b, v in raw.items()}
+                y = {b: v @ axes[v.shape[1]] for b, v in x.items()}
+                for p in part.column("todo")[0].as_py():
+                    yield pair(p["a"], p["b"], ids, raw, x, y)
+
+    def pair(a, b, ids, raw, x, y):
+        same = a == b
+        who = ids[a] if same else np.concatenate((ids[a], ids[b]))
+        links, parent, shift, edges = np.zeros(len(who), np.int64), list(range(len(who))), 0 if same else len(ids[a]), []
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        def hit(r, c):
+            near = np.einsum("ij,ij->i", x[a][r], x[b][c])
+            # Within rounding of the threshold the cosine is taken by its definition, with exact sums.
+            sure = np.array([abs(s - least) > 1e-12 or _cosine(raw[a][i], raw[b][j]) >= least for s, i, j in zip(near.tolist(), r.tolist(), c.tolist())], bool)
+            r, c = r[sure], c[sure] + shift
+            np.add.at(links, r, who[c, 2])
+            np.add.at(links, c, who[r, 2])
+            for i, j in zip(r.tolist(), c.tolist()):
+                p, q = root(i), root(j)
+                if p != q:
+                    parent[q] = p
+                    edges.append((i, j))
+
+        _join(x[a], y[a], x[b], y[b], same, least - 1e-12, eps, hit)
+        some = np.flatnonzero(links)
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(who[some, 0], who[e[:, 0], 0])), pa.array(np.append(links[some], np.zeros(len(e), np.int64))), pa.array([None] * len(some) + who[e[:, 0], 1].tolist(), pa.int64()), pa.array([None] * len(some) + who[e[:, 1], 1].tolist(), pa.int64())],
+            names=["cid", "links", "u", "v"],
+        )
+
+    found = shipped.repartition(n, "tid").sortWithinPartitions("tid", "bid").mapInArrow(compare, "cid long, links long, u long, v long")
     found = settle(found, "links")
     count = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    own = rows.where("vec_id is not null").join(cls.select("label", "vec", "id", "n", "cid"), ["label", "vec"], "left").join(count, "cid", "left")
+    held = join_by_share(good.select("vec_id", "label", "key"), cls.select("label", "key", "id", "n", "cid", F.col("n").alias("rows")), ["label", "key"], "rows")
+    alone = rows.where("vec_id is not null and vec is null").select("vec_id", *[F.lit(None).cast("long").alias(c) for c in ("id", "n", "cid")])
+    own = held.select("vec_id", "id", "n", "cid").unionByName(alone).join(count, "cid", "left")
     copies = own.where("id <> vec_id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
     label = components(found.where("u is not null").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(copies)).withColumnRenamed("node", "vec_id")
     own = own.join(label, "vec_id", "left").select(
