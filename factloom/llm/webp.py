@@ -6,8 +6,11 @@ red, blue and alpha codes hold one symbol each are read through a table of the l
 the next bits hold, so a step of a loop reads several samples and makes no call. Prefix
 codes met before are recognised by their bits and not built again.
 
-The encoder writes grey images with one of two codes given by a rule, or with a Huffman code
-of the image's own where that is clearly shorter.
+The encoder writes grey images: samples as literals, a run of equal samples as one literal and
+back-references to the sample before, with one of two codes given by a rule, or with a Huffman
+code of the image's own where that is clearly shorter. On grey images of texts the colour cache
+and the cross-colour transform can't save a bit, for red, blue and alpha take none; these and
+the predictor and palette are for images of other writers.
 """
 
 from __future__ import annotations
@@ -73,6 +76,7 @@ class Code:
             self.symbol[codes[s] :: 1 << n] = s
             self.length[codes[s] :: 1 << n] = n
         self._s = self._n = None
+        self.reads = 0
 
     def literals(self, large: bool):
         """(window bits, bits of the whole literals in it, their number, themselves); no bits where it starts with another symbol.
@@ -105,10 +109,17 @@ class Code:
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        if self._s is None:
-            self._s, self._n = self.symbol.tolist(), self.length.tolist()
         byte = bits.at >> 3
         v = (int.from_bytes(bits.data[byte : byte + 4], "little") >> (bits.at & 7)) & ((1 << self.width) - 1)
+        if self._s is None:
+            # Lists are quicker, once there is much to read.
+            self.reads += 1
+            if self.reads < 100:
+                bits.at += int(self.length[v])
+                if bits.at > 8 * len(bits.data):
+                    raise ValueError("the stream ends early")
+                return int(self.symbol[v])
+            self._s, self._n = self.symbol.tolist(), self.length.tolist()
         bits.at += self._n[v]
         if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends early")
@@ -557,24 +568,23 @@ def _given(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     lengths = code_lengths(weights)
     w = Writer()
     write_code(w, lengths)
-    table = np.zeros(256, np.uint16)
+    table = np.zeros(280, np.uint16)
     for s, c in canonical(lengths).items():
         table[s] = c
-    return lengths[:256], table, w.value, w.n
+    return lengths, table, w.value, w.n
 
 
 def _prose() -> np.ndarray:
     w = np.zeros(280, np.int64)
-    w[:256] = 20
+    w[:] = 20
+    w[256 + 14 : 256 + 20] = 2_000
     for k, b in enumerate(_ORDER):
         w[b] = 400_000 // (k + 3)
     return w
 
 
 def _even() -> np.ndarray:
-    w = np.zeros(280, np.int64)
-    w[:256] = 1
-    return w
+    return np.ones(280, np.int64)
 
 
 _rules: list = []
@@ -589,16 +599,41 @@ def _chosen(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     p = count[count > 0] / count.sum()
     entropy = float(-(p * np.log2(p)).sum() * count.sum())
     if len(p) > 1 and entropy + 5 * len(p) < 0.8 * min(size):
-        full = np.zeros(280, np.int64)
-        full[:256] = count
-        own = _given(full)
+        own = _given(count)
         if int((count * own[0]).sum()) + own[3] < 0.8 * min(size):
             return own
     return best
 
 
+#: Runs of at least so many equal samples become back-references of at most LONGEST.
+RUN, LONGEST = 16, 4096
+
+
+def runs(samples: np.ndarray) -> list[tuple[int, int]]:
+    """(place, length) of back-references to the sample before: the rest of each long run of equal samples."""
+    same = np.empty(len(samples) + 1, np.int8)
+    same[0] = same[-1] = 0
+    np.equal(samples[1:], samples[:-1], out=same[1:-1].view(bool))
+    step = np.diff(same)
+    start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    out = []
+    for k in np.flatnonzero(end - start >= RUN - 1).tolist():
+        for at in range(int(start[k]), int(end[k]), LONGEST):
+            out.append((at, min(LONGEST, int(end[k]) - at)))
+    return out
+
+
+def prefix(value: int) -> tuple[int, int, int]:
+    """Prefix symbol of a length or distance code, and its extra bits (value, number)."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    top = v.bit_length() - 1
+    return 2 * top + (v >> (top - 1) & 1), v & ((1 << (top - 1)) - 1), top - 1
+
+
 def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
-    """A grey image: subtract-green leaves red and blue at one symbol, green has a prefix code."""
+    """A grey image: subtract-green leaves red and blue at one symbol, green has a prefix code, runs refer back."""
     w = Writer()
     w.write(0x2F, 8)
     w.write(width - 1, 14)
@@ -610,26 +645,45 @@ def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
     w.write(0, 1)
     w.write(0, 1)
     w.write(0, 1)
-    count = np.bincount(samples, minlength=256)
-    single = np.count_nonzero(count) == 1
+    single = not (samples != samples[0]).any()
+    refs = [] if single else runs(samples)
+    symbol, extra = samples, []
+    if refs:
+        parts, done, place = [], 0, 0
+        for at, n in refs:
+            p, value, bits = prefix(n)
+            parts += [samples[done:at], np.array([256 + p], np.uint16)]
+            place += at - done + 1
+            extra.append((place - 1, value, bits))
+            done = at + n
+        symbol = np.concatenate([*parts, samples[done:]])
     if single:
         write_one(w, int(samples[0]))
     else:
-        lengths, table, value, n = _chosen(count)
+        lengths, table, value, n = _chosen(np.bincount(symbol, minlength=280))
         w.write(value, n)
-    for only in (0, 0, 255, 0):
+    # The only distance is 1, which is the second of the near ones.
+    for only in (0, 0, 255, prefix(2)[0] if refs else 0):
         write_one(w, only)
     head = w.value.to_bytes(-(-w.n // 8), "little")
     if single:
         return container(head)
-    n = lengths.astype(np.uint8)[samples]
-    code = table[samples]
-    at = np.cumsum(n, dtype=np.int64)
+    n = lengths.astype(np.uint8)[symbol]
+    code = table[symbol]
+    size = n
+    if extra:
+        size = n.copy()
+        for i, _, bits in extra:
+            size[i] += bits
+    at = np.cumsum(size, dtype=np.int64)
     bits = np.zeros(w.n + int(at[-1]), np.uint8)
     bits[: w.n] = np.unpackbits(np.frombuffer(head, np.uint8), bitorder="little")[: w.n]
     at += w.n
-    at -= n
+    at -= size
     for k in range(int(n.max())):
         on = np.flatnonzero((code >> np.uint16(k)) & np.uint16(1))
         bits[at[on] + k] = 1
+    for i, value, many in extra:
+        first = int(at[i] + n[i])
+        bits[first : first + many] = [value >> k & 1 for k in range(many)]
     return container(np.packbits(bits, bitorder="little").tobytes())

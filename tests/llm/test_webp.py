@@ -79,3 +79,38 @@ def test_media_columns(spark):
     kept = media.media_columns(cases.docs(spark, rows[:3]), keep_media=True).collect()
     assert all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes for r in kept)
     assert media.media_columns(cases.docs(spark, [])).collect() == []
+
+
+def test_runs_are_references_and_read_back():
+    from factloom.llm import media
+
+    rng = np.random.default_rng(3)
+    for n, run in ((576, 300), (5760, 16), (576 * 20, 9000), (1152, 2), (576, 575)):
+        x = rng.integers(97, 110, n).astype(np.uint8)
+        x[n - run :] = 255
+        x[n // 3 : n // 3 + run // 4] = 65
+        refs = webp.runs(x)
+        assert all((x[at : at + k] == x[at - 1]).all() and 0 < k <= webp.LONGEST for at, k in refs)
+        assert not refs if run < webp.RUN else sum(k for _, k in refs) >= run - 3 - run // 4
+        w, h = webp.shape_of(n, media.ROW)
+        file = webp.encode_grey(x, w, h)
+        assert (webp.decode(file)[..., 1].ravel() == x).all() and (webp.decode(file)[..., 3] == 255).all()
+    for v in (1, 2, 4, 5, 100, 4096):
+        p, value, bits = webp.prefix(v)
+        stream = webp.Bits(int(value).to_bytes(4, "little"))
+        assert webp._prefixed(stream, p) == v and stream.at == bits
+
+
+def test_texts_meet_references_and_long_ones_several_images(spark):
+    from factloom.llm import media
+
+    rows = [(i, t) for i, t in cases.texts()]
+    met = sum(bool(webp.runs(media.payload(np.frombuffer((t or "").encode(), np.uint8)))) for _, t in rows)
+    assert met > len(rows) // 2
+    x = np.frombuffer(("abc" * 2000).encode(), np.uint8)
+    p = media.payload(x)
+    back, greys = media.load(media.store(p, 1152), len(p), 1152)
+    assert (back == p).all() and len(greys) == -(-len(p) // 1152)
+    got = media.media_columns(cases.docs(spark, rows), keep_media=True).collect()
+    want = {i: media.payload(np.frombuffer((t or "").encode(), np.uint8)).tobytes() for i, t in rows}
+    assert {r.doc_id: bytes(r.pixels) for r in got} == want
