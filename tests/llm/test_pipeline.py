@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
     left = {r.doc_id for r in kept["toxicity"][1].collect()}
     assert len(toxic & left) <= 0.1 * len(toxic) and len({i for i, _ in rows} - toxic - left) <= 0.01 * len(rows)
     before, after = kept["near_dedup"]
-    want = {i for i, _, _, k in near([(r.doc_id, r.text) for r in before.collect()]) if k}
+    want = {i for i, _, _, k in near([(r.doc_id, r.text) for r in before.collect()], 80) if k}
     assert {r.doc_id for r in after.collect()} == want
     before, after = kept["substring_dedup"]
     old, new = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
@@ -59,3 +59,19 @@ def test_stages(spark, tmp_path):
     for r in after.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == {i: lengths[i] * n for i, n in times.items()}
+
+
+def test_odd_rows_and_extra_columns(spark, tmp_path):
+    rows = [(None, "a b c"), (None, None), (5, "one two three four five six"), (5, "one two three four five six"), (7, ""), (8, " \t"), (9, "x " * 20_000), (10, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, df in (("odd", cases.docs(spark, rows, extra=True)), ("none", cases.docs(spark, []))):
+        left = df
+        for stage, fn in cp.STAGES:
+            out = fn(spark, left, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}-{stage}")
+            left = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage != "packing":
+                assert left.columns == COLS
+            if stage in ("toxicity", "near_dedup", "substring_dedup"):
+                assert left.count() == df.count()
+        assert (left.count() == 0) == (name == "none")
