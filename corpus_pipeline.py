@@ -21,19 +21,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier doesn't call toxic."""
+    """Documents the classifier doesn't call toxic.
+
+    Null and empty texts get the intercept's score, which is the prior, and stay. A null doc_id is
+    no row to learn from, and its text is judged like any other; so is each of repeated rows. Very
+    long texts are read whole. Equal scores fare alike. Without labels nothing is toxic; an empty
+    table stays empty. Columns beyond those of documents are dropped.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(COLUMNS), model).where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group."""
-    gone = near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    """One document, that of the smallest id, of each near-duplicate group (similarity 0.8 or more).
+
+    Null, empty and blank texts have no shingles and stay, as do rows without doc_id. Rows that
+    share a doc_id are one document: all stay or all go. Very long texts are compared whole; ties
+    go to the smaller id; an empty table stays empty. Columns beyond those of documents are dropped.
+    """
+    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that repeat an earlier document; other texts stay as they are."""
+    """Texts without the words that repeat an earlier document; other texts stay as they are.
+
+    Null and empty texts, and those under 50 words, stay; rows without doc_id keep all words and
+    cut nothing; rows that share a doc_id don't cut one another. Of equal passages that of the
+    smallest doc_id stays. Very long texts are read whole. A document may lose all its words, and
+    stays as an empty text. An empty table stays empty. Columns beyond those of documents are dropped.
+    """
     _, cut = substring_dedup(docs, carry=("lang", "source", "n_chars"))
     cut = settle(cut, "cut")
     changed = F.col("n_removed") > 0
@@ -49,7 +66,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: not at all, or up to three times.
+
+    Null and empty texts hold no words and aren't taken. Rows without doc_id and rows that share
+    one are paired with their sizes and sources, and are mixed each; a null source is a source of its
+    own. Among equal lengths a hash of doc_id decides. Very long texts count whole; an empty table
+    stays empty. Columns beyond those of documents are dropped.
+    """
     picks = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("p"))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     order = Window.partitionBy("doc_id").orderBy(size, F.col("source").asc_nulls_first(), "text")
@@ -59,7 +82,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens.
+
+    A null or empty text has the closing token alone. Repeated rows, and those without doc_id, are
+    packed each; very long texts are cut into full sequences and a rest; equal lengths are placed
+    in the order of their rows. An empty table gives no pieces.
+    """
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
