@@ -7,6 +7,9 @@ p: p * E+[l(f)] + max(0, Eu[l(-f)] - p * E+[l(-f)]) with the logistic loss; wher
 second part falls below zero, the step goes the other way, so the classifier doesn't
 learn to call every unlabelled text clean.
 
+The intercept is set after training so that unlabelled texts score the prior on average; a
+threshold then parts texts by the weights that training found, at the rate the prior expects.
+
 Fitting uses at most about ``positives`` and ``unlabelled`` texts, chosen by a hash of
 doc_id; the prior is the share of toxic rows among all labelled rows of the training part.
 Every whole text is scored. Words are runs of ASCII letters, digits and bytes from 128 on,
