@@ -109,17 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round unites the edges of every partition by themselves, which leaves one edge a node,
     and then alternates large-star and small-star over all, until each node points at its
-    component's smallest. A task holds the edges of its own partition only.
+    component's smallest: no node points at two nodes, or is pointed at and points on. A task
+    holds the edges of its own partition only.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    before = None
     while True:
         e = settle(e.mapInArrow(_contract, "u long, v long"), "edges")
-        after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if after == before:
-            break
-        before = after
+        ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+        label = ends.groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("top"))
+        if label.where("comp <> top").limit(1).count() == 0:
+            return label.select("node", "comp")
         e = _star_round(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    )
