@@ -61,15 +61,14 @@ def describe(grey: np.ndarray) -> str:
     """Width, height, sum, horizontal and vertical change, and an 8 by 8 mean hash."""
     g = grey.astype(np.int32)
     h, w = g.shape
-    rows = np.linspace(0, h, 9).astype(int)
-    cols = np.linspace(0, w, 9).astype(int)
+    rows, cols = np.arange(9) * h // 8, np.arange(9) * w // 8
     total = np.add.reduceat(np.add.reduceat(g, np.minimum(rows[:-1], h - 1), axis=0), np.minimum(cols[:-1], w - 1), axis=1)
-    area = np.maximum(1, np.diff(rows))[:, None] * np.maximum(1, np.diff(cols))[None, :]
+    area = np.maximum(1, rows[1:] - rows[:-1])[:, None] * np.maximum(1, cols[1:] - cols[:-1])[None, :]
     cell = total // area
-    bits = "".join("1" if b else "0" for b in (cell.ravel() * 64 > cell.sum()))
-    dx = int(np.abs(np.diff(g, axis=1)).sum())
-    dy = int(np.abs(np.diff(g, axis=0)).sum())
-    return f"{w}x{h};{int(g.sum())};{dx};{dy};{int(bits, 2):016x}"
+    bits = np.packbits(cell.ravel() * 64 > cell.sum()).tobytes().hex()
+    dx = int(np.abs(g[:, 1:] - g[:, :-1]).sum())
+    dy = int(np.abs(g[1:] - g[:-1]).sum())
+    return f"{w}x{h};{int(g.sum())};{dx};{dy};{bits}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

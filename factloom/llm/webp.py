@@ -1,21 +1,20 @@
 """Lossless WebP (VP8L): a decoder of the whole format and an encoder of grey images.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Runs of literals whose
-red, blue and alpha codes hold one symbol each are read through a table of the literals that
-the next bits hold, so a step of a loop reads several samples and makes no call. Prefix
-codes met before are recognised by their bits and not built again.
+predictor, cross-colour, subtract-green and palette transforms. Literals whose red, blue and
+alpha codes hold one symbol each are found for a span of the stream at once: from every bit the
+place of the next literal is looked up, and by doubling those of the second, fourth and eighth,
+so a loop takes a step for eight samples. Prefix codes met before are recognised by their bits
+and not built again.
 
 The encoder writes grey images: samples as literals, a run of equal samples as one literal and
-back-references to the sample before, with one of two codes given by a rule, or with a Huffman
-code of the image's own where that is clearly shorter. On grey images of texts the colour cache
-and the cross-colour transform can't save a bit, for red, blue and alpha take none; these and
-the predictor and palette are for images of other writers.
+back-references to the sample before, with a Huffman code of the image's own. On grey images of
+texts the colour cache and the cross-colour transform can't save a bit, for red, blue and alpha
+take none; these and the predictor and palette are for images of other writers.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 
 import numpy as np
@@ -53,53 +52,49 @@ class Bits:
         return v & ((1 << n) - 1)
 
 
+#: 15-bit numbers with their bits turned round.
+_TURNED = np.zeros(1 << 15, np.int64)
+for _k in range(15):
+    _TURNED |= (np.arange(1 << 15) >> _k & 1) << (14 - _k)
+
+
+def _ordered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in the order of their codes, the codes' lengths, and the codes as 15-bit numbers, first bit highest."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used]
+    part = np.int64(1) << (15 - n)
+    return used, n, np.cumsum(part) - part
+
+
+def canonical(lengths: np.ndarray) -> dict[int, int]:
+    """Codes by symbol, first bit lowest."""
+    used, _, code = _ordered(np.asarray(lengths, np.int64))
+    return dict(zip(used.tolist(), _TURNED[code].tolist()))
+
+
 class Code:
     """A prefix code as a table over the next ``width`` bits."""
 
     def __init__(self, lengths):
         lengths = np.asarray(lengths, np.int64)
-        used = np.flatnonzero(lengths)
+        used, n, _ = _ordered(lengths)
         self.single = None
         if len(used) <= 1:
             self.single, self.width = int(used[0]) if len(used) else 0, 0
             return
-        self.width = int(lengths.max())
-        codes = canonical(lengths)
-        if int((1 << (self.width - lengths[used])).sum()) != 1 << self.width:
+        self.width = w = int(n[-1])
+        span = 1 << (w - n)
+        if int(span.sum()) != 1 << w:
             raise ValueError("a prefix code is incomplete or over-full")
-        self.uses = 0
-        self._many = None
-        self.symbol = np.zeros(1 << self.width, np.int32)
-        self.length = np.zeros(1 << self.width, np.uint8)
-        for s in used.tolist():
-            n = int(lengths[s])
-            self.symbol[codes[s] :: 1 << n] = s
-            self.length[codes[s] :: 1 << n] = n
+        turned = _TURNED[: 1 << w] >> (15 - w)
+        self.symbol = np.repeat(used, span).astype(np.uint16)[turned]
+        self.length = np.repeat(n, span).astype(np.uint8)[turned]
+        # Bits to go on; none where another symbol than a literal stands.
+        self.step = np.where(self.symbol < 256, self.length, 0)
         self._s = self._n = None
         self.reads = 0
 
-    def literals(self, large: bool):
-        """(window bits, bits of the whole literals in it, their number, themselves); no bits where it starts with another symbol.
-
-        One literal at a time at first; several once the code has been met often or has much to read.
-        """
-        self.uses += 1
-        if self._many is None or self._many[0] < 16 and (large or self.uses == 4):
-            w = 16 if large or self.uses >= 4 else self.width
-            index = np.arange(1 << w)
-            at, n = np.zeros(1 << w, np.int64), np.zeros(1 << w, np.uint8)
-            most = max(1, w // int(self.length.min()))
-            out = np.zeros((1 << w, most), np.uint8)
-            alive = np.ones(1 << w, bool)
-            for k in range(most):
-                v = index >> at & ((1 << self.width) - 1)
-                alive &= (self.symbol[v] < 256) & (self.length[v] + at <= w)
-                out[alive, k] = self.symbol[v[alive]]
-                at[alive] += self.length[v[alive]]
-                n += alive
-            self._many = w, at.astype(np.uint8), n, out
-        return self._many
-
     @classmethod
     def of_one(cls, symbol: int) -> "Code":
         c = cls.__new__(cls)
@@ -126,19 +121,6 @@ class Code:
         return self._s[v]
 
 
-def canonical(lengths: np.ndarray) -> dict[int, int]:
-    """Codes by symbol, first bit lowest."""
-    out, code, before = {}, 0, 0
-    used = np.flatnonzero(lengths)
-    for s in used[np.lexsort((used, lengths[used]))].tolist():
-        n = int(lengths[s])
-        code <<= n - before
-        before = n
-        out[s] = int(format(code, f"0{n}b")[::-1], 2)
-        code += 1
-    return out
-
-
 def read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
     if bits.read(1):
@@ -154,20 +136,36 @@ def read_code(bits: Bits, size: int) -> Code:
         outer[k] = bits.read(3)
     code = Code(outer)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    i, before = 0, 8
+    if code.single is None:
+        symbol, step, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.width) - 1
+    else:
+        symbol, step, mask = [code.single], [0], 0
+    i, before, data, at = 0, 8, bits.data, bits.at
     while i < size and most:
         most -= 1
-        s = code.read(bits)
+        # A code of at most 7 bits and its at most 7 extra bits.
+        v = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        s, n = symbol[v & mask], step[v & mask]
+        at += n
         if s < 16:
             lengths[i] = s
             i += 1
             before = s or before
+            continue
+        v >>= n
+        if s == 16:
+            n, value, at = 3 + (v & 3), before, at + 2
+        elif s == 17:
+            n, value, at = 3 + (v & 7), 0, at + 3
         else:
-            n, v = (3 + bits.read(2), before) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-            if i + n > size:
-                raise ValueError("code lengths overrun the alphabet")
-            lengths[i : i + n] = [v] * n
-            i += n
+            n, value, at = 11 + (v & 127), 0, at + 7
+        if i + n > size:
+            raise ValueError("code lengths overrun the alphabet")
+        lengths[i : i + n] = [value] * n
+        i += n
+    bits.at = at
+    if at > 8 * len(data):
+        raise ValueError("the stream ends early")
     return Code(lengths)
 
 
@@ -199,17 +197,61 @@ def _codes(bits: Bits, sizes: tuple) -> list[Code]:
     return codes
 
 
-def _literal_steps(bits: Bits, code: Code, samples: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit from here on: the bits of the literals read there at once (0 where a back-reference begins), their number, and the window; then number and literals by window."""
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data[first:] + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
-    width, step, number, many = code.literals(samples > 1 << 16)
-    look = np.empty((len(word), 8), np.uint16)
-    for s in range(8):
-        look[:, s] = (word >> np.uint32(s)) & np.uint32((1 << width) - 1)
-    look = look.ravel()
-    return step[look].tobytes(), number[look].tobytes(), look, number, many
+#: Bits of a stream that are looked at together.
+SPAN = 1 << 18
+
+
+class Literals:
+    """Literals of one code, found by following the code lengths from every bit of a span at once."""
+
+    def __init__(self, bits: Bits, code: Code):
+        self.bits, self.code, self.first, self.end = bits, code, 0, 0
+
+    def look(self) -> None:
+        """Tables over the bits from the reader's place on: the places one, two, four and eight literals further, or of the symbol that is none."""
+        data, code = self.bits.data, self.code
+        start = self.bits.at >> 3
+        raw = np.frombuffer(data[start : start + SPAN // 8 + 3], np.uint8).astype(np.uint32)
+        size = min(SPAN // 8, len(raw))
+        raw = np.append(raw, np.zeros(3, np.uint32))
+        word = raw[: size] | raw[1 : size + 1] << np.uint32(8) | raw[2 : size + 2] << np.uint32(16)
+        look = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.width) - 1)).ravel().astype(np.intp)
+        self.first, self.end = 8 * start, 8 * start + len(look)
+        self.window = look
+        # A literal that leaves the span ends in the places behind it, which stay where they are.
+        hop = np.arange(len(look) + 16)
+        hop[: len(look)] += code.step[look]
+        self.hops = [hop]
+        for _ in range(3):
+            self.hops.append(self.hops[-1][self.hops[-1]])
+        self.leap = memoryview(self.hops.pop())
+
+    def take(self, most: int) -> np.ndarray:
+        """The literals from the reader's place on, ``most`` at most, up to another symbol or the end of the span."""
+        if not self.first <= self.bits.at < self.end:
+            self.look()
+        at = self.bits.at - self.first
+        leap, last, seen = self.leap, self.end - self.first, []
+        for _ in range(-(-most // 8)):
+            seen.append(at)
+            to = leap[at]
+            if to == at:
+                break
+            at = to
+            if at >= last:
+                break
+        place = np.array(seen)[:, None]
+        for hop in self.hops[::-1]:
+            place = np.concatenate([place, hop[place]], axis=1)
+        # Places in order: by eights, then fours, twos and ones.
+        place = place[:, (0, 4, 2, 6, 1, 5, 3, 7)].ravel()
+        moved = np.append(place[1:] > place[:-1], leap[place[-1]] > place[-1])
+        n = min(most, int(moved.sum()) if moved.all() else int(np.argmin(moved)))
+        got = self.code.symbol[self.window[place[:n]]]
+        self.bits.at = self.first + (int(place[n]) if n < len(place) else at)
+        if self.bits.at > 8 * len(self.bits.data):
+            raise ValueError("the stream ends early")
+        return got
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -232,38 +274,17 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if plain and green.single is not None and green.single < 256:
         out[:] = fixed | green.single << 8
         return out
-    if plain and green.single is None:
-        base = bits.at & ~7
-        step, number, look, held, many = _literal_steps(bits, green, total)
+    literals = Literals(bits, green) if plain and green.single is None else None
     cache = [0] * (1 << cache_bits) if cache_bits else None
     done = 0
     n = 0
     while n < total:
-        if plain and green.single is None:
-            p, seen = bits.at - base, []
-            add, left = seen.append, total - n
-            while left > 0:
-                k = step[p]
-                if not k:
-                    break
-                add(p)
-                left -= number[p]
-                p += k
-            if seen:
-                if left < 0:
-                    p = seen.pop()
-                at = look[np.array(seen, np.int64)]
-                got = many[at][np.arange(many.shape[1]) < held[at][:, None]]
-                bits.at = base + p
-                if left < 0:
-                    # The window runs over the last sample: the rest is read one by one.
-                    got = np.append(got, np.array([green.read(bits) for _ in range(total - n - len(got))], np.uint8))
+        if literals:
+            got = literals.take(total - n)
+            if len(got):
                 out[n : n + len(got)] = got.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
                 n += len(got)
-                if bits.at > 8 * len(bits.data):
-                    raise ValueError("the stream ends early")
-            if n == total:
-                break
+                continue
         if which is not None:
             y, x = divmod(n, width)
             green, red, blue, alpha, far = codes[which[y >> block, x >> block]]
@@ -280,7 +301,9 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 dist = max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
             if dist > n or n + length > total:
                 raise ValueError("a back-reference leaves the image")
-            if dist >= length:
+            if dist == 1:
+                out[n : n + length] = out[n - 1]
+            elif dist >= length:
                 out[n : n + length] = out[n - dist : n - dist + length]
             else:
                 out[n : n + length] = np.resize(out[n - dist : n], length)
@@ -454,24 +477,33 @@ def decode(data: bytes) -> np.ndarray:
 def code_lengths(count: np.ndarray, most: int = 12) -> np.ndarray:
     """Huffman code lengths of at most ``most`` bits; rare counts are raised until the code is short enough."""
     used = np.flatnonzero(count)
+    used = used[np.argsort(count[used], kind="stable")]
+    leaves, n = count[used].tolist(), len(used)
     out = np.zeros(len(count), np.int64)
     floor = 1
-    while True:
-        heap = [(max(int(count[s]), floor), k, (s,)) for k, s in enumerate(used.tolist())]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used.tolist(), 0)
-        k = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], k, a[2] + b[2]))
-            k += 1
-        if max(depth.values()) <= most:
+    while n > 1:
+        # Sums arise in rising order, so two rising rows, leaves and sums, are merged without a heap.
+        weight, parent = [x if x > floor else floor for x in leaves], [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner == k or weight[leaf] <= weight[inner]):
+                    total += weight[leaf]
+                    parent[leaf] = k
+                    leaf += 1
+                else:
+                    total += weight[inner]
+                    parent[inner] = k
+                    inner += 1
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:
+            out[used] = depth[:n]
             break
         floor *= 2
-    for s, n in depth.items():
-        out[s] = n
     return out
 
 
@@ -499,15 +531,10 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
             w.write(s, 8)
         return
     tokens: list[tuple[int, int, int]] = []
-    i, n = 0, len(lengths)
-    values = lengths.tolist()
-    end = int(used[-1]) + 1
-    while i < end:
-        v, j = values[i], i
-        while j < end and values[j] == v:
-            j += 1
+    n, end = len(lengths), int(used[-1]) + 1
+    edge = [0, *(np.flatnonzero(np.diff(lengths[:end])) + 1).tolist(), end]
+    for i, j, v in zip(edge, edge[1:], lengths[edge[:-1]].tolist()):
         run = j - i
-        i = j
         if v:
             tokens += [(v, 0, 0)] * run
             continue
@@ -524,11 +551,12 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         outer[0 if not outer[0] else 1] += 1
     inner = code_lengths(outer, 7)
     codes = canonical(inner)
+    inner = inner.tolist()
     last = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if inner[s]) + 1
     w.write(0, 1)
     w.write(max(last, 4) - 4, 4)
     for s in CODE_LENGTH_ORDER[: max(last, 4)]:
-        w.write(int(inner[s]), 3)
+        w.write(inner[s], 3)
     if len(tokens) >= 2 and end < n:
         need = (len(tokens) - 2).bit_length()
         k = max(0, -(-(need - 2) // 2))
@@ -541,8 +569,7 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
             # One token only: the rest of the alphabet follows as zeros of their own.
             raise ValueError("a code of one length")
     for s, extra, bits in tokens:
-        w.write(codes[s], int(inner[s]))
-        w.write(extra, bits)
+        w.write(codes[s] | extra << inner[s], inner[s] + bits)
 
 
 def container(stream: bytes) -> bytes:
@@ -559,52 +586,6 @@ def shape_of(samples: int, row: int) -> tuple[int, int]:
     return wide * row, -(-rows // wide)
 
 
-# Bytes of padded prose in falling order of use; the others follow by value.
-_ORDER = b" e\xfftaonihsrldcumgfpwybvk,.\n\xc3TSAIEDOLRCNMPUHWBFGVKJzxjq\xa9\xa4\xb6\xbc\xb3\xa1\xad\xa8\xaa\x9f-'\"0123456789"
-
-
-def _given(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Lengths, codes, and the bits of the code's header (value and number)."""
-    lengths = code_lengths(weights)
-    w = Writer()
-    write_code(w, lengths)
-    table = np.zeros(280, np.uint16)
-    for s, c in canonical(lengths).items():
-        table[s] = c
-    return lengths, table, w.value, w.n
-
-
-def _prose() -> np.ndarray:
-    w = np.zeros(280, np.int64)
-    w[:] = 20
-    w[256 + 14 : 256 + 20] = 2_000
-    for k, b in enumerate(_ORDER):
-        w[b] = 400_000 // (k + 3)
-    return w
-
-
-def _even() -> np.ndarray:
-    return np.ones(280, np.int64)
-
-
-_rules: list = []
-
-
-def _chosen(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The shorter given code, or the image's own if that saves a fifth with its header."""
-    if not _rules:
-        _rules.extend(_given(f()) for f in (_prose, _even))
-    size = [int((count * r[0]).sum()) + r[3] for r in _rules]
-    best = _rules[int(np.argmin(size))]
-    p = count[count > 0] / count.sum()
-    entropy = float(-(p * np.log2(p)).sum() * count.sum())
-    if len(p) > 1 and entropy + 5 * len(p) < 0.8 * min(size):
-        own = _given(count)
-        if int((count * own[0]).sum()) + own[3] < 0.8 * min(size):
-            return own
-    return best
-
-
 #: Runs of at least so many equal samples become back-references of at most LONGEST.
 RUN, LONGEST = 16, 4096
 
@@ -647,43 +628,58 @@ def encode_grey(samples: np.ndarray, width: int, height: int) -> bytes:
     w.write(0, 1)
     single = not (samples != samples[0]).any()
     refs = [] if single else runs(samples)
-    symbol, extra = samples, []
+    symbol, extra = samples, np.zeros((0, 3), np.int64)
     if refs:
-        parts, done, place = [], 0, 0
+        parts, done, place, found = [], 0, 0, []
         for at, n in refs:
             p, value, bits = prefix(n)
             parts += [samples[done:at], np.array([256 + p], np.uint16)]
             place += at - done + 1
-            extra.append((place - 1, value, bits))
+            found.append((place - 1, value, bits))
             done = at + n
-        symbol = np.concatenate([*parts, samples[done:]])
+        symbol, extra = np.concatenate([*parts, samples[done:]]), np.array(found, np.int64)
     if single:
         write_one(w, int(samples[0]))
     else:
-        lengths, table, value, n = _chosen(np.bincount(symbol, minlength=280))
-        w.write(value, n)
+        count = sum(np.bincount(symbol[at : at + PART], minlength=280) for at in range(0, len(symbol), PART))
+        lengths = code_lengths(count)
+        write_code(w, lengths)
     # The only distance is 1, which is the second of the near ones.
     for only in (0, 0, 255, prefix(2)[0] if refs else 0):
         write_one(w, only)
-    head = w.value.to_bytes(-(-w.n // 8), "little")
     if single:
-        return container(head)
-    n = lengths.astype(np.uint8)[symbol]
-    code = table[symbol]
-    size = n
-    if extra:
-        size = n.copy()
-        for i, _, bits in extra:
-            size[i] += bits
-    at = np.cumsum(size, dtype=np.int64)
-    bits = np.zeros(w.n + int(at[-1]), np.uint8)
-    bits[: w.n] = np.unpackbits(np.frombuffer(head, np.uint8), bitorder="little")[: w.n]
-    at += w.n
-    at -= size
-    for k in range(int(n.max())):
-        on = np.flatnonzero((code >> np.uint16(k)) & np.uint16(1))
-        bits[at[on] + k] = 1
-    for i, value, many in extra:
-        first = int(at[i] + n[i])
-        bits[first : first + many] = [value >> k & 1 for k in range(many)]
-    return container(np.packbits(bits, bitorder="little").tobytes())
+        return container(w.value.to_bytes(-(-w.n // 8), "little"))
+    return container(_packed(w, symbol, lengths, extra, w.n + int((count * lengths).sum() + extra[:, 2].sum())))
+
+
+#: Symbols that are packed at a time.
+PART = 1 << 20
+
+
+def _packed(w: Writer, symbol: np.ndarray, lengths: np.ndarray, extra: np.ndarray, total: int) -> bytes:
+    """The header's bits and then each symbol's code with its extra bits (place, value, number)."""
+    table = np.zeros(len(lengths), np.int64)
+    for s, c in canonical(lengths).items():
+        table[s] = c
+    out = np.zeros(-(-total // 32) + 2, np.uint64)
+    head = np.frombuffer(w.value.to_bytes(4 * -(-w.n // 32), "little"), "<u4")
+    out[: len(head)] = head
+    begin = w.n
+    for lo in range(0, len(symbol), PART):
+        part = symbol[lo : lo + PART]
+        code, size = table[part], lengths[part]
+        a, b = np.searchsorted(extra[:, 0], (lo, lo + PART))
+        if b > a:
+            at = extra[a:b, 0] - lo
+            code[at] |= extra[a:b, 1] << size[at]
+            size[at] += extra[a:b, 2]
+        at = np.cumsum(size)
+        end = begin + int(at[-1])
+        at += begin - size
+        # Bits of one word never overlap, and codes end below bit 53, so their sum is exact as a float.
+        first = begin >> 5
+        word = np.bincount((at >> 5) - first, weights=code << (at & 31)).astype(np.uint64)
+        out[first : first + len(word)] += word & np.uint64(0xFFFFFFFF)
+        out[first + 1 : first + 1 + len(word)] += word >> np.uint64(32)
+        begin = end
+    return out.astype("<u4").tobytes()[: -(-total // 8)]

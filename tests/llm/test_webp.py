@@ -114,3 +114,53 @@ def test_texts_meet_references_and_long_ones_several_images(spark):
     got = media.media_columns(cases.docs(spark, rows), keep_media=True).collect()
     want = {i: media.payload(np.frombuffer((t or "").encode(), np.uint8)).tobytes() for i, t in rows}
     assert {r.doc_id: bytes(r.pixels) for r in got} == want
+
+
+@pytest.mark.parametrize("span,part", [(8, 1), (64, 7), (264, 100)])
+def test_spans_and_parts_of_any_size(monkeypatch, span, part):
+    rng = np.random.default_rng(span)
+    texts = [rng.choice([97, 98, 99], 3000, p=[0.9, 0.09, 0.01]), rng.integers(0, 256, 2000), np.repeat(rng.integers(97, 110, 90), rng.integers(1, 60, 90)), (rng.geometric(0.02, 4000) % 256)]
+    payloads = [media.payload(x.astype(np.uint8)) for x in texts]
+    whole = [media.store(p) for p in payloads]
+    monkeypatch.setattr(webp, "SPAN", span)
+    monkeypatch.setattr(webp, "PART", part)
+    for p, file in zip(payloads, whole):
+        assert media.store(p) == file
+        assert (media.load(file, len(p))[0] == p).all()
+
+
+def test_code_lengths_are_huffman_and_limited():
+    import heapq
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 19, 60, 280):
+        count = np.zeros(280, np.int64)
+        count[rng.permutation(280)[:n]] = rng.integers(1, 1000, n)
+        got = webp.code_lengths(count, 40)
+        heap, cost = sorted(count[count > 0].tolist()), 0
+        while len(heap) > 1:
+            s = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += s
+            heapq.heappush(heap, s)
+        assert int((got * count).sum()) == cost and sum(2.0 ** -got[got > 0]) == 1
+    steep = np.array([2**k for k in range(40)])
+    short = webp.code_lengths(steep, 7)
+    assert short.max() <= 7 and sum(2.0**-short) == 1
+
+
+def test_feature_against_loops():
+    rng = np.random.default_rng(2)
+    for h, w in ((1, 576), (3, 576), (17, 576), (40, 1152)):
+        g = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        v = g.tolist()
+        cells = []
+        for i in range(8):
+            top, below = h * i // 8, h * (i + 1) // 8
+            for j in range(8):
+                left, right = w * j // 8, w * (j + 1) // 8
+                # A band without rows takes the row at its place.
+                cells.append(sum(v[y][x] for y in range(top, max(below, top + 1)) for x in range(left, right)) // (max(1, below - top) * (right - left)))
+        bits = "".join("1" if c * 64 > sum(cells) else "0" for c in cells)
+        dx = sum(abs(a - b) for r in v for a, b in zip(r, r[1:]))
+        dy = sum(abs(a - b) for r, q in zip(v, v[1:]) for a, b in zip(r, q))
+        assert media.describe(g) == f"{w}x{h};{sum(map(sum, v))};{dx};{dy};{int(bits, 2):016x}"
