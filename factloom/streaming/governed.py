@@ -41,6 +41,11 @@ def evidence_stream(candidates: DataFrame) -> DataFrame:
     return candidates.select(*cols).groupBy("subject_id", "predicate").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_outcomes(decisions: DataFrame, at: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts by decision and tumbling window; rows later than the watermark are left out."""
-    return decisions.withWatermark(at, late).groupBy(F.window(at, width), "decision").count()
+def windowed_outcomes(decisions: DataFrame, at: str, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Counts by decision and window, tumbling or with ``slide`` sliding; rows whose windows the watermark had passed in the micro-batch before are left out."""
+    return decisions.withWatermark(at, late).groupBy(F.window(at, width, slide), "decision").count()
+
+
+def session_outcomes(decisions: DataFrame, at: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Counts by decision and session, which ends ``gap`` after its last row."""
+    return decisions.withWatermark(at, late).groupBy(F.session_window(at, gap), "decision").count()
