@@ -15,6 +15,7 @@ from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .periodic import digests, periodic_runs, with_planted_periods
 from .substring import substring_dedup
 from .viterbi import token_counts
 
@@ -76,6 +77,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(_table(spark, sf_dir, "documents"), with_planted_periods))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_source_mixing": op9_source_mixing,
         "op10_minhash": op10_minhash,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
