@@ -41,13 +41,43 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], n: int | None = None) -> str:
+    """Write ``df`` to the shared folder in buckets by ``keys``, each sorted by them; the table's name.
+
+    Joins on these keys with tables of as many buckets read them as they lie, without a shuffle.
+    """
+    spark = df.sparkSession
+    table = f"factloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(n or shuffle_width(spark), *keys).sortBy(*keys).saveAsTable(table)
+    _written.append((spark, path))
+    return table
+
+
+def bucket_files(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """The rows of tables of ``bucketed`` of one schema, without their buckets."""
+    return spark.read.schema(spark.table(tables[0]).schema).parquet(*(f"{shared_folder(spark)}/{t}" for t in tables))
+
+
+def drop_bucketed(spark: SparkSession, table: str) -> None:
+    """Delete a table of ``bucketed`` that nothing will read again."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for entry in [x for x in _written if x[1].endswith(f"/{table}")]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 

@@ -11,6 +11,7 @@ from . import toxicity
 from .chat import render
 from .egojoin import self_join
 from .license import license_scan
+from .lines import line_dedup
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix
@@ -77,6 +78,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(_table(spark, sf_dir, "documents"), with_planted_periods))
 
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_source_mixing": op9_source_mixing,
         "op10_minhash": op10_minhash,
+        "op12_line_dedup": op12_line_dedup,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -184,10 +191,29 @@ GROUP BY id, n, chat
 """
 
 
+_OP12 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT rid, doc_id, i, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+k AS (
+  SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM line
+),
+f AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 AND doc_id IS NOT NULL
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+m AS (SELECT k.*, coalesce(doc_id <> top, false) AS dropped FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": _OP1,
         "op3_substring_dedup": _OP3,
         "op4_chat_formatting": _OP4,
         "op10_minhash": _OP10,
+        "op12_line_dedup": _OP12,
     }
