@@ -18,6 +18,7 @@ from .mixing import mix
 from .packing import pack
 from .periodic import digests, periodic_runs, with_planted_periods
 from .substring import substring_dedup
+from .trie import prefix_trie, with_shared_openings
 from .viterbi import token_counts
 
 
@@ -78,6 +79,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"), with_shared_openings)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_source_mixing": op9_source_mixing,
         "op10_minhash": op10_minhash,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_line_dedup": op12_line_dedup,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -191,6 +197,49 @@ GROUP BY id, n, chat
 """
 
 
+# The checksum of a decimal number, bit by bit: a byte is mixed in, then eight steps of the polynomial follow.
+_CRC = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, o: CASE WHEN o >= 0 THEN xor(x, o) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"""
+
+_OP11 = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC}, 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)
+),
+lent AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) b ON b.conv_id = base),
+r AS (
+  SELECT lent.conv_id, pos AS depth, id, words FROM lent JOIN t ON t.conv_id = base AND pos <= m
+  UNION ALL
+  SELECT conv_id, m + pos - h, id, words FROM t JOIN lent USING (conv_id) WHERE pos > h
+),
+size AS (SELECT c.conv_id, count(depth) AS n FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+pre AS (
+  SELECT conv_id, depth, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS id FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+),
+node AS (SELECT id, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM pre GROUP BY id, depth),
+kid AS (SELECT left(id, 64 * (depth - 1)) AS id, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+sub AS (
+  SELECT a.id, count(*) FILTER (k.n IS NULL) AS leaves, sum(x.saved) AS saved
+  FROM node x JOIN pre a ON a.conv_id = x.conv_id AND a.depth <= x.depth LEFT JOIN kid k ON k.id = x.id GROUP BY a.id
+),
+fin AS (
+  SELECT id, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha
+  FROM pre JOIN size USING (conv_id) WHERE depth = n GROUP BY id
+)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(sub.saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM node x JOIN sub USING (id) LEFT JOIN node p ON x.depth > 0 AND p.id = left(x.id, 64 * (x.depth - 1))
+LEFT JOIN kid k ON k.id = x.id LEFT JOIN fin ON fin.id = x.id
+"""
+
 _OP12 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 line AS (SELECT rid, doc_id, i, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
@@ -215,5 +264,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": _OP3,
         "op4_chat_formatting": _OP4,
         "op10_minhash": _OP10,
+        "op11_prefix_trie": _OP11,
         "op12_line_dedup": _OP12,
     }
