@@ -30,10 +30,11 @@ def with_ends(candidates: DataFrame, entities: DataFrame) -> DataFrame:
 
 def evidence_units(candidates: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates with n_evidence: one for a source, one for each accepted EVIDENCE_FOR of a document or event into the subject."""
-    return _counted(candidates, "subject_id", _support(edges, entities), "n_support").withColumn("n_evidence", (~blank("source_ref")).cast("long") + F.col("n_support"))
+    return _counted(candidates, "subject_id", support(edges, entities), "n_support").withColumn("n_evidence", (~blank("source_ref")).cast("long") + F.col("n_support"))
 
 
-def _support(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def support(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """object_id, n: accepted EVIDENCE_FOR edges of documents and events."""
     by = entities.where("entity_type in ('Document', 'Event')").select(F.col("id").alias("subject_id"))
     return edges.where("predicate = 'EVIDENCE_FOR'").join(by, "subject_id", "left_semi").groupBy("object_id").agg(F.count("*").alias("n"))
 
@@ -62,24 +63,28 @@ def _at_either(kind: str, status: str, count: str) -> Column:
     return F.coalesce(one("s_"), F.lit(False)) | F.coalesce(one("o_"), F.lit(False))
 
 
-def examine(candidates: DataFrame, entities: DataFrame, edges: DataFrame, margin_pct: int = 10, evidence_min: int = 1, high_pct: int = 80) -> DataFrame:
-    """Candidates with everything the checks look at."""
+def examine_alone(candidates: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates with everything the checks look at that no other candidate can change."""
     df = evidence_units(with_ends(candidates, entities), edges, entities)
     done = edges.where("predicate = 'RESULTS_IN'").groupBy("object_id").agg(F.count("*").alias("n"))
-    support = _support(edges, entities)
+    backing = support(edges, entities)
     for end, p in (("subject_id", "s_"), ("object_id", "o_")):
-        df = _counted(_counted(df, end, done, f"{p}n_done"), end, support, f"{p}n_support")
-    df = df.join(incumbents(candidates, edges), "seq", "left")
-    order = candidates.where("predicate = 'PRECEDES'").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")).distinct()
-    closing = graph.would_close_cycle(order, graph.predicate_subgraph(edges, "PRECEDES"))
-    closing = closing.select(F.lit("PRECEDES").alias("predicate"), F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), F.lit(True).alias("closes"))
-    df = df.join(closing, ["predicate", "subject_id", "object_id"], "left")
+        df = _counted(_counted(df, end, done, f"{p}n_done"), end, backing, f"{p}n_support")
     r = F.broadcast(o.relations(candidates.sparkSession).select("predicate", "source_types", "target_types"))
     df = df.join(r, "predicate", "left").withColumn("value", F.col("confidence").try_cast("double")).withColumn("pct", F.round(100 * F.col("value")))
     fits = F.array_contains("source_types", F.col("s_entity_type")) & F.array_contains("target_types", F.col("o_entity_type"))
     df = df.withColumn("in_range", F.coalesce(fits, F.lit(False)))
     t = F.broadcast(o.transitions(candidates.sparkSession).select(F.col("old").alias("s_status"), F.concat(F.lit("status:"), "new").alias("object_id"), F.lit(True).alias("allowed")))
-    df = df.join(t, ["s_status", "object_id"], "left")
+    return df.join(t, ["s_status", "object_id"], "left")
+
+
+def examine(candidates: DataFrame, entities: DataFrame, edges: DataFrame, margin_pct: int = 10, evidence_min: int = 1, high_pct: int = 80) -> DataFrame:
+    """Candidates with everything the checks look at, each against the accepted edges as they are before all candidates."""
+    df = examine_alone(candidates, entities, edges).join(incumbents(candidates, edges), "seq", "left")
+    order = candidates.where("predicate = 'PRECEDES'").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")).distinct()
+    closing = graph.would_close_cycle(order, graph.predicate_subgraph(edges, "PRECEDES"))
+    closing = closing.select(F.lit("PRECEDES").alias("predicate"), F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), F.lit(True).alias("closes"))
+    df = df.join(closing, ["predicate", "subject_id", "object_id"], "left")
     blocked = (F.col("pct") > high_pct) & (F.col("top_pct") > high_pct)
     dominates = (F.col("write_intent") == "correction") & (F.col("pct") - F.col("top_pct") > margin_pct) & (F.col("n_evidence") >= evidence_min)
     return df.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn("dominates", F.coalesce(dominates, F.lit(False)))
@@ -100,7 +105,7 @@ def checks() -> list[tuple[str, Column]]:
         ("C7", F.col("blocked")),
         ("C8", _at_either("Decision", "final", "n_support")),
         ("C9", ~F.col("in_range")),
-        ("C10", status & (F.col("write_intent") != "correction") & ~same & F.col("allowed").isNull()),
+        ("C10", status & (F.col("write_intent") != "correction") & ~F.coalesce(same, F.lit(False)) & F.col("allowed").isNull()),
     ]
 
 
@@ -131,7 +136,7 @@ def typed_violations(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """seq, kind: the first of schema_invalid, temporally_invalid_interval, unsupported_final_decision, illegal_status_state that an accepted row is, else none."""
     status = F.when(F.col("predicate") == "HAS_STATUS", F.regexp_replace("object_id", "^status:", ""))
     df = with_ends(edges, entities).withColumn("value", status)
-    df = _counted(df, "subject_id", _support(edges, entities), "n_support")
+    df = _counted(df, "subject_id", support(edges, entities), "n_support")
     df = _counted(df, "subject_id", edges.where("predicate = 'RESULTS_IN'").groupBy("object_id").agg(F.count("*").alias("n")), "n_done")
     # A status is reached from a final one if the task also holds another status that allows no change.
     ends = [s for s in {b for _, b in o.TRANSITIONS} if s not in {a for a, _ in o.TRANSITIONS}]

@@ -63,3 +63,22 @@ def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     paths = closure(edges, candidates.select(F.col("dst").alias("src")).distinct())
     back = paths.select(F.col("src").alias("dst"), F.col("dst").alias("src")).distinct().withColumn("path", F.lit(True))
     return candidates.join(back, ["src", "dst"], "left").where("src = dst or path").select("src", "dst")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of the weakly connected components of edges(a, b): comp is the smallest node.
+
+    Large-star and small-star in turns, each an aggregate and a join, until every node points at
+    one root and no root points on.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    while True:
+        flip = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        label = e.unionByName(e.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("comp"), F.max("v").alias("top"))
+        if label.where("comp <> top").isEmpty():
+            return label.select(F.col("u").alias("node"), "comp")
+        low = e.unionByName(flip).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("far")).join(low, "u").select(F.col("far").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = small.where("u <> v").distinct().checkpoint()

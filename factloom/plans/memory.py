@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions import text
-from ..operators import constraints, extract, writepath
+from ..operators import constraints, extract, ordered, writepath
 from ..sources import workspace
 from ..sources.events import LOG_SQL, assertion_log
-from ..sources.workspace import WORKSPACE_SQL
+from ..sources.workspace import WORKSPACE_SQL, WRITE_LOG_SQL
 from .analytics import _checkpointed, _near_match, near_sql
 from .governance import SINGLE
 
@@ -61,14 +61,99 @@ chk AS (
     WHEN predicate = 'ASSIGNED_TO' AND o_type = 'Person' AND o_status = 'inactive' THEN 'C5' WHEN value IS NULL OR value NOT BETWEEN 0 AND 1 THEN 'C6' WHEN pct > 80 AND top > 80 THEN 'C7'
     WHEN (s_type = 'Decision' AND s_status = 'final' AND s_sup = 0) OR (o_type = 'Decision' AND o_status = 'final' AND o_sup = 0) THEN 'C8'
     WHEN NOT coalesce(CASE predicate {_RANGE} END, false) THEN 'C9'
-    WHEN predicate = 'HAS_STATUS' AND s_type = 'Task' AND write_intent <> 'correction' AND 'status:' || s_status <> object_id AND (s_status, object_id) NOT IN ({_CHANGES}) THEN 'C10' END AS failed
+    WHEN predicate = 'HAS_STATUS' AND s_type = 'Task' AND write_intent <> 'correction' AND coalesce('status:' || s_status <> object_id AND (s_status, object_id) NOT IN ({_CHANGES}), true) THEN 'C10' END AS failed
   FROM ex
 ) """
 _WS = WORKSPACE_SQL.replace("WITH ent", "WITH RECURSIVE ent")
 
 
-@plan("constraint_validate", _EXAMINE + """ SELECT seq, failed AS failed_check, CASE WHEN failed IS NULL THEN 'accept' WHEN failed IN ('C1', 'C2', 'C3', 'C6', 'C9') THEN 'reject' WHEN failed = 'C7' AND dominates THEN 'supersede' ELSE 'quarantine' END AS action FROM chk""", _WS)
+# The log in order: what each row alone decides, then one step of a recursion a row of its group, whose state is lists of active values, contradictions and evidence.
+_MEET = "(NOT {a}.dated OR NOT {b}.dated OR ({a}.lo <= {b}.hi AND {b}.lo <= {a}.hi))".format
+_LO, _HI = "coalesce(valid_from, TIMESTAMP '0001-01-01')", "coalesce(valid_to, TIMESTAMP '9999-01-01')"
+_CLAIMS = """CASE WHEN subject_id LIKE 'C%' OR object_id LIKE 'C%' THEN 'C' || (CAST(CASE WHEN subject_id LIKE 'C%' THEN subject_id ELSE object_id END [2:] AS BIGINT) // 10)
+  WHEN predicate = 'EVIDENCE_FOR' THEN object_id ELSE subject_id END"""
+_ORDERED = WRITE_LOG_SQL + f""",
+sup AS (SELECT object_id AS id, count(*) AS n FROM ledge WHERE predicate = 'EVIDENCE_FOR' AND subject_id IN (SELECT id FROM lent WHERE entity_type IN ('Document', 'Event')) GROUP BY 1),
+don AS (SELECT DISTINCT object_id AS id FROM ledge WHERE predicate = 'RESULTS_IN'),
+one AS (
+  SELECT c.*, TRY_CAST(c.confidence AS DOUBLE) AS value, CAST(round(100 * TRY_CAST(c.confidence AS DOUBLE)) AS BIGINT) AS pct, s.entity_type AS s_type, s.status AS s_status, t.entity_type AS o_type,
+    CASE WHEN claimed_type <> s.entity_type THEN 'C1' WHEN coalesce(s.ends_at < s.starts_at, false) OR coalesce(t.ends_at < t.starts_at, false) THEN 'C2' END AS early,
+    CASE WHEN (s.entity_type = 'Task' AND s.status = 'done' AND c.subject_id NOT IN (SELECT id FROM don)) OR (t.entity_type = 'Task' AND t.status = 'done' AND c.object_id NOT IN (SELECT id FROM don)) THEN 'C4'
+      WHEN predicate = 'ASSIGNED_TO' AND t.entity_type = 'Person' AND t.status = 'inactive' THEN 'C5' WHEN value IS NULL OR value NOT BETWEEN 0 AND 1 THEN 'C6' END AS mid,
+    CASE WHEN (s.entity_type = 'Decision' AND s.status = 'final' AND c.subject_id NOT IN (SELECT id FROM sup)) OR (t.entity_type = 'Decision' AND t.status = 'final' AND c.object_id NOT IN (SELECT id FROM sup)) THEN 'C8'
+      WHEN NOT coalesce(CASE predicate {_RANGE} END, false) THEN 'C9'
+      WHEN predicate = 'HAS_STATUS' AND s_type = 'Task' AND write_intent <> 'correction' AND coalesce('status:' || s_status <> object_id AND (s_status, object_id) NOT IN ({_CHANGES}), true) THEN 'C10' END AS late
+  FROM llog c LEFT JOIN lent s ON s.id = c.subject_id LEFT JOIN lent t ON t.id = c.object_id
+),
+prow AS (
+  SELECT seq, subject_id AS u, object_id AS v, mid IS NULL AND late IS NULL AS enters, CAST(subject_id[2:] AS BIGINT) // 48 AS blk, row_number() OVER (PARTITION BY CAST(subject_id[2:] AS BIGINT) // 48 ORDER BY seq) AS n
+  FROM one WHERE predicate = 'PRECEDES' AND early IS NULL
+),
+base(u, v) AS (SELECT subject_id, object_id FROM ledge WHERE predicate = 'PRECEDES' UNION SELECT b.u, e.object_id FROM base b JOIN ledge e ON e.predicate = 'PRECEDES' AND e.subject_id = b.v),
+ring AS (
+  SELECT blk, CAST(0 AS BIGINT) AS n, coalesce(paths, []) AS paths, CAST(NULL AS BIGINT) AS seq, false AS closes
+  FROM (SELECT DISTINCT blk FROM prow) LEFT JOIN (SELECT CAST(u[2:] AS BIGINT) // 48 AS blk, list([u, v]) AS paths FROM base GROUP BY 1) USING (blk)
+  UNION ALL
+  SELECT blk, n, CASE WHEN closes OR NOT enters THEN paths ELSE list_distinct(list_concat(paths, flatten(list_transform(
+      list_prepend(u, list_transform(list_filter(paths, lambda p: p[2] = u), lambda p: p[1])), lambda x: list_transform(list_prepend(v, list_transform(list_filter(paths, lambda p: p[1] = v), lambda p: p[2])), lambda y: [x, y]))))) END, seq, closes
+  FROM (SELECT r.*, g.paths, r.u = r.v OR list_contains(g.paths, [r.v, r.u]) AS closes FROM ring g JOIN prow r ON r.blk = g.blk AND r.n = g.n + 1)
+),
+lone AS (SELECT subject_id, predicate, object_id, min_by(pct, seq) AS pct, min_by(valid_from, seq) AS valid_from, min_by(valid_to, seq) AS valid_to, min(seq) AS seq FROM ledge GROUP BY 1, 2, 3),
+item AS (
+  SELECT {_CLAIMS} AS grp, predicate IN {SINGLE} AS single, {{'s': subject_id, 'p': predicate, 'o': object_id, 'pct': CAST(pct AS BIGINT), 'lo': {_LO}, 'hi': {_HI}, 'dated': valid_from IS NOT NULL OR valid_to IS NOT NULL, 'name': 's' || seq}} AS e
+  FROM lone WHERE predicate IN {SINGLE} OR predicate = 'CONTRADICTS'
+),
+wrow AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seq) AS n FROM (
+    SELECT {_CLAIMS} AS grp, seq, predicate IN {SINGLE} AS single, write_intent, late IS NOT NULL AS fails, trim(source_ref) <> '' AS sourced, s_type IN ('Document', 'Event') AS backs,
+      {{'s': subject_id, 'p': predicate, 'o': object_id, 'pct': pct, 'lo': {_LO}, 'hi': {_HI}, 'dated': valid_from IS NOT NULL OR valid_to IS NOT NULL, 'name': 'w' || seq}} AS me
+    FROM one WHERE early IS NULL AND mid IS NULL AND predicate <> 'PRECEDES')
+),
+fold AS (
+  SELECT grp, CAST(0 AS BIGINT) AS n, coalesce(act, []) AS act, coalesce(con, []) AS con, coalesce(ev, []) AS ev, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS kind, CAST([] AS VARCHAR[]) AS retired
+  FROM (SELECT DISTINCT grp FROM wrow) LEFT JOIN (SELECT grp, list(e) FILTER (single) AS act, list(e) FILTER (NOT single) AS con FROM item GROUP BY 1) USING (grp)
+  LEFT JOIN (SELECT {_CLAIMS} AS grp, list([subject_id, object_id]) AS ev FROM lone WHERE predicate = 'EVIDENCE_FOR' AND subject_id IN (SELECT id FROM lent WHERE entity_type IN ('Document', 'Event')) GROUP BY 1) USING (grp)
+  UNION ALL
+  SELECT grp, n,
+    CASE WHEN verdict = 'quarantine' OR NOT takes THEN act WHEN single AND (verdict = 'supersede' OR len(list_filter(act, lambda x: x.s = me.s AND x.p = me.p AND x.o = me.o)) = 0)
+      THEN list_append(list_filter(act, lambda x: NOT list_contains(gone, x.name) AND NOT (x.s = me.s AND x.p = me.p AND x.o = me.o)), me) ELSE list_filter(act, lambda x: NOT list_contains(gone, x.name)) END,
+    CASE WHEN verdict = 'quarantine' OR NOT takes THEN con WHEN me.p = 'CONTRADICTS' AND len(list_filter(con, lambda x: x.s = me.s AND x.o = me.o)) = 0 THEN list_append(con, me) ELSE list_filter(con, lambda x: NOT list_contains(gone, x.name)) END,
+    CASE WHEN verdict = 'quarantine' OR NOT takes OR NOT coalesce(backs, false) OR me.p <> 'EVIDENCE_FOR' THEN ev ELSE list_distinct(list_append(ev, [me.s, me.o])) END,
+    seq, verdict, kind, gone
+  FROM (
+    SELECT *, CASE WHEN verdict = 'supersede' THEN list_sort(list_transform(met, lambda x: x.name)) ELSE CAST([] AS VARCHAR[]) END AS gone, verdict = 'supersede' OR NOT fails AS takes FROM (
+      SELECT *, CASE WHEN NOT blocked THEN 'pass' WHEN write_intent = 'correction' AND me.pct - top > 10 AND CAST(sourced AS BIGINT) + len(list_filter(ev, lambda x: x[2] = me.s)) >= 1 THEN 'supersede' ELSE 'quarantine' END AS verdict,
+        CASE WHEN top IS NULL THEN 'none' WHEN NOT explicit AND len(list_filter(met, lambda x: NOT (x.dated AND me.dated))) = 0 THEN 'temporal' WHEN blocked THEN 'hard' ELSE 'soft' END AS kind FROM (
+        SELECT *, list_max(list_transform(met, lambda x: x.pct)) AS top, coalesce(me.pct > 80 AND list_max(list_transform(met, lambda x: x.pct)) > 80, false) AS blocked FROM (
+          SELECT * EXCLUDE (near), len(near) > 0 AS explicit, CASE WHEN len(near) > 0 THEN near WHEN single THEN list_filter(act, lambda x: x.s = me.s AND x.p = me.p AND x.o <> me.o AND {_MEET(a="x", b="me")}) ELSE near END AS met FROM (
+            SELECT r.*, f.act, f.con, f.ev, CASE WHEN r.me.p = 'CONTRADICTS' THEN list_filter(f.con, lambda x: false) ELSE list_filter(f.con, lambda x: x.s IN (r.me.s, r.me.o) OR x.o IN (r.me.s, r.me.o)) END AS near
+            FROM fold f JOIN wrow r ON r.grp = f.grp AND r.n = f.n + 1
+  )))))
+),
+dec AS (
+  SELECT seq, coalesce(early, CASE WHEN c.closes THEN 'C3' END, mid, CASE WHEN w.verdict <> 'pass' THEN 'C7' END, late) AS failed_check, w.verdict, coalesce(w.kind, 'none') AS kind, coalesce(w.retired, CAST([] AS VARCHAR[])) AS retired
+  FROM one LEFT JOIN (SELECT seq, closes FROM ring WHERE seq IS NOT NULL) c USING (seq) LEFT JOIN (SELECT * FROM fold WHERE seq IS NOT NULL) w USING (seq)
+),
+fin AS (SELECT *, CASE WHEN failed_check IS NULL THEN 'accept' WHEN failed_check IN ('C1', 'C2', 'C3', 'C6', 'C9') THEN 'reject' WHEN failed_check = 'C7' AND verdict = 'supersede' THEN 'supersede' ELSE 'quarantine' END AS action FROM dec) """
+
+
+def _log(spark, d):
+    _checkpointed(spark)
+    return workspace.write_log(spark, d), workspace.log_entities(spark, d), workspace.log_edges(spark, d)
+
+
+@plan("constraint_validate", _ORDERED + " SELECT seq, failed_check, action, kind, array_to_string(list_sort(retired), ',') AS retired FROM fin", _WS)
 def constraint_validate(spark, d):
+    return ordered.decide(*_log(spark, d)).withColumn("retired", F.array_join(F.sort_array("retired"), ","))
+
+
+@plan("contradiction_kinds", _ORDERED + " SELECT kind, action, count(*) AS n, CAST(sum(len(retired)) AS BIGINT) AS retired FROM fin GROUP BY 1, 2", _WS)
+def contradiction_kinds(spark, d):
+    return ordered.decide(*_log(spark, d)).groupBy("kind", "action").agg(F.count("*").alias("n"), F.sum(F.size("retired")).alias("retired"))
+
+
+@plan("constraint_snapshot", _EXAMINE + """ SELECT seq, failed AS failed_check, CASE WHEN failed IS NULL THEN 'accept' WHEN failed IN ('C1', 'C2', 'C3', 'C6', 'C9') THEN 'reject' WHEN failed = 'C7' AND dominates THEN 'supersede' ELSE 'quarantine' END AS action FROM chk""", _WS)
+def constraint_snapshot(spark, d):
     return constraints.constraint_validate(*_store(spark, d))
 
 
@@ -202,13 +287,21 @@ def status_reconcile(spark, d):
     return _status_decisions(spark, d)
 
 
-@plan("w8_commit_state", _STATUS_WRITES + """, l AS (SELECT retired, min(seq) AS by_seq FROM dec WHERE action = 'supersede' AND retired IS NOT NULL GROUP BY 1)
+@plan("status_commit_state", _STATUS_WRITES + """, l AS (SELECT retired, min(seq) AS by_seq FROM dec WHERE action = 'supersede' AND retired IS NOT NULL GROUP BY 1)
 SELECT seq, CASE WHEN (action = 'accept' OR (action = 'supersede' AND dec.retired IS NOT NULL)) THEN CASE WHEN by_seq IS NOT NULL THEN 'superseded' ELSE 'accepted' END WHEN action = 'reject' THEN 'rejected' ELSE 'quarantined' END AS status, by_seq AS superseded_by
 FROM dec LEFT JOIN l ON l.retired = dec.seq WHERE action <> 'none'""", "")
-def w8_commit_state(spark, d):
+def status_commit_state(spark, d):
     return writepath.commit(_status_decisions(spark, d))
 
 
+@plan("w8_commit_state", _ORDERED + """, gone AS (SELECT name, max_by('w' || seq, seq) AS by_name FROM (SELECT seq, unnest(retired) AS name FROM fin) GROUP BY 1)
+SELECT name, CASE WHEN by_name IS NOT NULL THEN 'superseded' ELSE status END AS status, by_name AS superseded_by FROM (
+  SELECT 'w' || seq AS name, CASE WHEN action IN ('accept', 'supersede') THEN 'accepted' WHEN action = 'reject' THEN 'rejected' ELSE 'quarantined' END AS status FROM fin UNION ALL SELECT 's' || seq, 'accepted' FROM ledge) LEFT JOIN gone USING (name)""", _WS)
+def w8_commit_state(spark, d):
+    log, entities, edges = _log(spark, d)
+    return ordered.state_after(ordered.decide(log, entities, edges), edges)
+
+
 @plan("supersedes_links", _STATUS_WRITES + " SELECT seq AS subject_id, 'SUPERSEDES' AS predicate, retired AS object_id FROM dec WHERE action = 'supersede' AND retired IS NOT NULL", "")
 def supersedes_links(spark, d):
     return writepath.supersedes_links(_status_decisions(spark, d))

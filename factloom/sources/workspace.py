@@ -78,6 +78,52 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def log_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities, with a claim a part; each 31st task has no status."""
+    e = entities(spark, d)
+    number = F.substring("id", 2, 20).try_cast("long")
+    e = e.withColumn("status", F.when(~((F.col("entity_type") == "Task") & F.coalesce(number % 31 == 0, F.lit(False))), F.col("status")))
+    none = F.lit(None)
+    claims = _read(spark, d, "part").select(_name("C", "p_partkey").alias("id"), F.lit("Claim").alias("entity_type"), F.col("p_name").alias("name"), none.cast("string").alias("status"), none.cast("timestamp").alias("starts_at"), none.cast("timestamp").alias("ends_at"))
+    return e.unionByName(claims)
+
+
+def log_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The accepted rows with validity windows, slot values and contradictions of claims beside them."""
+    never = F.lit(None).cast("timestamp")
+    e = edges(spark, d).withColumns({"valid_from": never, "valid_to": never})
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    day = lambda x: F.when(c % 2 == 1, F.lit(x).cast("timestamp"))
+    held = _read(spark, d, "customer").select((c * 8 + 6).cast("long").alias("seq"), _name("K", "c_custkey").alias("subject_id"), F.lit("HAS_VALUE").alias("predicate"), _name("V", "c_nationkey").alias("object_id"), (c % 30 + 70).cast("long").alias("pct"), day("1995-01-01").alias("valid_from"), day("1996-06-30").alias("valid_to"))
+    against = _read(spark, d, "part").where(p % 20 == 0).select((p * 8 + 7).cast("long").alias("seq"), _name("C", "p_partkey").alias("subject_id"), F.lit("CONTRADICTS").alias("predicate"), _name("C", p + 1).alias("object_id"), (p % 41 + 60).cast("long").alias("pct"), never.alias("valid_from"), never.alias("valid_to"))
+    return e.unionByName(held).unionByName(against)
+
+
+def write_log(spark: SparkSession, d: str) -> DataFrame:
+    """An ordered log, one write an order: several writes a key, claims that contradict each other, rings of PRECEDES; seq, what ``candidates`` has, and a window."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    i, turn, block = k % 48, F.floor(k / 12), F.col("o_orderkey") - F.col("o_orderkey") % 48
+    claim = lambda n: _name("C", F.floor(k / 120) * 10 + n)
+    station = lambda n: _name("E", block + 1 + n % 48)
+    by = lambda *v: F.element_at(F.array(*v), (k % 12 + 1).cast("int"))
+    word = F.concat(F.lit("status:"), F.element_at(F.array(*[F.lit(x) for x in ("todo", "in_progress", "blocked", "done", "final")]), (turn % 5 + 1).cast("int")))
+    task = F.when(k % 24 == 3, _name("T", block + 6)).otherwise(_name("D", F.floor(k / 24) % 200))
+    backed = F.when(k % 24 == 11, _name("D", F.floor(k / 24) % 200)).otherwise(_name("P", "o_custkey"))
+    start = F.when(turn % 3 != 0, F.col("o_orderdate").cast("timestamp"))
+    return _read(spark, d, "orders").select(
+        k.alias("seq"),
+        by(_name("T", block + 2), _name("E", "o_orderkey"), station(i - 2 + 24), task, _name("K", "o_custkey"), _name("K", "o_custkey"), claim(k % 10), claim(k % 7), _name("S", k % 10), claim(turn % 10), claim(k % 8), _name("S", k % 10)).alias("subject_id"),
+        by(*[F.lit(x) for x in ("ASSIGNED_TO", "PRECEDES", "PRECEDES", "HAS_STATUS", "HAS_VALUE", "HAS_VALUE", "CONTRADICTS", "SUPPORTS", "EVIDENCE_FOR", "HAS_STATUS", "ABOUT", "EVIDENCE_FOR")]).alias("predicate"),
+        by(_name("P", c + 3), station(i - 1 + 12), _name("E", k - 1), word, _name("V", k % 25), _name("V", k % 25), claim((k * 3 + 1) % 10), claim(k % 3), claim(k % 9), word, _name("P", "o_custkey"), backed).alias("object_id"),
+        F.when(k % 61 == 0, "high").when(k % 67 == 0, "1.5").otherwise(F.concat((k * 37 % 41 + 60).cast("string"), F.lit("e-2"))).alias("confidence"),
+        F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("tool:"), k)).alias("source_ref"),
+        F.element_at(F.array(*[F.lit(x) for x in ("correction", "correction", "update", "new_fact")]), (turn % 4 + 1).cast("int")).alias("write_intent"),
+        F.when(k % 97 == 0, "Task").alias("claimed_type"),
+        start.alias("valid_from"),
+        F.when((turn % 3 == 1) | (k % 5 > 0), start + F.make_dt_interval((k % 40).cast("int"))).alias("valid_to"),
+    )
+
+
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'in_progress' ELSE 'todo' END"
 #: The same tables for DuckDB, to be put before an oracle's query.
 WORKSPACE_SQL = f"""
@@ -110,3 +156,33 @@ cand AS (
   FROM orders
 )
 """
+
+_WORD = "'status:' || ['todo', 'in_progress', 'blocked', 'done', 'final'][turn % 5 + 1]"
+_CLAIM = "'C' || (k // 120 * 10 + {})".format
+_STATION = "'E' || (block + 1 + ({}) % 48)".format
+#: The ordered log and its store, to follow WORKSPACE_SQL.
+WRITE_LOG_SQL = f""",
+lent AS (
+  SELECT * REPLACE (CASE WHEN NOT (entity_type = 'Task' AND coalesce(TRY_CAST(id[2:] AS BIGINT) % 31 = 0, false)) THEN status END AS status) FROM ent
+  UNION ALL SELECT 'C' || p_partkey, 'Claim', p_name, NULL, NULL, NULL FROM part
+),
+ledge AS (
+  SELECT *, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to FROM edge
+  UNION ALL SELECT c_custkey * 8 + 6, 'K' || c_custkey, 'HAS_VALUE', 'V' || c_nationkey, c_custkey % 30 + 70, CASE WHEN c_custkey % 2 = 1 THEN TIMESTAMP '1995-01-01' END, CASE WHEN c_custkey % 2 = 1 THEN TIMESTAMP '1996-06-30' END FROM customer
+  UNION ALL SELECT p_partkey * 8 + 7, 'C' || p_partkey, 'CONTRADICTS', 'C' || (p_partkey + 1), p_partkey % 41 + 60, NULL, NULL FROM part WHERE p_partkey % 20 = 0
+),
+lord AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 48 AS i, o_orderkey // 12 AS turn, o_orderkey - o_orderkey % 48 AS block, o_orderdate FROM orders),
+llog AS (
+  SELECT k AS seq,
+    [ 'T' || (block + 2), 'E' || k, {_STATION("i - 2 + 24")}, CASE WHEN k % 24 = 3 THEN 'T' || (block + 6) ELSE 'D' || (k // 24 % 200) END, 'K' || c, 'K' || c, {_CLAIM("k % 10")}, {_CLAIM("k % 7")}, 'S' || (k % 10), {_CLAIM("turn % 10")}, {_CLAIM("k % 8")}, 'S' || (k % 10)][k % 12 + 1] AS subject_id,
+    ['ASSIGNED_TO', 'PRECEDES', 'PRECEDES', 'HAS_STATUS', 'HAS_VALUE', 'HAS_VALUE', 'CONTRADICTS', 'SUPPORTS', 'EVIDENCE_FOR', 'HAS_STATUS', 'ABOUT', 'EVIDENCE_FOR'][k % 12 + 1] AS predicate,
+    ['P' || (c + 3), {_STATION("i - 1 + 12")}, 'E' || (k - 1), {_WORD}, 'V' || (k % 25), 'V' || (k % 25), {_CLAIM("(k * 3 + 1) % 10")}, {_CLAIM("k % 3")}, {_CLAIM("k % 9")}, {_WORD}, 'P' || c, CASE WHEN k % 24 = 11 THEN 'D' || (k // 24 % 200) ELSE 'P' || c END][k % 12 + 1] AS object_id,
+    CASE WHEN k % 61 = 0 THEN 'high' WHEN k % 67 = 0 THEN '1.5' ELSE (k * 37 % 41 + 60) || 'e-2' END AS confidence,
+    CASE WHEN k % 9 = 0 THEN '' ELSE 'tool:' || k END AS source_ref,
+    ['correction', 'correction', 'update', 'new_fact'][turn % 4 + 1] AS write_intent,
+    CASE WHEN k % 97 = 0 THEN 'Task' END AS claimed_type,
+    CASE WHEN turn % 3 <> 0 THEN o_orderdate::TIMESTAMP END AS valid_from,
+    CASE WHEN turn % 3 <> 0 AND (turn % 3 = 1 OR k % 5 > 0) THEN o_orderdate::TIMESTAMP + to_days(CAST(k % 40 AS INTEGER)) END AS valid_to
+  FROM lord
+)
+"""
