@@ -49,8 +49,10 @@ def bucketed(df: DataFrame, name: str, keys: list[str], n: int | None = None) ->
     spark = df.sparkSession
     table = f"factloom_{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
-    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
-    writer.bucketBy(n or shuffle_width(spark), *keys).sortBy(*keys).saveAsTable(table)
+    n = n or shuffle_width(spark)
+    # A bucket is one task's and one file; where the rows lie so already, Spark leaves the exchange out.
+    writer = df.repartition(n, *keys).write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
     _written.append((spark, path))
     return table
 
