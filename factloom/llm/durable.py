@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,25 +106,47 @@ def join_by_share(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str
     return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys))
 
 
-def _contract(batches):
-    """Union-find over the edges of one partition: each node with the smallest node it reaches there, itself left out."""
-    parent: dict[int, int] = {}
+#: Edges that a task unites at a time: about 100 MB with everything made of them, whatever a partition holds.
+EDGES = 1_000_000
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            p, q = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    nodes = [x for x in parent if parent[x] != x]
-    for i in range(0, len(nodes), 100_000):
-        part = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) with the smallest node each reaches, those left out that are it: labels sink along edges, then jump to their own labels."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(limit: int):
+    """Unite the edges of one partition, ``limit`` at a time: what one share leaves is united over all partitions later."""
+
+    def fn(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= limit:
+                yield _united(held)
+                held = []
+        if held:
+            yield _united(held)
+
+    return fn
+
+
+def _united(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    u, v = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in united(u, v)], names=["u", "v"])
 
 
 def _star_round(e: DataFrame) -> DataFrame:
@@ -142,11 +165,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round unites the edges of every partition by themselves, which leaves one edge a node,
     and then alternates large-star and small-star over all, until each node points at its
     component's smallest: no node points at two nodes, or is pointed at and points on. A task
-    holds the edges of its own partition only.
+    holds ``EDGES`` edges of its partition at a time.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
-        e = settle(e.mapInArrow(_contract, "u long, v long"), "edges")
+        e = settle(e.mapInArrow(_contract(EDGES), "u long, v long"), "edges")
         ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
         label = ends.groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("top"))
         if label.where("comp <> top").limit(1).count() == 0:
