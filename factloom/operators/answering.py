@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..ontology import SINGLE_VALUED
+from .retrieve import rerank
 
 #: A best result below this confidence is called weak.
 LOW_CONFIDENCE = 0.5
@@ -65,7 +67,10 @@ def paired_statuses(accepted: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def derive_answers(questions: DataFrame, resolved: DataFrame, hits: DataFrame, entities: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """query_id, answer: a status for questions of a status, else an owner or assignee, the events before, a decision, or again a status."""
+    """query_id, answer: a status for questions of a status, else an owner or assignee, the events before, a decision, or again a status.
+
+    ``hits`` are supporting edges that name their query's entities; ``place`` is their order.
+    """
     label = entities.select("id", F.coalesce("name", "id").alias("label"), "entity_type", "status")
     bearing = label.where("entity_type in ('Task', 'Project', 'Person', 'Organization') and status is not null and status <> 'unknown'")
     status = resolved.join(bearing, "id").groupBy("query_id").agg(F.min_by(F.concat_ws(": ", "label", "status"), "id").alias("status_answer"))
@@ -90,6 +95,7 @@ def derive_answers(questions: DataFrame, resolved: DataFrame, hits: DataFrame, e
 def missing_notes() -> Column:
     """Gaps of a packaged answer with n_hits, n_supporting, n_sources and confidence."""
     weak = F.col("confidence") < LOW_CONFIDENCE
+    # The sentences.
     return F.array_compact(
         F.array(
             F.when(F.col("n_hits") == 0, F.lit("No memory items matched the query.")),
@@ -100,44 +106,94 @@ def missing_notes() -> Column:
     )
 
 
-def answer(questions: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame, semantic: DataFrame | None = None, decisions: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """One row a question: type, answer, confidence, supporting and conflict counts, notes and the rendered text.
+#: Days after which an item counts as old.
+RECENCY_DAYS = 30.0
+
+
+def merged(sym: DataFrame, semantic: DataFrame, edges: DataFrame, contradicted: DataFrame, now: Column) -> DataFrame:
+    """One row a query and item with the six signals, score and position.
+
+    An item that was looked up is exact: its similarity and relevance are 1. One found by meaning alone
+    has its similarity and nothing else. ``contradicted`` (memory_id) and quarantined items are penalised.
+    ``edges`` may have extractor_version and created_at.
+    """
+    extra = [c for c in ("extractor_version", "created_at") if c in edges.columns]
+    fact = sym.join(edges.select("seq", "source_ref", *extra), "seq").select("query_id", F.concat(F.lit("a"), "seq").alias("memory_id"), "subject_id", "predicate", "object_id", (F.col("pct") / 100).alias("confidence"), "source_ref", *extra)
+    found = semantic.select("query_id", "memory_id", "similarity", "memory_type", "status", "text")
+    df = fact.withColumn("exact", F.lit(True)).join(found, ["query_id", "memory_id"], "full_outer")
+    bad = contradicted.select("memory_id").distinct().withColumn("_bad", F.lit(True))
+    exact = F.coalesce("exact", F.lit(False))
+    known = lambda c: (F.trim(F.coalesce(F.col(c), F.lit(""))) != "").cast("double") if c in df.columns else F.lit(0.0)
+    age = (F.unix_micros(now) - F.unix_micros("created_at")) / 86_400e6 if "created_at" in extra else F.lit(None).cast("double")
+    df = df.join(bad, "memory_id", "left").withColumns(
+        {
+            "exact": exact,
+            "status": F.coalesce("status", F.lit("accepted")),
+            "memory_type": F.coalesce("memory_type", F.lit("assertion")),
+            "semantic_similarity": F.when(exact, 1.0).otherwise(F.least(F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))),
+            "graph_relevance": exact.cast("double"),
+            "provenance_quality": 0.34 * known("source_ref") + 0.33 * known("extractor_version"),
+            "recency": F.coalesce(F.least(F.greatest(1 - age / RECENCY_DAYS, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)),
+        }
+    )
+    penalty = (F.coalesce("_bad", F.lit(False)) | (F.col("status") == "quarantined")).cast("double")
+    return rerank(df.withColumn("contradiction_penalty", penalty).drop("_bad"))
+
+
+def contradicted_by(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """held_seq, memory_id: accepted other values of a held write's single-valued key."""
+    h = held.where(F.col("predicate").isin(*SINGLE_VALUED)).select(F.col("seq").alias("held_seq"), "subject_id", "predicate", F.col("object_id").alias("_o"))
+    e = edges.select("subject_id", "predicate", "object_id", F.concat(F.lit("a"), "seq").alias("memory_id"))
+    return h.join(e, ["subject_id", "predicate"]).where("_o <> object_id").select("held_seq", "memory_id")
 
-    ``edges`` are accepted rows (seq, subject_id, predicate, object_id, pct, source_ref),
-    ``held`` quarantined ones; ``semantic`` hits (query_id, seq, similarity) join by seq where
-    the question needs them.
+
+def answer(questions: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame, semantic: DataFrame, decisions: DataFrame | None = None, most: int = 3, now: Column | None = None) -> DataFrame:
+    """One row a question: type, answer, confidence, supporting ids and sources, conflicts, notes and the rendered text.
+
+    ``edges`` are accepted rows (seq, subject_id, predicate, object_id, pct, source_ref), ``held``
+    quarantined ones; ``semantic`` hits (query_id, memory_id, similarity, memory_type, status, text)
+    count where the question needs them. Items that a held write contradicts, and quarantined ones,
+    support nothing and are conflicts; so is each held write about a retrieved item or an asked entity.
     """
     q = classify(questions)
     names = q.select("query_id", F.explode("names").alias("name"))
     resolved = resolve_names(names, entities)
     sym = symbolic_hits(resolved, q, edges)
-    hits = sym.select("query_id", "seq", "pct", F.lit(1.0).alias("graph"), F.lit(0.0).alias("similarity"))
-    if semantic is not None:
-        near = semantic.join(q.where("needs_semantic").select("query_id"), "query_id", "left_semi").join(edges.select("seq", "pct"), "seq")
-        hits = hits.unionByName(near.select("query_id", "seq", "pct", F.lit(0.0).alias("graph"), "similarity"))
-        hits = hits.groupBy("query_id", "seq").agg(F.max("pct").alias("pct"), F.max("graph").alias("graph"), F.max("similarity").alias("similarity"))
-    # Weights of similarity, graph and confidence.
-    hits = hits.withColumn("score", 0.40 * F.col("similarity") + 0.25 * F.col("graph") + 0.15 * F.col("pct") / 100)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
-    ranked = hits.withColumn("position", place).join(edges.select("seq", "subject_id", "predicate", "object_id", "source_ref"), "seq")
-    top = ranked.groupBy("query_id").agg(
-        F.count("*").alias("n_supporting"), F.max(F.when(F.col("position") == 1, F.col("pct") / 100)).alias("confidence"),
-        F.count_if(F.trim("source_ref") != "").alias("n_sources"),
-        F.sort_array(F.collect_list(F.when(F.col("position") <= most, F.struct("position", F.concat_ws(" ", "subject_id", "predicate", "object_id").alias("line"), "pct", "source_ref")))).alias("top"),
-    )
-    against = held.select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("id"), F.col("seq").alias("held_seq"), F.concat_ws(" ", "subject_id", "predicate", "object_id").alias("claim"))
-    against = resolved.join(against, "id").select("query_id", "held_seq", "claim").distinct().groupBy("query_id").agg(F.count("*").alias("n_conflicts"), F.min_by("claim", "held_seq").alias("first_claim"))
-    df = q.join(derive_answers(q, resolved, sym, entities, decisions), "query_id", "left").join(top, "query_id", "left").join(against, "query_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_supporting", "n_sources", "n_conflicts")}
-    df = df.withColumns(zero | {"confidence": F.coalesce("confidence", F.lit(0.0))}).withColumn("n_hits", F.col("n_supporting") + F.col("n_conflicts"))
-    df = df.withColumn("notes", missing_notes())
+    near = conflict_relevant(semantic.where("status = 'quarantined'"), names).unionByName(semantic.where("status <> 'quarantined'"))
+    near = near.join(q.where("needs_semantic").select("query_id"), "query_id", "left_semi")
+    against = contradicted_by(held, edges)
+    ranked = merged(sym, near, edges, against, F.current_timestamp() if now is None else now).checkpoint()
+
+    good = ranked.where("status = 'accepted' and contradiction_penalty = 0")
+    line = F.when(F.col("exact"), F.concat_ws(" ", "subject_id", "predicate", "object_id")).otherwise(F.coalesce("text", F.lit("")))
+    sure = F.coalesce("confidence", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+    source = edges.select(F.concat(F.lit("a"), "seq").alias("memory_id"), F.when(F.trim(F.coalesce("source_ref", F.lit(""))) != "", F.col("source_ref")).alias("_source"))
+    good = good.withColumn("place", place).withColumn("sure", sure).withColumn("line", line).join(source, "memory_id", "left")
+    one = F.struct("place", "line", F.col("sure").alias("confidence"), F.col("_source").alias("source_ref"), "memory_id")
+    top = good.groupBy("query_id").agg(
+        F.count("*").alias("n_supporting"), F.max(F.when(F.col("place") == 1, F.col("sure"))).alias("confidence"), F.count("_source").alias("n_sources"), F.sort_array(F.collect_list(F.when(F.col("place") <= most, one))).alias("top")
+    )
+    about = ranked.select("query_id", F.col("memory_id").alias("id")).unionByName(ranked.where("exact").select("query_id", F.explode(F.array("subject_id", "object_id")).alias("id"))).unionByName(resolved.select("query_id", "id")).distinct()
+    names_of = against.select("held_seq", F.col("memory_id").alias("id")).unionByName(held.select(F.col("seq").alias("held_seq"), F.col("subject_id").alias("id")))
+    claim = held.select(F.concat(F.lit("h"), "seq").alias("name"), F.concat_ws(" ", "subject_id", "predicate", "object_id").alias("claim"))
+    records = about.join(names_of, "id").select("query_id", F.concat(F.lit("h"), "held_seq").alias("name")).distinct().join(claim, "name")
+    penalised = ranked.where("contradiction_penalty > 0").select("query_id", F.col("memory_id").alias("name"), line.alias("claim"))
+    conflict = records.select("query_id", "name", "claim").unionByName(penalised).groupBy("query_id").agg(F.count("*").alias("n_conflicts"), F.min_by("claim", "name").alias("first_claim"))
+    any_hit = ranked.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+    facts = good.where("exact").select("query_id", "place", "subject_id", "predicate", "object_id")
+    df = q.join(derive_answers(q, resolved, facts, entities, decisions), "query_id", "left")
+    for part in (top, conflict, any_hit):
+        df = df.join(part, "query_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_supporting", "n_sources", "n_conflicts", "n_hits")}
+    df = df.withColumns(zero | {"confidence": F.coalesce("confidence", F.lit(0.0))}).withColumn("notes", missing_notes())
     return df.withColumn("rendered", render())
 
 
 def render(high_stakes: bool = False) -> Column:
     """The answer first with its confidence, then each conflict by itself, provenance if asked for, and what is missing."""
     shown = F.format_number("confidence", 2)
-    lines = F.transform(F.coalesce("top", F.array().cast("array<struct<position:int,line:string,pct:bigint,source_ref:string>>")), lambda t: F.concat(F.lit("- "), t["line"], F.lit(" (confidence "), F.format_number(t["pct"] / 100, 2), F.lit(")")))
+    lines = F.transform(F.coalesce("top", F.array().cast("array<struct<place:int,line:string,confidence:double,source_ref:string,memory_id:string>>")), lambda t: F.concat(F.lit("- "), t["line"], F.lit(" (confidence "), F.format_number(t["confidence"], 2), F.lit(")")))
     head = (
         F.when(F.col("answer").isNotNull(), F.concat(F.lit("Answer: "), "answer", F.when(F.col("n_supporting") > 0, F.concat(F.lit(" (confidence "), shown, F.lit(")"))).otherwise("")))
         .when(F.col("n_supporting") > 0, F.concat(F.lit("Answer (confidence "), shown, F.lit("):\n"), F.array_join(lines, "\n")))
@@ -164,9 +220,9 @@ def top_ids(ranked: DataFrame, k: int) -> DataFrame:
     return first.select("query_id", F.array_join(F.transform("s", lambda x: x["memory_id"]).cast("array<string>"), ",").alias("ids"))
 
 
-def agent_turns(messages: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def agent_turns(messages: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame, semantic: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers to all messages(query_id, text), candidates extracted from those that are statements)."""
     from .extract import extract
 
     told = messages.where(~text.is_question("text")).select(F.col("query_id").cast("string").alias("source_ref"), "text")
-    return answer(messages, entities, edges, held), extract(told)
+    return answer(messages, entities, edges, held, semantic), extract(told)

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions import scores, text
-from ..operators import analyst, answering, metrics, mixed, review, stats, suites
+from ..operators import analyst, answering, metrics, mixed, review, stats, suites, vectors
 from ..sources import workspace
 from ..sources.events import LOG_SQL, assertion_log
 from ..sources.workspace import WORKSPACE_SQL
 from .analytics import _ARMS, _FEAT, _MERGED, ADAPTED, _features, _ranked, _records, _routed
 from .governance import SINGLE
-from .memory import _CHANGES, _EXAMINE, _RANGE, _WS, _store
+from .memory import _CHANGES, _EXAMINE, _RANGE, _WS, _checkpointed, _store
 
 PLANS: dict = {}
 
@@ -31,44 +31,161 @@ def _read(spark, d, name):
 
 # ---- questions ----
 def _questions(spark, d):
-    k = F.col("o_orderkey")
+    k = F.col("c_custkey")
     ask = (
         F.when(k % 4 == 0, F.concat(F.lit("Who is T"), k, F.lit(" assigned to?")))
         .when(k % 4 == 1, F.concat(F.lit("What is the status of T"), k, F.lit("?")))
         .when(k % 4 == 2, F.concat(F.lit("What happened before E"), k, F.lit("?")))
         .otherwise(F.concat(F.lit("Do these conflict: 'T"), k, F.lit("'?")))
     )
-    return _read(spark, d, "orders").select(k.alias("query_id"), ask.alias("text"))
+    return _read(spark, d, "customer").select(k.alias("query_id"), ask.alias("text"))
+
+
+def _memory(spark, d):
+    """(accepted edges, the vector store): assertions, documents and claims, kept up by status changes and deletions."""
+    _checkpointed(spark)
+    every = workspace.edges(spark, d)
+    retired = (F.col("predicate") == "ASSIGNED_TO") & (F.col("pct") < 60)
+    docs = _read(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.array().cast("array<string>").alias("tags"))
+    part = _read(spark, d, "part")
+    items = vectors.assertion_items(every, workspace.entities(spark, d)).unionByName(vectors.document_items(docs)).unionByName(vectors.claim_items(part.select(F.concat(F.lit("C"), "p_partkey").alias("id"), F.col("p_name").alias("text"))))
+    claim = F.concat(F.lit("C"), "p_partkey").alias("memory_id")
+    changes = every.where(retired).select(F.concat(F.lit("a"), "seq").alias("memory_id"), F.lit("superseded").alias("status")).unionByName(part.where("p_partkey % 20 < 2").select(claim, F.lit("quarantined").alias("status")))
+    store = vectors.delete(vectors.set_status(vectors.embedded(items), changes), part.where("p_partkey % 50 = 7").select(claim)).checkpoint()
+    live = every.where(~retired).withColumn("source_ref", F.when(F.col("seq") % 3 == 0, "").otherwise("tool:x"))
+    live = live.withColumn("extractor_version", F.when(F.col("seq") % 2 == 0, "v1")).withColumn("created_at", F.lit("2024-02-01").cast("timestamp") - F.make_dt_interval((F.col("seq") % 45).cast("int")))
+    return live, store
+
+
+def _semantic(store, questions, k=5):
+    """Hits by meaning with type, status and text; questions of conflicts see quarantined items too."""
+    q = answering.classify(questions).where("needs_semantic")
+    seen = F.when(F.col("query_type").startswith("contradiction"), F.array(F.lit("accepted"), F.lit("quarantined"))).otherwise(F.array(F.lit("accepted")))
+    asked = vectors.embedded(q.select("query_id", "text", seen.alias("statuses"))).select("query_id", "embedding", "statuses")
+    return vectors.top_k(vectors.index(store), asked, k).join(store.select("memory_id", "memory_type", "status", "text"), "memory_id")
+
+
+_NOW = "2024-02-02"
 
 
 def _answered(spark, d):
-    edges = workspace.edges(spark, d).withColumn("source_ref", F.when(F.col("seq") % 3 == 0, "").otherwise("tool:x"))
+    live, store = _memory(spark, d)
+    q = _questions(spark, d)
     held = workspace.candidates(spark, d).where("predicate = 'HAS_STATUS'")
-    near = edges.select((F.floor(F.col("seq") / 8)).alias("query_id"), "seq", F.lit(0.5).alias("similarity"))
     decisions = workspace.entities(spark, d).where("entity_type = 'Decision'").select("id", F.col("name").alias("summary"), "status")
-    return answering.answer(_questions(spark, d), workspace.entities(spark, d), edges, held, near, decisions)
+    return answering.answer(q, workspace.entities(spark, d), live, held, _semantic(store, q), decisions, now=F.lit(_NOW).cast("timestamp"))
+
+
+# The provider's vectors: words of SHA-256 blocks of the text, in [-1, 1).
+_VECTOR = """list_transform(range(384), lambda j: CAST(CAST('0x' || substr(h[j // 8 + 1], (j % 8) * 8 + 1, 8) AS UBIGINT) AS DOUBLE) / 2147483648 - 1.0)::DOUBLE[384]"""
+_HASHES = "list_transform(range(48), lambda b: sha256(text || ':' || b))"
+_RETRIEVED = f""", ask AS (
+  SELECT c_custkey AS query_id, c_custkey % 4 AS r, CASE c_custkey % 4 WHEN 0 THEN 'Who is T' || c_custkey || ' assigned to?' WHEN 1 THEN 'What is the status of T' || c_custkey || '?' WHEN 2 THEN 'What happened before E' || c_custkey || '?' ELSE 'Do these conflict: ' || chr(39) || 'T' || c_custkey || chr(39) || '?' END AS text,
+    CASE WHEN c_custkey % 4 = 2 THEN 'E' ELSE 'T' END || c_custkey AS ent FROM customer
+),
+live AS (SELECT *, CASE WHEN seq % 3 = 0 THEN '' ELSE 'tool:x' END AS source_ref, 0.33 * (seq % 2 = 0)::INT AS versioned, greatest(0, 1 - (1 + seq % 45) / 30.0) AS recency FROM edge WHERE NOT (predicate = 'ASSIGNED_TO' AND pct < 60)),
+item AS (
+  SELECT 'a' || seq AS memory_id, CASE WHEN predicate = 'ASSIGNED_TO' AND pct < 60 THEN 'superseded' ELSE 'accepted' END AS status, coalesce(s.name, subject_id) || ' ' || predicate || ' ' || coalesce(t.name, object_id) AS text
+  FROM edge LEFT JOIN ent s ON s.id = subject_id LEFT JOIN ent t ON t.id = object_id WHERE predicate <> 'HAS_STATUS'
+  UNION ALL SELECT 'S' || s_suppkey, 'accepted', s_name FROM supplier
+  UNION ALL SELECT 'C' || p_partkey, CASE WHEN p_partkey % 20 < 2 THEN 'quarantined' ELSE 'accepted' END, p_name FROM part WHERE p_partkey % 50 <> 7
+),
+iv AS MATERIALIZED (SELECT memory_id, status, text, row_number() OVER (ORDER BY memory_id) AS n, {_VECTOR} AS e FROM (SELECT *, {_HASHES} AS h FROM item WHERE status <> 'superseded')),
+qv AS MATERIALIZED (SELECT query_id, r, ent, {_VECTOR} AS e FROM (SELECT *, {_HASHES} AS h FROM ask WHERE r IN (1, 3))),
+best AS (
+  SELECT query_id, max(CAST(round(array_cosine_similarity(iv.e, qv.e) * 1000000) AS BIGINT) * 4294967296 - iv.n, 5) AS m
+  FROM qv JOIN iv ON iv.status = 'accepted' OR qv.r = 3 GROUP BY 1
+),
+near AS (
+  SELECT b.query_id, iv.memory_id, iv.status, iv.text, round(((x + iv.n) // 4294967296) / 1000000.0, 6) AS similarity
+  FROM (SELECT query_id, unnest(m) AS x FROM best) b JOIN iv ON iv.n = (4294967296 - ((x % 4294967296 + 4294967296) % 4294967296)) % 4294967296 JOIN ask USING (query_id)
+  WHERE iv.status = 'accepted' OR contains(lower(iv.text), lower(ask.ent))
+),
+sym AS (
+  SELECT q.query_id, e.* FROM ask q JOIN (SELECT *, unnest(list_distinct([subject_id, object_id])) AS ent FROM live) e USING (ent)
+  WHERE CASE r WHEN 0 THEN e.predicate = 'ASSIGNED_TO' WHEN 2 THEN e.predicate = 'PRECEDES' WHEN 3 THEN e.predicate = 'CONTRADICTS' ELSE true END
+),
+heldw AS (SELECT * FROM cand WHERE predicate = 'HAS_STATUS'),
+bad AS (SELECT h.seq AS held_seq, 'a' || e.seq AS memory_id FROM heldw h JOIN live e USING (subject_id, predicate) WHERE h.object_id <> e.object_id),
+mix AS (
+  SELECT coalesce(s.query_id, n.query_id) AS query_id, coalesce('a' || s.seq, n.memory_id) AS memory_id, s.seq IS NOT NULL AS exact, subject_id, predicate, object_id, pct / 100.0 AS conf, coalesce(n.status, 'accepted') AS status, n.text,
+    CASE WHEN s.seq IS NOT NULL THEN 1.0 ELSE greatest(0.0, least(1.0, similarity)) END AS sim, CASE WHEN s.seq IS NOT NULL THEN 1.0 ELSE 0.0 END AS graph,
+    coalesce(CASE WHEN trim(source_ref) <> '' THEN 0.34 ELSE 0 END + versioned, 0) AS prov, coalesce(recency, 0) AS recent
+  FROM sym s FULL OUTER JOIN near n ON n.query_id = s.query_id AND n.memory_id = 'a' || s.seq
+),
+scored AS (SELECT *, CASE WHEN status = 'quarantined' OR memory_id IN (SELECT memory_id FROM bad) THEN 1.0 ELSE 0.0 END AS pen FROM mix),
+rk AS (SELECT *, round(0.40 * sim + 0.25 * graph + 0.15 * coalesce(conf, 0) + 0.10 * prov + 0.05 * recent - 0.30 * pen, 6)::DOUBLE AS score FROM scored),
+good AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS place, coalesce(conf, greatest(0, least(1, score)))::DOUBLE AS sure,
+    CASE WHEN exact THEN subject_id || ' ' || predicate || ' ' || object_id ELSE text END AS line FROM rk WHERE pen = 0
+),
+top AS (
+  SELECT query_id, count(*) AS n_supporting, max(sure) FILTER (place = 1) AS confidence, count(*) FILTER (trim(e.source_ref) <> '') AS n_sources,
+    string_agg(memory_id, ',' ORDER BY place) FILTER (place <= 3) AS supporting, string_agg('- ' || line || ' (confidence ' || format('{{:.2f}}', sure) || ')', chr(10) ORDER BY place) FILTER (place <= 3) AS listed
+  FROM good LEFT JOIN (SELECT 'a' || seq AS memory_id, source_ref FROM live) e USING (memory_id) GROUP BY 1
+),
+about AS (SELECT query_id, memory_id AS id FROM rk UNION SELECT query_id, unnest([subject_id, object_id]) FROM rk WHERE exact UNION SELECT query_id, ent FROM ask),
+rec AS (SELECT DISTINCT query_id, held_seq FROM about JOIN (SELECT held_seq, memory_id AS id FROM bad UNION ALL SELECT seq, subject_id FROM heldw) USING (id)),
+cf AS (
+  SELECT query_id, count(*) AS n_conflicts, min_by(claim, name) AS first_claim FROM (
+    SELECT query_id, 'h' || held_seq AS name, subject_id || ' ' || predicate || ' ' || object_id AS claim FROM rec JOIN heldw ON seq = held_seq
+    UNION ALL SELECT query_id, memory_id, CASE WHEN exact THEN subject_id || ' ' || predicate || ' ' || object_id ELSE text END FROM rk WHERE pen > 0) GROUP BY 1
+),
+st AS (SELECT id, name || ': ' || status AS a FROM ent WHERE entity_type = 'Task'),
+own AS (SELECT query_id, min_by(p.name, place) AS a FROM good JOIN ent p ON p.id = object_id WHERE exact AND predicate = 'ASSIGNED_TO' GROUP BY 1),
+pre AS (SELECT query_id, 'Preceding events: ' || string_agg(name, ', ' ORDER BY place) AS a FROM (SELECT query_id, p.name, min(place) AS place FROM good JOIN ask USING (query_id) JOIN ent p ON p.id = subject_id WHERE exact AND predicate = 'PRECEDES' AND object_id = ent GROUP BY 1, 2) GROUP BY 1),
+ans AS (
+  SELECT q.query_id, ['direct_fact', 'direct_fact', 'temporal', 'contradiction'][r + 1] AS query_type, r IN (1, 3) AS needs_semantic,
+    coalesce(CASE WHEN r = 1 THEN st.a END, own.a, pre.a, CASE WHEN r IN (0, 1, 2) THEN st.a END) AS answer, coalesce(n_supporting, 0) AS n_supporting, coalesce(n_sources, 0) AS n_sources, coalesce(confidence, 0) AS confidence,
+    coalesce(n_conflicts, 0) AS n_conflicts, first_claim, coalesce(supporting, '') AS supporting, listed, coalesce(h.n, 0) AS n_hits
+  FROM ask q LEFT JOIN st ON st.id = ent LEFT JOIN own USING (query_id) LEFT JOIN pre USING (query_id) LEFT JOIN top USING (query_id) LEFT JOIN cf USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM rk GROUP BY 1) h USING (query_id)
+),
+noted AS (
+  SELECT *, list_filter([CASE WHEN n_hits = 0 THEN 'No memory items matched the query.' END,
+    CASE WHEN n_hits > 0 AND n_supporting = 0 THEN 'No accepted supporting assertions were found; only unresolved or quarantined items matched the query.' END,
+    CASE WHEN n_supporting > 0 AND confidence < 0.5 THEN 'Best-supported result has low confidence (' || format('{{:.2f}}', confidence) || ').' END,
+    CASE WHEN n_supporting > 0 AND n_sources = 0 THEN 'No provenance records were found for the supporting assertions.' END], lambda x: x IS NOT NULL) AS notes FROM ans
+) """
+_TEXT = """concat_ws(chr(10) || chr(10),
+  CASE WHEN answer IS NOT NULL THEN 'Answer: ' || answer || CASE WHEN n_supporting > 0 THEN ' (confidence ' || format('{:.2f}', confidence) || ')' ELSE '' END
+    WHEN n_supporting > 0 THEN 'Answer (confidence ' || format('{:.2f}', confidence) || '):' || chr(10) || listed ELSE 'Answer: No accepted assertions support this query.' END,
+  CASE WHEN n_conflicts > 0 THEN 'Conflicts detected: ' || n_conflicts || ', first ' || first_claim END,
+  CASE WHEN len(notes) > 0 THEN 'Missing evidence:' || chr(10) || '- ' || array_to_string(notes, chr(10) || '- ') END)"""
+
+
+@plan("retrieval_pipeline", _RETRIEVED + f" SELECT query_id, query_type, needs_semantic, answer, supporting, round(confidence, 6) AS confidence, array_to_string(notes, '|') AS notes, {_TEXT} AS rendered FROM noted", WORKSPACE_SQL)
+def retrieval_pipeline(spark, d):
+    ids = F.array_join(F.transform("top", lambda t: t["memory_id"]), ",")
+    return _answered(spark, d).select("query_id", "query_type", "needs_semantic", "answer", F.coalesce(ids, F.lit("")).alias("supporting"), F.round("confidence", 6).alias("confidence"), F.array_join("notes", "|").alias("notes"), "rendered")
 
 
-_ANSWER = """, st AS (SELECT id, name || ': ' || status AS a FROM ent WHERE entity_type = 'Task'),
-asg AS (SELECT e.subject_id AS id, arg_min(p.name, e.object_id) AS a FROM edge e JOIN ent p ON p.id = e.object_id WHERE e.predicate = 'ASSIGNED_TO' GROUP BY 1),
-pre AS (SELECT object_id AS id, 'Preceding events: ' || string_agg(DISTINCT p.name, ', ' ORDER BY p.name) AS a FROM edge e JOIN ent p ON p.id = e.subject_id WHERE predicate = 'PRECEDES' GROUP BY 1)
-SELECT o_orderkey AS query_id, ['direct_fact', 'direct_fact', 'temporal', 'contradiction'][o_orderkey % 4 + 1] AS query_type, o_orderkey % 4 IN (1, 3) AS needs_semantic,
- CASE o_orderkey % 4 WHEN 0 THEN coalesce(asg.a, st.a) WHEN 1 THEN st.a WHEN 2 THEN pre.a ELSE NULL END AS answer
-FROM orders LEFT JOIN st ON st.id = 'T' || o_orderkey LEFT JOIN asg ON asg.id = 'T' || o_orderkey LEFT JOIN pre ON pre.id = 'E' || o_orderkey"""
+@plan("answer_policy", _RETRIEVED + " SELECT query_id, n_hits, n_supporting, n_sources, n_conflicts FROM noted", WORKSPACE_SQL)
+def answer_policy(spark, d):
+    return _answered(spark, d).select("query_id", "n_hits", "n_supporting", "n_sources", "n_conflicts")
 
 
-@plan("retrieval_pipeline", _ANSWER.replace("ELSE NULL END AS answer", "ELSE CASE WHEN false THEN '' END END AS answer"), WORKSPACE_SQL)
-def retrieval_pipeline(spark, d):
-    return _answered(spark, d).select("query_id", "query_type", "needs_semantic", "answer")
+# Vectors of the embeddings table as a store: statuses change, items go; each 50th asks, each 100th of conflicts.
+_STORE_SQL = """ WITH s AS (SELECT 'v' || vec_id AS memory_id, CASE WHEN vec_id % 11 = 3 THEN 'quarantined' WHEN vec_id % 13 = 5 THEN 'superseded' ELSE 'accepted' END AS status, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 17 <> 4 AND embedding IS NOT NULL),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL),
+p AS (SELECT query_id, memory_id, round(list_cosine_similarity(q.e, s.e), 6) AS similarity FROM q JOIN s ON len(q.e) = len(s.e) AND (status = 'accepted' OR (status = 'quarantined' AND query_id % 100 = 0))),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM p) """
 
 
-@plan("answer_policy", """, own AS (SELECT o_orderkey AS id, o_orderkey % 4 AS r FROM orders), q AS (SELECT id, r, CASE WHEN r = 2 THEN 'E' ELSE 'T' END || id AS ent FROM own), ends AS (SELECT *, unnest(list_distinct([subject_id, object_id])) AS ent FROM edge),
-s AS (SELECT q.id, e.seq FROM q JOIN ends e USING (ent) WHERE CASE r WHEN 0 THEN e.predicate = 'ASSIGNED_TO' WHEN 2 THEN e.predicate = 'PRECEDES' WHEN 3 THEN e.predicate = 'CONTRADICTS' ELSE true END),
-n AS (SELECT e.seq // 8 AS id, e.seq FROM edge e JOIN q ON q.id = e.seq // 8 WHERE q.r IN (1, 3)), h AS (SELECT id, count(DISTINCT seq) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM n) GROUP BY 1),
-c AS (SELECT q.id, count(DISTINCT c.seq) AS n FROM q JOIN cand c ON c.predicate = 'HAS_STATUS' AND c.subject_id = q.ent GROUP BY 1)
-SELECT q.id AS query_id, coalesce(h.n, 0) AS n_supporting, coalesce(c.n, 0) AS n_conflicts FROM q LEFT JOIN h USING (id) LEFT JOIN c USING (id)""", WORKSPACE_SQL)
-def answer_policy(spark, d):
-    return _answered(spark, d).select("query_id", "n_supporting", "n_conflicts")
+def _vector_store(spark, d):
+    _checkpointed(spark)
+    e = _read(spark, d, "embeddings")
+    name, i = F.concat(F.lit("v"), "vec_id").alias("memory_id"), F.col("vec_id")
+    items = e.select(name, F.lit("document").alias("memory_type"), F.lit("accepted").alias("status"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"))
+    store = vectors.set_status(items, e.select(name, F.when(i % 11 == 3, "quarantined").when(i % 13 == 5, "superseded").alias("status")).where("status is not null"))
+    store = vectors.delete(store, e.where(i % 17 == 4).select(name))
+    seen = F.when(i % 100 == 0, F.array(F.lit("accepted"), F.lit("quarantined"))).otherwise(F.array(F.lit("accepted")))
+    asks = e.where(i % 50 == 0).select(i.alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), seen.alias("statuses"))
+    return vectors.index(store, size=256), asks
+
+
+@plan("vector_store_topk", _STORE_SQL + " SELECT query_id, memory_id, similarity, rank FROM r WHERE rank <= 10", "")
+def vector_store_topk(spark, d):
+    return vectors.top_k(*_vector_store(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @plan("resolve_entity_ids", """ SELECT c_custkey AS query_id, 'P' || c_custkey AS id FROM customer UNION ALL SELECT o_orderkey + 1000000, 'T' || o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey + 1000000, 'E' || o_orderkey FROM orders WHERE o_orderkey % 2 = 1""", "")
@@ -78,11 +195,12 @@ def resolve_entity_ids(spark, d):
     return answering.resolve_names(people.unionByName(o), workspace.entities(spark, d))
 
 
-@plan("symbolic_order", """, q AS (SELECT o_orderkey AS query_id, 'T' || o_orderkey AS ent FROM orders WHERE o_orderkey % 4 = 1), h AS (SELECT query_id, e.* FROM q JOIN (SELECT *, unnest(list_distinct([subject_id, object_id])) AS ent FROM edge) e USING (ent))
+@plan("symbolic_order", """, q AS (SELECT c_custkey AS query_id, c_custkey % 4 AS r, CASE WHEN c_custkey % 4 = 2 THEN 'E' ELSE 'T' END || c_custkey AS ent FROM customer), h AS (SELECT query_id, r, e.* FROM q JOIN (SELECT *, unnest(list_distinct([subject_id, object_id])) AS ent FROM edge) e USING (ent)
+ WHERE CASE r WHEN 0 THEN predicate = 'ASSIGNED_TO' WHEN 2 THEN predicate = 'PRECEDES' WHEN 3 THEN predicate = 'CONTRADICTS' ELSE true END)
 SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY predicate, subject_id, object_id, seq) AS place FROM h""", WORKSPACE_SQL)
 def symbolic_order(spark, d):
-    # The questions for a status name no predicate, so every edge of their task is a hit.
-    q = answering.classify(_questions(spark, d).where("query_id % 4 = 1"))
+    # Questions for a status name no predicate, so every edge of their task is a hit.
+    q = answering.classify(_questions(spark, d))
     resolved = answering.resolve_names(q.select("query_id", F.explode("names").alias("name")), workspace.entities(spark, d))
     return answering.symbolic_hits(resolved, q, workspace.edges(spark, d)).select("query_id", "seq", F.col("place").cast("long").alias("place"))
 
@@ -126,12 +244,11 @@ def agent_is_question(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", text.is_question(t).alias("question"))
 
 
-@plan("agent_loop", """ SELECT o_orderkey AS query_id, o_orderkey % 4 = 3 AS told, CASE WHEN o_orderkey % 4 = 3 THEN 'OWNS' END AS predicate FROM orders""", "")
+@plan("agent_loop", """ SELECT c_custkey AS query_id, c_custkey % 4 = 3 AS told, CASE WHEN c_custkey % 4 = 3 THEN 'OWNS' END AS predicate FROM customer""", "")
 def agent_loop(spark, d):
-    k = F.col("o_orderkey")
     m = _questions(spark, d).withColumn("text", F.when(F.col("query_id") % 4 == 3, F.concat(F.lit("Ann Lee owns Orion"), F.col("query_id"), F.lit("."))).otherwise(F.col("text")))
-    edges = workspace.edges(spark, d).withColumn("source_ref", F.lit("tool:x"))
-    said, found = answering.agent_turns(m, workspace.entities(spark, d), edges, workspace.candidates(spark, d).where("predicate = 'HAS_STATUS'"))
+    live, store = _memory(spark, d)
+    said, found = answering.agent_turns(m, workspace.entities(spark, d), live, workspace.candidates(spark, d).where("predicate = 'HAS_STATUS'"), _semantic(store, m))
     f = found.select(F.col("source_ref").cast("long").alias("query_id"), "predicate")
     return said.select("query_id").join(f, "query_id", "left").select("query_id", F.col("predicate").isNotNull().alias("told"), "predicate")
 
