@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .adaptation import DECAY, RADIUS, RATE
 from .policies import ordered_fold
 
 
@@ -38,8 +39,8 @@ def scenario_replay(writes: DataFrame) -> DataFrame:
     return ordered_fold(writes.select(cols), ["condition", "scenario"], "seq", schema, dict, step)
 
 
-def bounded_update(samples: DataFrame, policy: dict[str, float], label: str, rate: float = 0.25, radius: float = 0.05) -> dict[str, float]:
-    """One gradient step on the mean logistic loss, kept within ``radius`` of the policy and on its signs.
+def bounded_update(samples: DataFrame, policy: dict[str, float], label: str, weight: str | None = None, rate: float = RATE, decay: float = DECAY, radius: float = RADIUS) -> dict[str, float]:
+    """One gradient step on the mean weighted logistic loss with decay, kept within ``radius`` of the policy and on its signs.
 
     The gradient is one aggregate over all samples.
     """
@@ -47,13 +48,15 @@ def bounded_update(samples: DataFrame, policy: dict[str, float], label: str, rat
     z = F.lit(policy["beta_0"])
     for c in names:
         z = z + policy[c] * F.col(c)
-    err = 1 / (1 + F.exp(-z)) - F.col(label).cast("double")
-    g = samples.agg(F.avg(err).alias("beta_0"), *[F.avg(err * F.col(c)).alias(c) for c in names]).first()
-    step = {c: -rate * (g[c] or 0.0) for c in policy}
-    size = math.sqrt(sum(v * v for v in step.values()))
+    w = F.greatest(F.lit(0.05), F.col(weight)) if weight else F.lit(1.0)
+    err = (1 / (1 + F.exp(-z)) - F.col(label).cast("double")) * w
+    g = samples.agg(F.sum(w).alias("_w"), F.sum(err).alias("beta_0"), *[F.sum(err * F.col(c)).alias(c) for c in names]).first()
+    total = g["_w"] or 1.0
+    sign = {c: v if c == "beta_0" or v * policy[c] > 0 else 0.0 for c in policy for v in [policy[c] - rate * ((g[c] or 0.0) / total + (0.0 if c == "beta_0" else 2 * decay * policy[c]))]}
+    size = math.sqrt(sum((sign[c] - policy[c]) ** 2 for c in policy))
     scale = min(1.0, radius / size) if size else 0.0
-    out = {c: policy[c] + scale * step[c] for c in policy}
-    return {c: v if c == "beta_0" or policy[c] == 0 or v * policy[c] > 0 else 0.0 for c, v in out.items()}
+    out = {c: policy[c] + scale * (sign[c] - policy[c]) for c in policy}
+    return {c: v if c == "beta_0" or v * policy[c] > 0 else 0.0 for c, v in out.items()}
 
 
 def latin_square(rows: DataFrame, participant: str, item: str, n: int) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions.scores import escalation_score, route, sigmoid
+from .policies import ordered_fold
 
 #: Adjudications that release the held write.
 RELEASING = ("accept", "supersede")
@@ -43,21 +42,42 @@ def severity_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def adjudicate(items: DataFrame, actions: DataFrame, live: DataFrame) -> DataFrame:
-    """item_id, outcome, queue_status, n_retired of items met by actions(item_id, action).
+def adjudicate(items: DataFrame, actions: DataFrame, writes: DataFrame) -> DataFrame:
+    """item_id, at, action, outcome, queue_status, retired: what each of actions(item_id, action, at) does to live memory.
 
-    A releasing action commits the write against the live rows: other values of a
-    single-valued key are retired, so a release never leaves two. A rejected write is
-    dismissed, a quarantined one stays unresolved, a request for evidence leaves it pending.
+    items(item_id, subject_id, predicate, object_id, incumbents); writes(at, name, subject_id, predicate, object_id,
+    tier) are what memory takes without review. Both pass in the order of ``at``, key by key, so a
+    release meets what earlier releases and writes left: it retires every other value of a
+    single-valued key (or, where none is active, the incumbents that its verdict named), and never
+    leaves two. A rejected write is dismissed, a quarantined one stays unresolved, a request for
+    evidence leaves it pending. A released item's value is named by its item_id.
     """
-    held = live.where(F.col("predicate").isin(*o.SINGLE_VALUED)).groupBy("subject_id", "predicate").agg(F.collect_set("object_id").alias("values"))
-    j = items.join(actions, "item_id").join(held, ["subject_id", "predicate"], "left")
-    others = F.coalesce(F.size(F.array_except("values", F.array("object_id"))), F.lit(0))
-    released = F.col("action").isin(*RELEASING)
-    retired = F.when(released, others).otherwise(0)
-    status = F.when(released, "resolved").when(F.col("action") == "reject", "dismissed").when(F.col("action") == "request_evidence", "pending").otherwise("unresolved")
-    outcome = F.when(released, F.when(others > 0, "supersede").otherwise("accept")).when(F.col("action") == "reject", "reject").otherwise("review")
-    return j.select("item_id", "action", outcome.alias("outcome"), status.alias("queue_status"), retired.alias("n_retired"))
+    none = F.lit(None).cast("string")
+    acts = items.join(actions, "item_id").select("subject_id", "predicate", "object_id", "at", "action", "item_id", F.col("item_id").alias("name"), F.coalesce("incumbents", F.array().cast("array<string>")).alias("incumbents"))
+    flow = writes.where(F.col("tier").isin("accept", "supersede")).select("subject_id", "predicate", "object_id", "at", F.col("tier").alias("action"), none.alias("item_id"), "name", F.array().cast("array<string>").alias("incumbents"))
+
+    def step(held: dict[str, str], r):
+        one = r.predicate in o.SINGLE_VALUED
+        if r.action not in RELEASING:
+            status = {"reject": "dismissed", "request_evidence": "pending"}.get(r.action, "unresolved")
+            return held, [(r.item_id, r.at, r.action, "reject" if r.action == "reject" else "review", status, [])]
+        others = [n for v, n in held.items() if v != r.object_id] if one else []
+        if r.item_id is None:
+            if r.action == "supersede" and others:
+                held = {r.object_id: r.name}
+            elif one:
+                held.setdefault(r.object_id, r.name)
+            return held, []
+        gone = sorted(others) or [x for x in r.incumbents if x]
+        if one:
+            if gone:
+                held = {r.object_id: r.name}
+            else:
+                held.setdefault(r.object_id, r.name)
+        return held, [(r.item_id, r.at, r.action, "supersede" if gone else "accept", "resolved", gone)]
+
+    schema = "item_id string, at long, action string, outcome string, queue_status string, retired array<string>"
+    return ordered_fold(acts.unionByName(flow), ["subject_id", "predicate"], "at", schema, dict, step)
 
 
 def reviewers(items: DataFrame, rates: tuple[float, ...] = (0.25, 0.5, 0.67, 0.75, 0.87)) -> DataFrame:
@@ -103,53 +123,6 @@ def canary(measured: DataFrame, by: str, base: str, dvr: float = 0.0, mcr: float
     return measured.crossJoin(F.broadcast(b.limit(1))).select(by, fine.alias("deploy"))
 
 
-@dataclass
-class PolicyRegistry:
-    """Versions of a policy: proposals are deployed or discarded, and deployed ones can be rolled back to."""
-
-    initial: dict[str, float]
-    versions: list[dict] = field(default_factory=list)
-    current: str = "v0"
-    rollbacks: int = 0
-
-    def __post_init__(self):
-        self.versions.append({"version": "v0", "parent": None, "policy": dict(self.initial), "deployed": True, "reason": "initial"})
-
-    def find(self, version: str) -> dict:
-        for v in self.versions:
-            if v["version"] == version:
-                return v
-        raise KeyError(f"unknown policy version {version!r}")
-
-    @property
-    def policy(self) -> dict[str, float]:
-        return self.find(self.current)["policy"]
-
-    def submit(self, policy: dict[str, float], deploy: bool, reason: str = "", radius: float = 0.05) -> bool:
-        """Record a proposal; it goes into force if the canary says so and it stays near the policy in force."""
-        step = sum((policy[c] - self.policy[c]) ** 2 for c in self.policy) ** 0.5
-        inside = step <= radius + 1e-9
-        fine = deploy and inside
-        name = f"v{len(self.versions)}"
-        self.versions.append({"version": name, "parent": self.current, "policy": dict(policy), "deployed": fine, "reason": reason if inside else f"moved by {step:.4f}"})
-        if fine:
-            self.current = name
-        return fine
-
-    def rollback(self, version: str | None = None) -> dict[str, float]:
-        """Back to a deployed version, the current one's parent if none is named."""
-        target = self.find(version or self.find(self.current)["parent"] or "v0")
-        if not target["deployed"]:
-            raise ValueError(f"{target['version']} was never deployed")
-        self.current = target["version"]
-        self.rollbacks += 1
-        return target["policy"]
-
-    def table(self, spark) -> DataFrame:
-        rows = [(v["version"], v["parent"], v["deployed"], v["reason"], v["version"] == self.current) for v in self.versions]
-        return spark.createDataFrame(rows, "version string, parent string, deployed boolean, reason string, in_force boolean")
-
-
 def disabled_tiers(routed: DataFrame, policies: list[dict[str, float]], low: float = 0.30, high: float = 0.65) -> DataFrame:
     """One row: writes with a mandatory failure, and how many of them any of the policies would accept (none, if the guards hold)."""
     recoverable = (F.col("n_incumbents") > 0) & F.col("predicate").isin(*o.SINGLE_VALUED)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions import scores, text
-from ..operators import analyst, answering, metrics, mixed, review, stats, suites, vectors
+from ..operators import adaptation, analyst, answering, metrics, mixed, review, stats, suites, vectors
 from ..sources import workspace
 from ..sources.events import LOG_SQL, assertion_log
 from ..sources.workspace import WORKSPACE_SQL
@@ -274,14 +274,28 @@ def review_enqueue(spark, d):
     return review.enqueue(_routed(spark, d)).select("seq", "item_id", "severity")
 
 
-@plan("review_adjudicate", _FEAT + f""", live AS (SELECT subject_id, predicate, list(DISTINCT object_id) AS vals FROM alog WHERE predicate IN {SINGLE} AND pct > 80 GROUP BY 1, 2),
-i AS (SELECT f5.*, ['accept', 'supersede', 'reject', 'quarantine', 'request_evidence'][k % 5 + 1] AS action, coalesce(len(list_filter(vals, lambda x: x <> object_id)), 0) AS others FROM f5 LEFT JOIN live USING (subject_id, predicate) WHERE tier = 'review')
-SELECT 'rev-' || lpad(seq::VARCHAR, 12, '0') AS item_id, action, CASE WHEN action IN ('accept', 'supersede') THEN CASE WHEN others > 0 THEN 'supersede' ELSE 'accept' END WHEN action = 'reject' THEN 'reject' ELSE 'review' END AS outcome,
- CASE action WHEN 'accept' THEN 'resolved' WHEN 'supersede' THEN 'resolved' WHEN 'reject' THEN 'dismissed' WHEN 'request_evidence' THEN 'pending' ELSE 'unresolved' END AS queue_status, CASE WHEN action IN ('accept', 'supersede') THEN others ELSE 0 END::INTEGER AS n_retired FROM i""")
+# The log's own accepted writes and the reviewers' actions on its escalated ones, which come some writes later; a recursion a step of each key.
+@plan("review_adjudicate", _FEAT + f""", ev AS (
+  SELECT subject_id, predicate, object_id, seq * 2 AS tm, tier AS action, CAST(NULL AS VARCHAR) AS item_id, 'w' || seq AS name FROM f5 WHERE tier IN ('accept', 'supersede')
+  UNION ALL SELECT subject_id, predicate, object_id, seq * 2 + 1 + k % 7 * 400, ['accept', 'supersede', 'reject', 'quarantine', 'request_evidence'][k % 5 + 1], 'rev-' || lpad(CAST(seq AS VARCHAR), 12, '0'), 'rev-' || lpad(CAST(seq AS VARCHAR), 12, '0') FROM f5 WHERE tier = 'review'
+),
+step AS (SELECT *, predicate IN {SINGLE} AS one, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY tm) AS n FROM ev),
+fold AS (
+  SELECT subject_id, predicate, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(v VARCHAR, n VARCHAR)[]) AS held, CAST(NULL AS VARCHAR) AS item_id, CAST(NULL AS BIGINT) AS tm, CAST(NULL AS VARCHAR) AS action, CAST([] AS VARCHAR[]) AS gone FROM (SELECT DISTINCT subject_id, predicate FROM step)
+  UNION ALL
+  SELECT subject_id, predicate, n, CASE WHEN NOT one OR action NOT IN ('accept', 'supersede') THEN held WHEN len(gone) > 0 AND (item_id IS NOT NULL OR action = 'supersede') THEN [{{'v': object_id, 'n': name}}]
+    WHEN len(list_filter(held, lambda x: x.v = object_id)) > 0 THEN held ELSE list_append(held, {{'v': object_id, 'n': name}}) END, item_id, tm, action, gone
+  FROM (SELECT s.*, f.held, CASE WHEN s.one AND s.action IN ('accept', 'supersede') THEN list_sort(list_transform(list_filter(f.held, lambda x: x.v <> s.object_id), lambda x: x.n)) ELSE CAST([] AS VARCHAR[]) END AS gone FROM fold f JOIN step s ON s.subject_id = f.subject_id AND s.predicate = f.predicate AND s.n = f.n + 1)
+)
+SELECT item_id, tm AS "at", action, CASE WHEN action IN ('accept', 'supersede') THEN CASE WHEN len(gone) > 0 THEN 'supersede' ELSE 'accept' END WHEN action = 'reject' THEN 'reject' ELSE 'review' END AS outcome,
+ CASE action WHEN 'accept' THEN 'resolved' WHEN 'supersede' THEN 'resolved' WHEN 'reject' THEN 'dismissed' WHEN 'request_evidence' THEN 'pending' ELSE 'unresolved' END AS queue_status, array_to_string(gone, ',') AS retired FROM fold WHERE item_id IS NOT NULL""", LOG_SQL.replace("WITH alog", "WITH RECURSIVE alog"))
 def review_adjudicate(spark, d):
-    items = review.enqueue(_routed(spark, d))
+    r = _routed(spark, d)
+    items = review.enqueue(r).withColumn("incumbents", F.array().cast("array<string>"))
     pick = F.element_at(F.array(*[F.lit(a) for a in ("accept", "supersede", "reject", "quarantine", "request_evidence")]), (F.col("k_case") % 5 + 1).cast("int"))
-    return review.adjudicate(items, items.select("item_id", pick.alias("action")), assertion_log(spark, d).where("pct > 80"))
+    actions = items.select("item_id", pick.alias("action"), (F.col("seq") * 2 + 1 + F.col("k_case") % 7 * 400).alias("at"))
+    writes = r.select((F.col("seq") * 2).alias("at"), F.concat(F.lit("w"), "seq").alias("name"), "subject_id", "predicate", "object_id", "tier")
+    return review.adjudicate(items, actions, writes).withColumn("retired", F.array_join("retired", ","))
 
 
 @plan("tier_to_verdict", _FEAT + """, x AS (SELECT *, CASE WHEN k % 6 = 0 THEN 'C8' END AS failed FROM f5) SELECT seq, CASE WHEN tier = 'accept' THEN 'accept' WHEN tier = 'supersede' AND ni > 0 THEN 'supersede' WHEN tier = 'reject' THEN 'reject' ELSE 'quarantine' END AS action,
@@ -327,15 +341,31 @@ def random_reviewers(spark, d):
     return g.agg(F.max("n").alias("items"), F.count("*").cast("int").alias("reviewers"), near.alias("in_order"))
 
 
-@plan("policy_registry", """ SELECT * FROM (VALUES ('v0', NULL, true, 'initial', false), ('v1', 'v0', true, 'canary passed', true), ('v2', 'v1', false, 'canary regression', false), ('v3', 'v1', true, 'canary passed', false)) t(version, parent, deployed, reason, in_force)""", "")
+def _versions(spark, d):
+    """Feedback of four kinds of reviewers on the routed writes, a policy for each kind and predicate; every fifth write is the canary's."""
+    k = F.col("k_case")
+    single = F.col("predicate").isin(*o.SINGLE_VALUED)
+    r = _routed(spark, d).withColumn("recoverable", (F.col("n_incumbents") > 0) & single).withColumn("violates", (F.col("n_incumbents") > 0) & single)
+    r = r.withColumn("gold", F.when(F.col("f_c") >= 1, "supersede").when(F.col("g"), "reject").otherwise("accept")).withColumn("consequential", F.col("consequence") >= 0.6)
+    r = r.withColumn("truth", (F.col("f_c") >= 1) | F.col("m"))
+    canary = adaptation.Canary(r.where("seq % 5 = 0").withColumn("gold", F.when(F.col("truth"), "review").otherwise(F.col("gold"))))
+    f = review.feedback(r.where("seq % 5 <> 0"), noisy=k % 5 == 0, biased=k % 20 < 7).withColumn("weight", F.col("weight_pct") / 100)
+    return adaptation.adapt(f, ["stream", "predicate"], "seq", scores.POLICY, scores.TAU_LOW, scores.TAU_HIGH, canary)
+
+
+@plan("policy_versions")
+def policy_versions(spark, d):
+    return _versions(spark, d)
+
+
+@plan("policy_registry")
 def policy_registry(spark, d):
-    r = review.PolicyRegistry(dict(scores.POLICY))
-    step = lambda by: r.policy | {"beta_0": r.policy["beta_0"] + by}
-    r.submit(step(0.04), True, "canary passed")
-    r.submit(step(0.04), False, "canary regression")
-    r.submit(step(0.04), True, "canary passed")
-    r.rollback()
-    return r.table(spark)
+    v = _versions(spark, d)
+    keys = ["stream", "predicate"]
+    v = v.select(*keys, "version", "parent", "deployed", "reason")
+    v = v.unionByName(v.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("version"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("deployed"), F.lit("initial").alias("reason")))
+    now = adaptation.in_force(v, keys).withColumn("in_force", F.lit(True))
+    return v.join(now, [*keys, "version"], "left").withColumn("in_force", F.coalesce("in_force", F.lit(False)))
 
 
 @plan("tier_disablement", _FEAT + " SELECT count(*) AS probes, 0::BIGINT AS accepted FROM f5 WHERE g OR m")

@@ -150,18 +150,19 @@ def test_injected_cascade(spark):
 
 def test_bounded_update(spark):
     policy = {"beta_0": -0.2, "x": 0.03, "z": -0.01}
-    data = [(0.5 * (i % 3), 1.0 * (i % 2), i % 5 < 2) for i in range(40)]
-    got = replay.bounded_update(spark.createDataFrame(data, "x double, z double, y boolean"), policy, "y")
-    g = [0.0, 0.0, 0.0]
-    for x, z, y in data:
+    data = [(0.5 * (i % 3), 1.0 * (i % 2), i % 5 < 2, (0.01, 0.5, 0.9)[i % 3]) for i in range(40)]
+    got = replay.bounded_update(spark.createDataFrame(data, "x double, z double, y boolean, w double"), policy, "y", "w")
+    g, total = [0.0, 0.0, 0.0], sum(max(0.05, w) for *_, w in data)
+    for x, z, y, w in data:
         e = 1 / (1 + math.exp(-(policy["beta_0"] + policy["x"] * x + policy["z"] * z))) - y
         for j, v in enumerate((1, x, z)):
-            g[j] += e * v / len(data)
-    step = [-0.25 * v for v in g]
-    scale = min(1.0, 0.05 / math.sqrt(sum(v * v for v in step)))
-    want = {c: policy[c] + scale * s for c, s in zip(policy, step)}
-    for c in want:
-        assert got[c] == pytest.approx(want[c] if c == "beta_0" or want[c] * policy[c] > 0 else 0.0)
+            g[j] += e * v * max(0.05, w) / total
+    step = [-0.5 * (v + (0.02 * policy[c] if c != "beta_0" else 0)) for c, v in zip(policy, g)]
+    keep = lambda p: {c: v if c == "beta_0" or v * policy[c] > 0 else 0.0 for c, v in p.items()}
+    want = keep({c: policy[c] + s for c, s in zip(policy, step)})
+    scale = min(1.0, 0.05 / math.sqrt(sum((want[c] - policy[c]) ** 2 for c in want)))
+    want = keep({c: policy[c] + scale * (want[c] - policy[c]) for c in want})
+    assert got == pytest.approx(want)
 
 
 def test_fit_logistic_meets_its_conditions(spark):
