@@ -58,6 +58,29 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return closure(edges).where("src = dst").select(F.col("src").alias("node"))
 
 
+def simple_cycles(edges: DataFrame, most: int = 8) -> DataFrame:
+    """cycle: the nodes of each simple cycle of up to ``most`` edges, once, from its least node on.
+
+    Paths start at every node and go through greater ones only, an edge a round; where an edge leads
+    back to the start, a cycle is found. Edges that no cycle can have (nothing leads to their
+    source, or nothing on from their target) are dropped first. The number of paths may grow with each
+    round, as that of cycles does; they are rows of a table, in no group.
+    """
+    e = edges.select("src", "dst").distinct()
+    loops = e.where("src = dst").select(F.array("src").alias("cycle"))
+    e = e.where("src <> dst")
+    for _ in range(3):
+        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+    found, paths = loops, e.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("dst").alias("src"))
+    for _ in range(most - 1):
+        step = paths.join(e, "src").where((F.col("dst") >= F.get("path", F.lit(0))) & ((F.col("dst") == F.get("path", F.lit(0))) | ~F.array_contains("path", F.col("dst")))).checkpoint()
+        found = found.unionByName(step.where(F.col("dst") == F.get("path", F.lit(0))).select(F.col("path").alias("cycle")))
+        paths = step.where(F.col("dst") > F.get("path", F.lit(0))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("src"))
+        if paths.isEmpty():
+            break
+    return found
+
+
 def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates(src, dst) that are loops or whose target already reaches their source."""
     paths = closure(edges, candidates.select(F.col("dst").alias("src")).distinct())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions.scores import bin_left_closed, bin_right_closed
+from .ranges import running
 
 
 def share(condition: Column, among: Column | None = None) -> Column:
@@ -115,11 +116,11 @@ def replay_metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def risk_coverage_auc(records: DataFrame, by: str, key: str) -> DataFrame:
     """Area under error rate over coverage, rows by rising risk, errors last among equals, per ``by``."""
-    e = (F.col("routed") != F.col("gold")).cast("int")
-    w = Window.partitionBy(by).orderBy("risk", "err", key)
-    df = records.withColumn("err", e).withColumn("i", F.row_number().over(w)).withColumn("errors", F.sum("err").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("rate", F.col("errors") / F.col("i")).withColumn("before", F.coalesce(F.lag("rate").over(w), "rate"))
-    return df.groupBy(by).agg(F.round(F.sum(0.5 * (F.col("rate") + F.col("before"))) / F.count("*"), 6).alias("auc"))
+    df = records.select(by, "risk", key, (F.col("routed") != F.col("gold")).cast("int").alias("err"))
+    df = running(df, [by], ["risk", "err", key], {"i": F.lit(1), "errors": F.col("err")})
+    rate = F.col("errors") / F.col("i")
+    before = F.coalesce((F.col("errors") - F.col("err")) / F.nullif(F.col("i") - 1, F.lit(0)), rate)
+    return df.groupBy(by).agg(F.round(F.sum(0.5 * (rate + before)) / F.count("*"), 6).alias("auc"))
 
 
 def delta_vs(rows: DataFrame, by: str, base: str, metrics: list[str]) -> DataFrame:

@@ -88,8 +88,8 @@ def resolve(mentions: DataFrame, entities: DataFrame, edges: DataFrame | None =
 
 
 def endpoints(relations: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(relations with subject_id and object_id, relations with an unresolved end) for relations(ref, subject, object) and resolved(name, id)."""
-    key = resolved.select(normalize_name("name").alias("key"), "id").dropDuplicates(["key"])
+    """(relations with subject_id and object_id, relations with an unresolved end) for relations(ref, subject, object) and resolved(name, id); of a name's ids the smallest."""
+    key = resolved.groupBy(normalize_name("name").alias("key")).agg(F.min("id").alias("id"))
     r = relations.withColumn("s", normalize_name("subject")).withColumn("o", normalize_name("object"))
     r = r.join(key.select(F.col("key").alias("s"), F.col("id").alias("subject_id")), "s", "left").join(key.select(F.col("key").alias("o"), F.col("id").alias("object_id")), "o", "left")
     both = F.col("subject_id").isNotNull() & F.col("object_id").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -104,35 +105,54 @@ def holm(tests: DataFrame, label: str, p: str, alpha: float = 0.05, inclusive: b
     return df.select(label, F.round(p, 6).alias("raw_p"), F.round("corrected_p", 6).alias("corrected_p"), hit.alias("reject"))
 
 
-def bootstrap_ci(rows: DataFrame, by: str, key: str, value: str, resamples: int = 10_000) -> DataFrame:
-    """Percentile interval of the mean under Poisson resampling: a row's weight in each resample is drawn from a hash of its key.
+def _poisson_means(units: DataFrame, by: str, resamples: int) -> DataFrame:
+    """by, b, m: the mean in each Poisson resample of units(by, s: sum, m: rows, n: how many such units).
 
-    Every row is read once and no group is gathered; resamples are independent of partitioning.
+    n equal units together weigh a Poisson of mean n, drawn by a generator that their values seed: so
+    draws don't depend on how rows are dealt; means are rounded to nine places. A task adds up arrays as long as there are resamples.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1 << 20)) / float(1 << 20)
-    limits, cum = [], 0.0
-    for k in range(7):
-        cum += math.exp(-1) / math.factorial(k)
-        limits.append(cum)
-    weight = sum((u >= x).cast("int") for x in limits)
-    df = rows.select(by, key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    m = df.groupBy(by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return m.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+
+    def fn(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def out():
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[k][0].tolist() for k in keys], pa.list_(pa.float64())), pa.array([held[k][1].tolist() for k in keys], pa.list_(pa.float64()))], names=["k", "s", "m"])
+
+        for b in batches:
+            for k, s, m, n, seed in zip(*(b.column(c).to_pylist() for c in ("k", "s", "m", "n", "seed"))):
+                w = np.random.Generator(np.random.Philox(seed & ((1 << 64) - 1))).poisson(n, resamples)
+                acc = held.setdefault(k, np.zeros((2, resamples)))
+                acc[0] += w * s
+                acc[1] += w * m
+                if len(held) > 64:
+                    yield out()
+                    held = {}
+        if held:
+            yield out()
+
+    u = units.select(F.col(by).cast("string").alias("k"), F.col("s").cast("double"), F.col("m").cast("double"), "n", F.xxhash64(by, "s", "m").alias("seed"))
+    sums = u.mapInArrow(fn, "k string, s array<double>, m array<double>").select("k", F.posexplode(F.arrays_zip("s", "m")).alias("b", "x"))
+    sums = sums.groupBy("k", "b").agg(F.round(F.sum("x.s") / F.nullif(F.sum("x.m"), F.lit(0.0)), 9).alias("m"))
+    return sums.select(F.col("k").cast(units.schema[by].dataType).alias(by), "b", "m")
+
+
+def _interval(means: DataFrame, by: str) -> DataFrame:
+    return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+
+
+def bootstrap_ci(rows: DataFrame, by: str, value: str, resamples: int = 10_000) -> DataFrame:
+    """Percentile interval of the mean under Poisson resampling. Rows are counted by value first, so that equal values are drawn at once."""
+    units = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("s")).agg(F.count("*").alias("n")).withColumn("m", F.lit(1))
+    return _interval(_poisson_means(units, by, resamples), by)
 
 
 def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, resamples: int = 2000) -> DataFrame:
-    """Percentile interval of the mean when whole clusters are resampled; each is first reduced to its count and sum."""
-    c = rows.groupBy(by, cluster).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("b")), F.lit(1 << 20)) / float(1 << 20)
-    limits, cum = [], 0.0
-    for k in range(7):
-        cum += math.exp(-1) / math.factorial(k)
-        limits.append(cum)
-    weight = sum((u >= x).cast("int") for x in limits)
-    df = c.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    m = df.groupBy(by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    point = c.groupBy(by).agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return point.join(m.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")), by)
+    """Percentile interval of the mean when whole clusters are resampled; each is first reduced to its count and sum, and equal ones are drawn at once."""
+    c = rows.groupBy(by, cluster).agg(F.count(value).alias("m"), F.sum(value).alias("s")).where("m > 0")
+    units = c.groupBy(by, "s", "m").agg(F.count("*").alias("n"))
+    point = units.groupBy(by).agg((F.sum(F.col("s") * F.col("n")) / F.sum(F.col("m") * F.col("n"))).alias("mean"))
+    return point.join(_interval(_poisson_means(units, by, resamples), by), by)
 
 
 def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:

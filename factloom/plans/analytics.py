@@ -538,6 +538,7 @@ def per_class(spark, d):
 @plan("risk_coverage_auc", _ARMS + """, e AS (SELECT condition, risk, seq, (routed <> gold)::INT AS err FROM wr), i AS (SELECT *, row_number() OVER w AS i, sum(err) OVER (PARTITION BY condition ORDER BY risk, err, seq ROWS UNBOUNDED PRECEDING) AS errors FROM e WINDOW w AS (PARTITION BY condition ORDER BY risk, err, seq)),
 r AS (SELECT *, errors / i AS rate FROM i), b AS (SELECT condition, rate, coalesce(lag(rate) OVER (PARTITION BY condition ORDER BY i), rate) AS before FROM r) SELECT condition, round(sum(0.5 * (rate + before)) / count(*), 6) AS auc FROM b GROUP BY 1""", log=True)
 def risk_coverage_auc(spark, d):
+    _checkpointed(spark)
     return metrics.risk_coverage_auc(_records(spark, d), "condition", "seq")
 
 
@@ -627,7 +628,7 @@ def two_proportion_test(spark, d):
 
 @plan("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(_read(spark, d, "labels"), "toxic", "doc_id", "quality")
+    return stats.bootstrap_ci(_read(spark, d, "labels"), "toxic", "quality")
 
 
 @plan("median_decision_time", """ SELECT user_id % 10 AS participant, quantile_cont(value, 0.5) AS median FROM events GROUP BY 1""")

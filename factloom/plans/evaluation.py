@@ -172,10 +172,10 @@ def extraction_quality(spark, d):
     return metrics.extraction_quality(p)
 
 
-@plan("failure_taxonomy", """ SELECT CASE WHEN trim(source_ref) = '' THEN 'extraction' WHEN k % 13 = 0 THEN 'link' WHEN pct <= 80 THEN 'governance' ELSE 'none' END AS cause, count(*) AS n FROM alog WHERE k % 3 <> 0 GROUP BY 1""")
+@plan("failure_taxonomy", """ SELECT CASE WHEN trim(source_ref) = '' THEN 'extraction' WHEN k % 13 = 0 THEN 'link' WHEN pct <= 80 THEN 'governance' ELSE 'none' END AS cause, count(*) AS n FROM alog GROUP BY 1""")
 def failure_taxonomy(spark, d):
     cause = F.when(F.trim("source_ref") == "", "extraction").when(F.col("k") % 13 == 0, "link").when(F.col("pct") <= 80, "governance").otherwise("none")
-    return assertion_log(spark, d).where("k % 3 <> 0").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    return assertion_log(spark, d).groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
 @plan("iso_to_utc", """ SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') AS utc FROM orders""", log=False)

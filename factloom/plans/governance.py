@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import ontology as o
-from ..operators import contradict, metrics, policies, review, validate
+from ..operators import contradict, metrics, policies, ranges, review, validate
 from ..sources import store
 from ..sources.events import LOG_SQL, assertion_log
+from ..sources.scratch import checkpoint_folder
 
 PLANS: dict = {}
 SINGLE = "('ASSIGNED_TO', 'HAS_STATUS', 'HAS_VALUE')"
@@ -167,10 +168,9 @@ def corroborated_intent(spark, d):
 @plan("feedback_blocks", """, x AS (SELECT *, (row_number() OVER (PARTITION BY predicate ORDER BY seq) - 1) // 20 AS block FROM alog)
 SELECT predicate, CAST(block AS BIGINT) AS block, count(*) AS n, max(pct) AS top FROM x GROUP BY 1, 2""")
 def feedback_blocks(spark, d):
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("predicate").orderBy("seq"))
-    return assertion_log(spark, d).withColumn("block", F.floor((at - 1) / 20)).groupBy("predicate", "block").agg(F.count("*").alias("n"), F.max("pct").alias("top"))
+    checkpoint_folder(spark)
+    df = ranges.running(assertion_log(spark, d).select("predicate", "seq", "pct"), ["predicate"], ["seq"], {"at": F.lit(1)})
+    return df.groupBy("predicate", F.floor((F.col("at") - 1) / 20).alias("block")).agg(F.count("*").alias("n"), F.max("pct").alias("top"))
 
 
 _TYPED = """, c AS (SELECT *, CASE k % 4 WHEN 0 THEN 'Task' WHEN 1 THEN 'Person' WHEN 2 THEN 'Slot' ELSE NULL END AS subject_type,

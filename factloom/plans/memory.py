@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions import text
-from ..operators import constraints, extract, ordered, writepath
+from ..operators import constraints, extract, graph, ordered, writepath
 from ..sources import workspace
 from ..sources.events import LOG_SQL, assertion_log
 from ..sources.workspace import WORKSPACE_SQL, WRITE_LOG_SQL
@@ -147,6 +147,21 @@ def constraint_validate(spark, d):
     return ordered.decide(*_log(spark, d)).withColumn("retired", F.array_join(F.sort_array("retired"), ","))
 
 
+@plan("simple_cycles", WRITE_LOG_SQL + """,
+pe AS (SELECT DISTINCT subject_id AS src, object_id AS dst FROM (SELECT subject_id, object_id FROM llog WHERE predicate = 'PRECEDES' UNION ALL SELECT subject_id, object_id FROM ledge WHERE predicate = 'PRECEDES')),
+walk AS (
+  SELECT [src] AS path, dst, src = dst AS closed FROM pe
+  UNION ALL
+  SELECT list_append(path, w.dst), e.dst, e.dst = path[1] FROM walk w JOIN pe e ON e.src = w.dst WHERE NOT closed AND w.dst > path[1] AND NOT list_contains(path, w.dst) AND e.dst >= path[1] AND len(path) < 8
+)
+SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS n FROM walk WHERE closed""", _WS)
+def simple_cycles(spark, d):
+    # Cycles that the proposed orders of events would close among themselves and with the store's.
+    log, _, edges = _log(spark, d)
+    both = graph.predicate_subgraph(log, "PRECEDES").unionByName(graph.predicate_subgraph(edges, "PRECEDES"))
+    return graph.simple_cycles(both).select(F.array_join("cycle", ">").alias("cycle"), F.size("cycle").cast("long").alias("n"))
+
+
 @plan("contradiction_kinds", _ORDERED + " SELECT kind, action, count(*) AS n, CAST(sum(len(retired)) AS BIGINT) AS retired FROM fin GROUP BY 1, 2", _WS)
 def contradiction_kinds(spark, d):
     return ordered.decide(*_log(spark, d)).groupBy("kind", "action").agg(F.count("*").alias("n"), F.sum(F.size("retired")).alias("retired"))

@@ -50,10 +50,10 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     def rows(df, seq, subject, predicate, obj, pct):
         return df.select(seq.cast("long").alias("seq"), subject.alias("subject_id"), F.lit(predicate).alias("predicate"), obj.alias("object_id"), pct.cast("long").alias("pct"))
 
-    l = _read(spark, d, "lineitem").where("l_quantity >= 49").select("l_suppkey", "l_partkey").distinct()
+    p = F.col("p_partkey")
     return (
         rows(o.where(k % 2 == 0), k * 8 + 1, _name("E", "o_orderkey"), "RESULTS_IN", _name("T", "o_orderkey"), F.lit(90))
-        .unionByName(rows(l, F.col("l_suppkey") * 10_000_000 + F.col("l_partkey") * 8 + 2, _name("S", "l_suppkey"), "EVIDENCE_FOR", _name("D", "l_partkey"), F.lit(90)))
+        .unionByName(rows(_read(spark, d, "part").where(p % 3 != 0), p * 8 + 2, _name("S", p % 10), "EVIDENCE_FOR", _name("D", "p_partkey"), F.lit(90)))
         .unionByName(rows(o.where(k % 4 != 0), k * 8 + 3, _name("T", "o_orderkey"), "ASSIGNED_TO", _name("P", "o_custkey"), k % 50 + 50))
         .unionByName(rows(o.where(k % 4 != 3), k * 8 + 4, _name("E", "o_orderkey"), "PRECEDES", _name("E", k + 1), F.lit(85)))
         .unionByName(rows(o.where(k % 3 == 0), k * 8 + 5, _name("T", "o_orderkey"), "HAS_STATUS", _name("status:", state), F.lit(95)))
@@ -139,7 +139,7 @@ WITH ent AS (
 ),
 edge AS (
   SELECT o_orderkey * 8 + 1 AS seq, 'E' || o_orderkey AS subject_id, 'RESULTS_IN' AS predicate, 'T' || o_orderkey AS object_id, 90 AS pct FROM orders WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT DISTINCT l_suppkey * 10000000 + l_partkey * 8 + 2, 'S' || l_suppkey, 'EVIDENCE_FOR', 'D' || l_partkey, 90 FROM lineitem WHERE l_quantity >= 49
+  UNION ALL SELECT p_partkey * 8 + 2, 'S' || (p_partkey % 10), 'EVIDENCE_FOR', 'D' || p_partkey, 90 FROM part WHERE p_partkey % 3 <> 0
   UNION ALL SELECT o_orderkey * 8 + 3, 'T' || o_orderkey, 'ASSIGNED_TO', 'P' || o_custkey, o_orderkey % 50 + 50 FROM orders WHERE o_orderkey % 4 <> 0
   UNION ALL SELECT o_orderkey * 8 + 4, 'E' || o_orderkey, 'PRECEDES', 'E' || (o_orderkey + 1), 85 FROM orders WHERE o_orderkey % 4 <> 3
   UNION ALL SELECT o_orderkey * 8 + 5, 'T' || o_orderkey, 'HAS_STATUS', 'status:' || {_STATE}, 95 FROM orders WHERE o_orderkey % 3 = 0
