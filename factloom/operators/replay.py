@@ -39,6 +39,43 @@ def scenario_replay(writes: DataFrame) -> DataFrame:
     return ordered_fold(writes.select(cols), ["condition", "scenario"], "seq", schema, dict, step)
 
 
+def answers_after(writes: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, condition, answer, correct, stale, abstained, unsupported, ambiguous of each question under each condition.
+
+    Writes are as for ``scenario_replay``, with source_ref and, where a tier is forced on a write
+    instead of its own, ``forced``. questions(condition, scenario, query_id, at, subject_id, predicate, gold,
+    old) are asked after the write of seq ``at``. Both pass in one order, so a question sees
+    memory as the writes before it left it: of several active values the latest is read, and the
+    question counts as ambiguous; without any it is abstained from, which is no unsupported answer.
+    """
+    no = lambda t: F.lit(None).cast(t)
+    forced = F.col("forced") if "forced" in writes.columns else no("string")
+    w = writes.select("condition", "scenario", (F.col("seq") * 2).alias("at"), "subject_id", "predicate", "object_id", F.coalesce(forced, "tier").alias("tier"), "staffed", F.col("gold").alias("truth"), "source_ref", no("string").alias("query_id"), no("string").alias("old"))
+    q = questions.select("condition", "scenario", (F.col("at") * 2 + 1).alias("at"), "subject_id", "predicate", F.col("gold").alias("object_id"), F.lit("ask").alias("tier"), F.lit(False).alias("staffed"), F.lit("").alias("truth"), F.lit("").alias("source_ref"), F.col("query_id").cast("string").alias("query_id"), "old")
+
+    def step(state, r):
+        held = state.setdefault((r.subject_id, r.predicate), {})
+        if r.tier == "ask":
+            answer = max(held, key=held.get, default=None)
+            bare = answer is not None and not held[answer][1].strip()
+            return state, [(r.query_id, r.condition, answer, answer is not None and answer == r.object_id, answer is not None and answer == r.old, answer is None, bare, len(held) > 1)]
+        final = r.truth if r.tier == "review" and r.staffed else r.tier
+        if final == "supersede":
+            held.clear()
+        if final in ("accept", "supersede"):
+            held.setdefault(r.object_id, (r.at, r.source_ref or ""))
+        return state, []
+
+    schema = "query_id string, condition string, answer string, correct boolean, stale boolean, abstained boolean, unsupported boolean, ambiguous boolean"
+    return ordered_fold(w.unionByName(q), ["condition", "scenario"], "at", schema, dict, step)
+
+
+def end_to_end(answers: DataFrame, by: str) -> DataFrame:
+    """Shares of answers that are right, unsupported, stale, abstained from or ambiguous."""
+    six = lambda c, n: F.round(F.avg(F.col(c).cast("int")), 6).alias(n)
+    return answers.groupBy(by).agg(F.count("*").alias("n"), six("correct", "answer_accuracy"), six("unsupported", "unsupported"), six("stale", "stale"), six("abstained", "abstention"), six("ambiguous", "ambiguous"))
+
+
 def bounded_update(samples: DataFrame, policy: dict[str, float], label: str, weight: str | None = None, rate: float = RATE, decay: float = DECAY, radius: float = RADIUS) -> dict[str, float]:
     """One gradient step on the mean weighted logistic loss with decay, kept within ``radius`` of the policy and on its signs.
 

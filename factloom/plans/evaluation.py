@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, udfs
-from ..operators import extract, metrics, policies, replay, resolve, stats
+from ..operators import extract, metrics, policies, replay, resolve, routing, stats
 from ..sources.events import LOG_SQL, assertion_log
 from .analytics import _ARMS, _records, _routed
 
@@ -131,11 +131,37 @@ def success_criteria(spark, d):
     )
 
 
-@plan("end_to_end_metrics", """ SELECT predicate, round(avg((k % 3 = 0)::INT), 6) AS answer_accuracy, round(avg((trim(source_ref) = '')::INT), 6) AS unsupported, round(avg((k % 9 = 1)::INT), 6) AS stale, round(avg((k % 11 = 0)::INT), 6) AS abstention FROM alog GROUP BY 1""")
+# Each key is asked for after its last write; the true value is that of the last write which is right to take, the old one the last other such value.
+_ASKED = """, gw AS (SELECT *, CASE WHEN condition <> 'autonomous' AND arm_tier = 'review' THEN gold ELSE arm_tier END AS fin FROM wr),
+tv AS (SELECT DISTINCT seq, subject_id, predicate, object_id FROM wr WHERE gold IN ('accept', 'supersede')),
+tg AS (SELECT subject_id, predicate, max_by(object_id, seq) AS gold FROM tv GROUP BY 1, 2),
+tq AS (SELECT k.subject_id, k.predicate, tg.gold, max_by(tv.object_id, tv.seq) FILTER (tv.object_id <> tg.gold) AS old FROM (SELECT DISTINCT subject_id, predicate FROM wr) k LEFT JOIN tg USING (subject_id, predicate) LEFT JOIN tv USING (subject_id, predicate) GROUP BY 1, 2, 3),
+lastsup AS (SELECT condition, subject_id, predicate, max(seq) AS sup FROM gw WHERE fin = 'supersede' GROUP BY 1, 2, 3),
+act AS (SELECT condition, subject_id, predicate, object_id, min(seq) AS seq, min_by(source_ref, seq) AS source_ref FROM gw LEFT JOIN lastsup USING (condition, subject_id, predicate) WHERE fin IN ('accept', 'supersede') AND seq >= coalesce(sup, -1) GROUP BY 1, 2, 3, 4),
+fin AS (SELECT condition, subject_id, predicate, max_by(object_id, seq) AS answer, max_by(source_ref, seq) AS source_ref, count(*) AS n FROM act GROUP BY 1, 2, 3),
+qa AS (SELECT c.condition, q.*, answer, source_ref, coalesce(n, 0) AS n FROM tq q CROSS JOIN (SELECT DISTINCT condition FROM wr) c LEFT JOIN fin f ON f.condition = c.condition AND f.subject_id = q.subject_id AND f.predicate = q.predicate) """
+
+
+def _questioned(spark, d):
+    r = _records(spark, d)
+    w = r.select("condition", F.col("subject_id").alias("scenario"), "seq", "subject_id", "predicate", "object_id", F.col("arm_tier").alias("tier"), (F.col("condition") != "autonomous").alias("staffed"), "gold", "source_ref")
+    one = w.where("condition = 'frozen'")
+    right = one.where(F.col("gold").isin("accept", "supersede"))
+    gold = right.groupBy("subject_id", "predicate").agg(F.max_by("object_id", "seq").alias("gold"))
+    old = right.join(gold.withColumnRenamed("gold", "g"), ["subject_id", "predicate"]).where("object_id <> g").groupBy("subject_id", "predicate").agg(F.max_by("object_id", "seq").alias("old"))
+    keys = one.groupBy("subject_id", "predicate").agg(F.max("seq").alias("at")).join(gold, ["subject_id", "predicate"], "left").join(old, ["subject_id", "predicate"], "left")
+    q = keys.select(F.explode(F.array(*[F.lit(c) for c in routing.CONDITIONS])).alias("condition"), F.col("subject_id").alias("scenario"), F.concat_ws("|", "subject_id", "predicate").alias("query_id"), "at", "subject_id", "predicate", "gold", "old")
+    return replay.answers_after(w, q)
+
+
+@plan("answers_after_replay", _ARMS + _ASKED + """ SELECT concat_ws('|', subject_id, predicate) AS query_id, condition, answer, coalesce(answer = gold, false) AS correct, coalesce(answer = old, false) AS stale, answer IS NULL AS abstained, coalesce(trim(source_ref) = '', false) AS unsupported, n > 1 AS ambiguous FROM qa""")
+def answers_after_replay(spark, d):
+    return _questioned(spark, d)
+
+
+@plan("end_to_end_metrics", _ARMS + _ASKED + """ SELECT condition, count(*) AS n, round(avg(coalesce(answer = gold, false)::INT), 6) AS answer_accuracy, round(avg(coalesce(trim(source_ref) = '', false)::INT), 6) AS unsupported, round(avg(coalesce(answer = old, false)::INT), 6) AS stale, round(avg((answer IS NULL)::INT), 6) AS abstention, round(avg((n > 1)::INT), 6) AS ambiguous FROM qa GROUP BY 1""")
 def end_to_end_metrics(spark, d):
-    k = F.col("k")
-    six = lambda c, n: F.round(F.avg(c.cast("int")), 6).alias(n)
-    return assertion_log(spark, d).groupBy("predicate").agg(six(k % 3 == 0, "answer_accuracy"), six(F.trim("source_ref") == "", "unsupported"), six(k % 9 == 1, "stale"), six(k % 11 == 0, "abstention"))
+    return replay.end_to_end(_questioned(spark, d), "condition")
 
 
 @plan("supersession_loss", """, g AS (SELECT subject_id, predicate, arg_max(object_id, pct * 1000000 + seq) AS gold, arg_max(object_id, seq) AS final FROM alog WHERE predicate = 'HAS_VALUE' GROUP BY 1, 2)

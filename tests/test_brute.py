@@ -203,3 +203,26 @@ def test_policy_fit_names_every_seed(spark):
 def test_participants(spark):
     got = Q["participant_accuracy"](spark, DATA).collect()
     assert len(got) == 24 and all(0 <= r.accuracy <= 1 and r.median_seconds > 0 for r in got)
+
+
+def test_answers_after_replay(spark):
+    """Questions between writes, forced tiers, several active values, none."""
+    w = [
+        ("x", "s", 1, "K", "HAS_VALUE", "a", "accept", True, "accept", "t", None),
+        ("x", "s", 3, "K", "HAS_VALUE", "b", "review", True, "supersede", "", None),
+        ("x", "s", 5, "K", "HAS_VALUE", "c", "accept", True, "accept", "t", None),
+        ("x", "s", 7, "K", "HAS_VALUE", "d", "accept", True, "accept", "t", "reject"),
+        ("y", "s", 3, "K", "HAS_VALUE", "b", "review", False, "supersede", "t", None),
+    ]
+    q = [("x", "s", n, at, "K", p, g, o_) for n, at, p, g, o_ in (("q0", 0, "HAS_VALUE", "a", None), ("q1", 1, "HAS_VALUE", "a", None), ("q2", 3, "HAS_VALUE", "c", "b"), ("q3", 9, "HAS_VALUE", "d", "c"), ("q4", 9, "OWNS", None, None))] + [("y", "s", "q5", 9, "K", "HAS_VALUE", "b", "a")]
+    writes = spark.createDataFrame(w, "condition string, scenario string, seq long, subject_id string, predicate string, object_id string, tier string, staffed boolean, gold string, source_ref string, forced string")
+    asked = spark.createDataFrame(q, "condition string, scenario string, query_id string, at long, subject_id string, predicate string, gold string, old string")
+    got = {r.query_id: tuple(r)[2:] for r in replay.answers_after(writes, asked).collect()}
+    assert got == {
+        "q0": (None, False, False, True, False, False),
+        "q1": ("a", True, False, False, False, False),
+        "q2": ("b", False, True, False, True, False),
+        "q3": ("c", False, True, False, False, True),
+        "q4": (None, False, False, True, False, False),
+        "q5": (None, False, False, True, False, False),
+    }
