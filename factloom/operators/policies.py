@@ -69,14 +69,8 @@ def evidence_weighted(log: DataFrame) -> DataFrame:
     return ordered_fold(log.select(cols), ["subject_id", "predicate"], "seq", "seq long, decision string", lambda: None, step)
 
 
-def contradiction_gate(log: DataFrame, tau: int = 80, margin: int = 10, evidence_min: int = 1, authoritative: bool = False) -> DataFrame:
-    """seq, decision, kind of the governed policy on single-valued keys.
-
-    State is the list of active values with confidence and window. A conflict blocks if the
-    candidate is above tau and a conflicting value is too. Blocked corrections supersede if
-    they beat the incumbents by more than the margin and carry evidence (a non-blank source);
-    other blocked writes are quarantined. Unblocked writes are accepted beside what is there.
-    """
+def gate_step(tau: int = 80, margin: int = 10, evidence_min: int = 1, authoritative: bool = False) -> Callable:
+    """step(active values of a key, row) of the governed policy: (active values after it, [(seq, decision, kind)]). An active value is (object, pct, from, to)."""
 
     def overlap(a, b):
         if (a[2] is None and a[3] is None) or (b[2] is None and b[3] is None):
@@ -103,8 +97,19 @@ def contradiction_gate(log: DataFrame, tau: int = 80, margin: int = 10, evidence
             return [a for a in state if a not in gone and a[0] != me[0]] + [me], [(r.seq, "supersede", kind)]
         return state, [(r.seq, "quarantine", kind)]
 
+    return step
+
+
+def contradiction_gate(log: DataFrame, tau: int = 80, margin: int = 10, evidence_min: int = 1, authoritative: bool = False) -> DataFrame:
+    """seq, decision, kind of the governed policy on single-valued keys.
+
+    State is the list of active values with confidence and window. A conflict blocks if the
+    candidate is above tau and a conflicting value is too. Blocked corrections supersede if
+    they beat the incumbents by more than the margin and carry evidence (a non-blank source);
+    other blocked writes are quarantined. Unblocked writes are accepted beside what is there.
+    """
     cols = ["subject_id", "predicate", "seq", "object_id", "pct", "valid_from", "valid_to", "write_intent", "source_ref"]
-    return ordered_fold(log.select(cols), ["subject_id", "predicate"], "seq", "seq long, decision string, kind string", list, step)
+    return ordered_fold(log.select(cols), ["subject_id", "predicate"], "seq", "seq long, decision string, kind string", list, gate_step(tau, margin, evidence_min, authoritative))
 
 
 def idempotent_split(log: DataFrame) -> DataFrame:
