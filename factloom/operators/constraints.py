@@ -45,10 +45,21 @@ def _counted(df: DataFrame, key: str, counts: DataFrame, to: str) -> DataFrame:
 
 
 def neighbourhood(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """seq, edge, pct: accepted edges that touch an end of a candidate, each once."""
+    """seq, n_edges, top_pct: how many accepted edges touch an end of a candidate, and the highest confidence among them.
+
+    Edges are counted by node and by pair of nodes first, so that a node which all share costs one row;
+    what touches both ends is counted once.
+    """
     ends = F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("node")
-    near = edges.select(F.col("seq").alias("edge"), "pct", ends)
-    return candidates.select("seq", ends).join(near, "node").select("seq", "edge", "pct").distinct()
+    node = edges.select("pct", ends).groupBy("node").agg(F.count("*").alias("n"), F.max("pct").alias("top"))
+    pair = edges.where("subject_id <> object_id").groupBy(F.least("subject_id", "object_id").alias("lo"), F.greatest("subject_id", "object_id").alias("hi")).agg(F.count("*").alias("both"))
+    df = candidates.select("seq", "subject_id", "object_id", F.least("subject_id", "object_id").alias("lo"), F.greatest("subject_id", "object_id").alias("hi"))
+    for end, p in (("subject_id", "s"), ("object_id", "o")):
+        df = df.join(node.select(F.col("node").alias(end), F.col("n").alias(f"{p}_n"), F.col("top").alias(f"{p}_top")), end, "left")
+    df = df.join(pair, ["lo", "hi"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    other = F.when(F.col("subject_id") == F.col("object_id"), 0).otherwise(zero("o_n") - zero("both"))
+    return df.select("seq", (zero("s_n") + other).alias("n_edges"), F.greatest("s_top", "o_top").alias("top_pct"))
 
 
 def incumbents(candidates: DataFrame, edges: DataFrame) -> DataFrame:

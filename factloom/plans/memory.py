@@ -185,9 +185,7 @@ def evidence_units(spark, d):
     return constraints.evidence_units(c, g, e).select("seq", "n_evidence")
 
 
-@plan("accepted_neighbourhood", """ SELECT DISTINCT c.seq, e.seq AS edge, e.pct FROM cand c JOIN edge e ON e.subject_id IN (c.subject_id, c.object_id) OR e.object_id IN (c.subject_id, c.object_id)""".replace(
-    "cand c JOIN edge e ON e.subject_id IN (c.subject_id, c.object_id) OR e.object_id IN (c.subject_id, c.object_id)",
-    "(SELECT seq, unnest([subject_id, object_id]) AS node FROM cand) c JOIN (SELECT seq, pct, unnest([subject_id, object_id]) AS node FROM edge) e USING (node)"))
+@plan("accepted_neighbourhood", """ SELECT c.seq, count(DISTINCT e.seq) AS n_edges, max(e.pct) AS top_pct FROM (SELECT seq, unnest([subject_id, object_id]) AS node FROM cand) c LEFT JOIN (SELECT seq, pct, unnest([subject_id, object_id]) AS node FROM edge) e USING (node) GROUP BY 1""")
 def accepted_neighbourhood(spark, d):
     c, _, g = _store(spark, d)
     return constraints.neighbourhood(c, g)
