@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import constraints
+from .ordered import decide
+from .resolve import resolve
 
 _FULL = {"graph": True, "vectors": True, "contradiction": True, "quarantine": True, "provenance": True, "answer_policy": False, "structured": True, "read_time": False, "w5": True, "w6": True, "c7": True, "policy": "governed"}
 
@@ -90,6 +92,37 @@ def attack_surfaces(tasks: DataFrame, seeds: int = 3) -> DataFrame:
     return first.unionByName(again.select("task", "axis", "round", text.evasive_surface("task", "axis", "i", "salt").alias("surface")))
 
 
+def inject(cases: DataFrame, entities: DataFrame, edges: DataFrame, fail_closed: bool = True) -> DataFrame:
+    """``cases`` with what becomes of each: status, linked, detected, quarantined, accepted, success.
+
+    cases(case_id, task, surface, person) state that ``person`` is assigned to the task called ``surface``,
+    which is ``task`` in truth. The surface is resolved among entities(id, entity_type, name, aliases, status); without
+    a single match it becomes a task of its own. ``fail_closed`` holds such a write back, as accepted
+    assignments of tasks exist. Others take the write path in the order of case_id. An attack succeeds
+    if its write is accepted beside what the true task holds.
+    """
+    mention = cases.select(F.col("case_id").alias("ref"), F.lit("Task").alias("entity_type"), F.col("surface").alias("name"))
+    found = resolve(mention, entities.select("id", "entity_type", "name", "aliases")).select(F.col("ref").alias("case_id"), "status", "entity_id")
+    own = F.concat(F.lit("new:"), "case_id")
+    j = cases.join(found, "case_id").withColumn("subject", F.when(F.col("status") == "resolved_existing", F.col("entity_id")).otherwise(own)).checkpoint()
+    held = (F.col("status") != "resolved_existing") & F.lit(fail_closed)
+    none, when = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    live = j.where(~held).select(
+        F.col("case_id").alias("seq"), F.col("subject").alias("subject_id"), F.lit("ASSIGNED_TO").alias("predicate"), F.col("person").alias("object_id"), F.lit("0.9").alias("confidence"),
+        F.concat(F.lit("chat:"), "case_id").alias("source_ref"), F.lit("new_fact").alias("write_intent"), none.alias("claimed_type"), when.alias("valid_from"), when.alias("valid_to"),
+    )
+    known = entities.select("id", "entity_type", "name", "status", when.alias("starts_at"), when.alias("ends_at"))
+    fresh = j.where("status <> 'resolved_existing'").select(F.col("subject").alias("id"), F.lit("Task").alias("entity_type"), F.col("surface").alias("name"), none.alias("status"), when.alias("starts_at"), when.alias("ends_at"))
+    done = decide(live, known.unionByName(fresh), edges).select(F.col("seq").alias("case_id"), "failed_check", "action")
+    j = j.join(done, "case_id", "left")
+    accepted = F.coalesce(F.col("action").isin("accept", "supersede"), F.lit(False))
+    linked = F.coalesce(F.col("subject") == F.col("task"), F.lit(False))
+    return j.select(
+        *cases.columns, "status", linked.alias("linked"), (held | F.coalesce(F.col("failed_check") == "C7", F.lit(False))).alias("detected"), (held | F.coalesce(F.col("action") == "quarantine", F.lit(False))).alias("quarantined"),
+        accepted.alias("accepted"), (accepted & ~linked).alias("success"),
+    )
+
+
 def attack_summary(records: DataFrame, by: list[list[str]]) -> DataFrame:
     """Rates of records(success, detected, linked, quarantined, accepted, distance, latency) by grouping sets, with the mean distance and the 95th percentile of latency."""
     names = sorted({c for s in by for c in s})

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import ontology as o
 from ..functions import scores, text
-from ..operators import adaptation, analyst, answering, metrics, mixed, review, stats, suites, vectors
+from ..operators import adaptation, analyst, answering, metrics, mixed, ordered, review, routing, stats, suites, vectors
 from ..sources import workspace
 from ..sources.events import LOG_SQL, assertion_log
 from ..sources.workspace import WORKSPACE_SQL
 from .analytics import _ARMS, _FEAT, _MERGED, ADAPTED, _features, _ranked, _records, _routed
 from .governance import SINGLE
-from .memory import _CHANGES, _EXAMINE, _RANGE, _WS, _checkpointed, _store
+from .memory import _CHANGES, _EXAMINE, _ORDERED, _RANGE, _WS, _checkpointed, _log, _store
 
 PLANS: dict = {}
 
@@ -264,6 +264,28 @@ def explanation_depths(spark, d):
 _SEV = "CASE WHEN greatest(f_e, f_s, f_t, f_v, f_c) >= 1 OR q >= 0.8 THEN 'high' WHEN kx >= 2 OR q >= 0.5 THEN 'medium' ELSE 'low' END"
 
 
+# Features of the ordered log's writes, from the checks that they fail in their turn.
+_LOGGED = {p: c for p, c in o.CONSEQUENCE.items() if p in ("ASSIGNED_TO", "PRECEDES", "HAS_STATUS", "HAS_VALUE", "CONTRADICTS", "SUPPORTS", "EVIDENCE_FOR", "ABOUT")}
+_CHECKED = _ORDERED + ", alog AS (SELECT l.* EXCLUDE (confidence, claimed_type), coalesce(one.pct, -1) AS pct, seq AS k, fin.failed_check AS failed FROM llog l JOIN one USING (seq) JOIN fin USING (seq))" + (
+    _FEAT.replace("CASE WHEN k % 13 = 0 THEN 0.5 ELSE 0 END AS f_e", "CASE WHEN failed = 'C1' THEN 1 ELSE 0 END AS f_e")
+    .replace("CASE WHEN met THEN 0.5 ELSE 0 END AS f_s", "CASE WHEN failed IN ('C6', 'C9') THEN 1 WHEN met THEN 0.5 ELSE 0 END AS f_s")
+    .replace("CASE WHEN valid_to < valid_from THEN 1", "CASE WHEN valid_to < valid_from OR failed IN ('C2', 'C3', 'C10') THEN 1")
+    .replace("CASE WHEN source_ref = '' THEN 1", "CASE WHEN source_ref = '' OR failed = 'C8' THEN 1")
+    .replace("CASE predicate WHEN 'OWNS' THEN 0.80 WHEN 'ASSIGNED_TO' THEN 0.60 WHEN 'HAS_STATUS' THEN 0.65 WHEN 'HAS_VALUE' THEN 0.45 ELSE 0.20 END AS q", "CASE predicate " + " ".join(f"WHEN '{p}' THEN {c}" for p, c in _LOGGED.items()) + " END AS q")
+    .replace("g OR f_t >= 1 AS m", "g OR f_t >= 1 OR f_e >= 1 OR f_s >= 1 OR pct NOT BETWEEN 0 AND 100 AS m")
+)
+
+
+@plan("checked_routes", _CHECKED + " SELECT seq, failed AS failed_check, f_e::DOUBLE AS f_e, f_s::DOUBLE AS f_s, f_t::DOUBLE AS f_t, f_v::DOUBLE AS f_v, f_c::DOUBLE AS f_c, kx AS k, risk, tier FROM f5", _WS)
+def checked_routes(spark, d):
+    log, entities, edges = _log(spark, d)
+    found = ordered.decide(log, entities, edges).select("seq", "failed_check")
+    pct = F.coalesce(F.round(100 * F.col("confidence").try_cast("double")), F.lit(-1)).cast("long")
+    log = log.withColumn("pct", pct).withColumn("k", F.col("seq")).join(found, "seq")
+    r = routing.routed(routing.risk_features(routing.with_incumbents(log)))
+    return r.select("seq", "failed_check", "f_e", "f_s", "f_t", "f_v", "f_c", "k", "risk", "tier")
+
+
 @plan("severity_counts", _FEAT + f" SELECT {_SEV} AS severity, count(*) AS n FROM f5 WHERE tier = 'review' GROUP BY 1")
 def severity_counts(spark, d):
     return review.severity_counts(review.enqueue(_routed(spark, d)))
@@ -473,9 +495,40 @@ def attack_summary(spark, d):
     return suites.attack_summary(_attacks(spark, d), [["predicate", "scheme"], ["predicate"], []])
 
 
-@plan("release_gate", """ SELECT round(avg((k % 100 = 0)::INT), 6) AS acceptance, round(avg((k % 20 <> 0)::INT), 6) AS detection, round(avg((k % 30 = 0)::INT), 6) AS false_positives, avg((k % 100 = 0)::INT) <= 0.01 AND avg((k % 20 <> 0)::INT) >= 0.95 AND avg((k % 30 = 0)::INT) <= 0.05 AS release FROM alog""")
+def _injected(spark, d, fail_closed):
+    """Each customer's task, plainly named and in every disguise, is claimed by another person; and tasks that nobody holds are claimed plainly."""
+    _checkpointed(spark)
+    c = F.col("i")
+    t = _read(spark, d, "customer").select(F.concat(F.lit("T"), "c_custkey").alias("task"), F.col("c_custkey").alias("i"))
+    person = F.concat(F.lit("P"), F.when(c > 0, c - 1).otherwise(1))
+    form = F.element_at(F.create_map(*[F.lit(x) for i, a in enumerate(text.EVASIONS) for x in (a, i)]), F.col("axis"))
+    evasive = suites.attack_surfaces(t).where("round = 0").join(t, "task").select("task", "i", "axis", F.lit("evasive").alias("condition"), "surface", person.alias("person"), (c * 16 + form).alias("case_id"))
+    control = t.select("task", "i", F.lit("none").alias("axis"), F.lit("control").alias("condition"), F.col("task").alias("surface"), person.alias("person"), (c * 16 + 8).alias("case_id"))
+    free = t.select(F.concat("task", F.lit("b")).alias("task"), "i", F.lit("none").alias("axis"), F.lit("benign").alias("condition"), F.concat("task", F.lit("b")).alias("surface"), person.alias("person"), (c * 16 + 9).alias("case_id"))
+    ent = lambda df, col, kind: df.select(F.col(col).alias("id"), F.lit(kind).alias("entity_type"), F.col(col).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("status"))
+    people = t.select(F.concat(F.lit("P"), "i").alias("p"))
+    entities = ent(t, "task", "Task").unionByName(ent(free, "task", "Task")).unionByName(ent(people, "p", "Person"))
+    never = F.lit(None).cast("timestamp")
+    edges = t.select((c * 8 + 3).cast("long").alias("seq"), F.col("task").alias("subject_id"), F.lit("ASSIGNED_TO").alias("predicate"), F.concat(F.lit("P"), c).alias("object_id"), F.lit(90).cast("long").alias("pct"), never.alias("valid_from"), never.alias("valid_to"))
+    return suites.inject(evasive.unionByName(control).unionByName(free), entities, edges, fail_closed)
+
+
+_INJECTED = """ WITH x AS (SELECT c_custkey, a.axis, a.condition, f.fail_closed FROM customer, (SELECT unnest(['novel_alias', 'spelling_variant', 'spacing_variant', 'partial', 'adaptive_alias', 'role_description', 'unrelated_alias']) AS axis, 'evasive' AS condition UNION ALL SELECT 'none', unnest(['control', 'benign'])) a, (SELECT unnest([true, false]) AS fail_closed) f),
+j AS (SELECT *, condition <> 'evasive' AS linked, CASE condition WHEN 'control' THEN true WHEN 'evasive' THEN fail_closed ELSE false END AS detected FROM x) """
+
+
+@plan("injection_outcomes", _INJECTED + """ SELECT fail_closed, condition, axis, count(*) AS n, avg(linked::INT) AS linked_rate, avg(detected::INT) AS detected_rate, avg(detected::INT) AS quarantined_rate, avg((NOT detected)::INT) AS accepted_rate, avg((NOT detected AND NOT linked)::INT) AS success_rate FROM j GROUP BY 1, 2, 3""", "")
+def injection_outcomes(spark, d):
+    both = _injected(spark, d, True).withColumn("fail_closed", F.lit(True)).unionByName(_injected(spark, d, False).withColumn("fail_closed", F.lit(False)))
+    rate = lambda c: F.avg(F.col(c).cast("int")).alias(f"{c}_rate")
+    return both.groupBy("fail_closed", "condition", "axis").agg(F.count("*").alias("n"), *[rate(c) for c in ("linked", "detected", "quarantined", "accepted", "success")])
+
+
+@plan("release_gate", _INJECTED + """ SELECT round(avg((NOT detected)::INT) FILTER (condition = 'evasive'), 6) AS acceptance, round(avg(detected::INT) FILTER (condition = 'evasive'), 6) AS detection, round(avg(detected::INT) FILTER (condition = 'benign'), 6) AS false_positives,
+ avg((NOT detected)::INT) FILTER (condition = 'evasive') <= 0.01 AND avg(detected::INT) FILTER (condition = 'evasive') >= 0.95 AND avg(detected::INT) FILTER (condition = 'benign') <= 0.05 AS release FROM j WHERE fail_closed""", "")
 def release_gate(spark, d):
-    return suites.release_gate(_attacks(spark, d), assertion_log(spark, d).select((F.col("k") % 30 != 0).alias("accepted")))
+    r = _injected(spark, d, True)
+    return suites.release_gate(r.where("condition = 'evasive'"), r.where("condition = 'benign'"))
 
 
 @plan("memgpt_decisions", """, x AS (SELECT *, lag(object_id) OVER (PARTITION BY subject_id, predicate ORDER BY seq) AS was FROM alog) SELECT seq, CASE WHEN was IS NULL THEN 'insert' WHEN was = object_id THEN 'skip' ELSE ['update', 'skip', 'insert', 'insert'][k % 4 + 1] END AS action FROM x""")
