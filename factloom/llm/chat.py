@@ -6,7 +6,7 @@ role, text). A conversation whose whole hash is a proper prefix of another's is
 and goes, by an anti-join; of equal conversations the smallest conv_id stays. Every step
 is a DataFrame operation.
 
-Null roles and texts count as empty. Rows without conv_id belong to no conversation and
+Null roles and texts count as empty; very long ones are rendered whole. Rows without conv_id belong to no conversation and
 are left out. Repeated rows are turns of their own. Sums hold for 8 million turns. Other
 columns are ignored; an empty table gives an empty result.
 """

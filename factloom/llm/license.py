@@ -15,8 +15,10 @@ that stands several times in a row is reported each time and reported places nev
 Unlicense, one-line notices and Creative Commons 4.0 BY, BY-SA, BY-NC and CC0. The bodies of the
 Apache, GPL, LGPL, AGPL, MPL, EPL and Creative Commons texts are not covered.
 
-Null and empty texts match nothing. Repeated rows are scanned each; other columns are
-ignored; an empty table gives an empty result.
+Null and empty texts match nothing; very long ones are scanned whole. Templates are looked for
+each by itself: where several match one place (notices are alike), each gets a row and coverage
+tells them apart; of equally good alignments the first is taken. Repeated rows, and those without
+doc_id, are scanned each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

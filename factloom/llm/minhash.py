@@ -8,7 +8,7 @@ full shingle sets. Identical sets are one class, so copies are never compared.
 Nulls, empty texts and texts without words have empty sets and link with nothing. A
 document with fewer words than a shingle has one shingle, its whole word sequence. Rows
 that share a doc_id are one document in the link graph; a null doc_id takes no part and
-has component_id null and kept true. Columns beyond doc_id and text are ignored. An empty
+has component_id null and kept true. Very long texts are compared whole. Columns beyond doc_id and text are ignored. An empty
 table gives an empty result.
 
 With 30 bands of 5 samples a pair at 0.85 shares no band with probability 2e-8 (at 0.80 with

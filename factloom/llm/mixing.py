@@ -7,14 +7,16 @@ at three times its source's size and the excess is shared again by weight.
 A source's budget is met by whole passes over its documents and one part of a pass. For
 the part, documents are counted by exact length. Most of it takes each length in
 proportion; a bounded-knapsack table over the lengths' remaining counts then fills the
-rest, to the word where their sums allow. Where one more copy of each document can't reach
+rest, as near as the lengths that are left allow (the best sum of all documents may lie nearer).
+Where one more copy of each document can't reach
 the budget (the words left lie in too long ones), a further copy fills what is missing, up
 to three copies in all. Documents of a length are taken in the order of a seeded hash of
 doc_id, so reruns agree.
 
 Sources and lengths are held as tables; one task sees at most one source's distinct
 lengths. Rows that share doc_id, source and size are interchangeable. Null sources are one
-source. Other columns are ignored; an empty table gives an empty result.
+source. A very long document counts whole; one that is longer than what its source may take is
+left out, and its source then falls short. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ The index is kept small in three steps, none of which loses a block:
 
 Blocks are compared by two independent 64-bit hashes of their words' two independent hashes.
 
-A null or empty text has no words. Rows with one doc_id don't remove words from one
+A null or empty text has no words; very long ones are read whole. Rows with one doc_id don't remove words from one
 another; rows with a null doc_id keep all words and are no reference. Other columns are
 ignored; an empty table gives an empty result.
 """

@@ -13,8 +13,8 @@ added up; its pieces are then given log-probabilities by Zipf's law, -log(rank +
 are a rule, nothing is trained, and counts come near those of the file's own tokenizer.
 
 A space starts a word, written as U+2581 before it; pieces don't cross words, so a word's
-result is kept in a bounded memory. A null or empty text has no pieces. Repeated rows are
-counted each; other columns are ignored; an empty table gives an empty result.
+result is kept in a bounded memory. A null or empty text has no pieces; a very long one is
+counted whole, a block of words at a time. Repeated rows are counted each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
 import math
-
-import numpy as np
 import random
 import zlib
 
+import numpy as np
+
 from factloom.llm import toxicity
 
 from . import cases
