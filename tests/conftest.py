@@ -1,5 +1,11 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+# One thread for linear algebra, as in tasks: a pool that starts late in a process with many forks can hang.
+for _name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
