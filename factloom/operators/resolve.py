@@ -25,21 +25,25 @@ def near(a: str, b: str):
 def near_keys(names: DataFrame, other: DataFrame) -> DataFrame:
     """The rows (entity_type, name) of ``names`` that are near a row of ``other``, both distinct; found by equality joins.
 
-    Word sets of which one holds the other share the smaller one's first word. A compact prefix is
-    found by its first three letters, one of one or two letters by all of it.
+    Word sets of which one holds the other share the smaller one's first word. A compact form that the
+    other's starts with is one of its prefixes, so each is looked up whole among the other side's prefixes.
     """
     by = lambda df, c: df.select("entity_type", F.col("name").alias(c), F.sort_array(name_tokens("name")).alias("t"), compact("name").alias("c"), alpha_number("name").alias("key"))
     a, b = by(names, "x"), by(other, "y")
     first, every = F.get("t", F.lit(0)), F.explode("t")
-    letters = lambda least: F.explode(F.array_distinct(F.filter(F.array(F.left("c", F.lit(1)), F.left("c", F.lit(2))), lambda p: F.length(p) >= least)))
-    short, long = F.length("c").between(1, 2), F.length("c") >= 3
-    three = F.when(long, F.left("c", F.lit(3)))
-    whole = F.when(short, F.col("c"))
-    sides = [(first, every), (every, first), (three, three), (whole, letters(1)), (letters(1), whole), (F.col("key"), F.col("key"))]
+    named = F.size("t") > 0
+    found = lambda df: df.select("entity_type", F.col("x").alias("name"))
     out = None
-    for l, r in sides:
-        pairs = a.select("entity_type", "x", l.alias("k")).join(b.select("entity_type", "y", r.alias("k")), ["entity_type", "k"]).where(near("x", "y")).select("entity_type", F.col("x").alias("name"))
+    for l, r, inside in [(first, every, ("t", "u")), (every, first, ("u", "t"))]:
+        l, r = a.where(named).select("entity_type", "x", "t", l.alias("k")), b.where(named).select("entity_type", F.col("t").alias("u"), r.alias("k"))
+        pairs = found(l.join(r, ["entity_type", "k"]).where(F.size(F.array_except(*inside)) == 0))
         out = pairs if out is None else out.unionByName(pairs)
+    # Here equal keys are the whole condition, so only whether one is there counts.
+    whole = F.col("c")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("c")), lambda i: F.left(F.col("c"), i)))
+    for l, r, kept in [(whole, prefixes, F.col("c") != ""), (prefixes, whole, F.col("c") != ""), (F.col("key"), F.col("key"), F.col("key").isNotNull())]:
+        there = b.where(named & kept).select("entity_type", r.alias("k")).distinct()
+        out = out.unionByName(found(a.where(named & kept).select("entity_type", "x", l.alias("k")).join(there, ["entity_type", "k"], "left_semi")))
     return out.distinct()
 
 

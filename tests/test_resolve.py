@@ -55,3 +55,10 @@ def test_matches_the_plain_rule(spark):
     want = {m[0]: plain(m, entities, edges) for m in mentions}
     assert {s for s, _ in want.values()} == {"resolved_existing", "uncertain", "possible_match", "created_new"}
     assert run(spark, mentions, entities, edges) == want
+
+
+def test_names_that_share_letters_do_not_meet_as_pairs(spark):
+    names = lambda n: spark.createDataFrame([("T", f"t12{i}{s}") for i in range(n) for s in ("", "alias")], "entity_type string, name string")
+    df = resolve.near_keys(names(30), spark.createDataFrame([("T", "t125"), ("T", "t1"), ("P", "t12")], "entity_type string, name string"))
+    assert {r.name for r in df.collect()} == {f"t12{i}{s}" for i in range(30) for s in ("", "alias")}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 3
