@@ -243,3 +243,14 @@ def test_explicit_contradictions_at_shared_nodes_are_counted_without_pairs(spark
     assert {r.seq: (r.n_edges, r.met_pct) for r in df.collect()} == want
     # Edges are counted before they are joined, so nothing is left to tell apart after.
     assert "count(distinct" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_exploded_summaries_are_not_broadcast(spark):
+    from factloom.operators import answering
+
+    names = spark.createDataFrame([(1, "Ring"), (2, "o"), (3, ""), (4, "zz")], "query_id long, name string")
+    held = spark.createDataFrame([("D1", "Large ring"), ("D2", "hot bolt"), ("D3", None)], "id string, summary string")
+    df = answering.containing(names, held)
+    assert {tuple(r) for r in df.collect()} == {(1, "D1"), (2, "D2")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "strategy=broadcast" in plan
