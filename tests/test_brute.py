@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import math
+import random
 import statistics
 from collections import defaultdict
 
@@ -254,3 +255,17 @@ def test_exploded_summaries_are_not_broadcast(spark):
     assert {tuple(r) for r in df.collect()} == {(1, "D1"), (2, "D2")}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan and "strategy=broadcast" in plan
+
+
+def test_classes_of_near_names_lose_no_link(spark):
+    from factloom.operators import retrieve
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice("PT"), sorted(rng.sample("abcd", rng.randrange(0, 4)))) for i in range(120)]
+    names = spark.createDataFrame(rows, "id long, entity_type string, tokens array<string>")
+    got = retrieve.near_classes(names).collect()
+    of = {r.r_id: r.l_id for r in got if r.part == "member"}
+    linked = {(r.l_id, r.r_id) for r in got if r.part == "pair"}
+    wide = {(a, b) for a in of for b in of if a != b and (of[a] == of[b] or (of[a], of[b]) in linked)}
+    assert wide == {(r.l_id, r.r_id) for r in retrieve.near_names(names, names).collect()}
+    assert len(got) < len(wide) / 4
