@@ -269,3 +269,31 @@ def test_classes_of_near_names_lose_no_link(spark):
     wide = {(a, b) for a in of for b in of if a != b and (of[a] == of[b] or (of[a], of[b]) in linked)}
     assert wide == {(r.l_id, r.r_id) for r in retrieve.near_names(names, names).collect()}
     assert len(got) < len(wide) / 4
+
+
+def test_neighbourhood_lists_every_edge_of_a_candidate(spark):
+    from factloom.operators import constraints
+
+    rng = random.Random(9)
+    cands = [(i, f"n{rng.randrange(6)}", f"n{rng.randrange(9)}") for i in range(60)]
+    edges = [(500 + i, f"n{rng.randrange(8)}", f"n{rng.randrange(12)}", rng.randrange(100)) for i in range(80)]
+    got = constraints.neighbourhood_edges(spark.createDataFrame(cands, "seq long, subject_id string, object_id string"), spark.createDataFrame(edges, "seq long, subject_id string, object_id string, pct long")).collect()
+    at = [(r.node, r.seq, r.pct) for r in got if r.part == "edge"]
+    listed = {(r.seq, e, p) for r in got if r.part == "candidate" for n, e, p in at if n == r.node}
+    assert listed == {(c, e, p) for c, s, o in cands for e, a, b, p in edges if {a, b} & {s, o}} and len(at) == len(set(at))
+    assert all(r.n_edges == len({e for c, e, _ in listed if c == r.seq}) for r in got if r.part == "candidate")
+
+
+@pytest.mark.parametrize("name", ["accepted_neighbourhood", "evidence_units", "typed_violations", "stress_ablation", "symbolic_order"])
+def test_evidence_is_every_traded_pair(name):
+    from factloom.plans import registry
+
+    sql = registry.oracle_sql()[name]
+    assert "FROM lineitem" in sql and "FROM part WHERE p_partkey % 3" not in sql and "l_quantity" not in sql
+
+
+@pytest.mark.parametrize("name", ["symbolic_order", "agent_loop"])
+def test_every_order_asks(spark, name):
+    from factloom.plans import registry
+
+    assert "o_orderkey AS query_id" in registry.oracle_sql()[name] and "c_custkey AS query_id" not in registry.oracle_sql()[name]
