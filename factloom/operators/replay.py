@@ -50,24 +50,26 @@ def answers_after(writes: DataFrame, questions: DataFrame) -> DataFrame:
     """
     no = lambda t: F.lit(None).cast(t)
     forced = F.col("forced") if "forced" in writes.columns else no("string")
-    w = writes.select("condition", "scenario", (F.col("seq") * 2).alias("at"), "subject_id", "predicate", "object_id", F.coalesce(forced, "tier").alias("tier"), "staffed", F.col("gold").alias("truth"), "source_ref", no("string").alias("query_id"), no("string").alias("old"))
-    q = questions.select("condition", "scenario", (F.col("at") * 2 + 1).alias("at"), "subject_id", "predicate", F.col("gold").alias("object_id"), F.lit("ask").alias("tier"), F.lit(False).alias("staffed"), F.lit("").alias("truth"), F.lit("").alias("source_ref"), F.col("query_id").cast("string").alias("query_id"), "old")
-
-    def step(state, r):
-        held = state.setdefault((r.subject_id, r.predicate), {})
-        if r.tier == "ask":
+    tier = F.coalesce(forced, "tier")
+    final = F.when((tier == "review") & F.col("staffed"), F.col("gold")).otherwise(tier)
+    key = ["subject_id", "predicate", "scenario", "condition"]
+    w = writes.select(*key, (F.col("seq") * 2).alias("at"), "object_id", final.alias("final"), "source_ref", no("string").alias("query_id"), no("string").alias("old"))
+    # Other writes leave memory as it is, and a question asks for one key.
+    w = w.where(F.col("final").isin("accept", "supersede"))
+    q = questions.select(*key, (F.col("at") * 2 + 1).alias("at"), F.col("gold").alias("object_id"), F.lit("ask").alias("final"), F.lit("").alias("source_ref"), F.col("query_id").cast("string").alias("query_id"), "old")
+
+    def step(held, r):
+        if r.final == "ask":
             answer = max(held, key=held.get, default=None)
             bare = answer is not None and not held[answer][1].strip()
-            return state, [(r.query_id, r.condition, answer, answer is not None and answer == r.object_id, answer is not None and answer == r.old, answer is None, bare, len(held) > 1)]
-        final = r.truth if r.tier == "review" and r.staffed else r.tier
-        if final == "supersede":
+            return held, [(r.query_id, r.condition, answer, answer is not None and answer == r.object_id, answer is not None and answer == r.old, answer is None, bare, len(held) > 1)]
+        if r.final == "supersede":
             held.clear()
-        if final in ("accept", "supersede"):
-            held.setdefault(r.object_id, (r.at, r.source_ref or ""))
-        return state, []
+        held.setdefault(r.object_id, (r.at, r.source_ref or ""))
+        return held, []
 
     schema = "query_id string, condition string, answer string, correct boolean, stale boolean, abstained boolean, unsupported boolean, ambiguous boolean"
-    return ordered_fold(w.unionByName(q), ["condition", "scenario"], "at", schema, dict, step)
+    return ordered_fold(w.unionByName(q), key, "at", schema, dict, step)
 
 
 def end_to_end(answers: DataFrame, by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, udfs
 from ..operators import extract, metrics, policies, replay, resolve, routing, stats
 from ..sources.events import LOG_SQL, assertion_log
-from .analytics import _ARMS, _records, _routed
+from .analytics import _ARMS, _records, _routed, gold
 
 PLANS: dict = {}
 
@@ -143,13 +143,14 @@ qa AS (SELECT c.condition, q.*, answer, source_ref, coalesce(n, 0) AS n FROM tq
 
 
 def _questioned(spark, d):
-    r = _records(spark, d)
-    w = r.select("condition", F.col("subject_id").alias("scenario"), "seq", "subject_id", "predicate", "object_id", F.col("arm_tier").alias("tier"), (F.col("condition") != "autonomous").alias("staffed"), "gold", "source_ref")
-    one = w.where("condition = 'frozen'")
-    right = one.where(F.col("gold").isin("accept", "supersede"))
-    gold = right.groupBy("subject_id", "predicate").agg(F.max_by("object_id", "seq").alias("gold"))
-    old = right.join(gold.withColumnRenamed("gold", "g"), ["subject_id", "predicate"]).where("object_id <> g").groupBy("subject_id", "predicate").agg(F.max_by("object_id", "seq").alias("old"))
-    keys = one.groupBy("subject_id", "predicate").agg(F.max("seq").alias("at")).join(gold, ["subject_id", "predicate"], "left").join(old, ["subject_id", "predicate"], "left")
+    w = _records(spark, d).select("condition", F.col("subject_id").alias("scenario"), "seq", "subject_id", "predicate", "object_id", F.col("arm_tier").alias("tier"), (F.col("condition") != "autonomous").alias("staffed"), "gold", "source_ref")
+    # The true value of a key is the last right one, the old one the last other: the first two of its values by their last right write.
+    log = assertion_log(spark, d).where("subject_id is not null and predicate is not null")
+    right = F.when(gold(F.col("k")).isin("accept", "supersede"), F.col("seq"))
+    values = log.groupBy("subject_id", "predicate", "object_id").agg(F.max("seq").alias("at"), F.max(right).alias("last"))
+    values = values.withColumn("place", F.row_number().over(Window.partitionBy("subject_id", "predicate").orderBy(F.desc_nulls_last("last"))))
+    placed = lambda n: F.max(F.when((F.col("place") == n) & F.col("last").isNotNull(), F.col("object_id")))
+    keys = values.groupBy("subject_id", "predicate").agg(F.max("at").alias("at"), placed(1).alias("gold"), placed(2).alias("old"))
     q = keys.select(F.explode(F.array(*[F.lit(c) for c in routing.CONDITIONS])).alias("condition"), F.col("subject_id").alias("scenario"), F.concat_ws("|", "subject_id", "predicate").alias("query_id"), "at", "subject_id", "predicate", "gold", "old")
     return replay.answers_after(w, q)
 

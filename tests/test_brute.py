@@ -297,3 +297,16 @@ def test_every_order_asks(spark, name):
     from factloom.plans import registry
 
     assert "o_orderkey AS query_id" in registry.oracle_sql()[name] and "c_custkey AS query_id" not in registry.oracle_sql()[name]
+
+
+def test_questions_and_writes_are_dealt_by_key(spark, monkeypatch):
+    """Writes that change nothing are left out, and a scenario's keys are no one task's."""
+    seen = []
+    monkeypatch.setattr(replay, "ordered_fold", lambda df, keys, *rest: seen.append((df, keys)))
+    w = [("x", "s", n, f"K{n}", "HAS_VALUE", "a", tier, staffed, "reject", "t") for n, (tier, staffed) in enumerate((("accept", True), ("reject", True), ("quarantine", True), ("review", True), ("review", False), ("supersede", False)))]
+    writes = spark.createDataFrame(w, "condition string, scenario string, seq long, subject_id string, predicate string, object_id string, tier string, staffed boolean, gold string, source_ref string")
+    asked = spark.createDataFrame([("x", "s", "q", 9, "K0", "HAS_VALUE", "a", None)], "condition string, scenario string, query_id string, at long, subject_id string, predicate string, gold string, old string")
+    replay.answers_after(writes, asked)
+    (df, keys), = seen
+    assert set(keys) == {"condition", "scenario", "subject_id", "predicate"}
+    assert sorted((r.subject_id, r.final) for r in df.collect()) == [("K0", "accept"), ("K0", "ask"), ("K5", "supersede")]
