@@ -310,3 +310,16 @@ def test_questions_and_writes_are_dealt_by_key(spark, monkeypatch):
     (df, keys), = seen
     assert set(keys) == {"condition", "scenario", "subject_id", "predicate"}
     assert sorted((r.subject_id, r.final) for r in df.collect()) == [("K0", "accept"), ("K0", "ask"), ("K5", "supersede")]
+
+
+def test_edges_of_a_shared_node_are_not_sorted_to_be_found(spark):
+    from factloom.operators import answering
+
+    edges = spark.createDataFrame([(n, f"T{n % 50}", "HAS_STATUS", "status:done", 95) for n in range(400)], "seq long, subject_id string, predicate string, object_id string, pct long")
+    asked = spark.createDataFrame([(1, ["HAS_STATUS"]), (2, []), (3, ["OWNS"])], "query_id long, hints array<string>")
+    ids = spark.createDataFrame([(1, "T3"), (2, "status:done"), (3, "T4")], "query_id long, id string")
+    hits = answering.symbolic_hits(ids, asked, edges)
+    got = sorted((r.query_id, r.seq, r.place) for r in hits.collect())
+    first = sorted(range(400), key=lambda n: (f"T{n % 50}", n))
+    assert got == [(1, n, i + 1) for i, n in enumerate(range(3, 400, 50))] + sorted((2, n, i + 1) for i, n in enumerate(first))
+    assert "ShuffledHashJoin" in hits._jdf.queryExecution().executedPlan().toString()
