@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ontology as o
+from ..sources.scratch import settled
 from . import constraints, graph
 from .policies import ordered_fold
 from .validate import blank, first_failure
@@ -138,7 +139,7 @@ class Group:
         return {**self.contradicts.get(r.subject_id, {}), **self.contradicts.get(r.object_id, {})}
 
     def back(self, r) -> None:
-        """Count an accepted piece of evidence, once a pair, as far as a correction could need it."""
+        """Count an accepted piece of evidence beside the store's, once a pair, as far as a correction could need it."""
         if self.evidence.get(r.object_id, 0) < self.enough and r.subject_id not in self.backed.setdefault(r.object_id, set()):
             self.backed[r.object_id].add(r.subject_id)
             self.evidence[r.object_id] = self.evidence.get(r.object_id, 0) + 1
@@ -155,9 +156,6 @@ def _judge(high: int, margin: int, enough: int, authoritative: bool):
         if r.part == "contradicts":
             g.link(r.subject_id, r.object_id, me[0], r.name)
             return g, []
-        if r.part == "evidence":
-            g.evidence[r.object_id] = me[0]
-            return g, []
         single = r.predicate in o.SINGLE_VALUED
         met = {} if r.predicate == "CONTRADICTS" else g.links(r)
         if met:
@@ -170,7 +168,7 @@ def _judge(high: int, margin: int, enough: int, authoritative: bool):
         kind = "none" if most is None else "temporal" if dated else "hard" if blocked else "soft"
         retired: list[str] = []
         if blocked:
-            held = int(r.sourced) + g.evidence.get(r.subject_id, 0)
+            held = int(r.sourced) + int(r.n_support) + g.evidence.get(r.subject_id, 0)
             wins = r.write_intent == "correction" and me[0] - most > margin and held >= enough
             if not (wins or authoritative and r.write_intent == "update"):
                 return g, [(r.at, "quarantine", kind, [])]
@@ -292,59 +290,60 @@ def decide(candidates: DataFrame, entities: DataFrame, edges: DataFrame, margin_
     x = constraints.examine_alone(candidates, entities, edges)
     check = dict(constraints.checks())
     first = lambda *names: first_failure([(n, check[n]) for n in names])
-    x = x.withColumns({"early": first("C1", "C2"), "mid": first("C4", "C5", "C6"), "late": first("C8", "C9", "C10")})
+    when = lambda c, other: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(other))
+    dated = F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()
+    window = [when("valid_from", -OPEN).alias("lo"), when("valid_to", OPEN).alias("hi"), dated.alias("dated")]
     triple = ["subject_id", "predicate", "object_id"]
-    x = x.join(edges.select(*triple).distinct().withColumn("known", F.lit(True)), triple, "left").withColumn("known", F.coalesce("known", F.lit(False))).checkpoint()
+    backs = F.coalesce(F.col("s_entity_type").isin("Document", "Event"), F.lit(False))
+    # What the folds and the verdict need of a row, written once.
+    x = settled(x.select(
+        "seq", *triple, F.col("pct").cast("long").alias("pct"), *window, "write_intent", (~blank("source_ref")).alias("sourced"), F.col("s_n_support").alias("n_support"), backs.alias("backs"),
+        first("C1", "C2").alias("early"), first("C4", "C5", "C6").alias("mid"), first("C8", "C9", "C10").alias("late"),
+    ))
 
     precedes = x.where("predicate = 'PRECEDES' and early is null")
     entering = precedes.select("seq", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.coalesce(F.col("mid"), F.col("late")).isNull().alias("enters"))
     closes = closing(graph.predicate_subgraph(edges, "PRECEDES"), entering).withColumn("closes", F.lit(True))
 
     live = x.where("early is null and mid is null and predicate <> 'PRECEDES'")
-    node = F.when(F.col("predicate").isin(*o.SINGLE_VALUED), F.col("subject_id")).when(F.col("predicate") == "EVIDENCE_FOR", F.col("object_id"))
-    live = live.withColumn("node", node)
+    single = F.col("predicate").isin(*o.SINGLE_VALUED)
+    live = live.withColumn("node", F.when(single, F.col("subject_id")).when(F.col("predicate") == "EVIDENCE_FOR", F.col("object_id")))
     contra = edges.where("predicate = 'CONTRADICTS'").select("subject_id", "object_id").unionByName(live.where("predicate = 'CONTRADICTS' and late is null").select("subject_id", "object_id"))
     ends = contra.select(F.explode(F.array("subject_id", "object_id")).alias("node")).distinct().checkpoint()
     links = contra.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).unionByName(_links(live, ends))
     comp = graph.components(links)
-    label = ends.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")).unionByName(comp.join(ends, "node", "left_anti")).distinct().checkpoint()
-
-    grouped = live
-    for c in ("node", "subject_id", "object_id"):
-        grouped = grouped.join(label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left")
     # A status or slot value is no end of a contradiction: its component would be a hub.
-    is_end = ends.withColumn("is_end", F.lit(True))
-    grouped = grouped.join(is_end.select(F.col("node").alias("object_id"), "is_end"), "object_id", "left")
-    grp = F.coalesce("node_comp", "subject_id_comp", F.when(F.col("is_end"), F.col("object_id_comp")), F.col("node"))
-    when = lambda c, other: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(other))
-    dated = F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()
-    window = [when("valid_from", -OPEN).alias("lo"), when("valid_to", OPEN).alias("hi"), dated.alias("dated")]
-    backs = F.coalesce(F.col("s_entity_type").isin("Document", "Event"), F.lit(False))
-    folded = grouped.withColumn("grp", grp).where("grp is not null").select(
-        "grp", F.col("seq").alias("at"), F.lit("write").alias("part"), *triple, F.col("pct").cast("long").alias("pct"), *window, "write_intent",
-        (~blank("source_ref")).alias("sourced"), F.col("late").isNotNull().alias("fails_later"), "known", backs.alias("backs"), F.concat(F.lit("w"), "seq").alias("name"),
-    )
+    label = ends.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.lit(True).alias("is_end"))
+    label = label.unionByName(comp.join(ends, "node", "left_anti").select("node", "comp", F.lit(False).alias("is_end"))).checkpoint()
 
-    def seed(df, part, node, pct, *window):
-        at = df.join(label.select(F.col("node").alias(node), "comp"), node, "left").withColumn("grp", F.coalesce("comp", node))
+    grouped = live
+    for c in ("subject_id", "object_id"):
+        grouped = grouped.join(label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("is_end").alias(f"{c}_end")), c, "left")
+    own = F.when(single, F.col("subject_id_comp")).when(F.col("predicate") == "EVIDENCE_FOR", F.col("object_id_comp"))
+    grp = F.coalesce(own, "subject_id_comp", F.when(F.col("object_id_end"), F.col("object_id_comp")), F.col("node"))
+    # Evidence that the store holds is counted there; no other row asks what the store holds.
+    held = edges.where("predicate = 'EVIDENCE_FOR'").select(*triple).distinct().withColumn("known", F.lit(True))
+    cols = ["grp", "at", "part", *triple, "pct", "lo", "hi", "dated", "write_intent", "sourced", "n_support", "fails_later", "known", "backs", "name"]
+    folded = grouped.withColumn("grp", grp).where("grp is not null").withColumns({"at": F.col("seq"), "part": F.lit("write"), "fails_later": F.col("late").isNotNull(), "name": F.concat(F.lit("w"), "seq")})
+    backing = folded.where("predicate = 'EVIDENCE_FOR'").join(held, triple, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    folded = settled(folded.where("predicate <> 'EVIDENCE_FOR'").withColumn("known", F.lit(False)).select(cols).unionByName(backing.select(cols)))
+
+    def seed(df, part, *window):
+        at = df.join(label.select(F.col("node").alias("subject_id"), "comp"), "subject_id", "left").withColumn("grp", F.coalesce("comp", "subject_id"))
         no = F.lit(False)
         return at.join(folded.select("grp").distinct(), "grp", "left_semi").select(
-            "grp", F.lit(FIRST).alias("at"), F.lit(part).alias("part"), *triple, pct.cast("long").alias("pct"), *window, F.lit("").alias("write_intent"),
-            no.alias("sourced"), no.alias("fails_later"), no.alias("known"), no.alias("backs"), F.concat(F.lit("s"), "seq").alias("name"),
+            "grp", F.lit(FIRST).alias("at"), F.lit(part).alias("part"), *triple, F.col("pct").cast("long").alias("pct"), *window, F.lit("").alias("write_intent"), no.alias("sourced"),
+            F.lit(0).cast("long").alias("n_support"), no.alias("fails_later"), no.alias("known"), no.alias("backs"), F.concat(F.lit("s"), "seq").alias("name"),
         )
 
     lone = edges.groupBy(*triple).agg(F.min_by(F.struct("seq", "pct", "valid_from", "valid_to"), "seq").alias("e")).select(*triple, "e.*")
     none = [F.lit(-OPEN).alias("lo"), F.lit(OPEN).alias("hi"), F.lit(False).alias("dated")]
-    support = constraints.support(edges, entities).select(F.lit(None).cast("long").alias("seq"), F.lit("").alias("subject_id"), F.lit("").alias("predicate"), "object_id", "n")
-    rows = (
-        folded.unionByName(seed(lone.where(F.col("predicate").isin(*o.SINGLE_VALUED)), "value", "subject_id", F.col("pct"), *window))
-        .unionByName(seed(lone.where("predicate = 'CONTRADICTS'"), "contradicts", "subject_id", F.col("pct"), *none))
-        .unionByName(seed(support, "evidence", "object_id", F.col("n"), *none))
-    )
+    rows = folded.unionByName(seed(lone.where(F.col("predicate").isin(*o.SINGLE_VALUED)), "value", *window)).unionByName(seed(lone.where("predicate = 'CONTRADICTS'"), "contradicts", *none))
     step = _judge(high_pct, margin_pct, evidence_min, authoritative)
     verdict = ordered_fold(rows, ["grp"], "at", "seq long, verdict string, kind string, retired array<string>", lambda: Group(high_pct, evidence_min), step)
 
-    out = x.join(closes, "seq", "left").join(verdict, "seq", "left")
+    # An order of events is in no other fold, so a row has one of the two results at most.
+    out = x.select("seq", "early", "mid", "late").join(verdict.unionByName(closes, allowMissingColumns=True), "seq", "left")
     failed = F.coalesce("early", F.when(F.col("closes"), "C3"), "mid", F.when(F.col("verdict") != "pass", "C7"), "late")
     out = out.withColumn("failed_check", failed)
     f = F.col("failed_check")
@@ -354,6 +353,7 @@ def decide(candidates: DataFrame, entities: DataFrame, edges: DataFrame, margin_
 
 def state_after(decisions: DataFrame, edges: DataFrame) -> DataFrame:
     """name, status, superseded_by of every candidate (w and seq) and every edge of the store (s and seq) after the batch."""
+    decisions = settled(decisions.select("seq", "action", "retired"))  # both readers below would fold again
     gone = decisions.select(F.explode("retired").alias("name"), F.concat(F.lit("w"), "seq").alias("superseded_by"), "seq").groupBy("name").agg(F.max_by("superseded_by", "seq").alias("superseded_by"))
     status = F.when(F.col("action").isin("accept", "supersede"), "accepted").when(F.col("action") == "reject", "rejected").otherwise("quarantined")
     rows = decisions.select(F.concat(F.lit("w"), "seq").alias("name"), status.alias("status"))

@@ -238,3 +238,35 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     have = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert have == {k: v for k, v in root.items() if k in have} and all(k == v for k, v in root.items() if k not in have)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_log_is_folded_once_for_all_that_reads_it(spark):
+    from factloom.plans import registry
+
+    for name, folds in (("checked_routes", 2), ("constraint_validate", 2), ("w8_commit_state", 0)):
+        # One fold of the orders of events and one of all else; the state after a batch reads decisions that are written.
+        assert _plan(registry.queries()[name](spark, DATA)).count("MapInPandas") == folds, name
+
+
+def test_both_ends_meet_each_table_once(spark):
+    from factloom.operators import constraints
+
+    d = workspace.candidates(spark, DATA), workspace.entities(spark, DATA), workspace.edges(spark, DATA)
+    # Entities and counts at two ends, the relations, the transitions, and two kinds of evidence's sources.
+    assert _plan(constraints.examine_alone(*d)).count("Join Left") <= 8
+    assert _plan(constraints.examine(*d)).count("Join LeftOuter") <= 8
+
+
+def test_stored_evidence_lets_a_correction_win(spark):
+    """Evidence of the store for a subject, without a source of the write's own; the batch repeats a stored pair, which counts once."""
+    checkpoint_folder(spark)
+    ents = [("D1", "Decision", "draft"), ("S1", "Document", None), ("status:draft", "StatusValue", None), ("status:final", "StatusValue", None)]
+    writes = [(1, "S1", "EVIDENCE_FOR", "D1", "0.9"), (2, "D1", "HAS_STATUS", "status:draft", "0.85"), (3, "D1", "HAS_STATUS", "status:final", "1.0", "", "correction")]
+    edge = (9, "S1", "EVIDENCE_FOR", "D1", 90, None, None)
+    assert got(ordered.decide(*tables(spark, writes, ents, [edge])))[3] == ("C7", "supersede", "hard", ["w2"])
+    assert got(ordered.decide(*tables(spark, writes, ents, [edge]), evidence_min=2))[3][1] == "quarantine"
+    assert got(ordered.decide(*tables(spark, writes[1:], ents, [])))[3][1] == "quarantine"
