@@ -71,3 +71,9 @@ def test_bootstrap_covers_the_mean(spark):
     df = spark.range(500).selectExpr("id", "'g' AS g", "id % 10 AS v")
     r = stats.bootstrap_ci(df, "g", "v").first()
     assert r.lo < 4.5 < r.hi and r.hi - r.lo < 4 * 2.9 / math.sqrt(500) * 1.5
+
+
+def test_mentions_are_found_once_and_not_for_each_other(spark):
+    df = spark.createDataFrame([("Did 'T1' tell t1 or T2 about T1 and Ann Lee?",), (None,), ("",)], "t string").select(text.mentions("t").alias("m"))
+    assert [r.m for r in df.collect()] == [["T1", "T2", "Ann Lee"], None, []]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 3
