@@ -323,3 +323,17 @@ def test_edges_of_a_shared_node_are_not_sorted_to_be_found(spark):
     first = sorted(range(400), key=lambda n: (f"T{n % 50}", n))
     assert got == [(1, n, i + 1) for i, n in enumerate(range(3, 400, 50))] + sorted((2, n, i + 1) for i, n in enumerate(first))
     assert "ShuffledHashJoin" in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_units_count_every_traded_pair(spark):
+    """Rows, not only SQL: each supplier of a part in ``lineitem`` backs the part's decision, whatever the quantity."""
+    from collections import Counter
+
+    from factloom.plans import memory
+
+    table = lambda name, *c: spark.read.parquet(f"{DATA}/{name}.parquet").select(*c).collect()
+    pairs = {(r.l_suppkey, r.l_partkey) for r in table("lineitem", "l_suppkey", "l_partkey")}
+    known = {r.s_suppkey for r in table("supplier", "s_suppkey")}
+    backing = Counter(p for s, p in pairs if s in known)
+    want = {k: (k % 10 != 0) + (backing[k % 2100] if k % 8 == 4 else 0) for (k,) in table("orders", "o_orderkey")}
+    assert {r.seq: r.n_evidence for r in memory.evidence_units(spark, DATA).collect()} == want and sum(backing.values()) > 2 * len(backing)
