@@ -337,3 +337,21 @@ def test_evidence_units_count_every_traded_pair(spark):
     backing = Counter(p for s, p in pairs if s in known)
     want = {k: (k % 10 != 0) + (backing[k % 2100] if k % 8 == 4 else 0) for (k,) in table("orders", "o_orderkey")}
     assert {r.seq: r.n_evidence for r in memory.evidence_units(spark, DATA).collect()} == want and sum(backing.values()) > 2 * len(backing)
+
+
+def test_typed_violations_deal_edges_by_each_end_once(spark):
+    from factloom.operators import constraints
+
+    edges = spark.createDataFrame([(1, "T1", "HAS_STATUS", "status:done", 95), (2, "T1", "HAS_STATUS", "status:todo", 95), (3, "S1", "EVIDENCE_FOR", "D1", 90), (4, "E1", "RESULTS_IN", "T2", 90), (5, "P1", "ASSIGNED_TO", "T1", 60), (6, "T2", "HAS_STATUS", "status:done", 95)], "seq long, subject_id string, predicate string, object_id string, pct long")
+    ents = spark.createDataFrame([(i, t, None, s, e) for i, t, s, e in (("T1", "Task", None, None), ("T2", "Task", None, None), ("S1", "Document", None, None), ("D1", "Decision", None, None), ("P1", "Person", None, None), ("E1", "Event", 2, 1), ("status:done", "StatusValue", None, None), ("status:todo", "StatusValue", None, None))], "id string, entity_type string, status string, starts_at long, ends_at long")
+    ents = ents.withColumns({c: F.timestamp_seconds(c) for c in ("starts_at", "ends_at")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = constraints.typed_violations(edges, ents)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r.seq: r.kind for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {1: "illegal_status_state", 2: "illegal_status_state", 3: "none", 4: "temporally_invalid_interval", 5: "schema_invalid", 6: "none"}
+    # The edges go to their objects and then to their subjects, and not to their subjects before that too.
+    assert plan.count("Exchange hashpartitioning") <= 10
